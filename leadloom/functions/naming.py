@@ -65,7 +65,7 @@ def prefer_name(seed_name: Column, profile_name: Column, default: str = "your co
 
 
 def geo_pattern(terms: Sequence[str] = web.INDIA_TERMS) -> str:
-    return r"(?i)\b(" + "|".join(terms) + r")\b"
+    return r"(?iU)\b(" + "|".join(terms) + r")\b"
 
 
 def geo_score(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -73,7 +74,7 @@ def lookup(c: Column, table: Mapping[str, object]) -> Column:
 
 def host_matches(host: Column, suffixes: Sequence[str]) -> Column:
     """Host equals a listed domain or is one of its sub-domains."""
-    return host.isin(*suffixes) | any_of([F.endswith(host, F.lit("." + s)) for s in suffixes])
+    return host.rlike(r"(?:^|\.)(?:" + "|".join(re.escape(s) for s in suffixes) + ")$")
 
 
 def ordered_distinct_by(arr: Column, key: Callable[[Column], Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,9 +31,23 @@ class UrlRules:
 DEFAULT_RULES = UrlRules()
 
 
+# Optional scheme and one leading ``www.`` in front of the host. Every test below is a single
+# regular expression over the address, so the address expression is evaluated once per test
+# even where the optimizer pushes the test into a scan filter.
+_HEAD = r"^\s*(?:https?://)?+(?i:www\.)?+"
+_HOST_END = r"(?:[/?#]|\s*$)"
+
+
+def _one_of(hosts: Sequence[str]) -> str:
+    return "(?:" + "|".join(re.escape(h) for h in hosts) + ")"
+
+
+def _under(hosts: Sequence[str]) -> str:
+    return r"(?i:(?:[^/?#]*\.)?" + _one_of(hosts) + ")" + _HOST_END
+
+
 def with_scheme(c: Column) -> Column:
-    u = strip(text_or_empty(c))
-    return F.when(u == "", u).when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u))
+    return F.regexp_replace(strip(text_or_empty(c)), "^(?!https?://)(?=.)", "https://")
 
 
 def netloc(c: Column) -> Column:
@@ -45,54 +60,67 @@ def path_of(c: Column) -> Column:
     return F.regexp_replace(raw, r";[^/]*$", "")
 
 
-def hostname(c: Column) -> Column:
-    """Host without user info and port."""
-    bare = F.regexp_replace(netloc(c), r"^.*@", "")
-    return F.regexp_replace(bare, r":\d*$", "")
+def site_path(c: Column) -> Column:
+    """Path of an address that may lack its scheme."""
+    raw = F.regexp_extract(strip(text_or_empty(c)), r"^(?:https?://)?+[^/?#]*([^?#]*)", 1)
+    return F.regexp_replace(raw, r";[^/]*$", "")
 
 
-def drop_www(c: Column) -> Column:
-    return F.regexp_replace(c, r"^www\.", "")
+def hostname(c: Column) -> Column:
+    """Host without user info and port."""
+    return F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
 
 
 def host_of(c: Column) -> Column:
-    return drop_www(netloc(with_scheme(c)))
+    return F.lower(F.regexp_extract(strip(text_or_empty(c)), r"^(?:https?://)?+(?i:www\.)?+([^/?#]*)", 1))
 
 
 def normalize_website(c: Column) -> Column:
     return F.rtrim(host_of(c), F.lit("/"))
 
 
+def _test(c: Column, pattern: str) -> Column:
+    return text_or_empty(c).rlike(pattern)
+
+
 def is_launch_host(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    return host_matches(host_of(c), (rules.launch_host,))
+    return _test(c, _HEAD + _under((rules.launch_host,)))
 
 
 def is_launch_redirect(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    return is_launch_host(c, rules) & F.startswith(path_of(with_scheme(c)), F.lit(rules.redirect_prefix))
+    host = r"(?i:(?:[^/?#]*\.)?" + re.escape(rules.launch_host) + ")"
+    return _test(c, _HEAD + host + "(?=/)" + re.escape(rules.redirect_prefix))
+
+
+def _cdn(rules: UrlRules) -> str:
+    hosts = r"(?i:" + _one_of(rules.cdn_hosts) + ")" + _HOST_END
+    suffixes = r"(?i:[^/?#]*" + _one_of(rules.cdn_suffixes) + ")" + _HOST_END
+    path = r"[^/?#]+[^?#]*(?i:" + re.escape(rules.cdn_path) + ")"
+    slash_after_host = r"[^/?#]+(?i:" + re.escape(rules.cdn_path) + ")"
+    return f"(?:{hosts}|{suffixes}|{path}|{slash_after_host})"
 
 
 def is_cdn_host(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    host = host_of(c)
-    known = host.isin(*rules.cdn_hosts) | any_of([F.endswith(host, F.lit(s)) for s in rules.cdn_suffixes])
-    return (host != "") & (known | F.contains(F.lower(path_of(with_scheme(c))), F.lit(rules.cdn_path)))
+    return _test(c, _HEAD + _cdn(rules))
 
 
 def is_blog_host(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    host = host_of(c)
-    return any_of([F.startswith(host, F.lit(p)) for p in rules.blog_prefixes])
+    return _test(c, _HEAD + "(?i:" + _one_of(rules.blog_prefixes) + ")")
 
 
 def is_usable_website(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    return (host_of(c) != "") & ~is_launch_host(c, rules) & ~is_cdn_host(c, rules) & ~is_blog_host(c, rules)
+    """Has a host and is no launch site, delivery network or blog host."""
+    refuse = f"(?!{_under((rules.launch_host,))})(?!{_cdn(rules)})(?!(?i:{_one_of(rules.blog_prefixes)}))"
+    return _test(c, _HEAD + refuse + r"[^/?#\s]")
 
 
 def website_identity(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    path = F.lower(F.rtrim(path_of(with_scheme(c)), F.lit("/")))
+    path = F.lower(F.rtrim(site_path(c), F.lit("/")))
     return F.when(is_launch_redirect(c, rules), F.concat(F.lit(rules.launch_host), path)).otherwise(normalize_website(c))
 
 
 def canonical_website(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    path = F.rtrim(path_of(with_scheme(c)), F.lit("/"))
+    path = F.rtrim(site_path(c), F.lit("/"))
     full = F.concat(F.lit(f"https://www.{rules.launch_host}"), path)
     return F.when(is_launch_redirect(c, rules), full).otherwise(normalize_website(c))
 
@@ -108,24 +136,14 @@ def strip_tracking(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
     return F.when(is_launch_host(c, rules) | (kept == ""), head).otherwise(F.concat_ws("?", head, kept))
 
 
-def is_intermediate_host(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    host = host_of(c)
-    known = host.isin(*rules.intermediate) | F.endswith(host, F.lit(".cloudflare.com")) | F.endswith(
-        host, F.lit(".cloudflareinsights.com")
-    )
-    return (host != "") & (known | F.contains(F.lower(path_of(strip(c))), F.lit(rules.cdn_path)))
-
-
 def is_external_company_url(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    u = strip(text_or_empty(c))
-    host = host_of(c)
-    return (
-        u.rlike("^https?://")
-        & ~is_launch_host(c, rules)
-        & ~is_intermediate_host(c, rules)
-        & (host != "")
-        & ~host.isin(*rules.blocked_external)
-    )
+    """Web address that is no launch site, intermediate host or listed social and store host."""
+    relay = r"(?i:" + _one_of(rules.intermediate) + ")" + _HOST_END
+    relay_under = r"(?i:[^/?#]*(?:\.cloudflare\.com|\.cloudflareinsights\.com))" + _HOST_END
+    relay_path = r"[^/?#]*[^?#]*(?i:" + re.escape(rules.cdn_path) + ")"
+    blocked = r"(?i:" + _one_of(rules.blocked_external) + ")" + _HOST_END
+    refuse = "".join(f"(?!{p})" for p in (_under((rules.launch_host,)), relay, relay_under, relay_path, blocked))
+    return _test(c, r"^\s*https?://(?i:www\.)?+" + refuse + r"[^/?#\s]")
 
 
 def urls_in(c: Column) -> Column:
@@ -134,17 +152,23 @@ def urls_in(c: Column) -> Column:
     return ordered_distinct_by(F.transform(raw, lambda u: F.rtrim(u, F.lit(".,);]"))), lambda u: F.lower(u))
 
 
+def _company_link(rules: UrlRules) -> str:
+    listed = r"(?i:(?:[^/?#:]*\.)?" + _one_of(rules.blocked_discovery) + r")(?::\d*)?(?:[/?#]|$)"
+    return r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?+(?!" + listed + r")[^/?#:]"
+
+
 def is_blocked_discovery_host(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
-    host = hostname(c)
-    return (host == "") | host_matches(host, rules.blocked_discovery)
+    """No host at all, or a forge, forum or social host."""
+    return ~_test(c, _company_link(rules))
 
 
 def pick_company_website(
     candidates: Sequence[Column], fallback_text: Column, rules: UrlRules = DEFAULT_RULES
 ) -> Column:
+    """First company link among the explicit candidates, then among the links in the text."""
     explicit = F.array(*[F.nullif(strip(c), F.lit("")) for c in candidates])
     ordered = F.concat(F.array_compact(explicit), urls_in(fallback_text))
-    return F.try_element_at(F.filter(ordered, lambda u: ~is_blocked_discovery_host(u, rules)), F.lit(1))
+    return F.try_element_at(F.filter(ordered, lambda u: u.rlike(_company_link(rules))), F.lit(1))
 
 
 def _fold_dot_segments(u: Column) -> Column:

@@ -9,6 +9,7 @@ from leadloom.plans.registry import ORACLES, QUERIES
 
 FAMILIES = (
     "urls",
+    "leads",
 )
 
 for _name in FAMILIES:

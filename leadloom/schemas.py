@@ -5,6 +5,7 @@ from __future__ import annotations
 LEAD = """name string, website string, description string, source string, tags array<string>,
  discovered_at timestamp, score int, pos bigint, source_rank int, extra map<string,string>"""
 
+SEED_FIELDS = "name: string, website: string, description: string, source: string"
 SEED = "name string, website string, description string, source string"
 
 PAGE_SNAPSHOT = "page_id bigint, url string, final_url string, status int, headers map<string,string>, html string"

@@ -34,6 +34,12 @@ def read_seeds(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return seeds if limit is None else seeds.limit(limit)
 
 
+def parse_seeds(raw: DataFrame) -> DataFrame:
+    """Seed rows out of payloads that hold the same JSON array."""
+    rows = raw.select(F.explode(F.from_json("payload", f"array<struct<{schemas.SEED_FIELDS}>>")).alias("seed"))
+    return rows.select("seed.*").withColumn("source", F.coalesce("source", F.lit("sample_data")))
+
+
 def _items(raw: DataFrame, schema: str, array: str) -> DataFrame:
     parsed = raw.withColumn("_doc", F.from_json("payload", schema))
     rows = parsed.select("query_rank", "request_pos", "label", F.posexplode(F.expr(array)).alias("item_pos", "item"))

@@ -22,6 +22,11 @@ LOCAL_FORUMS = ("indianstartups", "developersindia")
 LOCAL_FLOOR = 40
 
 
+def moment(as_of: Column | str) -> Column:
+    """The job's reference time; never the wall clock."""
+    return F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+
+
 def iso_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
@@ -60,7 +65,7 @@ def _lead(
     tags: Column,
     discovered: Column,
     score: Column,
-    as_of: Column,
+    as_of: Column | str,
     extra: dict[str, Column],
 ) -> DataFrame:
     pairs = [x for key, value in extra.items() for x in (F.lit(key), value.cast("string"))]
@@ -70,7 +75,7 @@ def _lead(
         blank_to_null(description).alias("description"),
         F.lit(source).alias("source"),
         tags.alias("tags"),
-        F.coalesce(discovered, as_of).alias("discovered_at"),
+        F.coalesce(discovered, moment(as_of)).alias("discovered_at"),
         score.cast("int").alias("score"),
         _position().alias("pos"),
         F.create_map(*pairs).alias("extra"),
@@ -81,7 +86,7 @@ def _tags(base: Column, score: Column) -> Column:
     return F.when(score > 0, F.array_append(base, F.lit("india"))).otherwise(base)
 
 
-def normalize_product_launches(items: DataFrame, resolved: DataFrame, as_of: Column) -> DataFrame:
+def normalize_product_launches(items: DataFrame, resolved: DataFrame, as_of: Column | str) -> DataFrame:
     """Launch items keep only a usable company site, direct or from the redirect answers (redirect, website)."""
     rows = items.withColumn("redirect", strip_tracking(F.col("website"))).filter(strip(F.col("website")) != "")
     answers = resolved.select("redirect", F.col("website").alias("_answer"))
@@ -107,7 +112,7 @@ def normalize_product_launches(items: DataFrame, resolved: DataFrame, as_of: Col
     )
 
 
-def normalize_stories(items: DataFrame, as_of: Column) -> DataFrame:
+def normalize_stories(items: DataFrame, as_of: Column | str) -> DataFrame:
     title = strip(text_or_empty(F.col("title")))
     rows = items.withColumns(
         {"_site": strip(text_or_empty(F.col("url"))), "_title": show_title(title), "_text": text_or_empty(F.col("story_text"))}
@@ -129,7 +134,7 @@ def normalize_stories(items: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def normalize_accelerator(items: DataFrame, as_of: Column) -> DataFrame:
+def normalize_accelerator(items: DataFrame, as_of: Column | str) -> DataFrame:
     rows = items.withColumns(
         {
             "_name": strip(text_or_empty(F.col("name"))),
@@ -158,7 +163,7 @@ def normalize_accelerator(items: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def normalize_repositories(items: DataFrame, as_of: Column) -> DataFrame:
+def normalize_repositories(items: DataFrame, as_of: Column | str) -> DataFrame:
     about = text_or_empty(F.col("description"))
     rows = items.withColumns(
         {"_name": strip(text_or_empty(F.col("name"))), "_site": pick_company_website([F.col("homepage")], about)}
@@ -178,7 +183,7 @@ def normalize_repositories(items: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def normalize_posts(items: DataFrame, as_of: Column) -> DataFrame:
+def normalize_posts(items: DataFrame, as_of: Column | str) -> DataFrame:
     body, forum = text_or_empty(F.col("selftext")), text_or_empty(F.col("subreddit"))
     rows = items.withColumns(
         {
@@ -204,7 +209,7 @@ def normalize_posts(items: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def normalize_feed_items(items: DataFrame, as_of: Column, source: str = "rss") -> DataFrame:
+def normalize_feed_items(items: DataFrame, as_of: Column | str, source: str = "rss") -> DataFrame:
     """RSS and news items; the site is the item link, else the first company link in the text."""
     rows = items.withColumn(
         "_site", pick_company_website([F.col("link")], F.concat_ws(" ", "raw_description", "description"))
