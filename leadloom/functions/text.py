@@ -38,6 +38,11 @@ def title_case(c: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use the result several times inside ``body``."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def any_of(predicates: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates, F.lit(False))
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import any_of, host_matches, ordered_distinct_by, strip, text_or_empty
+from leadloom.functions.text import any_of, host_matches, let, ordered_distinct_by, strip, text_or_empty
 from leadloom.rules import web
 
 
@@ -127,13 +127,14 @@ def canonical_website(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
 
 def strip_tracking(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
     """Drop ``utm_*`` and ``ref=`` query parts and the fragment; launch URLs lose the whole query."""
-    u = strip(text_or_empty(c))
-    head = F.regexp_replace(F.regexp_extract(u, r"^([^?#]*)", 1), r";[^/]*$", "")
-    parts = F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&")
-    kept = F.array_join(
-        F.filter(parts, lambda p: (p != "") & ~F.lower(p).startswith("utm_") & ~F.lower(p).startswith("ref=")), "&"
-    )
-    return F.when(is_launch_host(c, rules) | (kept == ""), head).otherwise(F.concat_ws("?", head, kept))
+
+    def clean(u: Column) -> Column:
+        head = F.regexp_replace(F.regexp_extract(u, r"^([^?#]*)", 1), r";[^/]*$", "")
+        query = F.when(is_launch_host(u, rules), "").otherwise(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1))
+        kept = F.filter(F.split(query, "&"), lambda p: ~F.lower(p).rlike("^(utm_|ref=|$)"))
+        return F.concat_ws("?", head, F.nullif(F.array_join(kept, "&"), F.lit("")))
+
+    return let(strip(text_or_empty(c)), clean)
 
 
 def is_external_company_url(c: Column, rules: UrlRules = DEFAULT_RULES) -> Column:
@@ -187,31 +188,38 @@ def _fold_dot_segments(u: Column) -> Column:
     return F.concat(origin, F.regexp_replace(path, "//$", "/"), tail)
 
 
-def resolve_url(href: Column, base: Column) -> Column:
-    """Resolve a link against its page; dot segments are folded only where they occur."""
-    h = strip(href)
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
+
+
+def _join(h: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
     no_query = F.regexp_extract(base, r"^([^?#]*)", 1)
-    directory = F.regexp_extract(no_query, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*/(?:.*/)?)", 1)
-    relative = F.when(directory == "", F.concat(origin, F.lit("/"), h)).otherwise(F.concat(directory, h))
-    joined = (
-        F.when(h == "", base)
-        .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme, F.lit(":"), h))
+    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)(/(?:[^?#]*/)?)?", 0)
+    relative = F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/"), h)
+    return (
+        F.when(h.rlike(_SCHEME), h)
+        .when(h == "", base)
+        .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1), h))
         .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
         .when(F.startswith(h, F.lit("?")), F.concat(no_query, h))
         .when(F.startswith(h, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), h))
         .otherwise(relative)
     )
-    return F.when(h.rlike(r"(^|/)\.{1,2}(/|$)") & joined.rlike("^https?://"), _fold_dot_segments(joined)).otherwise(joined)
+
+
+def _fold_if_dotted(u: Column) -> Column:
+    return F.when(u.rlike(r"^https?://[^?#]*/\.{1,2}(/|[?#]|$)"), _fold_dot_segments(u)).otherwise(u)
+
+
+def resolve_url(href: Column, base: Column) -> Column:
+    """Resolve a link against its page; dot segments are folded only where they occur."""
+    return let(let(strip(href), lambda h: _join(h, base)), _fold_if_dotted)
 
 
 def absolute_url(href: Column, base: Column) -> Column:
-    """Resolved link; null for fragments, mail, phone and script links."""
-    h = strip(href)
-    skip = (h == "") | h.rlike("^(#|mailto:|tel:|javascript:)")
-    return F.when(skip | h.isNull(), F.lit(None).cast("string")).otherwise(resolve_url(href, base))
+    """Resolved link; null for blank links, fragments, mail, phone and script links."""
+    wanted = F.regexp_extract(strip(href), r"^((?!#|mailto:|tel:|javascript:).+)$", 1)
+    return F.when(wanted != "", resolve_url(wanted, base))
 
 
 def normalize_job_url(href: Column, base: Column) -> Column:

@@ -10,6 +10,8 @@ from leadloom.plans.registry import ORACLES, QUERIES
 FAMILIES = (
     "urls",
     "leads",
+    "pages",
+    "signals",
 )
 
 for _name in FAMILIES:

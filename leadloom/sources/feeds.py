@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leadloom import schemas
 from leadloom.functions.text import blank_to_null, strip, text_or_empty
 from leadloom.operators.ordering import first_per_key
+from leadloom.operators.rows import unnest
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +37,13 @@ def read_seeds(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 def parse_seeds(raw: DataFrame) -> DataFrame:
     """Seed rows out of payloads that hold the same JSON array."""
-    rows = raw.select(F.explode(F.from_json("payload", f"array<struct<{schemas.SEED_FIELDS}>>")).alias("seed"))
+    rows = unnest(raw, F.from_json("payload", f"array<struct<{schemas.SEED_FIELDS}>>"), "seed", [])
     return rows.select("seed.*").withColumn("source", F.coalesce("source", F.lit("sample_data")))
 
 
 def _items(raw: DataFrame, schema: str, array: str) -> DataFrame:
     parsed = raw.withColumn("_doc", F.from_json("payload", schema))
-    rows = parsed.select("query_rank", "request_pos", "label", F.posexplode(F.expr(array)).alias("item_pos", "item"))
+    rows = unnest(parsed, F.expr(array), "item", ["query_rank", "request_pos", "label"], "item_pos")
     return rows.select("query_rank", "request_pos", "label", "item_pos", "item.*")
 
 
@@ -113,9 +114,7 @@ def flatten_feeds(raw: DataFrame) -> DataFrame:
         'raw_description', coalesce(nullif(x.summary, ''), x.content), 'published', x.updated))"""
     )
     items = F.when(F.col("_is_atom"), atom_items).otherwise(rss_items)
-    rows = parsed.select(
-        "query_rank", "request_pos", F.col("label").alias("feed_url"), F.posexplode(items).alias("item_pos", "item")
-    )
+    rows = unnest(parsed, items, "item", ["query_rank", "request_pos", F.col("label").alias("feed_url")], "item_pos")
     body = text_or_empty(F.col("item.raw_description"))
     return rows.select(
         "query_rank",

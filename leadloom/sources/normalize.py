@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.naming import geo_score, show_title
 from leadloom.functions.text import blank_to_null, strip, text_or_empty
+from leadloom.operators.rows import with_checked
 from leadloom.functions.urls import (
     is_external_company_url,
     is_launch_host,
@@ -82,6 +83,10 @@ def _lead(
     )
 
 
+def is_usable(u: Column) -> Column:
+    return is_usable_website(u)
+
+
 def _tags(base: Column, score: Column) -> Column:
     return F.when(score > 0, F.array_append(base, F.lit("india"))).otherwise(base)
 
@@ -94,9 +99,7 @@ def normalize_product_launches(items: DataFrame, resolved: DataFrame, as_of: Col
     final = F.when(is_launch_host(F.col("redirect")), F.col("_answer")).otherwise(
         F.coalesce("_answer", "redirect")
     )
-    kept = joined.withColumn("_site", strip(final)).filter(
-        F.col("_site").isNotNull() & is_external_company_url(F.col("_site")) & is_usable_website(F.col("_site"))
-    )
+    kept = with_checked(joined, "_site", strip(final), lambda u: is_external_company_url(u) & is_usable_website(u))
     return _lead(
         kept,
         "producthunt",
@@ -114,9 +117,10 @@ def normalize_product_launches(items: DataFrame, resolved: DataFrame, as_of: Col
 
 def normalize_stories(items: DataFrame, as_of: Column | str) -> DataFrame:
     title = strip(text_or_empty(F.col("title")))
-    rows = items.withColumns(
-        {"_site": strip(text_or_empty(F.col("url"))), "_title": show_title(title), "_text": text_or_empty(F.col("story_text"))}
-    ).filter(is_usable_website(F.col("_site")) & (F.col("_title.name") != ""))
+    sited = items.withColumns(
+        {"_site": strip(text_or_empty(F.col("url"))), "_text": text_or_empty(F.col("story_text"))}
+    ).filter(is_usable_website(F.col("_site")))
+    rows = with_checked(sited, "_title", show_title(title), lambda t: t["name"] != "")
     score = geo_score(
         F.col("_site"), F.lit(""), F.concat_ws(" ", F.col("_title.tagline"), F.col("_title.name"), title, F.col("_text"))
     )
@@ -165,9 +169,8 @@ def normalize_accelerator(items: DataFrame, as_of: Column | str) -> DataFrame:
 
 def normalize_repositories(items: DataFrame, as_of: Column | str) -> DataFrame:
     about = text_or_empty(F.col("description"))
-    rows = items.withColumns(
-        {"_name": strip(text_or_empty(F.col("name"))), "_site": pick_company_website([F.col("homepage")], about)}
-    ).filter((F.col("_name") != "") & is_usable_website(F.col("_site")))
+    named = items.withColumn("_name", strip(text_or_empty(F.col("name")))).filter(F.col("_name") != "")
+    rows = with_checked(named, "_site", pick_company_website([F.col("homepage")], about), is_usable)
     score = geo_score(F.col("_site"), F.lit(""), F.concat_ws(" ", about, "_name", "full_name"))
     return _lead(
         rows.withColumn("_score", score),
@@ -185,12 +188,9 @@ def normalize_repositories(items: DataFrame, as_of: Column | str) -> DataFrame:
 
 def normalize_posts(items: DataFrame, as_of: Column | str) -> DataFrame:
     body, forum = text_or_empty(F.col("selftext")), text_or_empty(F.col("subreddit"))
-    rows = items.withColumns(
-        {
-            "_title": strip(text_or_empty(F.col("title"))),
-            "_site": pick_company_website([F.col("url_overridden_by_dest"), F.col("url")], body),
-        }
-    ).filter((F.col("_title") != "") & is_usable_website(F.col("_site")))
+    titled = items.withColumn("_title", strip(text_or_empty(F.col("title")))).filter(F.col("_title") != "")
+    site = pick_company_website([F.col("url_overridden_by_dest"), F.col("url")], body)
+    rows = with_checked(titled, "_site", site, is_usable)
     score = geo_score(F.col("_site"), F.lit(""), F.concat_ws(" ", body, "_title", forum))
     floor = F.when(F.lower(forum).isin(*LOCAL_FORUMS), F.greatest(score, F.lit(LOCAL_FLOOR))).otherwise(score)
     tags = F.filter(F.array(F.lit("reddit"), forum), lambda t: t != "")
@@ -211,9 +211,8 @@ def normalize_posts(items: DataFrame, as_of: Column | str) -> DataFrame:
 
 def normalize_feed_items(items: DataFrame, as_of: Column | str, source: str = "rss") -> DataFrame:
     """RSS and news items; the site is the item link, else the first company link in the text."""
-    rows = items.withColumn(
-        "_site", pick_company_website([F.col("link")], F.concat_ws(" ", "raw_description", "description"))
-    ).filter((F.col("title") != "") & is_usable_website(F.col("_site")))
+    site = pick_company_website([F.col("link")], F.concat_ws(" ", "raw_description", "description"))
+    rows = with_checked(items.filter(F.col("title") != ""), "_site", site, is_usable)
     score = geo_score(F.col("_site"), F.lit(""), F.concat_ws(" ", "description", "title", "feed_url"))
     return _lead(
         rows.withColumn("_score", score),
