@@ -17,11 +17,11 @@ VOID_TAGS = frozenset(
 )
 SILENT_TAGS = frozenset(("script", "style", "template"))
 READ_TAGS = frozenset(
-    "html title meta link a button h1 h2 h3 p nav footer header main section article div li tr details body".split()
+    "html title meta link a button h1 h2 h3 p nav footer header main section article div li tr details span img body".split()
 )
-BOX_TAGS = frozenset(("html", "body", "div", "section", "article", "li", "tr", "header"))
+BOX_TAGS = frozenset("html body div section article li tr span header".split())
 REGION_WORDS = ("hero", "banner", "faq", "accordion")
-BOX_TEXT_LIMIT = 500
+BOX_TEXT_LIMIT = 600
 AROUND_LIMIT = 300
 URL_KEY_WORDS = ("website", "url", "href", "link")
 

@@ -47,19 +47,28 @@ def any_of(predicates: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates, F.lit(False))
 
 
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def words(needles: Sequence[str]) -> Column:
+    """Constant string array; one literal in the plan however long the list is."""
+    if not needles:
+        return F.expr("cast(array() as array<string>)")
+    return F.expr("array(" + ", ".join(sql_string(n) for n in needles) + ")")
+
+
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
-    return any_of([F.contains(c, F.lit(n)) for n in needles])
+    return let(c, lambda text: F.exists(words(needles), lambda n: F.contains(text, n)))
 
 
 def found(c: Column, needles: Sequence[str]) -> Column:
     """Array of the needles contained in ``c``, in the given order."""
-    if not needles:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(F.contains(c, F.lit(n)), F.lit(n)) for n in needles]))
+    return let(c, lambda text: F.filter(words(needles), lambda n: F.contains(text, n)))
 
 
 def hit_count(c: Column, needles: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(c, F.lit(n)).cast("int") for n in needles], F.lit(0))
+    return F.size(found(c, needles))
 
 
 def first_case(pairs: Sequence[tuple[Column, Column | str]], default: Column | None = None) -> Column:

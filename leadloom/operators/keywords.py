@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import found, let
+from leadloom.functions.text import let, sql_string
 
 MAX_RULE_ROWS = 5000
 
@@ -38,30 +38,41 @@ def load_rules(rules: DataFrame, max_rows: int = MAX_RULE_ROWS) -> tuple[Keyword
     return tuple(KeywordRule(label, tuple(words), weight) for label, (words, weight) in labels.items())
 
 
+def rule_table(rules: Sequence[KeywordRule]) -> Column:
+    """The rule set as one constant array of structs."""
+    rows = []
+    for rank, rule in enumerate(rules):
+        keywords = ", ".join(sql_string(k) for k in rule.keywords)
+        rows.append(
+            f"named_struct('label', {sql_string(rule.label)}, 'weight', {rule.weight}, 'rank', {rank}, 'words', array({keywords}))"
+        )
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
 def rule_hits(corpus: Column, rules: Sequence[KeywordRule]) -> Column:
-    """Per rule a struct(label, score, rank, hits), in rule order; ``corpus`` must be a plain column."""
-    return F.array(*[_hit(corpus, rule, rank) for rank, rule in enumerate(rules)])
+    """Per rule a struct(score, order, label, hits), in rule order. The text is read once per keyword."""
 
+    def score(text: Column) -> Column:
+        def row(rule: Column) -> Column:
+            hits = F.filter(rule["words"], lambda w: F.contains(text, w))
+            return let(
+                hits,
+                lambda h: F.struct(
+                    (F.size(h) * rule["weight"]).alias("score"),
+                    (-rule["rank"]).alias("order"),
+                    rule["label"].alias("label"),
+                    h.alias("hits"),
+                ),
+            )
 
-def _hit(corpus: Column, rule: KeywordRule, rank: int) -> Column:
-    def build(hits: Column) -> Column:
-        return F.struct(
-            (F.size(hits) * rule.weight).alias("score"),
-            F.lit(-rank).alias("order"),
-            F.lit(rule.label).alias("label"),
-            hits.alias("hits"),
-        )
+        return F.transform(rule_table(rules), row)
 
-    return let(found(corpus, rule.keywords), build)
+    return let(corpus, score)
 
 
 def best_label(corpus: Column, rules: Sequence[KeywordRule]) -> Column:
-    """Rule with the highest score; equal scores keep rule order. Null label when nothing hits.
-
-    ``corpus`` is read once per keyword, so pass a column, not a long expression.
-    """
-    best = F.array_max(rule_hits(corpus, rules))
-    return let(best, lambda b: F.when(b["score"] > 0, b))
+    """Rule with the highest score; equal scores keep rule order. Null when nothing hits."""
+    return let(F.array_max(rule_hits(corpus, rules)), lambda b: F.when(b["score"] > 0, b))
 
 
 def label_evidence(best: Column, prefix: str = "") -> Column:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import let, text_or_empty
-from leadloom.operators.pages import header_value
+from leadloom.functions.text import let, sql_string, text_or_empty
 from leadloom.operators.rows import unnest
 from leadloom.rules.technology import TECHNOLOGY_RULES, TechnologyRule
 
@@ -20,16 +19,25 @@ def search_blob(html: Column, *extra: Column) -> Column:
     return F.lower(F.concat_ws("\n", html, *extra))
 
 
-def _evidence(rule: TechnologyRule, blob: Column, headers: Column | None) -> Column:
-    parts = [
-        F.when(F.contains(blob, F.lit(m.lower())), F.lit(f"Found marker: {m}")) for m in rule.markers
-    ]
-    if headers is not None:
-        for name, expected in rule.headers:
-            actual = text_or_empty(header_value(headers, name))
-            hit = (actual != "") if not expected else F.contains(F.lower(actual), F.lit(expected.lower()))
-            parts.append(F.when(hit, F.concat(F.lit(f"Found header {name}: "), actual)))
-    return F.array_compact(F.array(*parts))
+def rule_table(rules: Sequence[TechnologyRule], enabled: Sequence[str] | None = None) -> Column:
+    """The marker rules as one constant array of structs."""
+    allowed = None if enabled is None else {n.strip().lower() for n in enabled}
+    rows = []
+    for rank, rule in enumerate(rules):
+        if allowed is not None and rule.name.lower() not in allowed:
+            continue
+        markers = ", ".join(
+            f"named_struct('needle', {sql_string(m.lower())}, 'shown', {sql_string(m)})" for m in rule.markers
+        )
+        headers = ", ".join(
+            f"named_struct('name', {sql_string(n.lower())}, 'expected', {sql_string(x.lower())})" for n, x in rule.headers
+        )
+        rows.append(
+            f"named_struct('rank', {rank}, 'name', {sql_string(rule.name)}, 'category', {sql_string(rule.category)}, "
+            f"'base', {rule.confidence}, 'markers', array({markers}), "
+            f"'headers', cast(array({headers}) as array<struct<name:string,expected:string>>))"
+        )
+    return F.expr("array(" + ", ".join(rows) + ")")
 
 
 def technologies(
@@ -39,31 +47,44 @@ def technologies(
     minimum: int = MINIMUM_CONFIDENCE,
     enabled: Sequence[str] | None = None,
 ) -> Column:
-    """Array of struct(confidence, rank, name, category, evidence): surest first, then rule order.
+    """Array of struct(order, rank, name, category, confidence, evidence): surest first, then rule order."""
+
+    def scored(text: Column) -> Column:
+        def row(rule: Column) -> Column:
+            hits = F.filter(rule["markers"], lambda m: F.contains(text, m["needle"]))
+            evidence = F.transform(hits, lambda m: F.concat(F.lit("Found marker: "), m["shown"]))
+            if headers is not None:
+                evidence = F.concat(evidence, _header_evidence(rule["headers"], headers))
+            return let(evidence, lambda e: build(rule, e))
+
+        return F.transform(rule_table(rules, enabled), row)
+
+    def build(rule: Column, evidence: Column) -> Column:
+        confidence = F.least(F.lit(100), rule["base"] + F.size(evidence) * 5 - 5)
+        return F.struct(
+            (-confidence).alias("order"),
+            rule["rank"].alias("rank"),
+            rule["name"].alias("name"),
+            rule["category"].alias("category"),
+            confidence.alias("confidence"),
+            evidence.alias("evidence"),
+        )
+
+    kept = F.filter(
+        let(blob, scored), lambda t: (F.size(t["evidence"]) > 0) & (t["confidence"] >= minimum)
+    )
+    return F.array_sort(kept)
 
-    ``blob`` must be a plain column; each marker is searched once per page.
-    """
-    allowed = None if enabled is None else {n.strip().lower() for n in enabled}
 
-    def hit(rule: TechnologyRule, rank: int) -> Column:
-        def build(evidence: Column) -> Column:
-            confidence = F.least(F.lit(100), F.lit(rule.confidence - 5) + F.size(evidence) * 5)
-            return F.when(
-                (F.size(evidence) > 0) & (confidence >= minimum),
-                F.struct(
-                    (-confidence).alias("order"),
-                    F.lit(rank).alias("rank"),
-                    F.lit(rule.name).alias("name"),
-                    F.lit(rule.category).alias("category"),
-                    confidence.alias("confidence"),
-                    evidence.alias("evidence"),
-                ),
-            )
+def _header_evidence(rules: Column, headers: Column) -> Column:
+    entries = F.map_entries(headers)
 
-        return let(_evidence(rule, blob, headers), build)
+    def named(name: Column) -> Column:
+        return F.try_element_at(F.filter(entries, lambda x: F.lower(x["key"]) == name), F.lit(1))["value"]
 
-    hits = [hit(r, i) for i, r in enumerate(rules) if allowed is None or r.name.lower() in allowed]
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    stated = F.transform(rules, lambda h: F.struct(h.alias("h"), text_or_empty(named(h["name"])).alias("v")))
+    hit = F.filter(stated, lambda x: (x["v"] != "") & F.contains(F.lower(x["v"]), x["h"]["expected"]))
+    return F.transform(hit, lambda x: F.concat(F.lit("Found header "), x["h"]["name"], F.lit(": "), x["v"]))
 
 
 def detect_technologies(
@@ -75,11 +96,11 @@ def detect_technologies(
     minimum: int = MINIMUM_CONFIDENCE,
     enabled: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Adds ``technologies`` and ``detected_count``; the page text itself is not carried on."""
+    """Adds ``technologies`` and ``detected_count``."""
     headers = F.col(headers_col) if headers_col else None
-    blob = pages.withColumn("_blob", search_blob(F.col(html_col), *[F.col(c) for c in extra]))
-    found = blob.withColumn("technologies", technologies(F.col("_blob"), headers, rules, minimum, enabled))
-    return found.withColumn("detected_count", F.size("technologies")).drop("_blob")
+    blob = search_blob(F.col(html_col), *[F.col(c) for c in extra])
+    found = pages.withColumn("technologies", technologies(blob, headers, rules, minimum, enabled))
+    return found.withColumn("detected_count", F.size("technologies"))
 
 
 def technology_rows(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:

@@ -12,6 +12,7 @@ FAMILIES = (
     "leads",
     "pages",
     "signals",
+    "company",
 )
 
 for _name in FAMILIES:

@@ -18,7 +18,7 @@ def _parsed(spark, sf_dir, marked=False):
 
 
 def sql_unescape(c: str) -> str:
-    return f"replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+    return f"replace(replace(replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
 _TAGS = ("title", "a", "p", "h1", "li", "nav", "article", "footer", "div", "meta")
