@@ -154,16 +154,16 @@ def job_candidates() -> Column:
     )
     page_anchors = elements(lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull())
 
-    def inner_link(e: Column) -> Column:
-        return attr(
-            F.try_element_at(F.filter(page_anchors, lambda a: (a["pos"] > e["pos"]) & (a["pos"] <= e["last"])), F.lit(1)),
-            "href",
-        )
+    job_blocks = F.filter(text_blocks("jobs"), lambda e: F.lower(e["text"]).rlike("|".join(rules.JOB_ROW_WORDS)))
 
-    blocks = F.transform(
-        F.filter(text_blocks("jobs"), lambda e: contains_any(F.lower(e["text"]), rules.JOB_ROW_WORDS)),
-        lambda e: _candidate(2, pos=e["pos"], text=e["text"], href=inner_link(e)),
-    )
+    def block_rows(anchored: Column) -> Column:
+        def inner_link(e: Column) -> Column:
+            inside = F.filter(anchored, lambda a: (a["pos"] > e["pos"]) & (a["pos"] <= e["last"]))
+            return attr(F.try_element_at(inside, F.lit(1)), "href")
+
+        return F.transform(job_blocks, lambda e: _candidate(2, pos=e["pos"], text=e["text"], href=inner_link(e)))
+
+    blocks = let(page_anchors, block_rows)
     return F.concat(linked, structured, blocks)
 
 

@@ -198,13 +198,14 @@ def intel_hero() -> Column:
     def classed(word: str):
         return lambda e: F.contains(text_or_empty(attr(e, "class")), F.lit(word))
 
-    in_header = lambda e: (e["tag"] == "p") & F.exists(
-        headers, lambda h: (h["pos"] < e["pos"]) & (e["pos"] <= h["last"])
-    )
+    def below_header(boxes: Column) -> Column:
+        inside = lambda e: F.exists(boxes, lambda h: (h["pos"] < e["pos"]) & (e["pos"] <= h["last"]))
+        return five(lambda e: (e["tag"] == "p") & inside(e))
+
     return F.array_join(
         F.concat(
             five(lambda e: e["tag"] == "h1"), five(lambda e: e["tag"] == "h2"), five(classed("hero")),
-            five(classed("banner")), five(in_header),
+            five(classed("banner")), let(headers, below_header),
         ),
         " ",
     )

@@ -13,6 +13,8 @@ FAMILIES = (
     "pages",
     "signals",
     "company",
+    "people",
+    "scoring",
 )
 
 for _name in FAMILIES:
