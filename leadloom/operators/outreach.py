@@ -144,7 +144,7 @@ def personalize(leads: DataFrame) -> DataFrame:
         F.when(mode == "hiring", fill(rules.VALUE_HIRING, roles=roles, company=company))
         .when(mode == "freelance", fill(rules.VALUE_FREELANCE, company=company))
         .when(c("is_flutter_lead"), fill(rules.VALUE_FLUTTER, company=company))
-        .otherwise(F.lit(rules.VALUE_MOBILE))
+        .otherwise(F.when(has_app, rules.VALUE_MOBILE).otherwise(rules.VALUE_GENERIC))
     )
     cta = (
         F.when((mode == "hiring") & name.isNotNull(), fill(rules.CTA_HIRING_NAMED, name=name, company=company))

@@ -29,6 +29,10 @@ VALUE_FLUTTER = (
 VALUE_MOBILE = (
     "I help teams ship or unify Flutter mobile apps so product engineering can stay focused on the core product."
 )
+VALUE_GENERIC = (
+    "I help early-stage teams build and ship Flutter mobile apps without adding another full-time engineer — your web "
+    "team can stay focused on the product."
+)
 CTA_HIRING_NAMED = "Would {name} be open to a quick note on how I fit the mobile role at {company}?"
 CTA_HIRING = "Open to a short intro about the mobile / Flutter opening at {company}?"
 CTA_FREELANCE_NAMED = "Would {name} be open to a 15-min chat about a scoped Flutter build for {company}?"
