@@ -14,7 +14,10 @@ from leadloom.rules import outreach as rules
 
 def source_statistics(leads: DataFrame, sources: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Per source: count, success, error. Sources without a row show zero; ``errors`` holds source, error."""
-    counts = leads.groupBy("source").agg(F.count("*").alias("count"), F.min("ts").alias("started"), F.max("ts").alias("finished")) if "ts" in leads.columns else leads.groupBy("source").agg(F.count("*").alias("count"))
+    measures = [F.count("*").alias("count")]
+    if "ts" in leads.columns:
+        measures += [F.min("ts").alias("started"), F.max("ts").alias("finished")]
+    counts = leads.groupBy("source").agg(*measures)
     out = sources.select("source").join(counts, "source", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     if errors is None:
         return out.withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})

@@ -22,7 +22,7 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequ
 
     The batch is reduced to one row per key first, so a repeated key cannot multiply rows.
     """
-    fresh = first_per_key(batch, keys, list(order) or [F.lit(0)]) if order else batch.dropDuplicates(list(keys))
+    fresh = first_per_key(batch, keys, list(order) or [c for c in batch.columns if c not in keys])
     values = [c for c in target.columns if c not in keys]
     old = target.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in values], F.lit(True).alias("_in_target"))
     new = fresh.select(

@@ -15,6 +15,7 @@ FAMILIES = (
     "company",
     "people",
     "scoring",
+    "outreach",
 )
 
 for _name in FAMILIES:
