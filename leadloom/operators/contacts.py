@@ -14,6 +14,7 @@ from leadloom.functions.people import (
     is_founder_role,
     is_valid_email,
     normalize_email,
+    normalize_person_name,
     normalize_role,
     rank_contact,
     role_in_text,

@@ -217,8 +217,6 @@ def qualification_features(
         if part is not None:
             clash = [c for c in part.columns if c in out.columns and c != "company_id"]
             out = out.join(part.drop(*clash), "company_id", "left")
-    optional = ("title", "profile_description", "career_pages", "jobs_pages", "contact_pages", "pricing_pages", "roles",
-                "job_text", "provider", "keywords", "intel_text", "discovered_at", "emails", "jobs_found", "tags", "linkedin_count")
     columns = set(out.columns)
 
     def get(name: str, default: str) -> Column:
@@ -250,7 +248,7 @@ def qualification_features(
             ),
         }
     )
-    return with_defaults(shaped.drop(*[c for c in optional if c in shaped.columns and c not in QUALIFICATION_DEFAULTS]), QUALIFICATION_DEFAULTS)
+    return with_defaults(shaped, QUALIFICATION_DEFAULTS)
 
 
 # --- opportunity -----------------------------------------------------------------------------

@@ -16,6 +16,8 @@ FAMILIES = (
     "people",
     "scoring",
     "outreach",
+    "streaming",
+    "runs",
 )
 
 for _name in FAMILIES:
@@ -23,4 +25,4 @@ for _name in FAMILIES:
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["u1_host_of"](spark, sf_dir)
+    return QUERIES["site_report"](spark, sf_dir)

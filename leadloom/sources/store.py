@@ -44,12 +44,20 @@ class VersionedTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
+    def _pointer(self) -> tuple[int, int]:
+        """(version, last applied batch); (0, -1) before the first write."""
         jvm, fs = self._filesystem()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         if not fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/_current").first()[0])
+            return 0, -1
+        version, batch = self.spark.read.text(f"{self.path}/CURRENT").first()[0].split(" ")
+        return int(version), int(batch)
+
+    def version(self) -> int:
+        return self._pointer()[0]
+
+    def applied_batch(self) -> int:
+        return self._pointer()[1]
 
     def read(self, schema: str | None = None) -> DataFrame:
         current = self.version()
@@ -59,23 +67,24 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.path}/v{current}")
 
-    def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
-        version = self.version() + 1
+    def write(self, df: DataFrame, partition_by: Sequence[str] = (), batch_id: int | None = None) -> int:
+        version, batch = self._pointer()
+        version += 1
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path}/v{version}")
-        self._point_at(version)
+        self._point_at(version, batch if batch_id is None else batch_id)
         return version
 
-    def _point_at(self, version: int) -> None:
+    def _point_at(self, version: int, batch: int) -> None:
         jvm, fs = self._filesystem()
         path = jvm.org.apache.hadoop.fs.Path
-        staged = path(f"{self.path}/_next")
+        staged = path(f"{self.path}/NEXT")
         stream = fs.create(staged, True)
-        stream.write(bytearray(str(version), "utf-8"))
+        stream.write(bytearray(f"{version} {batch}", "utf-8"))
         stream.close()
-        current = path(f"{self.path}/_current")
+        current = path(f"{self.path}/CURRENT")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             fs.getUri(), self.spark._jsc.hadoopConfiguration()
         )
