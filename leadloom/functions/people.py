@@ -115,19 +115,35 @@ def classify_emails(df: DataFrame, email_col: str = "email") -> DataFrame:
     )
 
 
+# A mailbox name starts a run of mailbox characters and takes all of it, because what must follow
+# is no mailbox character. Saying so spares the matcher every other start and length.
+_RUN = r"[a-zA-Z0-9._%+\-]+"
+
+
+def _whole_runs(pattern: str) -> str:
+    return pattern.replace(_RUN, r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++", 1)
+
+
+def find_emails(text: Column) -> Column:
+    """Address-like strings in reading order; texts without an at sign are not searched."""
+    t = text_or_empty(text)
+    return F.when(
+        F.contains(t, F.lit("@")), F.regexp_extract_all(t, F.lit(_whole_runs(EMAIL_PATTERN)), 0)
+    ).otherwise(words(()))
+
+
 def emails_from_text(text: Column, spelled_out: bool = True) -> Column:
     """Valid addresses in a text, plain or spelled out (``a [at] b [dot] c``): lower case, sorted, distinct."""
 
     def pick(t: Column) -> Column:
-        plain = F.regexp_extract_all(t, F.lit(EMAIL_PATTERN), 0)
         if not spelled_out:
-            return plain
-        names, hosts, ends = (F.regexp_extract_all(t, F.lit(rules.OBFUSCATED_EMAIL), g) for g in (1, 2, 3))
-        rebuilt = F.transform(
-            F.arrays_zip(names.alias("n"), hosts.alias("h"), ends.alias("e")),
-            lambda x: F.concat(x["n"], F.lit("@"), x["h"], F.lit("."), x["e"]),
-        )
-        return F.concat(plain, rebuilt)
+            return find_emails(t)
+        whole = F.when(
+            t.rlike(rules.AT_SIGN), F.regexp_extract_all(t, F.lit(_whole_runs(rules.OBFUSCATED_EMAIL)), 0)
+        ).otherwise(words(()))
+        part = lambda m, g: F.regexp_extract(m, rules.OBFUSCATED_EMAIL, g)
+        rebuilt = F.transform(whole, lambda m: F.concat(part(m, 1), F.lit("@"), part(m, 2), F.lit("."), part(m, 3)))
+        return F.concat(find_emails(t), rebuilt)
 
     lowered = F.array_distinct(F.transform(let(text_or_empty(text), pick), lambda e: normalize_email(e)))
     return F.array_sort(F.filter(lowered, lambda e: is_valid_email(e)))

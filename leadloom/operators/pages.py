@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as html_stage
+from leadloom.functions.people import find_emails
 from leadloom.functions.text import blank_to_null, contains_any, first_case, host_matches, squash, strip, text_or_empty
 from leadloom.functions.urls import (
     absolute_url,
@@ -172,7 +173,7 @@ def _scheme_values(scheme: str) -> Column:
 
 
 def emails_in(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text_or_empty(text), F.lit(web.EMAIL_PATTERN), 0))
+    return F.array_distinct(find_emails(text))
 
 
 def phones_in(text: Column) -> Column:

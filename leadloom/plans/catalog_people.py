@@ -317,7 +317,7 @@ SQL_INFERRED = f"""(select d.domain, r.rank, r.pattern, case when p.n is not nul
 
 
 def known_mails(spark, sf_dir):
-    docs = P.unnest(mail_documents(spark, sf_dir), F.regexp_extract_all(F.col("text"), F.lit(EMAIL_PATTERN), 0), "email", [])
+    docs = P.unnest(mail_documents(spark, sf_dir), N.find_emails(F.col("text")), "email", [])
     more = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").selectExpr(
         "case c_custkey % 4 when 0 then 'info' when 1 then 'j_doe' when 2 then 'jane' else 'x.y' || cast(c_custkey as string) end || '@n' || cast(c_nationkey as string) || '.io' as email"
     )

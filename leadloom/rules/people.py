@@ -100,6 +100,7 @@ OBFUSCATED_EMAIL = (
     r"(?i)([a-zA-Z0-9._%+\-]+)\s*(?:\[at\]|\(at\)|@| at )\s*([a-zA-Z0-9.\-]+)\s*"
     r"(?:\[dot\]|\(dot\)|\.| dot )\s*([a-zA-Z]{2,})"
 )
+AT_SIGN = r"(?i)@|\[at\]|\(at\)| at "
 PERSON_NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b"
 PERSON_LINKEDIN = r"(?i)https?://(?:www\.)?linkedin\.com/in/[a-zA-Z0-9\-_%]+/?"
 COMPANY_LINKEDIN = r"(?i)https?://(?:www\.)?linkedin\.com/company/[a-zA-Z0-9\-_%]+/?"
