@@ -33,6 +33,8 @@ ELEMENT_TYPE = pa.struct(
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("text", pa.string()),
         ("around", pa.string()),
+        ("first_piece", pa.int32()),
+        ("pieces", pa.int32()),
     ]
 )
 OBJECT_TYPE = pa.struct(
@@ -42,14 +44,14 @@ CANDIDATE_TYPE = pa.struct([("origin", pa.string()), ("script", pa.int32()), ("v
 
 PARSED_COLUMNS = [
     ("elements", pa.list_(ELEMENT_TYPE)),
-    ("page_text", pa.string()),
+    ("page_pieces", pa.list_(pa.string())),
     ("json_ld", pa.list_(OBJECT_TYPE)),
     ("json_ld_scripts", pa.list_(pa.string())),
     ("url_candidates", pa.list_(CANDIDATE_TYPE)),
 ]
 
-PARSED_DDL = """elements array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,text:string,around:string>>,
- page_text string, json_ld array<struct<script:int,top:boolean,kinds:array<string>,body:string>>,
+PARSED_DDL = """elements array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,text:string,around:string,
+ first_piece:int,pieces:int>>, page_pieces array<string>, json_ld array<struct<script:int,top:boolean,kinds:array<string>,body:string>>,
  json_ld_scripts array<string>, url_candidates array<struct<origin:string,script:int,value:string>>"""
 
 
@@ -166,7 +168,7 @@ def parse_page(html: str | None) -> dict[str, object]:
             continue
         text = " ".join(outline.strings[node.first_string : node.end_string])
         if node.tag in BOX_TAGS and not region and node.tag != "header" and len(text) > BOX_TEXT_LIMIT:
-            text = None  # no job reads boxes longer than this
+            text = None  # long boxes are read through their range of page pieces
         around = None
         if node.tag == "a" and node.parent >= 0:
             parent = outline.nodes[node.parent]
@@ -179,6 +181,8 @@ def parse_page(html: str | None) -> dict[str, object]:
                 "attrs": list(node.attrs.items()),
                 "text": text,
                 "around": around,
+                "first_piece": node.first_string,
+                "pieces": node.end_string - node.first_string,
             }
         )
     objects: list[dict] = []
@@ -199,7 +203,7 @@ def parse_page(html: str | None) -> dict[str, object]:
         _candidates(value, "json_ld" if is_ld else "next_data", number, candidates)
     return {
         "elements": elements,
-        "page_text": " ".join(outline.strings),
+        "page_pieces": outline.strings,
         "json_ld": objects,
         "json_ld_scripts": texts,
         "url_candidates": candidates,
@@ -219,3 +223,11 @@ def parse_batches(batches: Iterator[pa.RecordBatch], chunk: int = 64) -> Iterato
                 arrays.append(pa.array([r[name] for r in rows], type=kind))
                 names.append(name)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+class HtmlElements:
+    """Table function body: one row per element of a page."""
+
+    def eval(self, html: str):
+        for e in parse_page(html)["elements"]:
+            yield e["pos"], e["tag"], e["text"]

@@ -23,7 +23,7 @@ from leadloom.functions.people import (
 from leadloom.functions.text import blank_to_null, contains_any, let, squash, strip, text_or_empty, title_case
 from leadloom.functions.urls import netloc, resolve_url
 from leadloom.operators.ordering import first_per_key, first_value, top_per_key
-from leadloom.operators.pages import attr, elements, text_blocks
+from leadloom.operators.pages import attr, elements, text_blocks, whole_text
 from leadloom.operators.rows import unnest
 from leadloom.rules import people as rules
 from leadloom.session import cut_lineage
@@ -460,10 +460,10 @@ def founder_page_facts(first: Column, full_name: Column, base: Column) -> Column
     pattern = r"(?i)\b(" + "|".join(rules.FOUNDER_PLACES) + r")\b"
     near = elements(
         lambda e: e["tag"].isin("p", "div", "li", "span")
-        & F.contains(F.lower(text_or_empty(e["text"])), name_first)
-        & text_or_empty(e["text"]).rlike(pattern)
+        & F.contains(F.lower(whole_text(e)), name_first)
+        & whole_text(e).rlike(pattern)
     )
-    place = title_case(F.regexp_extract(F.get(near, F.lit(0))["text"], pattern, 0))
+    place = title_case(blank_to_null(F.regexp_extract(whole_text(F.get(near, F.lit(0))), pattern, 0)))
     return F.struct(
         F.substring(bio, 1, 500).alias("bio"),
         F.when(avatar.isNotNull(), resolve_url(source(avatar), base)).alias("avatar_url"),
@@ -488,10 +488,10 @@ def enrich_founders(
         named = named.join(single_social(socials), "company_id", "left").withColumns(
             {k: F.coalesce(k, f"only_{k}") for k in ("linkedin", "github", "twitter")}
         ).drop("only_linkedin", "only_github", "only_twitter")
-    joined = named.join(homepages.select("company_id", F.col("url").alias("_url"), "elements"), "company_id", "left")
+    joined = named.join(homepages.select("company_id", F.col("url").alias("_url"), "elements", "page_pieces"), "company_id", "left")
     facts = joined.withColumn(
         "_facts", founder_page_facts(F.col("first_name"), F.col("full_name"), F.col("_url"))
-    ).drop("elements", "_url")
+    ).drop("elements", "page_pieces", "_url")
     out = facts.select(*[c for c in facts.columns if c != "_facts"], "_facts.*")
     if keywords is not None:
         pattern = r"(?i)\b(" + "|".join(rules.FOUNDER_PLACES) + r")\b"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import (
@@ -20,7 +20,7 @@ from leadloom.functions.text import (
 )
 from leadloom.functions.urls import normalize_job_url, resolve_url
 from leadloom.operators.ordering import first_per_key, first_value, top_per_key
-from leadloom.operators.pages import attr, elements, text_blocks, url_key
+from leadloom.operators.pages import attr, elements, text_blocks
 from leadloom.operators.rows import unnest
 from leadloom.rules import hiring as rules
 
@@ -354,17 +354,19 @@ def hiring_report(
     ).drop("job_provider", "best_percent")
 
 
-def listed_jobs(jobs: DataFrame, keys: Sequence[str] = ("company_id",), limit: int | None = None) -> DataFrame:
-    """Openings with their place in the company's list: surest first, then by title."""
-    order = [F.desc("percent"), F.lower(F.col("title")), F.col("pos")]
-    if limit is not None:
-        return top_per_key(jobs, keys, order, limit, "job_rank")
-    return jobs.withColumn("job_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def job_order() -> list[Column]:
+    """Order of a company's openings: surest first, then by title."""
+    return [F.desc("percent"), F.lower(F.col("title")), F.col("pos")]
+
+
+def listed_jobs(jobs: DataFrame, limit: int, keys: Sequence[str] = ("company_id",)) -> DataFrame:
+    """First ``limit`` openings of each company's list with their place in it."""
+    return top_per_key(jobs, keys, job_order(), limit, "job_rank")
 
 
 def hiring_summary(reports: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("company_id",), limit: int = 3) -> DataFrame:
     """Up to ``limit`` titles joined by ``; ``, else count phrases."""
-    named = listed_jobs(jobs.filter(strip(text_or_empty(F.col("title"))) != ""), keys, limit)
+    named = listed_jobs(jobs.filter(strip(text_or_empty(F.col("title"))) != ""), limit, keys)
     titles = named.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("job_rank", strip(F.col("title")).alias("t")))).alias("titles")
     )
@@ -381,14 +383,3 @@ def hiring_summary(reports: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("
     )
     text = F.array_join(F.transform("titles", lambda t: t["t"]), "; ")
     return joined.withColumn("hiring_summary", F.coalesce(text, phrase)).drop("titles")
-
-
-def careers_link(url: Column) -> Column:
-    """Links worth reading for openings."""
-    from leadloom.rules.web import HIRING_LINK_TOKENS
-
-    return ats_provider(url).isNotNull() | contains_any(F.lower(url), HIRING_LINK_TOKENS)
-
-
-def same_page(a: Column, b: Column) -> Column:
-    return url_key(a) == url_key(b)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as html_stage
@@ -43,9 +43,16 @@ def parse_pages(pages: DataFrame, keep_html: bool = False) -> DataFrame:
         pages = pages.withColumn("html_text", F.col("html"))
     kept = [f for f in pages.schema.fields if f.name != "html"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return pages.select(*[f.name for f in kept], "html").mapInArrow(
+    parsed = pages.select(*[f.name for f in kept], "html").mapInArrow(
         html_stage.parse_batches, f"{ddl}, {html_stage.PARSED_DDL}" if ddl else html_stage.PARSED_DDL
     )
+    return parsed.withColumn("page_text", F.array_join("page_pieces", " "))
+
+
+def whole_text(e: Column) -> Column:
+    """Text of an element, long boxes included (needs ``page_pieces`` in the row)."""
+    piecewise = F.array_join(F.slice(F.col("page_pieces"), e["first_piece"] + 1, e["pieces"]), " ")
+    return F.coalesce(e["text"], piecewise)
 
 
 def page_elements(parsed: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -53,6 +60,11 @@ def page_elements(parsed: DataFrame, keys: Sequence[str] = ("page_id",)) -> Data
     return unnest(parsed, "elements", "e", keys).select(*keys, "e.*")
 
 
+def register_html_function(spark: SparkSession, name: str = "html_elements") -> None:
+    """Makes the page pass usable in SQL: ``select … from pages, lateral html_elements(html)``."""
+    spark.udtf.register(name, F.udtf(html_stage.HtmlElements, returnType="pos int, tag string, text string"))
+
+
 def elements(condition) -> Column:
     return F.filter(F.col("elements"), condition)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.functions.people import domain_part, is_outbound_safe
 from leadloom.functions.text import blank_to_null, strip, text_or_empty, words
 from leadloom.functions.urls import canonical_website
-from leadloom.operators.ordering import first_per_key
+from leadloom.operators.ordering import first_per_key, join_sparse
 from leadloom.operators.outreach import compose_body, scrub_text
 from leadloom.operators.rows import unnest
 from leadloom.rules import outreach as rules
@@ -77,7 +77,7 @@ def known_recipients(rows: DataFrame, queue: DataFrame, email: str = "recipient_
         .withColumn("_known", F.lit(True))
     )
     keyed = rows.withColumn("_mail", F.lower(F.trim(F.col(email))))
-    return keyed.join(active, "_mail", "left").withColumn("recipient_known", F.coalesce("_known", F.lit(False))).drop("_known", "_mail")
+    return join_sparse(keyed, active, ["_mail"]).withColumn("recipient_known", F.coalesce("_known", F.lit(False))).drop("_known", "_mail")
 
 
 def reserved_domain(email: Column) -> Column:
@@ -113,7 +113,7 @@ def queue_gate(rows: DataFrame, order: str = "company_id") -> DataFrame:
         .groupBy("_mail")
         .agg(F.min(order).alias("_first"))
     )
-    joined = checked.join(winners, "_mail", "left")
+    joined = join_sparse(checked, winners, ["_mail"])
     late = F.col("_first").isNotNull() & (F.col(order) > F.col("_first"))
     outcome = F.coalesce(
         F.col("_before"), F.when(late, "duplicate_recipient"), F.col("_after"), F.lit("queued")

@@ -20,7 +20,8 @@ from leadloom.functions.urls import (
     is_usable_website,
     site_path,
 )
-from leadloom.operators.ordering import first_per_key, first_value
+from leadloom.operators.ordering import first_per_key
+from leadloom.operators.rows import unnest
 from leadloom.rules import scoring as rules
 from leadloom.rules.scoring import ScoreConfig, ScoreRule
 from leadloom.sources.normalize import moment
@@ -85,6 +86,18 @@ def score_signals(features: DataFrame, config: ScoreConfig, prefix: str = "") ->
     return scored
 
 
+def fired_rows(features: DataFrame, config: ScoreConfig, key: str = "company_id") -> DataFrame:
+    """Long form: one row per company and fired rule (key, name, points)."""
+    rows = unnest(features, fired_rules(config), "r", [key])
+    return rows.select(key, "r.name", "r.points")
+
+
+def total_points(rows: DataFrame, key: str = "company_id", minimum: int = 0, maximum: int = 100) -> DataFrame:
+    """Clamped sum of rule points per key, whatever job wrote the rows."""
+    total = F.coalesce(F.sum("points"), F.lit(0))
+    return rows.groupBy(key).agg(F.greatest(F.lit(minimum), F.least(F.lit(maximum), total)).cast("int").alias("score"))
+
+
 def with_weights(config: ScoreConfig, weights: Mapping[str, int]) -> ScoreConfig:
     """The same rules with other points."""
     return replace(config, rules=tuple(replace(r, points=weights.get(r.name, r.points)) for r in config.rules))
@@ -511,5 +524,4 @@ def valid_email_flags(contacts: DataFrame) -> DataFrame:
     return contacts.groupBy("company_id").agg(
         F.bool_or(text_or_empty(F.col("full_name")) != "").alias("has_named_contact"),
         F.bool_or(is_valid_email(F.col("email"))).alias("has_valid_email"),
-        first_value(F.col("full_name"), F.col("contact_score")).alias("any_name"),
-    ).drop("any_name")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import blank_to_null, strip, text_or_empty
 from leadloom.functions.urls import canonical_website
-from leadloom.operators.ordering import first_per_key
+from leadloom.operators.ordering import first_per_key, join_sparse
 
 # Tag prefixes and sortable company columns.
 TECH_TAG = "tech:"
@@ -68,7 +68,7 @@ def match_ladder(target: DataFrame, batch: DataFrame, ladder: Sequence[Sequence[
         for test in complete:
             usable = usable.filter(test)
         rung = usable.groupBy(*keys).agg(F.min(id_col).alias(f"_m{i}"))
-        out = out.join(rung, list(keys), "left")
+        out = join_sparse(out, rung, list(keys))
         found.append(F.col(f"_m{i}"))
     return out.withColumn("matched_id", F.coalesce(*found)).drop(*[f"_m{i}" for i in range(len(ladder))])
 

@@ -311,3 +311,14 @@ def profiles(spark, sf_dir):
         "page_id", "title", "language", F.size("internal_links").alias("n_internal"), F.size("external_links").alias("n_external"),
         F.array_join("emails", ",").alias("emails"), F.array_join("play_store_links", ",").alias("play"),
     )
+
+
+@query(
+    "z6_html_table_function",
+    "select page_id, 'a' as tag, cast(len(regexp_extract_all(html, '<a ')) as bigint) as n from pages",
+)
+def z6(spark, sf_dir):
+    P.register_html_function(spark)
+    pages = table(spark, sf_dir, "pages")
+    rows = spark.sql("select page_id, e.tag from {pages} p, lateral html_elements(p.html) e where e.tag = 'a'", pages=pages)
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))

@@ -301,3 +301,12 @@ def q_founders(spark, sf_dir):
     from leadloom.plans.inputs import contact_rows
 
     return Q.founder_flags(C.with_optional(contact_rows(spark, sf_dir), ("email",))).select("company_id", "has_founder_contact")
+
+
+@query(
+    "z5_total_points",
+    f"""select company_id, cast(greatest(0, case when jobs_found > 10 then 30 else 0 end - case when has_mobile_app then 20 else 0 end + case when has_email then 60 else 0 end) as int) as score from {SQL_FEATURES}
+    where jobs_found > 10 or has_mobile_app or has_email or is_generic""",
+)
+def z5(spark, sf_dir):
+    return Q.total_points(Q.fired_rows(company_features(spark, sf_dir), _POINTS))

@@ -103,7 +103,7 @@ def enrich(leads: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
         )
     ]
     more = cut_lineage(P.parse_pages(extra[0].unionByName(extra[1]).unionByName(extra[2])))
-    base = ["company_id", "url", "page_rank", "elements", "page_text", "json_ld", "json_ld_scripts"]
+    base = ["company_id", "url", "page_rank", "elements", "page_text", "page_pieces", "json_ld", "json_ld_scripts"]
     pages_for = lambda use: home.select(*base).unionByName(more.filter(F.col("use") == use).select(*base))
 
     contacts = cut_lineage(C.split_contacts(C.merge_contacts(C.contact_candidates(pages_for("contact")))))
@@ -174,7 +174,7 @@ def score(leads: DataFrame, reports: Mapping[str, DataFrame], as_of: str) -> Dat
         "product_type", "target_audience", "founded_year",
     )
     founders = reports["founder_report"].select("company_id", "founders_found")
-    titles = H.listed_jobs(reports["jobs"], limit=20).groupBy("company_id").agg(
+    titles = H.listed_jobs(reports["jobs"], 20).groupBy("company_id").agg(
         F.concat_ws(" ", F.array_sort(F.collect_list("title"))).alias("job_text")
     )
     joined = Q.qualification_features(

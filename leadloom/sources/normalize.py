@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.naming import geo_score, show_title
 from leadloom.functions.text import blank_to_null, strip, text_or_empty
-from leadloom.operators.rows import with_checked
 from leadloom.functions.urls import (
     is_external_company_url,
     is_launch_host,
@@ -17,6 +16,9 @@ from leadloom.functions.urls import (
     pick_company_website,
     strip_tracking,
 )
+from leadloom.operators.rows import with_checked
+from leadloom.schemas import LEAD
+from leadloom.sources import feeds
 
 # Forums whose posts always count as local, and their floor score.
 LOCAL_FORUMS = ("indianstartups", "developersindia")
@@ -240,3 +242,33 @@ def register_source(name: str) -> Callable[[SourceReader], SourceReader]:
         return reader
 
     return add
+
+
+def source_leads(spark: SparkSession, name: str, path: str, as_of: Column | str, **options: object) -> DataFrame:
+    """Leads of a registered source out of its landing folder."""
+    return SOURCES[name.strip().lower()](spark, path, as_of, **options)
+
+
+@register_source("producthunt")
+def _product_launches(spark: SparkSession, path: str, as_of: Column | str, resolved: DataFrame | None = None) -> DataFrame:
+    answers = resolved if resolved is not None else spark.createDataFrame([], "redirect string, website string")
+    return normalize_product_launches(feeds.flatten_product_launches(feeds.read_landing(spark, path)), answers, as_of)
+
+
+def _register(name: str, flatten: Callable[[DataFrame], DataFrame], normalize: Callable[..., DataFrame]) -> None:
+    @register_source(name)
+    def read(spark: SparkSession, path: str, as_of: Column | str) -> DataFrame:
+        return normalize(flatten(feeds.read_landing(spark, path)), as_of)
+
+
+_register("hackernews", feeds.flatten_stories, normalize_stories)
+_register("ycombinator", feeds.flatten_accelerator, normalize_accelerator)
+_register("github", feeds.flatten_repositories, normalize_repositories)
+_register("reddit", feeds.flatten_posts, normalize_posts)
+_register("rss", feeds.flatten_feeds, lambda items, as_of: normalize_feed_items(items, as_of, "rss"))
+_register("googlenews", feeds.flatten_feeds, lambda items, as_of: normalize_feed_items(items, as_of, "googlenews"))
+
+
+def placeholder_source(spark: SparkSession, path: str, as_of: Column | str) -> DataFrame:
+    """A planned source: no leads yet, the common columns."""
+    return spark.createDataFrame([], LEAD).drop("source_rank")

@@ -63,6 +63,14 @@ def test_registry():
         return None
 
     assert normalize.SOURCES["extra"] is reader
+    names = ["producthunt", "hackernews", "ycombinator", "github", "reddit", "rss", "googlenews"]
+    assert [n for n in normalize.SOURCES if n in names] == names
+
+
+def test_registered_source_reads_its_folder(spark, tmp_path):
+    land(tmp_path, 0, 0, "i", json.dumps({"hits": [story(1)]}))
+    assert [r["website"] for r in normalize.source_leads(spark, "HackerNews", str(tmp_path), AS_OF).collect()] == ["https://n1.com"]
+    assert normalize.placeholder_source(spark, "", AS_OF).count() == 0
 
 
 def test_stream_keeps_first_identity(spark, tmp_path):
