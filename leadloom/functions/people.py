@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.functions.text import (
     blank_to_null,
     found,
+    is_in,
     let,
     lookup,
     squash,
@@ -22,10 +23,6 @@ from leadloom.rules import people as rules
 from leadloom.rules.web import EMAIL_PATTERN
 
 
-def _in(value: Column, table: Sequence[str]) -> Column:
-    return value.isin(*table)
-
-
 def normalize_email(email: Column) -> Column:
     return F.lower(strip(email))
 
@@ -56,12 +53,12 @@ def is_valid_email(
             labels = F.filter(F.split(x["domain"], r"\."), lambda p: p != "")
             inner = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))
             return ~(
-                _in(x["domain"], fake_domains)
+                is_in(x["domain"], fake_domains)
                 | F.contains(x["domain"], F.lit("localhost"))
-                | _in(x["local"], rejected)
+                | is_in(x["local"], rejected)
                 | x["local"].rlike("^(noreply|no-reply|donotreply)|privacy")
                 | (F.size(labels) < 2)
-                | F.coalesce(_in(F.try_element_at(labels, F.lit(-1)), bad_tlds), F.lit(True))
+                | F.coalesce(is_in(F.try_element_at(labels, F.lit(-1)), bad_tlds), F.lit(True))
                 | F.arrays_overlap(inner, words(fake_labels))
                 | F.contains(x["domain"], F.lit("cloudflare"))
             )
@@ -78,13 +75,13 @@ def is_valid_email(
 
 
 def is_hiring_inbox(email: Column) -> Column:
-    return F.contains(text_or_empty(email), F.lit("@")) & _in(local_part(text_or_empty(email)), rules.HIRING_MAILBOXES)
+    return F.contains(text_or_empty(email), F.lit("@")) & is_in(local_part(text_or_empty(email)), rules.HIRING_MAILBOXES)
 
 
 def is_generic_inbox(email: Column) -> Column:
     """Shared mailbox, hiring mailboxes included."""
     table = tuple(dict.fromkeys(rules.SKIP_MAILBOXES + rules.HIRING_MAILBOXES))
-    return F.contains(text_or_empty(email), F.lit("@")) & _in(local_part(text_or_empty(email)), table)
+    return F.contains(text_or_empty(email), F.lit("@")) & is_in(local_part(text_or_empty(email)), table)
 
 
 def inbox_class(email: Column) -> Column:
@@ -99,7 +96,7 @@ def is_outbound_safe(email: Column, allow_hiring: Column | bool = False) -> Colu
 def is_business_email(email: Column) -> Column:
     """Has an at sign and is no free-mail address."""
     e = text_or_empty(email)
-    return F.contains(e, F.lit("@")) & ~_in(domain_part(e), rules.FREE_MAIL_DOMAINS)
+    return F.contains(e, F.lit("@")) & ~is_in(domain_part(e), rules.FREE_MAIL_DOMAINS)
 
 
 def classify_emails(df: DataFrame, email_col: str = "email") -> DataFrame:
@@ -158,8 +155,8 @@ def is_fake_name(name: Column) -> Column:
             junk = F.size(F.filter(tokens, lambda t: F.array_contains(words(rules.NON_PERSON_TOKENS), t)))
             return (
                 (n == 0)
-                | _in(cleaned, tuple(dict.fromkeys(rules.FAKE_LABELS + rules.SINGLE_REJECTS)))
-                | _in(F.get(tokens, F.lit(0)), rules.GREETINGS)
+                | is_in(cleaned, tuple(dict.fromkeys(rules.FAKE_LABELS + rules.SINGLE_REJECTS)))
+                | is_in(F.get(tokens, F.lit(0)), rules.GREETINGS)
                 | F.arrays_overlap(tokens, words(rules.NAV_TOKENS + rules.CONNECTIVES))
                 | F.forall(tokens, lambda t: F.array_contains(words(rules.SINGLE_REJECTS), t))
                 | (junk == n)
@@ -232,7 +229,7 @@ def is_founder_role(role: Column) -> Column:
 
 
 def is_decision_role(role: Column) -> Column:
-    return _in(F.lower(strip(text_or_empty(role))), rules.DECISION_ROLES)
+    return is_in(F.lower(strip(text_or_empty(role))), rules.DECISION_ROLES)
 
 
 def classify_people(df: DataFrame, name_col: str = "full_name", role_col: str = "role") -> DataFrame:
@@ -261,7 +258,7 @@ def rank_contact(email: Column, role: Column, linkedin: Column, github: Column,
         lookup(role_key, {r.lower(): s for r, s, _ in rules.ROLE_SCORES}).alias("role_score"),
         lookup(role_key, {r.lower(): p for r, _, p in rules.ROLE_SCORES}).alias("role_priority"),
         F.when(has_email, lookup(local, rules.MAILBOX_SCORES)).alias("box_score"),
-        F.when(_in(local, rules.HIGH_VALUE_MAILBOXES), 3).when(_in(local, rules.SHARED_MAILBOXES), 10).otherwise(99).alias("box_priority"),
+        F.when(is_in(local, rules.HIGH_VALUE_MAILBOXES), 3).when(is_in(local, rules.SHARED_MAILBOXES), 10).otherwise(99).alias("box_priority"),
         has_email.alias("email"),
         has_name.alias("name"),
         has_social.alias("social"),

@@ -58,6 +58,11 @@ def words(needles: Sequence[str]) -> Column:
     return F.expr("array(" + ", ".join(sql_string(n) for n in needles) + ")")
 
 
+def is_in(c: Column, table: Sequence[str]) -> Column:
+    """Membership in a constant list; one plan literal however long the list is."""
+    return F.array_contains(words(table), c)
+
+
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
     return let(c, lambda text: F.exists(words(needles), lambda n: F.contains(text, n)))
 
@@ -82,8 +87,9 @@ def first_case(pairs: Sequence[tuple[Column, Column | str]], default: Column | N
 
 def lookup(c: Column, table: Mapping[str, object]) -> Column:
     """Constant dictionary lookup; null when the key is missing."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), c)
+    show = lambda v: sql_string(v) if isinstance(v, str) else str(v)
+    pairs = ", ".join(f"{show(k)}, {show(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), c)
 
 
 def host_matches(host: Column, suffixes: Sequence[str]) -> Column:

@@ -20,7 +20,7 @@ from leadloom.functions.people import (
     role_in_text,
     role_near,
 )
-from leadloom.functions.text import blank_to_null, contains_any, let, squash, strip, text_or_empty, title_case
+from leadloom.functions.text import blank_to_null, contains_any, is_in, let, squash, strip, text_or_empty, title_case
 from leadloom.functions.urls import netloc, resolve_url
 from leadloom.operators.ordering import first_per_key, first_value, top_per_key
 from leadloom.operators.pages import attr, elements, text_blocks, whole_text
@@ -40,7 +40,7 @@ def github_profiles(text: Column) -> Column:
     )
     user = lambda u: F.lower(F.regexp_extract(u, r"(?i)github\.com/([^/]*)$", 1))
     return F.array_sort(
-        F.array_distinct(F.filter(hits, lambda u: ~user(u).isin(*rules.GITHUB_PAGES) & (user(u) != "")))
+        F.array_distinct(F.filter(hits, lambda u: ~is_in(user(u), rules.GITHUB_PAGES) & (user(u) != "")))
     )
 
 
@@ -75,7 +75,7 @@ def _best_email(emails: Column, full_name: Column) -> Column:
     """Only one: that; else a person mailbox, one that starts like the name first."""
 
     def pick(x: Column) -> Column:
-        personal = F.filter(x["e"], lambda e: ~F.regexp_extract(e, "^([^@]*)", 1).isin(*rules.SHARED_MAILBOXES))
+        personal = F.filter(x["e"], lambda e: ~is_in(F.regexp_extract(e, "^([^@]*)", 1), rules.SHARED_MAILBOXES))
         pool = F.when(F.size(personal) > 0, personal).otherwise(x["e"])
         first = F.lower(F.regexp_extract(x["n"], r"^(\S+)", 1))
         prefix = F.substr(first, F.lit(1), F.greatest(F.lit(3), F.least(F.length(first), F.lit(4))))
@@ -167,7 +167,7 @@ def people_from_emails(emails: Column) -> Column:
     local = lambda e: F.regexp_extract(e, "^([^@]*)", 1)
     return F.transform(
         F.filter(emails, lambda e: is_valid_email(e)),
-        lambda e, i: _person(2, "email", pos=i, email=e, role=F.when(local(e).isin(*rules.ROLE_MAILBOXES), local(e))),
+        lambda e, i: _person(2, "email", pos=i, email=e, role=F.when(is_in(local(e), rules.ROLE_MAILBOXES), local(e))),
     )
 
 
@@ -312,12 +312,12 @@ def split_contacts(contacts: DataFrame) -> DataFrame:
     """Adds contact_class: decision, generic or other."""
     c = F.col
     local = F.lower(F.regexp_extract(text_or_empty(c("email")), "^([^@]*)", 1))
-    decision = is_decision_role(c("role")) | (c("email").isNotNull() & local.isin(*rules.DECISION_MAILBOXES))
+    decision = is_decision_role(c("role")) | (c("email").isNotNull() & is_in(local, rules.DECISION_MAILBOXES))
     role = F.lower(text_or_empty(c("role")))
     real_name = (text_or_empty(c("full_name")) != "") & ~is_fake_name(c("full_name"))
-    real_role = real_name & (role != "") & ~role.isin(*rules.SHARED_MAILBOXES)
+    real_role = real_name & (role != "") & ~is_in(role, rules.SHARED_MAILBOXES)
     generic = F.when(real_role, False).when(c("email").isNull(), c("full_name").isNull()).otherwise(
-        local.isin(*rules.SHARED_MAILBOXES)
+        is_in(local, rules.SHARED_MAILBOXES)
     )
     return contacts.withColumn(
         "contact_class", F.when(decision, "decision").when(generic, "generic").otherwise("other")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import contains_any, found, let
+from leadloom.functions.text import contains_any, found, is_in, let
 from leadloom.operators.rows import unnest
 from leadloom.rules.technology import (
     APP_PHRASES,
@@ -94,9 +94,9 @@ def mobile_signs(html: Column, blob: Column, links: Column) -> Column:
     ).otherwise(_none())
     plain = list(PLAIN_SCHEMES) + ["intent"]
     scheme = lambda u: F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
-    deep_links = F.filter(links, lambda u: (scheme(u) != "") & ~scheme(u).isin(*plain))
+    deep_links = F.filter(links, lambda u: (scheme(u) != "") & ~is_in(scheme(u), plain))
     stated = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)\b([a-z][a-z0-9+\-.]*)://"), 0))
-    deep_text = F.filter(stated, lambda v: ~scheme(v).isin(*plain))
+    deep_text = F.filter(stated, lambda v: ~is_in(scheme(v), plain))
 
     def deep(pair: Column) -> Column:
         fresh = F.array_except(pair["text"], pair["links"])
