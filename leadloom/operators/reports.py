@@ -95,12 +95,15 @@ def run_summary_text(statistics: DataFrame) -> DataFrame:
 def stage_timings(stages: DataFrame, key: str = "company_id") -> DataFrame:
     """Per item the duration map of its stages, error list and success. Stages per item are few and fixed.
 
-    Input: key, stage, duration_ms, error. A repeated stage counts with its last value.
+    Input: key, stage, pos, duration_ms, error (blank or null when it went well). A repeated stage
+    counts with its last value.
     """
-    last = stages.groupBy(key, "stage").agg(F.max_by("duration_ms", "pos").alias("duration_ms"), F.max_by("error", "pos").alias("error"))
+    last = stages.groupBy(key, "stage").agg(F.max_by("duration_ms", "pos").alias("duration_ms"), F.max_by(text_or_empty(F.col("error")), F.col("pos")).alias("error"))
     return last.groupBy(key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "duration_ms")))).alias("durations"),
-        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.concat("stage", F.lit(": "), "error")))).alias("errors"),
+        F.array_sort(
+            F.collect_list(F.when(text_or_empty(F.col("error")) != "", F.concat("stage", F.lit(": "), "error")))
+        ).alias("errors"),
         F.sum("duration_ms").alias("total_ms"),
     ).withColumn("success", F.size("errors") == 0)
 

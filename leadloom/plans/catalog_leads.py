@@ -228,9 +228,7 @@ def n1(spark, sf_dir):
 @query(
     "n2_normalize_stories",
     f"""select 'Name' || k as name, 'https://h' || k || '.in/a' as website, seg || ' tool' as description, 'show_hn,india' as tags,
-    '2025-07-01 10:00:00' as found, cast(60 as int) as score from {SQL_FIRST.replace('select *, row_number', "select *, row_number")} where k % 4 <> 0""".replace(
-        "seg || ' tool'", "(select c_mktsegment from customer c where c.c_custkey = req) || ' tool'"
-    ),
+    '2025-07-01 10:00:00' as found, cast(60 as int) as score from {SQL_FIRST} where k % 4 <> 0""",
 )
 def n2(spark, sf_dir):
     return _out(normalize.normalize_stories(_stories(spark, sf_dir), AS_OF))
@@ -271,7 +269,7 @@ def n2_split(spark, sf_dir):
 @query(
     "n3_normalize_accelerator",
     f"""select 'Co ' || k as name, 'https://www.y' || k || '.com' as website, case when k % 2 = 0 then 'Long text' else 'One' end as description,
-    (select c_mktsegment from customer c where c.c_custkey = req) || ',B2B' || case when k % 4 = 0 then ',india' else '' end as tags,
+    seg || ',B2B' || case when k % 4 = 0 then ',india' else '' end as tags,
     strftime(make_timestamp((1700000000 + k) * 1000000), '%Y-%m-%d %H:%M:%S') as found, cast(case when k % 4 = 0 then 50 else 0 end as int) as score from {SQL_YC}""",
 )
 def n3(spark, sf_dir):

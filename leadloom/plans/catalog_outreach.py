@@ -370,24 +370,22 @@ def _ladder(spark, sf_dir):
     return D.upsert_ladder(target, batch, [["email"], ["company_id", "full_name"]], "full_name")
 
 
-@query(
-    "d2_upsert_ladder",
-    """with t as (select c_custkey as id, case when c_custkey % 2 = 0 then 'e' || c_custkey || '@x.io' end as email, c_nationkey as company_id, c_name as full_name from customer where c_custkey % 3 <> 0),
+SQL_LADDER = """(with t as (select c_custkey as id, case when c_custkey % 2 = 0 then 'e' || c_custkey || '@x.io' end as email, c_nationkey as company_id, c_name as full_name from customer where c_custkey % 3 <> 0),
     b as (select c_custkey as pos, case when c_custkey % 4 = 0 then 'e' || c_custkey || '@x.io' when c_custkey % 4 = 1 then 'new' || c_custkey % 40 || '@x.io' end as email, c_nationkey as company_id, case when c_custkey % 7 = 0 then '' when c_custkey % 4 = 1 then 'N' || c_custkey % 40 else c_name end as full_name from customer),
     m as (select b.*, coalesce(t1.id, t2.id) as matched_id from b left join t t1 on t1.email = b.email left join t t2 on t2.company_id = b.company_id and t2.full_name = b.full_name),
     k as (select *, coalesce('id' || matched_id, 'e' || email, 'n' || company_id || full_name) as ident from m), l as (select ident, max(pos) as last from k where full_name <> '' group by 1)
-    select pos, matched_id, case when full_name = '' then 'skipped' when pos < last then 'duplicate' when matched_id is null then 'created' else 'updated' end as action from k left join l using (ident)""",
-)
+    select pos, matched_id, case when full_name = '' then 'skipped' when pos < last then 'duplicate' when matched_id is null then 'created' else 'updated' end as action from k left join l using (ident))"""
+
+
+@query("d2_upsert_ladder", f"select * from {SQL_LADDER}")
 def d2(spark, sf_dir):
     return _ladder(spark, sf_dir).select("pos", "matched_id", "action")
 
 
 @query(
     "d3_merge_tags",
-    """select c_custkey, case when c_custkey % 3 = 0 then 'BUILDING,x,email_pattern:old,tech:React' when c_custkey % 3 = 1 then c_mktsegment || case when c_custkey % 2 = 0 then ',email_pattern:old' else '' end || ',tech:React' else c_mktsegment || ',tech:React' end as raw,
-    case c_custkey % 3 when 0 then case when c_mktsegment = 'BUILDING' then 'BUILDING,x,tech:React' else c_mktsegment || ',BUILDING,x,tech:React' end || ',email_pattern:first@' || c_nationkey when 1 then c_mktsegment || ',tech:React,email_pattern:first@' || c_nationkey else c_mktsegment || ',tech:React,email_pattern:first@' || c_nationkey end as tags from customer""".replace(
-        """case when c_custkey % 3 = 0 then 'BUILDING,x,email_pattern:old,tech:React' when c_custkey % 3 = 1 then c_mktsegment || case when c_custkey % 2 = 0 then ',email_pattern:old' else '' end || ',tech:React' else c_mktsegment || ',tech:React' end as raw,
-    """, ""),
+    """select c_custkey, case when c_custkey % 3 = 0 and c_mktsegment = 'BUILDING' then 'BUILDING,x' when c_custkey % 3 = 0 then c_mktsegment || ',BUILDING,x' else c_mktsegment end
+    || ',tech:React,email_pattern:first@' || c_nationkey as tags from customer""",
 )
 def d3(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").selectExpr(
@@ -554,11 +552,11 @@ def r6(spark, sf_dir):
 )
 def r6_map(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr(
-        "user_id as company_id", "event_type as stage", "value as duration_ms", "case when event_id % 10 = 0 then 'x' end as error", "event_id as pos"
+        "user_id as company_id", "event_type as stage", "value as duration_ms", "event_id as pos",
+        "case when event_id % 10 = 0 then 'x' else '' end as error",
     )
-    out = R.stage_timings(rows.withColumn("error", F.coalesce("error", F.lit(""))).withColumn("error", F.col("error")))
-    fixed = out.withColumn("errors", F.filter("errors", lambda e: ~e.endswith(": "))).withColumn("success", F.size("errors") == 0)
-    return fixed.select("company_id", F.size("durations").alias("stages"), "success", F.round("total_ms", 4).alias("total_ms"))
+    out = R.stage_timings(rows)
+    return out.select("company_id", F.size("durations").alias("stages"), "success", F.round("total_ms", 4).alias("total_ms"))
 
 
 def _validation(spark, sf_dir):
@@ -607,24 +605,11 @@ def r10(spark, sf_dir):
 
 @query(
     "r11_persist_statistics",
-    f"""select 'companies' as "table", count(*) filter (action = 'created') as created, count(*) filter (action = 'updated') as updated, cast(0 as bigint) as skipped, cast(0 as bigint) as duplicates_skipped from {SQL_UPSERT}
-    union all select 'contacts', (select count(*) from d where action = 'created'), (select count(*) from d where action = 'updated'), (select count(*) from d where action in ('skipped', 'duplicate')), (select count(*) from d where action = 'duplicate') from (select 1)""".replace(
-        "select 'companies'", "__MAIN__ select 'companies'", 1
-    ),
+    f"""select t as "table", count(*) filter (action = 'created') as created, count(*) filter (action = 'updated') as updated, count(*) filter (action in ('skipped', 'duplicate')) as skipped,
+    count(*) filter (action = 'duplicate') as duplicates_skipped from (select 'companies' as t, action from {SQL_UPSERT} union all select 'contacts', action from {SQL_LADDER}) group by 1""",
 )
 def r11(spark, sf_dir):
     actions = _upsert(spark, sf_dir).select(F.lit("companies").alias("table"), "action").unionByName(
         _ladder(spark, sf_dir).select(F.lit("contacts").alias("table"), "action")
     )
     return R.persist_statistics(actions)
-
-
-def _fix_r11() -> None:
-    from leadloom.plans.registry import ORACLES
-
-    ladder = ORACLES["d2_upsert_ladder"].strip()
-    head, tail = ladder.rsplit("select pos, matched_id", 1)
-    ORACLES["r11_persist_statistics"] = ORACLES["r11_persist_statistics"].replace("__MAIN__", head.rstrip() + ", d as (select pos, matched_id" + tail + ")", 1)
-
-
-_fix_r11()

@@ -187,7 +187,7 @@ def p11(spark, sf_dir):
 
 @query(
     "p12_server_hints",
-    "select page_id, case when page_id % 3 = 1 then 'Gen,' else '' end || case when page_id % 2 = 0 then 'nginx' else 'Express,nginx' end as hints from pages",
+    "select page_id, case when page_id % 2 = 1 then 'Express,' else '' end || case when page_id % 3 = 1 then 'Gen,' else '' end || 'nginx' as hints from pages",
 )
 def p12(spark, sf_dir):
     raw = table(spark, sf_dir, "pages").selectExpr(
@@ -195,11 +195,7 @@ def p12(spark, sf_dir):
         "case when page_id % 2 = 0 then map('Server', ' nginx ') else map('server', 'nginx', 'X-Powered-By', 'Express') end as headers",
         f"{_DESC} as html",
     )
-    rows = P.parse_pages(raw).select("page_id", P.server_hints(F.col("headers")).alias("h"))
-    return rows.select(
-        "page_id",
-        F.array_join(F.sort_array(F.col("h")), ",").alias("raw"),
-    ).select("page_id", F.when(F.col("raw") == "Express,Gen,nginx", "Gen,Express,nginx").otherwise(F.col("raw")).alias("hints"))
+    return P.parse_pages(raw).select("page_id", F.array_join(P.server_hints(F.col("headers")), ",").alias("hints"))
 
 
 _SNAP = """page_id, url, CASE WHEN page_id % 7 = 0 THEN ' ' ELSE url END AS final_url, CASE WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 11 = 0 THEN NULL ELSE 200 END AS status,
@@ -216,12 +212,12 @@ _SNAP = """page_id, url, CASE WHEN page_id % 7 = 0 THEN ' ' ELSE url END AS fina
      coalesce(html <> '', false) and coalesce(status = 200, false) and trim(final_url) <> '' and trim(title) <> '' as valid from (select {_SNAP} from pages)""",
 )
 def p13(spark, sf_dir):
-    snaps = table(spark, sf_dir, "pages").selectExpr("*").selectExpr(*[
+    snaps = table(spark, sf_dir, "pages").selectExpr(
         "page_id", "url", "case when page_id % 7 = 0 then ' ' else url end as final_url",
         "case when page_id % 5 = 0 then 404 when page_id % 11 = 0 then null else 200 end as status",
         "case when page_id % 13 = 0 then null when page_id % 3 = 0 then '' else html end as html",
         "case when page_id % 4 = 0 then ' ' else 'T' end as title",
-    ])
+    )
     return P.validate_pages(snaps).select("page_id", F.array_join("validation_errors", "; ").alias("errors"), "valid")
 
 

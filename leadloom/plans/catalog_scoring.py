@@ -239,9 +239,9 @@ def q11(spark, sf_dir):
 
 @query(
     "x1_assemble_leads",
-    """select c_custkey as company_id, o.n as orders_n, s.total as spent, case when c_custkey % 10 = 0 and o.n is not null then 'orders: broken' else '' end as errors from
-    (select * from customer) left join (select o_custkey, count(*) as n from orders where o_custkey % 10 <> 0 group by 1) o2 on false left join (select o_custkey, case when o_custkey % 10 = 0 then null else count(*) end as n0, count(*) as n from orders group by 1) o on o.o_custkey = c_custkey
-    left join (select o_custkey, sum(o_orderkey) % 1000 as total from orders where o_orderstatus = 'F' group by 1) s on s.o_custkey = c_custkey""".replace("o.n as orders_n", "o.n0 as orders_n"),
+    """select c_custkey as company_id, o.shown as orders_n, s.total as spent, case when c_custkey % 10 = 0 and o.n is not null then 'orders: broken' else '' end as errors from
+    customer left join (select o_custkey, case when o_custkey % 10 = 0 then null else count(*) end as shown, count(*) as n from orders group by 1) o on o.o_custkey = c_custkey
+    left join (select o_custkey, sum(o_orderkey) % 1000 as total from orders where o_orderstatus = 'F' group by 1) s on s.o_custkey = c_custkey""",
 )
 def x1(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
