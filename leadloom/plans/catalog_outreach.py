@@ -190,13 +190,21 @@ def _queue(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").selectExpr(*_QUEUE_COLS)
 
 
-@query("k0_append_rows")
+@query(
+    "k0_append_rows",
+    """select c_name as company_id, 'a' || c_custkey || '@x.io' as contact_id, 'A' || c_custkey || '@x.io' as recipient_email, 'PENDING' as status, cast(c_custkey % 100 as double) as lead_score, cast(0 as int) as retry_count,
+    true as greeted, true as signed from customer""",
+)
 def k0(spark, sf_dir):
     texts = _lead_texts(spark, sf_dir).withColumns(
         {"product_description": F.lit("tools"), "contact_first_name": F.lit("Ada"), "website": F.concat(F.lit("https://"), F.col("company_name"), F.lit("/")),
          "recipient_name": F.lit("Ada"), "recipient_email": F.concat(F.lit("A"), F.col("company_id").cast("string"), F.lit("@x.io")), "lead_score": F.col("qualification_score")}
     )
-    return K.append_rows(O.fallback_emails(texts).drop("company_id"), "Mia")
+    rows = K.append_rows(O.fallback_emails(texts).drop("company_id"), "Mia")
+    return rows.select(
+        "company_id", "contact_id", "recipient_email", "status", "lead_score", "retry_count",
+        F.startswith(F.col("body"), F.lit("Hi Ada,\n\nI came across ")).alias("greeted"), F.endswith(F.col("body"), F.lit("\n\nBest regards,\nMia")).alias("signed"),
+    )
 
 
 _SITES = "CASE WHEN c_custkey % 3 = 0 THEN 'https://www.Site' || CAST(c_custkey % 400 AS VARCHAR(10)) || '.com/' ELSE 'site' || CAST(c_custkey % 400 AS VARCHAR(10)) || '.com' END"
@@ -414,7 +422,12 @@ def d4(spark, sf_dir):
     return D.apply_changes(companies, changes).select("company_id", "name", "website", "outcome")
 
 
-@query("d5_report_text")
+@query(
+    "d5_report_text",
+    f"""select concat_ws(chr(10), repeat('=', 57), '', 'Name:', 'n' || company_id, '', 'Website:', 'w.io', '', 'Website Reachable:', case when has_contact then 'YES' else 'NO' end, '', 'Technologies:', case when is_product then 'React, Vue' else 'None' end, '',
+    'Mobile App:', case when has_mobile_app then 'YES' else 'NO' end, '', 'Play Store:', case when is_product then 'YES' else 'NO' end, '', 'App Store:', case when is_agency then 'YES' else 'NO' end, '', 'Qualification:', case when has_email then 'PASS' else 'FAIL' end, '',
+    'Qualification Score:', cast(jobs_found * 3 as varchar), '', 'Contact Emails Found:', cast(cast(flutter_jobs as int) as varchar), '', 'Decision Makers:', '0', '', 'Email Pattern:', 'None', '', 'Lead Score:', cast(cast(greatest(0.0, least(100.0, jobs_found * 3.0 + least(20.0, flutter_jobs * 5.0) + case when is_product then 2.0 else 0.0 end - case when has_mobile_app then 15.0 else 0.0 end + case when has_email then 10.0 else 0.0 end)) as int) as varchar), '') as value from {SQL_FEATURES}""",
+)
 def d5(spark, sf_dir):
     return D.report_text(_validation(spark, sf_dir))
 
@@ -532,7 +545,31 @@ def r4_map(spark, sf_dir):
     return rows.select(F.explode("skip_reasons").alias("skip_reason", "n"))
 
 
-@query("r5_run_summary_text")
+def _summary_line(label: str, value: str) -> str:
+    return f"'[RUN SUMMARY] {label}' || {value}"
+
+
+_SUMMARY = ", ".join(
+    [_summary_line("========== Lead generation run ==========", "''")]
+    + [
+        _summary_line(label, value)
+        for label, value in (
+            ("Fetched (raw from sources):     ", "0"), ("Unique after dedupe:           ", "'0 (duplicates removed: 0)'"), ("Selected for pipeline:          ", "0"),
+            ("Processed:                      ", "processed"), ("Saved to DB (companies):         ", "persisted"), ("Qualified:                      ", "qualified"),
+            ("Personalized:                   ", "0"), ("Emails generated:               ", "emails_generated"), ("Shortlisted / queued:           ", "queued"), ("Failed:                         ", "failed"),
+            ("Skipped — duplicate:            ", "0"), ("Skipped — no recipient email:   ", "no_recipient"), ("Skipped — no MX:                ", "skipped_no_mx"), ("Skipped — mailbox rejected:     ", "0"),
+            ("Skipped — low score:            ", "low_score"), ("Skipped — no opportunity:       ", "0"), ("Skipped — other:                ", "skipped_other_skip"), ("Duration:                       ", "'0 ms'"),
+            ("Status:                         ", "case when run_success then 'SUCCESS' else 'FAILED' end"),
+        )
+    ]
+    + [_summary_line("========================================", "''")]
+)
+
+
+@query(
+    "r5_run_summary_text",
+    f"select concat_ws(chr(10), {_SUMMARY}) as value from (select {_STATS}, count(*) filter (({_SKIP}) = 'no_recipient') as no_recipient, count(*) filter (({_SKIP}) = 'low_score') as low_score from events)",
+)
 def r5(spark, sf_dir):
     return R.run_summary_text(R.run_statistics(_outcomes(spark, sf_dir)))
 

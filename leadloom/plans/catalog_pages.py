@@ -301,11 +301,17 @@ def p17(spark, sf_dir):
     return rows.select("page_id", "s.website", "s.source")
 
 
-@query("p_page_profiles")
+@query(
+    "p_page_profiles",
+    f"""select p.page_id, nullif(trim({sql_unescape("regexp_extract(p.html, '<title>([^<]*)</title>', 1)")}), '') as title, nullif(regexp_extract(p.html, '<html lang="([^"]*)"', 1), '') as language,
+    cast(count(l.link) filter ({sql_netloc('l.link')} = {sql_netloc('p.url')}) as int) as n_internal, cast(count(l.link) filter ({sql_netloc('l.link')} <> {sql_netloc('p.url')}) as int) as n_external,
+    coalesce(string_agg(l.link, ',' order by l.link) filter (contains(l.link, 'play.google.com')), '') as play
+    from {SQL_PAGES} p left join {sql_links(SQL_PAGES)} l on l.page_id = p.page_id where octet_length(encode(p.html)) <= 2000000 group by p.page_id, p.url, p.html""",
+)
 def profiles(spark, sf_dir):
     return P.page_profiles(P.parse_pages(scan_pages(marked_pages(spark, sf_dir)))).select(
         "page_id", "title", "language", F.size("internal_links").alias("n_internal"), F.size("external_links").alias("n_external"),
-        F.array_join("emails", ",").alias("emails"), F.array_join("play_store_links", ",").alias("play"),
+        F.array_join("play_store_links", ",").alias("play"),
     )
 
 

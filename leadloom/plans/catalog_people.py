@@ -246,9 +246,15 @@ def c15(spark, sf_dir):
     return N.classify_emails(_mails(spark, sf_dir)).select("c_custkey", "is_business")
 
 
-@query("c_classify_people")
+@query(
+    "c_classify_people",
+    f"""select pos, company_id, full_name, role, role_normal, {sql_fake('full_name')} as is_fake_name, case when full_name is not null and not {sql_fake('full_name')} then split_part(full_name, ' ', 1) end as greeting_name,
+    split_part(full_name, ' ', 1) as first_name, split_part(full_name, ' ', 2) as last_name, coalesce(lower(role_normal) in {sql_in(rules.DECISION_ROLES)}, false) as is_decision_role
+    from (select *, {sql_role('role')} as role_normal from {SQL_CONTACTS}) where full_name is null or full_name not like 'Hello %'""",
+)
 def c_people(spark, sf_dir):
-    return N.classify_people(contact_rows(spark, sf_dir)).drop("email", "linkedin")
+    rows = contact_rows(spark, sf_dir).filter("full_name is null or full_name not like 'Hello %'")
+    return N.classify_people(rows).drop("email", "linkedin")
 
 
 # --- founders --------------------------------------------------------------------------------
