@@ -318,7 +318,14 @@ def url_key(c: Column) -> Column:
     return F.lower(F.rtrim(c, F.lit("/")))
 
 
-def candidate_pages(
+def _usable_snapshots(snapshots: DataFrame, min_length: int) -> DataFrame:
+    usable = snapshots.filter(F.length("html") >= min_length)
+    if "status" in snapshots.columns:
+        usable = usable.filter(F.col("status") < 400)
+    return usable.withColumn("key", url_key(F.col("url")))
+
+
+def candidate_keys(
     companies: DataFrame,
     snapshots: DataFrame,
     paths: Sequence[str],
@@ -327,10 +334,11 @@ def candidate_pages(
     link_tokens: Sequence[str] = (),
     min_length: int = 40,
 ) -> DataFrame:
-    """Snapshots of the pages worth reading per company: fixed paths first, then matching links.
+    """Addresses of the pages worth reading per company: fixed paths first, then matching links.
 
     ``companies`` holds company_id and base_url (and a link array); ``snapshots`` holds url, html
-    and optionally status. Returns company_id, url, page_rank and html, at most ``cap`` pages each.
+    and optionally status. Returns company_id, key and page_rank, at most ``cap`` rows each, only
+    for pages that have a snapshot.
     """
     origin = F.regexp_extract("base_url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)
     fixed = F.when(origin != "", F.array(*[F.concat(origin, F.lit(p)) for p in paths])).otherwise(
@@ -345,16 +353,32 @@ def candidate_pages(
     rows = unnest(companies, wanted, "url", ["company_id", "base_url"], "pos")
     keyed = rows.withColumn("key", url_key(F.col("url"))).filter(F.col("key") != url_key(F.col("base_url")))
     first = keyed.groupBy("company_id", "key").agg(F.min("pos").alias("pos"))
-    usable = snapshots.filter(F.length("html") >= min_length)
-    if "status" in snapshots.columns:
-        usable = usable.filter(F.col("status") < 400)
-    pages = usable.withColumn("key", url_key(F.col("url")))
-    # Rank on the keys alone, so the page bodies are joined only for the pages that are kept.
-    known = pages.select("key").distinct()
+    known = _usable_snapshots(snapshots, min_length).select("key").distinct()
     ranked = top_per_key(first.join(known, "key"), ["company_id"], ["pos"], cap, "page_rank")
+    return ranked.select("company_id", "key", "page_rank")
+
+
+def with_bodies(keys: DataFrame, snapshots: DataFrame, min_length: int = 40) -> DataFrame:
+    """Page bodies for chosen addresses: one snapshot per address, joined only for the kept ones."""
+    pages = _usable_snapshots(snapshots, min_length)
     order = ["page_id"] if "page_id" in pages.columns else ["url"]
-    bodies = first_per_key(pages.join(ranked.select("key").distinct(), "key", "left_semi"), ["key"], order)
-    return ranked.join(bodies.select("key", "url", "html"), "key").select("company_id", "url", "page_rank", "html")
+    wanted = pages.join(keys.select("key").distinct(), "key", "left_semi")
+    bodies = first_per_key(wanted, ["key"], order).select("key", "url", "html")
+    return keys.join(bodies, "key").drop("key")
+
+
+def candidate_pages(
+    companies: DataFrame,
+    snapshots: DataFrame,
+    paths: Sequence[str],
+    cap: int,
+    links_col: str | None = None,
+    link_tokens: Sequence[str] = (),
+    min_length: int = 40,
+) -> DataFrame:
+    """``candidate_keys`` with their page bodies: company_id, page_rank, url and html."""
+    keys = candidate_keys(companies, snapshots, paths, cap, links_col, link_tokens, min_length)
+    return with_bodies(keys, snapshots, min_length)
 
 
 # Anchors that lead from a launch page to the product site.

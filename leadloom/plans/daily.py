@@ -94,17 +94,26 @@ def enrich(leads: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
         P.page_regions(P.page_profiles(P.parse_pages(viewport.drop("mobile_signs"))))
     )
     links = home.select("company_id", F.col("url").alias("base_url"), "links")
-    extra = [
-        P.candidate_pages(links, snapshots, paths, cap, "links", tokens).select("company_id", "url", "page_rank", "html", F.lit(use).alias("use"))
+    wanted = [
+        P.candidate_keys(links, snapshots, paths, cap, "links", tokens).withColumn("use", F.lit(use))
         for use, paths, cap, tokens in (
             ("contact", web.CONTACT_PATHS, MAX_CONTACT_PAGES, ("contact", "about", "team", "career", "job")),
             ("hiring", web.HIRING_PATHS, MAX_HIRING_PAGES, web.HIRING_LINK_TOKENS),
             ("intel", web.INTEL_PATHS, MAX_EXTRA_INTEL_PAGES, web.INTEL_LINK_TOKENS),
         )
     ]
-    more = cut_lineage(P.parse_pages(extra[0].unionByName(extra[1]).unionByName(extra[2])))
-    base = ["company_id", "url", "page_rank", "elements", "page_text", "page_pieces", "json_ld", "json_ld_scripts"]
-    pages_for = lambda use: home.select(*base).unionByName(more.filter(F.col("use") == use).select(*base))
+    # A page wanted for several uses is fetched and parsed once; its ranks travel as a small map.
+    merged = wanted[0].unionByName(wanted[1]).unionByName(wanted[2]).groupBy("company_id", "key").agg(
+        F.map_from_entries(F.collect_list(F.struct("use", "page_rank"))).alias("uses")
+    )
+    more = cut_lineage(P.parse_pages(P.with_bodies(merged, snapshots)))
+    base = ["company_id", "url", "elements", "page_text", "page_pieces", "json_ld", "json_ld_scripts"]
+
+    def pages_for(use: str) -> DataFrame:
+        rank = F.try_element_at("uses", F.lit(use))
+        extra = more.filter(rank.isNotNull()).select(*base, rank.alias("page_rank"))
+        return home.select(*base, "page_rank").unionByName(extra)
+
 
     contacts = cut_lineage(C.split_contacts(C.merge_contacts(C.contact_candidates(pages_for("contact")))))
     jobs_raw = H.dedupe_page_jobs(H.extract_jobs(pages_for("hiring"), keys=("company_id", "page_rank")), ("company_id", "page_rank"))
