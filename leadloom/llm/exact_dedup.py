@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import stored, whole_text
+from leadloom.llm.common import kept_rows, stored, whole_text
 
 SHARD_BITS = 10
 
@@ -172,3 +172,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.lower(F.hex("sha")).alias("text_sha256"),
         F.col("fp").alias("keep_hash"),
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of equal texts."""
+    return kept_rows(docs, exact_groups(docs, id_col, text_col).where("kept").select("keep_id", "keep_hash"), id_col, text_col)

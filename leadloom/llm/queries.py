@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leadloom.llm.bpe import encode_documents
 from leadloom.llm.exact_dedup import exact_groups
+from leadloom.llm.mixing import mix_documents
+from leadloom.llm.quality import crc_mod, score_quality, train_quality
 from leadloom.llm.simhash import simhash_groups
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +25,25 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op4_bpe_round_trip(spark, sf_dir):
+    return encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY, DIGESTS)
+
+
+def op5_mix_sources(spark, sf_dir):
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select(
+        "doc_id",
+        (crc_mod("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= model.at).cast("int").alias("predicted"),
+    )
+
+
 def op9_exact_dedup(spark, sf_dir):
     groups = exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -24,6 +51,9 @@ def op9_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
 }
 

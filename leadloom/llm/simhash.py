@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import as_bytes, connected_components, id_and_text, local_stars, stored
+from leadloom.llm.common import as_bytes, connected_components, id_and_text, kept_rows, local_stars, stored
 
 #: Widths of the three segments of a 64-bit fingerprint, each at most the 23 bits of a Golay word.
 SEGMENTS = (22, 21, 21)
@@ -235,11 +235,11 @@ def fingerprint_links(distinct: DataFrame, most: int = 3, block: int = BLOCK) ->
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """One row per document: doc_id, text_hash, fingerprint (16 hex digits), component_id.
+    """One row per document: doc_id, text_hash, fingerprint (16 hex digits), component_id, root.
 
     A null text counts as empty; texts without words have fingerprint zero and are linked like any other. Documents
     with one fingerprint are one node, so copies never make pairs. component_id is the smallest doc_id that is not
-    null in the connected group. Repeated rows give a row each; an empty table gives none.
+    null in the connected group, root the group's smallest fingerprint. Repeated rows give a row each; an empty table gives none.
     """
     slim = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     slim = stored(slim.mapInArrow(_fingerprints(width), "doc_id long, text_hash long, fp long"), "fingerprints")
@@ -248,7 +248,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "fingerprint-groups")
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    groups = placed.join(lows, "root").select("fp", "component_id")
+    groups = placed.join(lows, "root").select("fp", "component_id", "root")
     return slim.join(groups, "fp", "left").select(
-        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: of each connected group the one with the smallest doc_id (nulls last,
+    ties by text)."""
+    groups = simhash_groups(docs, id_col, text_col)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    return kept_rows(docs, first.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")), id_col, text_col)
