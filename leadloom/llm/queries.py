@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.bpe import encode_documents
+from leadloom.llm.compression import quality_rules
 from leadloom.llm.exact_dedup import exact_groups
+from leadloom.llm.html_extract import extract_pages
+from leadloom.llm.language import identify, train_languages
+from leadloom.llm.license_scan import scan_licenses
 from leadloom.llm.mixing import mix_documents
 from leadloom.llm.quality import crc_mod, score_quality, train_quality
 from leadloom.llm.simhash import simhash_groups
+from leadloom.llm.suffix_dedup import remove_repeats
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -20,11 +25,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark, sf_dir):
+    return scan_licenses(_table(spark, sf_dir, "documents"), findings=False)
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     groups = simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return remove_repeats(_table(spark, sf_dir, "documents"), kept=False)
+
+
 def op4_bpe_round_trip(spark, sf_dir):
     return encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY, DIGESTS)
 
@@ -44,17 +57,37 @@ def op6_quality_classifier(spark, sf_dir):
     )
 
 
+def op7_html_extraction(spark, sf_dir):
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_compression_bands(spark, sf_dir):
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     groups = exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, train_languages(docs))
+    held_out = (crc_mod("doc_id", 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_compression_bands": op8_compression_bands,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
