@@ -24,9 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
-    folder = tempfile.mkdtemp(prefix="llm-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-shared-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
