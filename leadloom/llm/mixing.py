@@ -118,10 +118,11 @@ class Mix:
             words = sum(self.given[p].values())
             self.full[p] = min(words // size, most) if size else 1
             self.gap[p] = words - self.full[p] * size
-        self.rules: dict[str, list[tuple[int, int]]] = {p: [] for p in self.patterns}
+        self.rules: dict[str, list[tuple[int, int, int]]] = {p: [] for p in self.patterns}
         for _ in range(rounds):
             if not self._fill():
                 break
+        self._nearest()
 
     def _route(self, quotas: dict) -> dict[str, dict]:
         """route() by pattern key; patterns with the same members are one by construction."""
@@ -142,18 +143,18 @@ class Mix:
         )
 
     def _plan(self) -> DataFrame:
-        rows = [(p, self.full[p], [{"most": m, "cut": c} for m, c in self.rules[p]], self.gap[p]) for p in self.patterns]
-        return self.spark.createDataFrame(rows, "_pattern string, full int, rules array<struct<most:long,cut:long>>, gap long")
+        rows = [(p, self.full[p], self.rules[p], self.gap[p]) for p in self.patterns]
+        return self.spark.createDataFrame(rows, "_pattern string, full int, rules array<struct<least:long,most:long,last:long>>, gap long")
 
     @staticmethod
-    def _chosen(size: str, dice: str) -> Column:
-        return F.exists("rules", lambda r: (F.col(size) <= r["most"]) & (F.col(dice) < r["cut"]))
+    def _chosen(size: str, dice: str, rules: str = "rules") -> Column:
+        return F.exists(rules, lambda r: F.col(size).between(r["least"], r["most"]) & (F.col(dice) <= r["last"]))
 
     def _fill(self) -> bool:
         """One round: in seeded order, of the documents not yet chosen that fit into the gap, as many as fit.
 
         Running sums are taken over buckets of the seeded number first, and over documents only inside the one
-        bucket of each pattern where the gap closes. What is left is smaller than one document that fitted.
+        bucket of each pattern where the gap closes.
         """
         joined = self.slim.join(self._plan(), F.col("pattern") == F.col("_pattern"))
         rest = joined.where((F.col("gap") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~self._chosen("size", "dice"))
@@ -168,15 +169,25 @@ class Mix:
         found = rest.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
         rows = found.join(cuts, "pattern", "left").collect()
         for r in rows:
-            cut = r["cut"] if r["cut"] is not None else (1 << 63) - 1
-            self.rules[r["pattern"]].append((self.gap[r["pattern"]], cut))
+            last = r["cut"] - 1 if r["cut"] is not None else (1 << 63) - 1
+            self.rules[r["pattern"]].append((0, self.gap[r["pattern"]], last))
         if not rows:
             return False
+        self._measure()
+        return True
+
+    def _nearest(self) -> None:
+        """The smallest document that does not fit, where the words come nearer to their number with it."""
+        rest = self.slim.join(self._plan(), F.col("pattern") == F.col("_pattern"))
+        rest = rest.where((F.col("gap") > 0) & (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) & ~self._chosen("size", "dice"))
+        for r in rest.groupBy("pattern").agg(F.min(F.struct("size", "dice")).alias("d")).collect():
+            self.rules[r["pattern"]].append((r["d"]["size"], r["d"]["size"], r["d"]["dice"]))
+
+    def _measure(self) -> None:
         taken = self.slim.join(self._plan(), F.col("pattern") == F.col("_pattern")).where(self._chosen("size", "dice"))
         done = {r["pattern"]: r["size"] for r in taken.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
         for p, (_, size) in self.patterns.items():
             self.gap[p] = sum(self.given[p].values()) - self.full[p] * size - done.get(p, 0)
-        return True
 
     def documents(self) -> DataFrame:
         """One row per document: doc_id, size, members, taken (words, repeats counted)."""
@@ -195,7 +206,7 @@ class Mix:
         })
         plan = self._plan().select("_pattern", F.struct("full", "rules").alias("_rule"))
         joined = marked.join(plan, F.col(names["pattern"]) == F.col("_pattern"))
-        chosen = F.exists("_rule.rules", lambda r: (F.col(names["size"]) <= r["most"]) & (F.col(names["dice"]) < r["cut"]))
+        chosen = self._chosen(names["size"], names["dice"], "_rule.rules")
         copies = F.col("_rule.full") + chosen.cast("int")
         picked = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias(names["copy"]))
         return picked.drop(names["copy"])
