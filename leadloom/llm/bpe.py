@@ -7,6 +7,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ NONE = np.iinfo(np.int64).max
 #: Longest piece, in bytes, that is merged together with others of its length class.
 TOGETHER = 64
 #: Pieces that a task remembers, and characters that it encodes at once.
-REMEMBERED, CHUNK = 400_000, 2_000_000
+REMEMBERED, CHUNK = 200_000, 500_000
 
 
 #: The newer letters all lie beyond this block.
@@ -193,9 +194,9 @@ class WordBpe:
                     out += [p for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(part))]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, start = [], 0
+    def encode_chunks(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """Ids of the texts, in order, for about CHUNK characters at a time (at least one text)."""
+        start = 0
         while start < len(texts):
             stop, size = start, 0
             while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHUNK):
@@ -204,12 +205,14 @@ class WordBpe:
             if len(self.seen) > REMEMBERED:
                 self.seen = {}
             split = [self._pieces(t) for t in texts[start:stop]]
-            new = set().union(*split) - self.seen.keys() - self.special.keys()
-            self._learn(list(new))
+            self._learn(list(set().union(*split) - self.seen.keys() - self.special.keys()))
             known = self.seen | self.special if any("<|" in t for t in texts[start:stop]) else self.seen
-            out += [b"".join(map(known.__getitem__, s)) for s in split]
+            yield [b"".join(map(known.__getitem__, s)) for s in split]
             start = stop
-        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for chunk in self.encode_chunks(texts) for ids in chunk]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the tokens' strings, joined by spaces: the file names no decoder."""
@@ -241,21 +244,24 @@ def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...]
     with open(vocabulary, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    one = {
+        "ids": lambda bpe, x: np.frombuffer(x, "<u4").astype(np.int64),
+        "decoded": lambda bpe, x: bpe.decode(x).decode(),
+        "n_tokens": lambda bpe, x: len(x) // 4,
+        "ids_sha256": lambda bpe, x: hashlib.sha256(x).hexdigest(),
+        "decoded_sha256": lambda bpe, x: hashlib.sha256(bpe.decode(x)).hexdigest(),
+    }
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_bpe(file.value)
         for b in batches:
-            ids = bpe.encode(b.column("text").to_pylist())
-            made = {"n_tokens": [len(x) // 4 for x in ids]}
-            if "ids" in outputs:
-                made["ids"] = [np.frombuffer(x, "<u4").astype(np.int64) for x in ids]
-            if "ids_sha256" in outputs:
-                made["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
-            if "decoded" in outputs:
-                made["decoded"] = [bpe.decode(x).decode() for x in ids]
-            if "decoded_sha256" in outputs:
-                made["decoded_sha256"] = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+            made: dict[str, list] = {o: [] for o in outputs}
+            for ids in chain.from_iterable(bpe.encode_chunks(b.column("text").to_pylist())):
+                for o in outputs:
+                    made[o].append(one[o](bpe, ids))
             columns = [b.column("doc_id"), *(pa.array(made[o], OUTPUTS[o][1]) for o in outputs)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *outputs])
+        bpe.seen = {}  # the worker lives on and may do other work
 
     schema = ", ".join(["doc_id long", *(f"{o} {OUTPUTS[o][0]}" for o in outputs)])
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)

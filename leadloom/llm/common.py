@@ -48,9 +48,18 @@ def whole_text(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Bounds the rows of an Arrow batch in this session (a batch of whole texts lies in memory several times)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string, never null), whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")))
 
 
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import small_batches
+
 #: Elements that begin and end blocks; all others run inside a block.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
  form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th
@@ -270,4 +272,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             columns = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(slim).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import as_bytes, id_and_text
+from leadloom.llm.common import as_bytes, id_and_text, small_batches
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LETTERS = UPPER + UPPER.lower() + bytes(range(128, 256))
@@ -150,4 +150,4 @@ def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -
             x = np.array([features(t) for t in texts]).reshape(b.num_rows, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= model.at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
