@@ -6,8 +6,11 @@ Runs over Arrow batches inside tasks; a page never leaves the task that reads it
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 
@@ -19,26 +22,34 @@ SILENT_TAGS = frozenset(("script", "style", "template"))
 READ_TAGS = frozenset(
     "html title meta link a button h1 h2 h3 p nav footer header main section article div li tr details span img body".split()
 )
-BOX_TAGS = frozenset("html body div section article li tr span header".split())
 REGION_WORDS = ("hero", "banner", "faq", "accordion")
-BOX_TEXT_LIMIT = 600
-AROUND_LIMIT = 300
+BLOCK_TAGS = frozenset("section article div li footer p header tr".split())
 URL_KEY_WORDS = ("website", "url", "href", "link")
 
+# Texts are ranges over the page's pieces, so nested elements never repeat a text.
 ELEMENT_TYPE = pa.struct(
     [
         ("pos", pa.int32()),
         ("last", pa.int32()),
         ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())),
-        ("text", pa.string()),
-        ("around", pa.string()),
         ("first_piece", pa.int32()),
         ("pieces", pa.int32()),
+        ("chars", pa.int32()),  # length of the text
+        ("leaf", pa.bool_()),  # no block inside
+        ("link", pa.int32()),  # place in the elements of the first anchor with a target inside
+        ("around_first", pa.int32()),  # an anchor's surroundings
+        ("around_pieces", pa.int32()),
     ]
 )
 OBJECT_TYPE = pa.struct(
-    [("script", pa.int32()), ("top", pa.bool_()), ("kinds", pa.list_(pa.string())), ("body", pa.string())]
+    [
+        ("script", pa.int32()),  # place in json_ld_texts
+        ("top", pa.bool_()),
+        ("kinds", pa.list_(pa.string())),
+        ("first", pa.int32()),
+        ("chars", pa.int32()),
+    ]
 )
 CANDIDATE_TYPE = pa.struct([("origin", pa.string()), ("script", pa.int32()), ("value", pa.string())])
 
@@ -46,17 +57,19 @@ PARSED_COLUMNS = [
     ("elements", pa.list_(ELEMENT_TYPE)),
     ("page_pieces", pa.list_(pa.string())),
     ("json_ld", pa.list_(OBJECT_TYPE)),
+    ("json_ld_texts", pa.list_(pa.string())),
     ("json_ld_scripts", pa.list_(pa.string())),
     ("url_candidates", pa.list_(CANDIDATE_TYPE)),
+    ("parse_error", pa.string()),
 ]
 
-PARSED_DDL = """elements array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,text:string,around:string,
- first_piece:int,pieces:int>>, page_pieces array<string>, json_ld array<struct<script:int,top:boolean,kinds:array<string>,body:string>>,
- json_ld_scripts array<string>, url_candidates array<struct<origin:string,script:int,value:string>>"""
+PARSED_DDL = """elements array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,first_piece:int,pieces:int,chars:int,leaf:boolean,
+ link:int,around_first:int,around_pieces:int>>, page_pieces array<string>, json_ld array<struct<script:int,top:boolean,kinds:array<string>,first:int,chars:int>>,
+ json_ld_texts array<string>, json_ld_scripts array<string>, url_candidates array<struct<origin:string,script:int,value:string>>, parse_error string"""
 
 
 class _Node:
-    __slots__ = ("pos", "last", "tag", "attrs", "parent", "first_string", "end_string")
+    __slots__ = ("pos", "last", "tag", "attrs", "parent", "first_string", "end_string", "leaf")
 
     def __init__(self, pos: int, tag: str, attrs: dict[str, str], parent: int, first_string: int) -> None:
         self.pos = pos
@@ -66,6 +79,7 @@ class _Node:
         self.parent = parent
         self.first_string = first_string
         self.end_string = first_string
+        self.leaf = True
 
 
 class _Outline(HTMLParser):
@@ -79,6 +93,14 @@ class _Outline(HTMLParser):
         self.scripts: list[tuple[dict[str, str], str]] = []
         self._script: list[str] | None = None
         self._silent = 0
+        self._open_tags: Counter[str] = Counter()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections of any name end at the next bracket; the base class knows a few names and fails on others."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def unknown_decl(self, data: str) -> None:
+        pass
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         parent = self.open[-1].pos if self.open else -1
@@ -87,6 +109,7 @@ class _Outline(HTMLParser):
         if tag in VOID_TAGS:
             return
         self.open.append(node)
+        self._open_tags[tag] += 1
         if tag in SILENT_TAGS:
             self._silent += 1
             self._script = [] if tag == "script" else self._script
@@ -97,10 +120,10 @@ class _Outline(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth].tag == tag:
-                while len(self.open) > depth:
-                    self._shut(self.open.pop())
+        while self._open_tags[tag]:
+            node = self.open.pop()
+            self._shut(node)
+            if node.tag == tag:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -115,6 +138,9 @@ class _Outline(HTMLParser):
     def _shut(self, node: _Node) -> None:
         node.last = len(self.nodes) - 1
         node.end_string = len(self.strings)
+        self._open_tags[node.tag] -= 1
+        if node.parent >= 0 and (node.tag in BLOCK_TAGS or not node.leaf):
+            self.nodes[node.parent].leaf = False
         if node.tag in SILENT_TAGS:
             self._silent -= 1
             if node.tag == "script" and self._script is not None:
@@ -122,7 +148,6 @@ class _Outline(HTMLParser):
                 self._script = None
 
     def finish(self) -> None:
-        self.close()
         while self.open:
             self._shut(self.open.pop())
 
@@ -132,102 +157,174 @@ def _is_region(node: _Node) -> bool:
     return any(word in marks for word in REGION_WORDS)
 
 
-def _objects(value: object, script: int, top: bool, out: list[dict]) -> None:
-    """Every JSON object in document order; ``top`` marks roots and graph members."""
-    if isinstance(value, dict):
-        kind = value.get("@type")
-        kinds = [kind] if isinstance(kind, str) else [str(k) for k in kind] if isinstance(kind, list) else []
-        out.append({"script": script, "top": top, "kinds": kinds, "body": json.dumps(value, ensure_ascii=False)})
-        for key, inner in value.items():
-            _objects(inner, script, top and key == "@graph", out)
-    elif isinstance(value, list):
-        for inner in value:
-            _objects(inner, script, top, out)
+def _written(value: object, script: int, out: list[dict]) -> str:
+    """The JSON text of a value; appends every object in document order with its range in that text.
+
+    ``top`` marks roots and graph members. One text for all objects and a stack of its own, so neither nesting nor
+    the number of objects costs more than their length.
+    """
+    parts: list[str] = []
+    size = 0
+    todo: list[tuple[str, object, bool]] = [("value", value, True)]
+    while todo:
+        what, item, top = todo.pop()
+        if what == "end":
+            item["chars"] = size + 1 - item["first"]
+            text = "}"
+        elif what == "text":
+            text = item
+        elif isinstance(item, dict):
+            kind = item.get("@type")
+            kinds = [kind] if isinstance(kind, str) else [str(k)[:200] for k in kind] if isinstance(kind, list) else []
+            row = {"script": script, "top": top, "kinds": kinds, "first": size, "chars": 0}
+            out.append(row)
+            todo.append(("end", row, False))
+            for n, (key, inner) in enumerate(reversed(item.items())):
+                todo.append(("value", inner, top and key == "@graph"))
+                comma = ", " if n < len(item) - 1 else ""
+                todo.append(("text", f"{comma}{json.dumps(key, ensure_ascii=False)}: ", False))
+            text = "{"
+        elif isinstance(item, list):
+            todo.append(("text", "]", False))
+            for n, inner in enumerate(reversed(item)):
+                todo.append(("value", inner, top))
+                if n < len(item) - 1:
+                    todo.append(("text", ", ", False))
+            text = "["
+        else:
+            text = json.dumps(item, ensure_ascii=False)
+        parts.append(text)
+        size += len(text)
+    return "".join(parts)
 
 
 def _candidates(value: object, origin: str, script: int, out: list[dict]) -> None:
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            name = str(key).lower()
-            if isinstance(inner, str) and any(word in name for word in URL_KEY_WORDS):
-                out.append({"origin": origin, "script": script, "value": inner})
-            _candidates(inner, origin, script, out)
-    elif isinstance(value, list):
-        for inner in value:
-            _candidates(inner, origin, script, out)
+    todo = [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, _Found):
+            out.append({"origin": origin, "script": script, "value": item.value})
+        elif isinstance(item, dict):
+            inner: list[object] = []
+            for key, one in item.items():
+                if not isinstance(one, str):
+                    inner.append(one)
+                elif any(word in str(key).lower() for word in URL_KEY_WORDS):
+                    inner.append(_Found(one))
+            todo.extend(reversed(inner))
+        elif isinstance(item, list):
+            todo.extend(reversed(item))
+
+
+class _Found:
+    __slots__ = ("value",)
+
+    def __init__(self, value: str) -> None:
+        self.value = value
+
+
+def _surroundings(outline: _Outline) -> dict[int, tuple[int, int]]:
+    """Range of pieces around each anchor: its parent's text, up to the neighbouring anchors in the same parent."""
+    siblings: dict[int, list[_Node]] = {}
+    for node in outline.nodes:
+        if node.tag == "a" and node.parent >= 0:
+            siblings.setdefault(node.parent, []).append(node)
+    found = {}
+    for parent, anchors in siblings.items():
+        box = outline.nodes[parent]
+        for n, node in enumerate(anchors):
+            first = anchors[n - 1].end_string if n else box.first_string
+            end = anchors[n + 1].first_string if n + 1 < len(anchors) else box.end_string
+            found[node.pos] = (first, max(end - first, 0))
+    return found
 
 
 def parse_page(html: str | None) -> dict[str, object]:
+    """Elements, text pieces, JSON-LD and address candidates of a page; what stopped the parser is in ``parse_error``."""
     outline = _Outline()
-    outline.feed(html or "")
+    error = None
+    try:
+        outline.feed(html or "")
+        outline.close()
+    except (AssertionError, ValueError, IndexError) as exc:  # the parser's own faults; what was read stays
+        error = f"{type(exc).__name__}: {exc}"
     outline.finish()
+    lengths = [0, *accumulate(len(s) + 1 for s in outline.strings)]
+    around = _surroundings(outline)
+    read = [n for n in outline.nodes if n.tag in READ_TAGS or _is_region(n)]
+    targets = [(n.pos, i) for i, n in enumerate(read) if n.tag == "a" and "href" in n.attrs]
     elements = []
-    for node in outline.nodes:
-        region = _is_region(node)
-        if node.tag not in READ_TAGS and not region:
-            continue
-        text = " ".join(outline.strings[node.first_string : node.end_string])
-        if node.tag in BOX_TAGS and not region and node.tag != "header" and len(text) > BOX_TEXT_LIMIT:
-            text = None  # long boxes are read through their range of page pieces
-        around = None
-        if node.tag == "a" and node.parent >= 0:
-            parent = outline.nodes[node.parent]
-            around = " ".join(outline.strings[parent.first_string : parent.end_string])[:AROUND_LIMIT]
+    for node in read:
+        first, pieces = around.get(node.pos, (None, None))
+        at = bisect_right(targets, (node.pos, len(read)))
+        link = targets[at][1] if at < len(targets) and targets[at][0] <= node.last else None
         elements.append(
             {
                 "pos": node.pos,
                 "last": node.last,
                 "tag": node.tag,
                 "attrs": list(node.attrs.items()),
-                "text": text,
-                "around": around,
                 "first_piece": node.first_string,
                 "pieces": node.end_string - node.first_string,
+                "chars": max(lengths[node.end_string] - lengths[node.first_string] - 1, 0),
+                "leaf": node.leaf,
+                "link": link,
+                "around_first": first,
+                "around_pieces": pieces,
             }
         )
     objects: list[dict] = []
     texts: list[str] = []
+    scripts: list[str] = []
     candidates: list[dict] = []
     for number, (attrs, body) in enumerate(outline.scripts):
         is_ld = attrs.get("type") == "application/ld+json"
         if not is_ld and attrs.get("id") != "__NEXT_DATA__":
             continue
         if is_ld:
-            texts.append(body)
+            scripts.append(body)
         try:
             value = json.loads(body)
-        except (ValueError, RecursionError):
+        except (ValueError, RecursionError) as exc:
+            if isinstance(exc, RecursionError):
+                error = error or "JSON nested too deep"
             continue
         if is_ld:
-            _objects(value, number, True, objects)
+            texts.append(_written(value, len(texts), objects))
         _candidates(value, "json_ld" if is_ld else "next_data", number, candidates)
     return {
         "elements": elements,
         "page_pieces": outline.strings,
         "json_ld": objects,
-        "json_ld_scripts": texts,
+        "json_ld_texts": texts,
+        "json_ld_scripts": scripts,
         "url_candidates": candidates,
+        "parse_error": error,
     }
 
 
-def parse_batches(batches: Iterator[pa.RecordBatch], chunk: int = 64) -> Iterator[pa.RecordBatch]:
-    """Replace the ``html`` column by the parsed columns, a bounded number of pages at a time."""
+def _chunks(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` pages and about ``size`` bytes of html (at least one page each)."""
+    lengths = [len(h) for h in batch.column("html").cast(pa.large_binary()).fill_null(b"").to_pylist()] if batch.num_rows else []
+    start = held = 0
+    for n, length in enumerate(lengths):
+        if n > start and (n - start >= rows or held + length > size):
+            yield batch.slice(start, n - start)
+            start, held = n, 0
+        held += length
+    if lengths:
+        yield batch.slice(start)
+
+
+def parse_batches(batches: Iterator[pa.RecordBatch], rows: int = 64, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Replace the ``html`` column by the parsed columns, a bounded number of bytes and pages at a time."""
     for batch in batches:
         kept = [n for n in batch.schema.names if n != "html"]
-        for start in range(0, batch.num_rows, chunk):
-            piece = batch.slice(start, chunk)
-            rows = [parse_page(h.as_py()) for h in piece.column("html")]
+        for piece in _chunks(batch, rows, size):
+            parsed = [parse_page(h.as_py()) for h in piece.column("html")]
             arrays = [piece.column(n) for n in kept]
             names = list(kept)
             for name, kind in PARSED_COLUMNS:
-                arrays.append(pa.array([r[name] for r in rows], type=kind))
+                arrays.append(pa.array([r[name] for r in parsed], type=kind))
                 names.append(name)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-class HtmlElements:
-    """Table function body: one row per element of a page."""
-
-    def eval(self, html: str):
-        for e in parse_page(html)["elements"]:
-            yield e["pos"], e["tag"], e["text"]

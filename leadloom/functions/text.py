@@ -98,6 +98,12 @@ def host_matches(host: Column, suffixes: Sequence[str]) -> Column:
 
 
 def ordered_distinct_by(arr: Column, key: Callable[[Column], Column]) -> Column:
-    """Keep the first element per key. Quadratic, so only for short per-row lists."""
-    keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == (i + 1).cast("bigint"))
+    """Keep the first element per key, in order: sorted by key and place, the heads of runs, sorted back by place."""
+
+    def heads(rows: Column) -> Column:
+        first = F.filter(rows, lambda r, i: (i == 0) | ~r["k"].eqNullSafe(F.get(rows, i - 1)["k"]))
+        back = F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+        return F.transform(back, lambda r: r["x"])
+
+    placed = F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return let(F.array_sort(placed), heads)

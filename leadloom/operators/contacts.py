@@ -23,7 +23,7 @@ from leadloom.functions.people import (
 from leadloom.functions.text import blank_to_null, contains_any, is_in, let, squash, strip, text_or_empty, title_case
 from leadloom.functions.urls import netloc, resolve_url
 from leadloom.operators.ordering import first_per_key, first_value, top_per_key
-from leadloom.operators.pages import attr, elements, text_blocks, whole_text
+from leadloom.operators.pages import attr, element_text, elements, text_blocks
 from leadloom.operators.rows import unnest
 from leadloom.rules import people as rules
 from leadloom.session import cut_lineage
@@ -419,19 +419,20 @@ def single_social(socials: DataFrame) -> DataFrame:
 def founder_page_facts(first: Column, full_name: Column, base: Column) -> Column:
     """struct(bio, avatar_url, personal_website, location) read from one parsed page for one name."""
     name_first, name_full = F.lower(first), F.lower(full_name)
-    blocks = elements(lambda e: e["tag"].isin("p", "div", "li", "article", "section") & e["text"].isNotNull())
+    blocks = elements(
+        lambda e: e["tag"].isin("p", "div", "li", "article", "section") & (e["chars"] >= 40) & ((e["chars"] <= 600) | e["leaf"])
+    )
     bio = F.get(
         F.filter(
-            blocks,
-            lambda e: F.length(e["text"]).between(40, 600)
-            & F.contains(F.lower(e["text"]), name_first)
+            F.transform(blocks, lambda e: element_text(e)),
+            lambda t: F.contains(F.lower(t), name_first)
             & (
-                F.contains(F.lower(e["text"]), name_full)
-                | F.exists(F.split(name_full, r"\s+"), lambda p: (F.length(p) > 2) & F.contains(F.lower(e["text"]), p))
+                F.contains(F.lower(t), name_full)
+                | F.exists(F.split(name_full, r"\s+"), lambda p: (F.length(p) > 2) & F.contains(F.lower(t), p))
             ),
         ),
         F.lit(0),
-    )["text"]
+    )
     images = elements(lambda e: (e["tag"] == "img"))
     source = lambda e: strip(F.coalesce(blank_to_null(attr(e, "src")), attr(e, "data-src")))
     avatar = F.get(
@@ -448,7 +449,7 @@ def founder_page_facts(first: Column, full_name: Column, base: Column) -> Column
     def personal(e: Column) -> Column:
         href = strip(attr(e, "href"))
         host = netloc(href)
-        text = F.lower(text_or_empty(e["text"]))
+        text = F.lower(text_or_empty(element_text(e)))
         foreign = (host != own) & ~F.endswith(host, F.concat(F.lit("."), own)) & ~contains_any(host, rules.SOCIAL_HOST_WORDS)
         named = F.contains(text, name_first) | F.contains(host, name_first)
         hinted = contains_any(F.concat_ws(" ", text, F.lower(href)), rules.PERSONAL_SITE_WORDS) & F.contains(
@@ -458,14 +459,13 @@ def founder_page_facts(first: Column, full_name: Column, base: Column) -> Column
 
     site = strip(attr(F.get(F.filter(anchors, personal), F.lit(0)), "href"))
     pattern = r"(?i)\b(" + "|".join(rules.FOUNDER_PLACES) + r")\b"
-    near = elements(
-        lambda e: e["tag"].isin("p", "div", "li", "span")
-        & F.contains(F.lower(whole_text(e)), name_first)
-        & whole_text(e).rlike(pattern)
+    near = F.filter(
+        F.transform(elements(lambda e: e["tag"].isin("p", "div", "li", "span")), lambda e: element_text(e)),
+        lambda t: F.contains(F.lower(t), name_first) & t.rlike(pattern),
     )
-    place = title_case(blank_to_null(F.regexp_extract(whole_text(F.get(near, F.lit(0))), pattern, 0)))
+    place = title_case(blank_to_null(F.regexp_extract(F.get(near, F.lit(0)), pattern, 0)))
     return F.struct(
-        F.substring(bio, 1, 500).alias("bio"),
+        bio.alias("bio"),
         F.when(avatar.isNotNull(), resolve_url(source(avatar), base)).alias("avatar_url"),
         site.alias("personal_website"),
         place.alias("location"),

@@ -20,7 +20,7 @@ from leadloom.functions.text import (
 )
 from leadloom.functions.urls import normalize_job_url, resolve_url
 from leadloom.operators.ordering import first_per_key, first_value, top_per_key
-from leadloom.operators.pages import attr, elements, text_blocks
+from leadloom.operators.pages import attr, element_text, elements, inner_href, object_body, text_around, text_blocks
 from leadloom.operators.rows import unnest
 from leadloom.rules import hiring as rules
 
@@ -129,17 +129,18 @@ def job_candidates() -> Column:
     One array, so the parsed page is read once for all three kinds.
     """
     anchors = elements(
-        lambda e: (e["tag"] == "a") & (text_or_empty(attr(e, "href")) != "") & F.length(e["text"]).between(4, 160)
+        lambda e: (e["tag"] == "a") & (text_or_empty(attr(e, "href")) != "") & e["chars"].between(4, 160)
     )
     linked = F.transform(
         anchors,
-        lambda e: _candidate(0, pos=e["pos"], title=strip(e["text"]), href=strip(attr(e, "href")), around=e["around"]),
+        lambda e: _candidate(0, pos=e["pos"], title=strip(element_text(e)), href=strip(attr(e, "href")), around=text_around(e)),
     )
     postings = F.filter(
         F.col("json_ld"), lambda o: F.exists(o["kinds"], lambda k: F.lower(k).rlike("jobposting|^job$"))
     )
+    bodies = F.transform(postings, lambda o: F.struct(object_body(o).alias("body")))
     structured = F.transform(
-        postings,
+        bodies,
         lambda o, i: _candidate(
             1,
             pos=i,
@@ -152,18 +153,8 @@ def job_candidates() -> Column:
             ),
         ),
     )
-    page_anchors = elements(lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull())
-
     job_blocks = F.filter(text_blocks("jobs"), lambda e: F.lower(e["text"]).rlike("|".join(rules.JOB_ROW_WORDS)))
-
-    def block_rows(anchored: Column) -> Column:
-        def inner_link(e: Column) -> Column:
-            inside = F.filter(anchored, lambda a: (a["pos"] > e["pos"]) & (a["pos"] <= e["last"]))
-            return attr(F.try_element_at(inside, F.lit(1)), "href")
-
-        return F.transform(job_blocks, lambda e: _candidate(2, pos=e["pos"], text=e["text"], href=inner_link(e)))
-
-    blocks = let(page_anchors, block_rows)
+    blocks = F.transform(job_blocks, lambda e: _candidate(2, pos=e["pos"], text=e["text"], href=inner_href(e)))
     return F.concat(linked, structured, blocks)
 
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import let, sql_string
 
-MAX_RULE_ROWS = 5000
-
-
 @dataclass(frozen=True)
 class KeywordRule:
     label: str
@@ -24,14 +21,12 @@ def rules_of(table: Mapping[str, Sequence[str]]) -> tuple[KeywordRule, ...]:
     return tuple(KeywordRule(label, tuple(words)) for label, words in table.items())
 
 
-def load_rules(rules: DataFrame, max_rows: int = MAX_RULE_ROWS) -> tuple[KeywordRule, ...]:
-    """Rules kept as a table (rule_rank, label, keyword_rank, keyword, weight); refused above ``max_rows``.
+def load_rules(rules: DataFrame) -> tuple[KeywordRule, ...]:
+    """Rules kept as a table (rule_rank, label, keyword_rank, keyword, weight).
 
-    A rule table becomes part of the plan, so its size is checked before it is read.
+    A rule table is configuration that people write; all of it becomes part of the plan.
     """
-    rows = rules.orderBy("rule_rank", "keyword_rank").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"a rule table may hold at most {max_rows} rows")
+    rows = rules.orderBy("rule_rank", "keyword_rank").collect()
     labels: dict[str, tuple[list[str], int]] = {}
     for row in rows:
         labels.setdefault(row["label"], ([], row["weight"]))[0].append(row["keyword"])

@@ -85,19 +85,30 @@ def prioritize(leads: DataFrame) -> DataFrame:
     return leads.orderBy(F.desc("score"), F.asc("source_rank"), F.asc("pos"))
 
 
-def limit_per_source(leads: DataFrame, limits: int | Mapping[str, int], default: int = 50) -> DataFrame:
-    """Best ``n`` leads of every source, with their rank."""
+def limit_per_source(leads: DataFrame, limits: int | Mapping[str, int], default: int | None = None) -> DataFrame:
+    """Best ``n`` leads of every source, with their rank.
+
+    Sources without a limit of their own take ``default``; without a default they keep all leads, unranked, and no
+    window runs over them.
+    """
     order = [F.desc("score"), F.asc("pos")]
     if isinstance(limits, int):
         return top_per_key(leads, ["source"], order, limits, "source_pos")
     cap = F.lit(default)
+    if default is not None:
+        for name, n in limits.items():
+            cap = F.when(F.col("source") == name, n).otherwise(cap)
+        largest = max([default, *limits.values()])
+        return top_per_key(leads, ["source"], order, largest, "source_pos").filter(F.col("source_pos") <= cap)
+    named = F.col("source").isin(*limits)
     for name, n in limits.items():
         cap = F.when(F.col("source") == name, n).otherwise(cap)
-    largest = max([default, *limits.values()])
-    return top_per_key(leads, ["source"], order, largest, "source_pos").filter(F.col("source_pos") <= cap)
+    best = top_per_key(leads.filter(named), ["source"], order, max(limits.values(), default=0), "source_pos")
+    others = leads.filter(~F.coalesce(named, F.lit(False))).withColumn("source_pos", F.lit(None).cast("int"))
+    return best.filter(F.col("source_pos") <= cap).unionByName(others)
 
 
-def limit_run(leads: DataFrame, n: int = 80) -> DataFrame:
+def limit_run(leads: DataFrame, n: int) -> DataFrame:
     """First ``n`` leads of the merged list."""
     return leads.orderBy("source_rank", "pos").limit(n)
 
@@ -160,13 +171,19 @@ def split_by_gate(leads: DataFrame, rules: UrlRules = DEFAULT_RULES) -> tuple[Da
 
 def collect_leads(
     parts: Mapping[str, DataFrame],
-    per_source: int | Mapping[str, int] = 50,
-    run_limit: int | None = 80,
+    per_source: int | Mapping[str, int] | None = None,
+    run_limit: int | None = None,
     rules: UrlRules = DEFAULT_RULES,
 ) -> DataFrame:
-    """Daily collection: cap, validate, merge, dedupe, cap the run."""
-    merged = limit_per_source(union_sources(parts), per_source)
-    valid = validate_leads(merged.withColumn("pos", F.col("source_pos").cast("bigint")), rules)
+    """Daily collection: validate, merge, dedupe; top-n per source and per run only where asked.
+
+    Without a limit no window runs over a source, however large it is.
+    """
+    merged = union_sources(parts)
+    if per_source is not None:
+        ranked = limit_per_source(merged, per_source)
+        merged = ranked.withColumn("pos", F.coalesce(F.col("source_pos").cast("bigint"), "pos"))
+    valid = validate_leads(merged, rules)
     unique = dedupe_leads(valid, rules)
     return unique if run_limit is None else limit_run(unique, run_limit)
 

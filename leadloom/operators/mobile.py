@@ -115,7 +115,7 @@ def mobile_signs(html: Column, blob: Column, links: Column) -> Column:
 
     buttons = F.concat(*[F.regexp_extract_all(html, F.lit("(?i)" + p), 0) for p in BUTTON_PATTERNS])
     button_text = F.transform(
-        buttons, lambda b: F.concat(F.lit("Found mobile CTA button: "), F.substring(F.trim(b), 1, 120))
+        buttons, lambda b: F.concat(F.lit("Found mobile CTA button: "), F.trim(b))
     )
     return F.array_compact(
         F.array(

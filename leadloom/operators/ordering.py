@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 Cols = Sequence[Column | str]
 
 
-def top_per_key(df: DataFrame, keys: Cols, order: Cols, n: int = 1, rank_col: str | None = None) -> DataFrame:
-    """First ``n`` rows per key in a total order.
+def top_per_key(df: DataFrame, keys: Cols, order: Cols, n: int | None = 1, rank_col: str | None = None) -> DataFrame:
+    """First ``n`` rows per key in a total order (``None``: all rows, with their rank).
 
     The rank filter lets Spark keep at most ``n`` rows per key in every map task before
     the shuffle (WindowGroupLimit), so a key holding a large share of all rows stays cheap.
     """
     name = rank_col or "_rank"
     window = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
+    ranked = df.withColumn(name, F.row_number().over(window))
+    out = ranked if n is None else ranked.filter(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 
 

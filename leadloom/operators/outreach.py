@@ -93,12 +93,14 @@ def first_sentence(text: Column, separators: Sequence[str] = (". ", "! ", "? "))
     return let(squash(text_or_empty(text)), cut)
 
 
-def product_hook(candidates: Sequence[Column], product_label: Column, audience: Column) -> Column:
-    """Short product phrase: first sentence of the first usable description, at most 120 characters, lower-case start."""
+def product_hook(candidates: Sequence[Column], product_label: Column, audience: Column, limit: int | None = None) -> Column:
+    """Product phrase: first sentence of the first usable description, lower-case start; abbreviated beyond ``limit``."""
 
     def shorten(t: Column) -> Column:
-        cut = F.regexp_replace(F.substring(t, 1, 117), r" [^ ]*$", "")
-        return F.when(F.length(t) > 120, F.concat(F.rtrim(cut, F.lit(",;:")), F.lit("…"))).otherwise(t)
+        if limit is None:
+            return t
+        cut = F.regexp_replace(F.substring(t, 1, limit - 3), r" [^ ]*$", "")
+        return F.when(F.length(t) > limit, F.concat(F.rtrim(cut, F.lit(",;:")), F.lit("…"))).otherwise(t)
 
     def lower_start(t: Column) -> Column:
         return F.concat(F.lower(F.substring(t, 1, 1)), F.substr(t, F.lit(2), F.length(t)))
@@ -136,7 +138,7 @@ def personalize(leads: DataFrame) -> DataFrame:
     )
     store_clause = F.when(F.size(stores) > 0, F.concat(F.lit(" on "), join_names(stores))).otherwise("")
     reasons = F.when(
-        F.size("reasons") > 0, F.concat(F.lit(" based on "), join_names(F.slice("reasons", 1, 3)))
+        F.size("reasons") > 0, F.concat(F.lit(" based on "), join_names(F.col("reasons")))
     ).otherwise("")
     mode, name = c("outreach_mode"), blank_to_null(c("contact_name"))
     roles = F.coalesce(blank_to_null(c("hiring_summary")), F.lit("your open mobile/engineering roles"))
@@ -417,10 +419,16 @@ FACTS = (
 )
 
 
-def contacts_summary(contacts: DataFrame, emails: DataFrame | None = None) -> DataFrame:
-    """Per company the usable names among its first five contacts, else up to three addresses."""
+def contacts_summary(
+    contacts: DataFrame, emails: DataFrame | None = None, most_contacts: int | None = None, most_emails: int | None = None
+) -> DataFrame:
+    """Per company the usable names among its contacts in order, else its addresses; top-n only where asked."""
     order = [F.desc("contact_score"), F.asc("contact_priority"), F.asc("first_pos")]
-    top = top_per_key(contacts, ["company_id"], order, 5, "_n")
+    if most_contacts is None:
+        sort_key = F.struct((-F.col("contact_score")).alias("a"), F.col("contact_priority").alias("b"), F.col("first_pos").alias("c"))
+        top = contacts.withColumn("_n", sort_key)
+    else:
+        top = top_per_key(contacts, ["company_id"], order, most_contacts, "_n")
     name = normalize_person_name(F.col("full_name"))
     line = F.concat_ws(
         " ", name, F.concat(F.lit("("), F.col("role"), F.lit(")")), F.concat(F.lit("<"), F.col("email"), F.lit(">"))
@@ -432,7 +440,10 @@ def contacts_summary(contacts: DataFrame, emails: DataFrame | None = None) -> Da
     )
     if emails is None:
         return lines.select("company_id", F.coalesce(blank_to_null(F.col("_names")), F.lit("No contacts discovered")).alias("contacts_summary"))
-    three = top_per_key(emails.select("company_id", "email").distinct(), ["company_id"], ["email"], 3, "_n").groupBy("company_id").agg(
+    listed = emails.select("company_id", "email").distinct()
+    if most_emails is not None:
+        listed = top_per_key(listed, ["company_id"], ["email"], most_emails, "_n")
+    three = listed.groupBy("company_id").agg(
         F.array_join(F.array_sort(F.collect_list("email")), ", ").alias("_mails")
     )
     joined = lines.join(three, "company_id", "full_outer")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as html_stage
@@ -23,8 +23,9 @@ from leadloom.functions.urls import (
     path_of,
     resolve_url,
     strip_tracking,
+    website_identity,
 )
-from leadloom.operators.ordering import first_per_key, top_per_key
+from leadloom.operators.ordering import top_per_key
 from leadloom.operators.rows import unnest, with_checked
 from leadloom.rules import web
 
@@ -49,20 +50,29 @@ def parse_pages(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     return parsed.withColumn("page_text", F.array_join("page_pieces", " "))
 
 
-def whole_text(e: Column) -> Column:
-    """Text of an element, long boxes included (needs ``page_pieces`` in the row)."""
-    piecewise = F.array_join(F.slice(F.col("page_pieces"), e["first_piece"] + 1, e["pieces"]), " ")
-    return F.coalesce(e["text"], piecewise)
+def element_text(e: Column) -> Column:
+    """Whole text of an element, a range of ``page_pieces`` (which must be in the row); null for a null element."""
+    return F.array_join(F.slice(F.col("page_pieces"), e["first_piece"] + 1, e["pieces"]), " ")
 
 
-def page_elements(parsed: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Long form: one row per element."""
-    return unnest(parsed, "elements", "e", keys).select(*keys, "e.*")
+def text_around(e: Column) -> Column:
+    """Text around an anchor: its parent's, up to the neighbouring anchors."""
+    return F.array_join(F.slice(F.col("page_pieces"), e["around_first"] + 1, e["around_pieces"]), " ")
+
+
+def inner_href(e: Column) -> Column:
+    """Target of the first anchor inside an element."""
+    return attr(F.get(F.col("elements"), e["link"]), "href")
 
 
-def register_html_function(spark: SparkSession, name: str = "html_elements") -> None:
-    """Makes the page pass usable in SQL: ``select … from pages, lateral html_elements(html)``."""
-    spark.udtf.register(name, F.udtf(html_stage.HtmlElements, returnType="pos int, tag string, text string"))
+def object_body(o: Column) -> Column:
+    """JSON text of a JSON-LD object, a range of its script's text (``json_ld_texts`` must be in the row)."""
+    return F.substring(F.get(F.col("json_ld_texts"), o["script"]), o["first"] + 1, o["chars"])
+
+
+def page_elements(parsed: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Long form: one row per element, texts as ranges."""
+    return unnest(parsed, "elements", "e", keys).select(*keys, "e.*")
 
 
 def elements(condition) -> Column:
@@ -78,7 +88,7 @@ def attr(e: Column, name: str) -> Column:
 
 
 def first_text(arr: Column) -> Column:
-    return F.try_element_at(arr, F.lit(1))["text"]
+    return element_text(F.try_element_at(arr, F.lit(1)))
 
 
 def meta(kind: str, name: str) -> Column:
@@ -287,7 +297,10 @@ def validate_pages(profiles: DataFrame) -> DataFrame:
 
 def json_ld_items(parsed: DataFrame, kind_pattern: str | None = None, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Objects of ld+json scripts in walk order, optionally only those of a matching type."""
-    rows = unnest(parsed, "json_ld", "o", keys, "item_pos").select(*keys, "item_pos", "o.*")
+    objects = F.transform(
+        "json_ld", lambda o: F.struct(o["script"].alias("script"), o["top"].alias("top"), o["kinds"].alias("kinds"), object_body(o).alias("body"))
+    )
+    rows = unnest(parsed, objects, "o", keys, "item_pos").select(*keys, "item_pos", "o.*")
     if kind_pattern is None:
         return rows
     return rows.filter(F.exists("kinds", lambda k: F.lower(k).rlike(kind_pattern)))
@@ -300,45 +313,59 @@ CHROME_WORDS = ("nav", "menu", "cookie", "footer-links", "breadcrumb")
 
 
 def text_blocks(kind: str = "people") -> Column:
-    """Short text blocks of a page: people blocks up to 500 characters without page chrome, job blocks up to 280."""
+    """Text blocks of a page (pos, last, tag, attrs, text, link): people blocks without page chrome, or job blocks.
+
+    A block with other blocks inside counts while it is short (500 characters for people, 280 for jobs), as a card
+    does; a block without any counts at every length, so no text is lost and none is read more than a few times.
+    """
     tags, limit = (PEOPLE_BLOCKS, 500) if kind == "people" else (JOB_BLOCKS, 280)
 
     def keep(e: Column) -> Column:
-        short = (text_or_empty(e["text"]) != "") & (F.length(e["text"]) <= limit)
-        wanted = e["tag"].isin(*tags) & short
+        wanted = e["tag"].isin(*tags) & (e["chars"] > 0) & ((e["chars"] <= limit) | e["leaf"])
         if kind != "people":
             return wanted
         marks = F.lower(F.concat_ws(" ", attr(e, "class"), attr(e, "id")))
         return wanted & ~contains_any(marks, CHROME_WORDS)
 
-    return elements(keep)
+    fields = ("pos", "last", "tag", "attrs", "link")
+    return F.transform(elements(keep), lambda e: F.struct(*[e[f].alias(f) for f in fields], element_text(e).alias("text")))
 
 
 def url_key(c: Column) -> Column:
     return F.lower(F.rtrim(c, F.lit("/")))
 
 
-def _usable_snapshots(snapshots: DataFrame, min_length: int) -> DataFrame:
-    usable = snapshots.filter(F.length("html") >= min_length)
-    if "status" in snapshots.columns:
-        usable = usable.filter(F.col("status") < 400)
-    return usable.withColumn("key", url_key(F.col("url")))
+def page_index(snapshots: DataFrame) -> DataFrame:
+    """One slim row per snapshot: page_id, url, key, identity, n_bytes and status (null where unknown).
+
+    Page choices read this table only. n_bytes is taken from the snapshots where they carry it, so that bodies need
+    not be read; write the index once (``session.cut_lineage``) when several choices follow.
+    """
+    given = lambda name, other: F.col(name) if name in snapshots.columns else other
+    return snapshots.select(
+        "page_id",
+        "url",
+        url_key(F.col("url")).alias("key"),
+        website_identity(F.col("url")).alias("identity"),
+        given("n_bytes", F.octet_length("html")).cast("bigint").alias("n_bytes"),
+        given("status", F.lit(None)).cast("int").alias("status"),
+    )
 
 
 def candidate_keys(
     companies: DataFrame,
-    snapshots: DataFrame,
+    index: DataFrame,
     paths: Sequence[str],
-    cap: int,
+    cap: int | None = None,
     links_col: str | None = None,
     link_tokens: Sequence[str] = (),
-    min_length: int = 40,
+    min_bytes: int = 40,
 ) -> DataFrame:
-    """Addresses of the pages worth reading per company: fixed paths first, then matching links.
+    """The snapshots worth reading per company: fixed paths first, then matching links.
 
-    ``companies`` holds company_id and base_url (and a link array); ``snapshots`` holds url, html
-    and optionally status. Returns company_id, key and page_rank, at most ``cap`` rows each, only
-    for pages that have a snapshot.
+    ``companies`` holds company_id and base_url (and a link array), ``index`` comes from ``page_index``. Returns
+    company_id, page_id and page_rank, all of them or the first ``cap`` per company. The few wanted addresses pick
+    their index rows; nothing is made distinct over all snapshots.
     """
     origin = F.regexp_extract("base_url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)
     fixed = F.when(origin != "", F.array(*[F.concat(origin, F.lit(p)) for p in paths])).otherwise(
@@ -353,38 +380,35 @@ def candidate_keys(
     rows = unnest(companies, wanted, "url", ["company_id", "base_url"], "pos")
     keyed = rows.withColumn("key", url_key(F.col("url"))).filter(F.col("key") != url_key(F.col("base_url")))
     first = keyed.groupBy("company_id", "key").agg(F.min("pos").alias("pos"))
-    known = _usable_snapshots(snapshots, min_length).select("key").distinct()
-    ranked = top_per_key(first.join(known, "key"), ["company_id"], ["pos"], cap, "page_rank")
-    return ranked.select("company_id", "key", "page_rank")
+    usable = index.filter((F.col("n_bytes") >= min_bytes) & F.coalesce(F.col("status") < 400, F.lit(True)))
+    found = usable.join(first.select("key"), "key", "left_semi")
+    pages = found.groupBy("key").agg(F.min("page_id").alias("page_id"))
+    ranked = top_per_key(first.join(pages, "key"), ["company_id"], ["pos"], cap, "page_rank")
+    return ranked.select("company_id", "page_id", "page_rank")
 
 
-def with_bodies(keys: DataFrame, snapshots: DataFrame, min_length: int = 40) -> DataFrame:
-    """Page bodies for chosen addresses: one snapshot per address, joined only for the kept ones."""
-    pages = _usable_snapshots(snapshots, min_length)
-    order = ["page_id"] if "page_id" in pages.columns else ["url"]
-    wanted = pages.join(keys.select("key").distinct(), "key", "left_semi")
-    bodies = first_per_key(wanted, ["key"], order).select("key", "url", "html")
-    return keys.join(bodies, "key").drop("key")
+def with_bodies(chosen: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Chosen pages (page_id and any other columns) with their url and html: one join on the page number."""
+    return chosen.join(snapshots.select("page_id", "url", "html"), "page_id").drop("page_id")
 
 
 def candidate_pages(
     companies: DataFrame,
     snapshots: DataFrame,
     paths: Sequence[str],
-    cap: int,
+    cap: int | None = None,
     links_col: str | None = None,
     link_tokens: Sequence[str] = (),
-    min_length: int = 40,
+    min_bytes: int = 40,
 ) -> DataFrame:
     """``candidate_keys`` with their page bodies: company_id, page_rank, url and html."""
-    keys = candidate_keys(companies, snapshots, paths, cap, links_col, link_tokens, min_length)
-    return with_bodies(keys, snapshots, min_length)
+    keys = candidate_keys(companies, page_index(snapshots), paths, cap, links_col, link_tokens, min_bytes)
+    return with_bodies(keys, snapshots)
 
 
 # Anchors that lead from a launch page to the product site.
 VISIT_MARKS = ("visit-website-button", "post-product-link", "product-link", "visit-button")
 META_SITE_TAGS = ("og:url", "twitter:url", "canonical", "og:see_also")
-ANCHOR_SCAN = 40
 
 
 def resolve_from_snapshot(base: Column) -> Column:
@@ -409,7 +433,7 @@ def resolve_from_snapshot(base: Column) -> Column:
         lambda u: external(u) | is_launch_redirect(u),
     )
     visit = F.filter(F.slice(visits, 1, 1), lambda u: external(u))
-    scanned = F.filter(F.transform(F.slice(anchors, 1, ANCHOR_SCAN), target), lambda u: external(u))
+    scanned = F.filter(F.transform(anchors, target), lambda u: external(u))
 
     def walked(origin: str) -> Column:
         """First external or redirect value of each script; only an external one counts."""
@@ -469,7 +493,7 @@ def _has_class(e: Column, word: str) -> Column:
 
 
 def hero_text() -> Column:
-    """First heading plus the start of the first hero-like region that has text."""
+    """First heading plus the first hero-like region that has text."""
     choices = [
         tagged("header"),
         elements(lambda e: (e["tag"] == "section") & _has_class(e, "hero")),
@@ -478,4 +502,4 @@ def hero_text() -> Column:
         elements(lambda e: attr(e, "id") == "hero"),
     ]
     region = F.coalesce(*[blank_to_null(squash(first_text(c))) for c in choices])
-    return blank_to_null(squash(F.concat_ws(" ", first_text(tagged("h1")), F.substring(region, 1, 400))))
+    return blank_to_null(squash(F.concat_ws(" ", first_text(tagged("h1")), region)))

@@ -13,6 +13,7 @@ from leadloom.functions.text import (
     contains_any,
     first_case,
     found,
+    is_in,
     let,
     squash,
     strip,
@@ -22,7 +23,7 @@ from leadloom.functions.text import (
 )
 from leadloom.operators.keywords import KeywordRule, best_label, tag_patterns
 from leadloom.operators.ordering import top_per_key
-from leadloom.operators.pages import attr, elements, first_text, meta, tagged
+from leadloom.operators.pages import attr, element_text, elements, first_text, meta, object_body, tagged
 from leadloom.operators.rows import unnest
 from leadloom.rules import company as rules
 
@@ -66,7 +67,7 @@ def primary_cta() -> Column:
     """First short anchor, else button, that asks for an action."""
 
     def ask(tag: str) -> Column:
-        texts = F.transform(tagged(tag), lambda e: squash(e["text"]))
+        texts = F.transform(tagged(tag), lambda e: squash(element_text(e)))
         return F.try_element_at(F.filter(texts, lambda t: (F.length(t) <= 40) & t.rlike(rules.CTA_PATTERN)), F.lit(1))
 
     return F.coalesce(ask("a"), ask("button"))
@@ -76,7 +77,7 @@ def organization_fields() -> Column:
     """First value per field over the Organization-like JSON-LD objects of the page."""
     kinds = words(rules.ORGANIZATION_KINDS)
     bodies = F.transform(
-        F.filter("json_ld", lambda o: o["top"] & F.arrays_overlap(o["kinds"], kinds)), lambda o: o["body"]
+        F.filter("json_ld", lambda o: o["top"] & F.arrays_overlap(o["kinds"], kinds)), lambda o: object_body(o)
     )
 
     def pick(objects: Column) -> Column:
@@ -155,7 +156,7 @@ def company_profiles(pages: DataFrame) -> DataFrame:
         {
             "company_name": F.coalesce(company_name(F.col("title")), blank_to_null(strip(F.col("_org.name")))),
             "short_description": F.coalesce(
-                "tagline", _clean(F.substring(hero, 1, 240)), blank_to_null(strip(F.col("_org.description")))
+                "tagline", _clean(hero), blank_to_null(strip(F.col("_org.description")))
             ),
             "primary_cta": primary_cta(),
             "headquarters": headquarters(F.col("_org.headquarters"), F.col("footer_text")),
@@ -188,31 +189,34 @@ def company_profiles(pages: DataFrame) -> DataFrame:
 
 
 def intel_hero() -> Column:
-    """Short texts of headings, hero and banner regions, at most five per selector."""
+    """Texts of headings, hero and banner regions.
+
+    Regions with blocks inside count while they are short; the blocks themselves are in the page text anyway.
+    """
     headers = tagged("header")
 
-    def five(condition) -> Column:
-        texts = F.transform(F.slice(elements(condition), 1, 5), lambda e: e["text"])
-        return F.filter(texts, lambda t: (t != "") & (F.length(t) < 300))
+    def texts(condition) -> Column:
+        kept = elements(lambda e: condition(e) & (e["chars"] > 0) & ((e["chars"] < 300) | e["leaf"]))
+        return F.transform(kept, lambda e: element_text(e))
 
     def classed(word: str):
         return lambda e: F.contains(text_or_empty(attr(e, "class")), F.lit(word))
 
     def below_header(boxes: Column) -> Column:
         inside = lambda e: F.exists(boxes, lambda h: (h["pos"] < e["pos"]) & (e["pos"] <= h["last"]))
-        return five(lambda e: (e["tag"] == "p") & inside(e))
+        return texts(lambda e: (e["tag"] == "p") & inside(e))
 
     return F.array_join(
         F.concat(
-            five(lambda e: e["tag"] == "h1"), five(lambda e: e["tag"] == "h2"), five(classed("hero")),
-            five(classed("banner")), let(headers, below_header),
+            texts(lambda e: e["tag"] == "h1"), texts(lambda e: e["tag"] == "h2"), texts(classed("hero")),
+            texts(classed("banner")), let(headers, below_header),
         ),
         " ",
     )
 
 
 def intel_faq() -> Column:
-    """Question sections and disclosure boxes, the first 800 characters of each."""
+    """Question sections and disclosure boxes: outermost ones, so nested boxes add their text once."""
     boxes = elements(
         lambda e: F.contains(text_or_empty(attr(e, "class")), F.lit("faq"))
         | F.contains(text_or_empty(attr(e, "id")), F.lit("faq"))
@@ -220,13 +224,27 @@ def intel_faq() -> Column:
         | text_or_empty(attr(e, "class")).rlike(r"(^|\s)accordion(\s|$)")
         | ((e["tag"] == "section") & F.contains(F.lower(text_or_empty(attr(e, "aria-label"))), F.lit("faq")))
     )
-    return F.array_join(F.filter(F.transform(boxes, lambda e: F.substring(e["text"], 1, 800)), lambda t: t != ""), " ")
+
+    def outer(found: Column) -> Column:
+        # boxes stand in page order, so the furthest end before a box tells whether it lies inside another
+        ends = F.aggregate(
+            found,
+            F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<first_piece:int,pieces:int>>").alias("kept")),
+            lambda a, e: F.struct(
+                F.greatest(a["end"], e["last"]).alias("end"),
+                F.when(e["pos"] <= a["end"], a["kept"])
+                .otherwise(F.concat(a["kept"], F.array(F.struct(e["first_piece"].alias("first_piece"), e["pieces"].alias("pieces")))))
+                .alias("kept"),
+            ),
+        )
+        return ends["kept"]
+
+    return F.array_join(F.filter(F.transform(outer(boxes), lambda e: element_text(e)), lambda t: t != ""), " ")
 
 
 # Meta names and JSON-LD keys that feed the company text.
 META_NAMES = ("description", "og:description", "og:title", "keywords", "og:type", "twitter:description")
 STRUCTURED_KEYS = ("name", "description", "industry", "slogan", "category")
-PAGE_TEXT_LIMIT = 4000
 
 
 def meta_signals() -> Column:
@@ -252,7 +270,7 @@ def structured_fields() -> Column:
 
     def entry(key: str, *paths: str) -> Column:
         values = F.transform(
-            F.col("json_ld"), lambda o: F.coalesce(*[blank_to_null(F.get_json_object(o["body"], p)) for p in paths])
+            F.col("json_ld"), lambda o: F.coalesce(*[blank_to_null(F.get_json_object(object_body(o), p)) for p in paths])
         )
         return F.struct(F.lit(key).alias("k"), F.try_element_at(F.array_compact(values), F.lit(1)).alias("v"))
 
@@ -279,23 +297,21 @@ def intel_pages(parsed: DataFrame) -> DataFrame:
                 pick("intel_meta", "keywords"),
                 pick("structured", "description"),
                 pick("structured", "industry"),
-                F.substring("page_text", 1, PAGE_TEXT_LIMIT),
+                F.col("page_text"),
             )
         ],
     )
     return rows.withColumn("intel_text", piece)
 
 
-MAX_INTEL_PAGES = 6  # the homepage and five more
-
-
-def intel_corpus(pages: DataFrame, heads: DataFrame | None = None, tails: DataFrame | None = None) -> DataFrame:
+def intel_corpus(
+    pages: DataFrame, heads: DataFrame | None = None, tails: DataFrame | None = None, most_pages: int | None = None
+) -> DataFrame:
     """Company text: head, the texts of its pages in order, tail; lower case.
 
-    ``pages`` holds company_id, page_rank and intel_text, with at most six pages per company
-    (the page choice upstream sees to that), so the ordered list in one row stays small.
+    ``pages`` holds company_id, page_rank and intel_text; all pages count unless ``most_pages`` says otherwise.
     """
-    kept = top_per_key(pages, ["company_id"], ["page_rank"], MAX_INTEL_PAGES)
+    kept = pages if most_pages is None else top_per_key(pages, ["company_id"], ["page_rank"], most_pages)
     texts = kept.groupBy("company_id").agg(
         F.array_sort(F.collect_list(F.struct("page_rank", F.col("intel_text").alias("t")))).alias("_texts"),
         F.count("*").alias("pages_scanned"),
@@ -321,16 +337,29 @@ def last_fields(pages: DataFrame, column: str, keys: Sequence[str]) -> DataFrame
 
 
 def top_keywords(docs: DataFrame, key: str, text: str, limit: int = 20, stop: Sequence[str] = rules.STOP_WORDS) -> DataFrame:
-    """Most frequent tokens per text: count descending, then token."""
+    """Most frequent tokens per text: count descending, then token. Counted inside the row, no shuffle.
+
+    The sorted tokens of a text stand in runs; a run's length is the distance to the next run's head.
+    """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z][a-z0-9\-]{2,}"), 0)
-    counted = unnest(docs, tokens, "token", [key]).filter(~F.col("token").isin(*stop)).groupBy(key, "token").agg(
-        F.count("*").alias("n")
-    )
-    return top_per_key(counted, [key], [F.desc("n"), "token"], limit, "keyword_rank")
+
+    def heads(t: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(t) - 1)
+        first = F.filter(places, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return F.when(F.size(t) > 0, F.struct(t.alias("t"), first.alias("first")))
+
+    def counted(x: Column) -> Column:
+        ends = F.concat(F.slice(x["first"], 2, F.size(x["t"])), F.array(F.size(x["t"])))
+        runs = F.zip_with(x["first"], ends, lambda i, j: F.struct((i - j).cast("bigint").alias("less"), F.get(x["t"], i).alias("token")))
+        return F.slice(F.array_sort(F.filter(runs, lambda r: ~is_in(r["token"], stop))), 1, limit)
+
+    ranked = let(let(F.array_sort(tokens), heads), counted)
+    rows = unnest(docs, ranked, "k", [key], "_pos")
+    return rows.select(key, "k.token", (-F.col("k.less")).alias("n"), (F.col("_pos") + 1).alias("keyword_rank"))
 
 
-def competitors(text: Column, known: Sequence[str] = rules.KNOWN_COMPETITORS, limit: int = 12) -> Column:
-    """Names after comparison phrases, then known names in the text; distinct, first twelve."""
+def competitors(text: Column, known: Sequence[str] = rules.KNOWN_COMPETITORS, limit: int | None = None) -> Column:
+    """Names after comparison phrases, then known names in the text; distinct."""
 
     def pick(t: Column) -> Column:
         raw = F.transform(
@@ -340,7 +369,8 @@ def competitors(text: Column, known: Sequence[str] = rules.KNOWN_COMPETITORS, li
         cased = F.transform(named, lambda n: F.when(n == F.lower(n), title_case(n)).otherwise(n))
         lowered = F.lower(t)
         known_hits = F.filter(words(known), lambda k: F.contains(lowered, F.lower(k)))
-        return F.slice(F.array_distinct(F.concat(cased, known_hits)), 1, limit)
+        names = F.array_distinct(F.concat(cased, known_hits))
+        return names if limit is None else F.slice(names, 1, limit)
 
     return let(text, pick)
 
@@ -382,9 +412,9 @@ def maturity(stage: Column, funding: Column) -> Column:
 def main_product(structured_name: Column, h1: Column, title: Column) -> Column:
     head = strip(F.regexp_extract(title, r"^([^|\-]*)", 1))
     return F.coalesce(
-        F.substring(blank_to_null(strip(structured_name)), 1, 120),
-        F.substring(blank_to_null(strip(h1)), 1, 120),
-        F.substring(head, 1, 120),
+        blank_to_null(strip(structured_name)),
+        blank_to_null(strip(h1)),
+        head,
     )
 
 

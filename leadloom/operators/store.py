@@ -144,9 +144,9 @@ def apply_changes(companies: DataFrame, changes: DataFrame) -> DataFrame:
         }
     )
     owners = companies.groupBy("website").agg(F.min("company_id").alias("_owner"))
-    asked = trimmed.join(owners, "website", "left")
+    asked = join_sparse(trimmed, owners, ["website"])
     first_ask = asked.filter(F.col("website").isNotNull() & (F.col("op") != "delete")).groupBy("website").agg(F.min("pos").alias("_first"))
-    judged = asked.join(first_ask, "website", "left").withColumn(
+    judged = join_sparse(asked, first_ask, ["website"]).withColumn(
         "_conflict",
         F.col("website").isNotNull()
         & (F.col("op") != "delete")
@@ -188,10 +188,10 @@ def search_companies(
     return out.orderBy(direction(column), F.asc("company_id"))
 
 
-def paginate(rows: DataFrame, page: int = 1, size: int = 20, max_size: int = 100) -> DataFrame:
+def paginate(rows: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     """One page of an ordered table."""
-    if page < 1 or not 1 <= size <= max_size:
-        raise ValueError(f"page must be at least 1 and size between 1 and {max_size}")
+    if page < 1 or size < 1:
+        raise ValueError("page and size must be at least 1")
     return rows.offset((page - 1) * size).limit(size)
 
 

@@ -284,7 +284,7 @@ def b_all(spark, sf_dir):
 @query(
     "i1_intel_corpus",
     f"""with pg as (select page_id, regexp_extract(url, '://([^/?#]*)', 1) as company_id, {_TITLE} as t, row_number() over (partition by regexp_extract(url, '://([^/?#]*)', 1) order by page_id) as rn from pages)
-    select company_id, lower(string_agg(t, ' ' order by rn) filter (t <> '')) as corpus, count(*) as pages_scanned from pg where rn <= 6 group by company_id""",
+    select company_id, lower(string_agg(t, ' ' order by rn) filter (t <> '')) as corpus, count(*) as pages_scanned from pg group by company_id""",
 )
 def i1(spark, sf_dir):
     rows = P.parse_pages(table(spark, sf_dir, "pages")).select(

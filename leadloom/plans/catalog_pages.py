@@ -241,12 +241,14 @@ def p14(spark, sf_dir):
 
 @query(
     "p15_text_blocks",
-    """select page_id, trim(replace(replace(replace(replace(li, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) as block, count(*) as n from
-    (select page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) as li from pages) where trim(li) <> '' group by 1, 2""",
+    f"""with found as (select page_id, 'li' as tag, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) as t from pages
+     union all select page_id, 'div', unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) from pages)
+    select page_id, tag, trim({sql_unescape('t')}) as block, count(*) as n from found where trim(t) <> '' group by 1, 2, 3""",
 )
 def p15(spark, sf_dir):
     rows = _parsed(spark, sf_dir).select("page_id", F.explode(P.text_blocks("jobs")).alias("b"))
-    return rows.filter("b.tag = 'li'").groupBy("page_id", F.col("b.text").alias("block")).agg(F.count("*").alias("n"))
+    # the pages' articles are boxes of many blocks, read block by block: paragraphs are people blocks only
+    return rows.groupBy("page_id", "b.tag", F.col("b.text").alias("block")).agg(F.count("*").alias("n")).filter("tag <> 'article'")
 
 
 _KEY = "lower(rtrim(url, '/'))"
@@ -306,21 +308,10 @@ def p17(spark, sf_dir):
     f"""select p.page_id, nullif(trim({sql_unescape("regexp_extract(p.html, '<title>([^<]*)</title>', 1)")}), '') as title, nullif(regexp_extract(p.html, '<html lang="([^"]*)"', 1), '') as language,
     cast(count(l.link) filter ({sql_netloc('l.link')} = {sql_netloc('p.url')}) as int) as n_internal, cast(count(l.link) filter ({sql_netloc('l.link')} <> {sql_netloc('p.url')}) as int) as n_external,
     coalesce(string_agg(l.link, ',' order by l.link) filter (contains(l.link, 'play.google.com')), '') as play
-    from {SQL_PAGES} p left join {sql_links(SQL_PAGES)} l on l.page_id = p.page_id where octet_length(encode(p.html)) <= 2000000 group by p.page_id, p.url, p.html""",
+    from {SQL_PAGES} p left join {sql_links(SQL_PAGES)} l on l.page_id = p.page_id group by p.page_id, p.url, p.html""",
 )
 def profiles(spark, sf_dir):
     return P.page_profiles(P.parse_pages(scan_pages(marked_pages(spark, sf_dir)))).select(
         "page_id", "title", "language", F.size("internal_links").alias("n_internal"), F.size("external_links").alias("n_external"),
         F.array_join("play_store_links", ",").alias("play"),
     )
-
-
-@query(
-    "z6_html_table_function",
-    "select page_id, 'a' as tag, cast(len(regexp_extract_all(html, '<a ')) as bigint) as n from pages",
-)
-def z6(spark, sf_dir):
-    P.register_html_function(spark)
-    pages = table(spark, sf_dir, "pages")
-    rows = spark.sql("select page_id, e.tag from {pages} p, lateral html_elements(p.html) e where e.tag = 'a'", pages=pages)
-    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))

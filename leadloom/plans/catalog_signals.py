@@ -67,7 +67,7 @@ def _mobile(spark, sf_dir, minimum=50):
 
 SQL_MOBILE = f"""(select page_id, 'google_play_link' as rule, 95 as percent, 'Google Play link detected: ' || link as evidence, true as android, false as ios from {sql_links(SQL_PAGES)} where contains(lower(link), 'play.google.com')
  union all select page_id, 'download_app_button', 75, 'Found mobile CTA text: ' || phrase, contains(phrase, 'google play'), contains(phrase, 'app store') from {SQL_PAGES}, {_PHRASES} where contains(lower(html), phrase)
- union all select page_id, 'mobile_cta_button', 70, 'Found mobile CTA button: ' || substr(b, 1, 120), true, true from
+ union all select page_id, 'mobile_cta_button', 70, 'Found mobile CTA button: ' || b, true, true from
    (select page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*>[^<]*(?:download|get the app|open in app|open app)[^<]*</a>')) as b from {SQL_PAGES}))"""
 
 

@@ -28,9 +28,6 @@ from leadloom.rules import web
 from leadloom.session import cut_lineage
 from leadloom.sources.pages import scan_pages
 
-MAX_CONTACT_PAGES, MAX_HIRING_PAGES, MAX_EXTRA_INTEL_PAGES = 5, 6, 5
-
-
 def site_report(pages: DataFrame) -> DataFrame:
     """Which technologies does each distinct, usable site run, and how surely?
 
@@ -61,8 +58,8 @@ class RunSettings:
     """Job parameters of a daily run."""
 
     as_of: str
-    per_source: int = 50
-    run_limit: int | None = 80
+    per_source: int | None = None
+    run_limit: int | None = None
     min_lead_score: int = 60
     skip_known: bool = True
     sender_name: str = ""
@@ -73,21 +70,20 @@ def company_key(identity: Column) -> Column:
     return F.sha2(identity, 256)
 
 
-def _home_pages(leads: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """First snapshot per company, matched by site identity."""
-    keys = snapshots.select("page_id", "url").withColumn("identity", website_identity(F.col("url")))
-    first = first_per_key(keys.join(leads.select("identity", "company_id"), "identity"), ["company_id"], [F.length("url"), "page_id"])
-    return snapshots.join(first.select("page_id", "company_id"), "page_id").select(
-        "company_id", "url", "html", F.lit(0).alias("page_rank")
-    )
+def _home_pages(leads: DataFrame, index: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """First snapshot per company, matched by site identity; bodies join after the choice."""
+    keys = index.select("page_id", "url", "identity").join(leads.select("identity", "company_id"), "identity")
+    first = first_per_key(keys, ["company_id"], [F.length("url"), "page_id"])
+    return P.with_bodies(first.select("page_id", "company_id", F.lit(0).alias("page_rank")), snapshots)
 
 
-def enrich(leads: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
+def enrich(leads: DataFrame, snapshots: DataFrame, most_pages: int | None = None) -> dict[str, DataFrame]:
     """Every per-company report of the usable leads, each one row per company (long tables beside).
 
     Pages are parsed once and written to the shared checkpoint folder; all later stages read that table.
     """
-    homes = _home_pages(leads, snapshots)
+    index = cut_lineage(P.page_index(snapshots))
+    homes = _home_pages(leads, index, snapshots)
     signed = M.detect_mobile(T.detect_technologies(homes), "html")
     viewport = signed.withColumn("has_viewport", F.contains(F.lower("html"), F.lit("viewport")))
     home = cut_lineage(
@@ -95,19 +91,19 @@ def enrich(leads: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
     )
     links = home.select("company_id", F.col("url").alias("base_url"), "links")
     wanted = [
-        P.candidate_keys(links, snapshots, paths, cap, "links", tokens).withColumn("use", F.lit(use))
-        for use, paths, cap, tokens in (
-            ("contact", web.CONTACT_PATHS, MAX_CONTACT_PAGES, ("contact", "about", "team", "career", "job")),
-            ("hiring", web.HIRING_PATHS, MAX_HIRING_PAGES, web.HIRING_LINK_TOKENS),
-            ("intel", web.INTEL_PATHS, MAX_EXTRA_INTEL_PAGES, web.INTEL_LINK_TOKENS),
+        P.candidate_keys(links, index, paths, most_pages, "links", tokens).withColumn("use", F.lit(use))
+        for use, paths, tokens in (
+            ("contact", web.CONTACT_PATHS, ("contact", "about", "team", "career", "job")),
+            ("hiring", web.HIRING_PATHS, web.HIRING_LINK_TOKENS),
+            ("intel", web.INTEL_PATHS, web.INTEL_LINK_TOKENS),
         )
     ]
     # A page wanted for several uses is fetched and parsed once; its ranks travel as a small map.
-    merged = wanted[0].unionByName(wanted[1]).unionByName(wanted[2]).groupBy("company_id", "key").agg(
+    merged = wanted[0].unionByName(wanted[1]).unionByName(wanted[2]).groupBy("company_id", "page_id").agg(
         F.map_from_entries(F.collect_list(F.struct("use", "page_rank"))).alias("uses")
     )
     more = cut_lineage(P.parse_pages(P.with_bodies(merged, snapshots)))
-    base = ["company_id", "url", "elements", "page_text", "page_pieces", "json_ld", "json_ld_scripts"]
+    base = ["company_id", "url", "elements", "page_text", "page_pieces", "json_ld", "json_ld_texts", "json_ld_scripts"]
 
     def pages_for(use: str) -> DataFrame:
         rank = F.try_element_at("uses", F.lit(use))
@@ -183,7 +179,7 @@ def score(leads: DataFrame, reports: Mapping[str, DataFrame], as_of: str) -> Dat
         "product_type", "target_audience", "founded_year",
     )
     founders = reports["founder_report"].select("company_id", "founders_found")
-    titles = H.listed_jobs(reports["jobs"], 20).groupBy("company_id").agg(
+    titles = reports["jobs"].groupBy("company_id").agg(
         F.concat_ws(" ", F.array_sort(F.collect_list("title"))).alias("job_text")
     )
     joined = Q.qualification_features(

@@ -61,7 +61,6 @@ URL_PATTERN = r"(?i)https?://[^\s<>\"')\]]+"
 TAGLINE_SEPARATORS = (": ", " — ", " – ", " - ", " | ")
 SHOW_SEPARATORS = (" – ", " — ", " - ", ": ")
 
-MAX_HTML_BYTES = 2_000_000
 
 CONTACT_PATHS = ("/about", "/team", "/company", "/contact", "/careers", "/jobs", "/join-us")
 HIRING_PATHS = ("/careers", "/jobs", "/join-us", "/work-with-us", "/hiring", "/openings", "/team", "/company/careers")

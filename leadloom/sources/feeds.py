@@ -25,14 +25,16 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
-def read_seeds(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Seed file: a JSON array of companies; anything else is an error."""
-    first = spark.read.text(path, wholetext=True).filter(~F.ltrim(F.col("value")).startswith("["))
-    if not first.isEmpty():
-        raise ValueError(f"{path}: a seed file must hold a JSON array")
-    seeds = spark.read.schema(schemas.SEED).option("multiLine", True).json(path)
-    seeds = seeds.withColumn("source", F.coalesce("source", F.lit("sample_data")))
-    return seeds if limit is None else seeds.limit(limit)
+def read_seeds(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Seed companies: a JSON array per file, or one object per line (which Spark splits); anything else is an error."""
+    if lines:
+        seeds = spark.read.schema(schemas.SEED).option("mode", "FAILFAST").json(path)
+    else:
+        first = spark.read.text(path, wholetext=True).filter(~F.ltrim(F.col("value")).startswith("["))
+        if not first.isEmpty():
+            raise ValueError(f"{path}: a seed file must hold a JSON array")
+        seeds = spark.read.schema(schemas.SEED).option("multiLine", True).json(path)
+    return seeds.withColumn("source", F.coalesce("source", F.lit("sample_data")))
 
 
 def parse_seeds(raw: DataFrame) -> DataFrame:

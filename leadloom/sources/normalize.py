@@ -96,7 +96,8 @@ def _tags(base: Column, score: Column) -> Column:
 def normalize_product_launches(items: DataFrame, resolved: DataFrame, as_of: Column | str) -> DataFrame:
     """Launch items keep only a usable company site, direct or from the redirect answers (redirect, website)."""
     rows = items.withColumn("redirect", strip_tracking(F.col("website"))).filter(strip(F.col("website")) != "")
-    answers = resolved.select("redirect", F.col("website").alias("_answer"))
+    # several snapshots of one launch page are one answer, so no launch is multiplied
+    answers = resolved.groupBy("redirect").agg(F.min("website").alias("_answer"))
     joined = rows.join(answers, "redirect", "left")
     final = F.when(is_launch_host(F.col("redirect")), F.col("_answer")).otherwise(
         F.coalesce("_answer", "redirect")
@@ -131,7 +132,7 @@ def normalize_stories(items: DataFrame, as_of: Column | str) -> DataFrame:
         "hackernews",
         F.col("_title.name"),
         F.col("_site"),
-        F.coalesce("_title.tagline", F.substring("_text", 1, 280)),
+        F.coalesce("_title.tagline", "_text"),
         _tags(F.array(F.lit("show_hn")), F.col("_score")),
         iso_timestamp(F.col("created_at")),
         F.col("_score"),
@@ -199,9 +200,9 @@ def normalize_posts(items: DataFrame, as_of: Column | str) -> DataFrame:
     return _lead(
         rows.withColumn("_score", floor),
         "reddit",
-        F.substring("_title", 1, 120),
+        F.col("_title"),
         F.col("_site"),
-        F.substring(body, 1, 400),
+        body,
         _tags(tags, F.col("_score")),
         epoch_timestamp(F.col("created_utc")),
         F.col("_score"),
@@ -219,9 +220,9 @@ def normalize_feed_items(items: DataFrame, as_of: Column | str, source: str = "r
     return _lead(
         rows.withColumn("_score", score),
         source,
-        F.substring("title", 1, 120),
+        F.col("title"),
         F.col("_site"),
-        F.substring("description", 1, 400),
+        F.col("description"),
         _tags(F.array(F.lit(source)), F.col("_score")),
         feed_timestamp(F.col("published")),
         F.col("_score"),

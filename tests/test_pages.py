@@ -106,9 +106,61 @@ def test_company_profile(page):
     assert row["business_category"] == "Developer Tools" and row["target_audience"] == "Developers"
 
 
+ODD = ["<html><![foo[bar]]></html>", "<![ <p>x", "<!doctype [", "<p <b>x</p", "&#xFFFFFFFF;", "<a href='x", "<![CDATA[a]]>b", "</", "<?x", "<!-"]
+
+
+def test_odd_pages_do_not_end_the_job(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    nested = "{\"a\":" * 2000 + "1" + "}" * 2000
+    pages = [*ODD, *(f'<script type="application/ld+json">{t}</script><p>after</p>' for t in (deep, nested, "{"))]
+    df = spark.createDataFrame([(i, "https://a.io/", h) for i, h in enumerate(pages)], "page_id int, url string, html string")
+    rows = {r["page_id"]: r for r in P.parse_pages(df).collect()}
+    assert len(rows) == len(pages)
+    assert rows[len(ODD)]["parse_error"] == "JSON nested too deep" and rows[len(ODD)]["page_text"] == "after"
+    assert rows[len(ODD) + 1]["parse_error"] is None or rows[len(ODD) + 1]["parse_error"] == "JSON nested too deep"
+
+
+def test_json_ld_objects_are_ranges_of_one_text(page):
+    ld = '{"@type":["A","B"],"x":[{"@type":"C","n":"é \\" }"},1,null],"@graph":[{"@type":"D"}]}'
+    rows = P.json_ld_items(page(f'<script type="application/ld+json">{ld}</script>')).orderBy("item_pos").collect()
+    import json
+
+    whole = json.loads(ld)
+    assert [json.loads(r["body"]) for r in rows] == [whole, whole["x"][0], whole["@graph"][0]]
+    assert [(r["kinds"], r["top"]) for r in rows] == [(["A", "B"], True), (["C"], False), (["D"], True)]
+
+
+def test_large_pages_take_linear_time_and_size():
+    import time
+
+    from leadloom.functions.html import parse_page
+
+    def cost(html):
+        start = time.perf_counter()
+        row = parse_page(html)
+        return time.perf_counter() - start, len(str(row))
+
+    shapes = [
+        lambda n: "<div>" + "<a href='/x'>y</a> " * n,
+        lambda n: "<div class='hero'>z" * n,
+        lambda n: '<script type="application/ld+json">' + '{"@type":"T","b":' * min(n, 800) + "1" + "}" * min(n, 800) + "</script>",
+        lambda n: "<p>" * n + "</b>" * n,
+    ]
+    for shape in shapes:
+        cost(shape(500))
+        (small, small_size), (large, large_size) = cost(shape(5_000)), cost(shape(50_000))
+        assert large < 40 * max(small, 0.02) and large_size < 15 * small_size
+
+
+def test_long_blocks_are_read_whole(page):
+    bio = "Jane Founder is the Founder of Acme. " + "She writes about tools and teams. " * 40
+    found = page(f"<div><p>{bio}</p><p>x</p></div>").select(F.transform(P.text_blocks("people"), lambda b: b["text"]).alias("t")).first()["t"]
+    assert bio.strip() in found and len(found) == 2
+
+
 def test_elements_do_not_depend_on_partitioning(spark):
     rows = [(i, f"https://s{i % 3}.io/", FULL.replace("Acme", f"A{i}")) for i in range(12)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string")
-    one = sorted(P.page_elements(P.parse_pages(df.coalesce(1))).select("page_id", "pos", "tag", "text").collect(), key=str)
-    many = sorted(P.page_elements(P.parse_pages(df.repartition(7))).select("page_id", "pos", "tag", "text").collect(), key=str)
+    one = sorted(P.page_elements(P.parse_pages(df.coalesce(1))).select("page_id", "pos", "tag", "first_piece", "pieces").collect(), key=str)
+    many = sorted(P.page_elements(P.parse_pages(df.repartition(7))).select("page_id", "pos", "tag", "first_piece", "pieces").collect(), key=str)
     assert one == many

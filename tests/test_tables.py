@@ -222,4 +222,4 @@ def test_paginate_limits(spark):
     with pytest.raises(ValueError):
         D.paginate(spark.range(5), 0, 10)
     with pytest.raises(ValueError):
-        D.paginate(spark.range(5), 1, 101)
+        D.paginate(spark.range(5), 1, 0)
