@@ -251,8 +251,12 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     many rows is split by the adaptive skew join. Labels only ever get smaller, so the loop ends;
     the driver only asks whether any row changed.
     """
-    edges = cut_lineage(pairs.select("company_id", "pos", "key").distinct())
+    every = pairs.select("company_id", "pos", "key").distinct()
+    shared = every.groupBy("company_id", "key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # Keys of one row connect nothing: only rows with a shared key enter the rounds.
+    edges = cut_lineage(every.join(shared, ["company_id", "key"], "left_semi"))
     labels = edges.groupBy("company_id", "pos").agg(F.min("pos").alias("group_pos"))
+    alone = every.groupBy("company_id", "pos").agg(F.min("pos").alias("_own"))
     while True:
         of_key = (
             edges.join(labels, ["company_id", "pos"]).groupBy("company_id", "key").agg(F.min("group_pos").alias("_k"))
@@ -270,7 +274,8 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
         )
         labels = step.select("company_id", "pos", "group_pos")
         if step.filter("_changed").isEmpty():
-            return labels
+            joined = alone.join(labels, ["company_id", "pos"], "left")
+            return joined.select("company_id", "pos", F.coalesce("group_pos", "_own").alias("group_pos"))
 
 
 def merge_contacts(candidates: DataFrame) -> DataFrame:

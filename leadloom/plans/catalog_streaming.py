@@ -12,6 +12,7 @@ from leadloom.plans.catalog_outreach import SQL_EVENTS, queue_events
 from leadloom.plans.registry import query, table
 from leadloom.rules.outreach import KNOWN_STATUSES, TRANSITIONS
 from leadloom.session import ensure_checkpoint_dir
+from leadloom.sources.store import BucketedTable
 from leadloom.streaming import jobs as W
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -22,7 +23,7 @@ def _folder(spark, name: str) -> str:
 
 
 def _event_stream(spark, sf_dir):
-    return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 100).parquet(sf_dir)
 
 
 _TARGET = "CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'APPROVED' WHEN 'click' THEN 'READY_TO_SEND' WHEN 'purchase' THEN 'SENT' ELSE 'FAILED' END"
@@ -105,11 +106,9 @@ def w3_stream(spark, sf_dir):
 
 @query("w4_stream_upsert", "select user_id, arg_max(value, event_id) as value, arg_max(event_type, event_id) as event_type from events group by 1")
 def w4(spark, sf_dir):
-    from leadloom.sources.store import VersionedTable
-
-    target = VersionedTable(spark, _folder(spark, "upsert"))
+    target = BucketedTable(spark, _folder(spark, "upsert"), ["user_id"])
     source = _event_stream(spark, sf_dir).select("user_id", "value", "event_type", "event_id")
-    W.stream_upsert(source, target, ["user_id"], [F.desc("event_id")], _folder(spark, "ckpt")).awaitTermination()
+    W.stream_upsert(source, target, [F.desc("event_id")], _folder(spark, "ckpt")).awaitTermination()
     return target.read().select("user_id", "value", "event_type")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "leadloom", cpus: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """Local session with the settings every job assumes (UTC, AQE with skew handling)."""
+    """Session with the settings every job assumes (UTC, AQE with skew handling).
+
+    A master given by spark-submit or the environment stays; without one the session is local.
+    """
+    builder = SparkSession.builder
+    if not (os.environ.get("PYSPARK_GATEWAY_PORT") or os.environ.get("SPARK_REMOTE") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")):
+        builder = builder.master(f"local[{cpus}]")
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,23 +34,31 @@ def get_session(app: str = "leadloom", cpus: str | int = "*", shuffle_partitions
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a private one only where none is configured."""
+    """Folder for intermediate tables that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a folder of this machine; on a cluster that would scatter a table over the
+    executors' disks, so a missing or machine-local folder is refused there.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="leadloom-ckpt-"))
-    return context.getCheckpointDir()
+    local = context.master == "local" or context.master.startswith("local[")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and local:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="leadloom-ckpt-"))
+        folder = context.getCheckpointDir()
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
+
 
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in ``folder`` (default: the shared checkpoint folder).
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared checkpoint folder.
+    The table stays until its folder is cleaned, as later plans read it; give a folder per run to remove it at once.
 
     Like a reliable checkpoint it survives the loss of executors; unlike one it keeps column
     pruning and gives later joins the real size of the table.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

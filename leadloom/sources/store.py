@@ -1,9 +1,10 @@
-"""Stored tables: filtered scans and versioned Parquet folders (S9)."""
+"""Stored tables: filtered scans and bucketed Parquet folders (S9)."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,66 +29,47 @@ def scan_store(
     return out
 
 
-class VersionedTable:
-    """A table as numbered Parquet folders plus a pointer file naming the current one.
+class BucketedTable:
+    """A table of keyed rows as Parquet partitions ``bucket=…/batch_id=…``.
 
-    A writer fills a new folder and then replaces the pointer, so readers never see a
-    half-written version and a job can read the table it replaces.
+    A batch writes the buckets of its own keys and no others, each as a new partition, so what a reader of earlier
+    batches sees never changes and a repeated batch overwrites its own partitions only. Readers take the last batch
+    of every bucket (``replace``), or all of them (a table to which batches only add rows).
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
-        self.path = path.rstrip("/")
-
-    def _filesystem(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> tuple[int, int]:
-        """(version, last applied batch); (0, -1) before the first write."""
-        jvm, fs = self._filesystem()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return 0, -1
-        version, batch = self.spark.read.text(f"{self.path}/CURRENT").first()[0].split(" ")
-        return int(version), int(batch)
-
-    def version(self) -> int:
-        return self._pointer()[0]
-
-    def applied_batch(self) -> int:
-        return self._pointer()[1]
-
-    def read(self, schema: str | None = None) -> DataFrame:
-        current = self.version()
-        if current == 0:
-            if schema is None:
-                raise FileNotFoundError(f"{self.path} has no version yet")
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v{current}")
-
-    def write(self, df: DataFrame, partition_by: Sequence[str] = (), batch_id: int | None = None) -> int:
-        version, batch = self._pointer()
-        version += 1
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path}/v{version}")
-        self._point_at(version, batch if batch_id is None else batch_id)
-        return version
-
-    def _point_at(self, version: int, batch: int) -> None:
-        jvm, fs = self._filesystem()
-        path = jvm.org.apache.hadoop.fs.Path
-        staged = path(f"{self.path}/NEXT")
-        stream = fs.create(staged, True)
-        stream.write(bytearray(f"{version} {batch}", "utf-8"))
-        stream.close()
-        current = path(f"{self.path}/CURRENT")
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            fs.getUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(staged), fs.makeQualified(current), overwrite)
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64, replace: bool = True) -> None:
+        self.spark, self.path, self.keys, self.buckets, self.replace = spark, path.rstrip("/"), list(keys), buckets, replace
+
+    def with_bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _all(self, before: int | None) -> DataFrame | None:
+        try:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException as exc:
+            if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+        rows = rows.withColumns({"bucket": F.col("bucket").cast("int"), "batch_id": F.col("batch_id").cast("bigint")})
+        return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+    def read(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
+        """Current rows with their bucket, or those before a batch; None before the first write.
+
+        ``touched`` (column bucket) limits the scan to its buckets: at most ``buckets`` rows, pruned as partitions.
+        """
+        rows = self._all(before)
+        if rows is None:
+            return None
+        if touched is not None:
+            rows = rows.join(F.broadcast(touched.select("bucket").distinct()), "bucket", "left_semi")
+        if self.replace:
+            last = rows.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+            rows = rows.join(F.broadcast(last), ["bucket", "batch_id"], "left_semi")
+        return rows.drop("batch_id")
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Rows (with their bucket) as the batch's partitions."""
+        numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).repartition("bucket")
+        writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket", "batch_id").parquet(self.path)

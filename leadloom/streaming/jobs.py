@@ -16,7 +16,7 @@ from leadloom.operators.queue import company_keys
 from leadloom.operators.rows import unnest
 from leadloom.operators.store import upsert
 from leadloom.rules.outreach import KNOWN_STATUSES, TRANSITIONS
-from leadloom.sources.store import VersionedTable
+from leadloom.sources.store import BucketedTable
 from leadloom.streaming import state as state_module
 
 cloudpickle.register_pickle_by_value(state_module)
@@ -31,33 +31,25 @@ def read_landing_stream(spark: SparkSession, path: str, max_files: int = 1000) -
     return raw.withColumnRenamed("value", "payload")
 
 
-def _stored(spark: SparkSession, path: str, before: int, column: str) -> DataFrame | None:
-    """One column of the batches already stored before this one."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    if not any(s.isDirectory() for s in fs.listStatus(root)):
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < before).select(column)
-
-
 def lead_batch_writer(
     store_path: str, to_leads: Callable[[DataFrame], DataFrame], rules: UrlRules = DEFAULT_RULES
 ) -> BatchFn:
-    """Validated leads whose site identity no earlier batch has, one folder per batch.
+    """Validated leads whose site identity no earlier batch has, in buckets of that identity.
 
-    The store is the state, so nothing grows in memory; a repeated batch overwrites its own folder.
+    The store is the state, so nothing grows in memory; a batch reads the identities of its own buckets only, and a
+    repeated batch overwrites its own partitions.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        store = BucketedTable(batch.sparkSession, store_path, ["identity"], replace=False)
         leads = validate_leads(to_leads(batch), rules)
-        first = first_per_key(leads, ["identity"], ["source_rank", "pos"])
-        known = _stored(spark, store_path, batch_id, "identity")
-        fresh = first if known is None else first.join(known, "identity", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
+        first = store.with_bucket(first_per_key(leads, ["identity"], ["source_rank", "pos"])).persist()
+        try:
+            known = store.read(batch_id, first)
+            fresh = first if known is None else first.join(known.select("bucket", "identity"), ["bucket", "identity"], "left_anti")
+            store.write(fresh, batch_id)
+        finally:
+            first.unpersist()
 
     return write
 
@@ -106,24 +98,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
-def upsert_batch_writer(table: VersionedTable, keys: Sequence[str], order: Sequence[Column | str]) -> BatchFn:
-    """Upsert every micro-batch into a versioned table; a batch already applied is skipped."""
+def upsert_batch_writer(table: BucketedTable, order: Sequence[Column | str]) -> BatchFn:
+    """Upsert every micro-batch into the buckets of its keys; other buckets are neither read nor written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if table.applied_batch() >= batch_id:
-            return
-        if table.version() == 0:
-            table.write(first_per_key(batch, keys, order), batch_id=batch_id)
-            return
-        merged = upsert(table.read(), batch, keys, order).drop("action")
-        table.write(merged, batch_id=batch_id)
+        keys = [*table.keys, "bucket"]
+        new = table.with_bucket(first_per_key(batch, table.keys, order)).persist()
+        try:
+            old = table.read(batch_id, new)
+            table.write(new if old is None else upsert(old, new, keys, order).drop("action"), batch_id)
+        finally:
+            new.unpersist()
 
     return write
 
 
-def stream_upsert(source: DataFrame, table: VersionedTable, keys: Sequence[str], order: Sequence[Column | str], checkpoint: str) -> StreamingQuery:
+def stream_upsert(source: DataFrame, table: BucketedTable, order: Sequence[Column | str], checkpoint: str) -> StreamingQuery:
     return (
-        source.writeStream.foreachBatch(upsert_batch_writer(table, keys, order))
+        source.writeStream.foreachBatch(upsert_batch_writer(table, order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,9 +29,18 @@ class QueueReplay(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, accepted, rejected, retries = self.state.get() if self.state.exists() else (self.start, 0, 0, 0)
-        # One micro-batch of one item, in event order (bounded by the trigger's file limit).
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        for target in frame["target"]:
+        # Order needs all events of an item in the micro-batch; of each only a key of 17 bytes is held, and the
+        # trigger's file limit bounds their number.
+        codes: dict[str, int] = {}
+        held = [
+            (f["ts"].to_numpy("datetime64[us]").astype("int64"), f["event_id"].to_numpy("int64"),
+             np.fromiter((codes.setdefault(t, len(codes)) for t in f["target"]), "uint8", len(f)))
+            for f in rows
+        ]
+        seconds, events, targets = (np.concatenate(x) for x in zip(*held))
+        names = list(codes)
+        for code in targets[np.lexsort((events, seconds))].tolist():
+            target = names[code]
             if (status, target) in self.edges:
                 status = target
                 accepted += 1
@@ -41,7 +51,7 @@ class QueueReplay(StatefulProcessor):
         if self.stale_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            last = int(pd.Timestamp(frame["ts"].iloc[-1]).timestamp() * 1000)
+            last = int(seconds.max() // 1000)
             self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.stale_ms)
         yield self._row(key, status, accepted, rejected, retries, False)
 

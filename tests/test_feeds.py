@@ -6,7 +6,7 @@ import pytest
 
 from leadloom.operators import leads as L
 from leadloom.sources import feeds, normalize
-from leadloom.sources.store import VersionedTable
+from leadloom.sources.store import BucketedTable
 from leadloom.streaming import jobs as W
 
 AS_OF = "2025-07-15 00:00:00"
@@ -91,9 +91,16 @@ def test_stream_keeps_first_identity(spark, tmp_path):
 
 
 def test_upsert_batches_apply_once(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    write = W.upsert_batch_writer(table, ["k"], ["k"])
-    write(spark.createDataFrame([(1, "a")], "k int, v string"), 0)
-    write(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), 1)
-    write(spark.createDataFrame([(1, "again")], "k int, v string"), 1)
-    assert sorted((r["k"], r["v"]) for r in table.read().collect()) == [(1, "b"), (2, "c")]
+    table = BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=8)
+    write = W.upsert_batch_writer(table, ["k"])
+    write(spark.createDataFrame([(k, "a") for k in range(40)], "k int, v string"), 0)
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+
+    before = files()
+    write(spark.createDataFrame([(1, "b"), (40, "c")], "k int, v string"), 1)
+    write(spark.createDataFrame([(1, "b"), (40, "c")], "k int, v string"), 1)  # a repeated batch
+    assert {r["k"]: r["v"] for r in table.read().collect()} == {k: {1: "b", 40: "c"}.get(k, "a") for k in range(41)}
+    new = {p.parent.parent.name for p in files() if p not in before}
+    assert before.items() <= files().items() and 1 <= len(new) <= 2  # other buckets are not rewritten

@@ -12,7 +12,6 @@ from leadloom.operators import queue as K
 from leadloom.operators import reports as R
 from leadloom.operators import scoring as Q
 from leadloom.operators import store as D
-from leadloom.sources.store import VersionedTable
 
 
 def leads(spark):
@@ -185,14 +184,6 @@ def test_ladder(spark):
     assert {(r["email"], r["full_name"]) for r in after.collect()} == {("a@x.io", "Ada Stone"), (None, "Bea"), ("n@x.io", "Newer")}
 
 
-def test_versioned_table(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    assert table.version() == 0
-    table.write(spark.range(3))
-    table.write(table.read().filter("id > 0"))
-    assert table.version() == 2 and sorted(r[0] for r in table.read().collect()) == [1, 2]
-
-
 def test_replay_matches_fold(spark):
     rng = random.Random(3)
     targets = ["PENDING", "APPROVED", "READY_TO_SEND", "SENT", "FAILED", "SKIPPED"]
