@@ -66,22 +66,28 @@ def h3(spark, sf_dir):
     )
 
 
+_SQL_MENU = """(select distinct page_id, url, h, t from (select page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) as h, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) as t from pages)
+ where contains(lower(t), 'ios') and length(t) between 4 and 160)"""
+
+
 @query(
     "h4_extract_jobs",
     f"""select page_id, 'Senior Flutter Engineer' as title, 'https://boards.greenhouse.io/acme/jobs/1' as url, 'Greenhouse' as provider, cast(35 + 2 * 8 + 10 + 15 + 10 as int) as percent, 'Senior' as seniority, 'Mobile Engineering' as department
-    from pages where page_id % 8 = 3""",
+    from pages where page_id % 8 = 3
+    -- words of the menus that hold a keyword are openings, too
+    union all select page_id, t, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h, null, 53, null, 'Mobile Engineering' from {_SQL_MENU}""",
 )
 def h4(spark, sf_dir):
-    rows = H.extract_jobs(_parsed(spark, sf_dir)).filter(F.lower("title") == "senior flutter engineer")
+    rows = H.extract_jobs(_parsed(spark, sf_dir))
     return H.dedupe_page_jobs(rows).select("page_id", "title", "url", "provider", "percent", "seniority", "department")
 
 
 @query(
     "h4_json_ld_jobs",
-    "select page_id, 'Flutter Engineer' as title, 'https://j.io/' || page_id as url, cast(71 as int) as percent from pages",
+    f"select page_id, 'Flutter Engineer' as title, 'https://j.io/' || page_id as url, cast(71 as int) as percent from pages union all select page_id, t, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h, 53 from {_SQL_MENU}",
 )
 def h4_ld(spark, sf_dir):
-    rows = H.extract_jobs(ld_pages(spark, sf_dir)).filter("kind = 1")
+    rows = H.extract_jobs(ld_pages(spark, sf_dir))
     return rows.select("page_id", "title", "url", "percent")
 
 
@@ -158,11 +164,11 @@ def h8(spark, sf_dir):
 @query(
     "h9_hiring_summary",
     f"""select f.company_id, coalesce(string_agg(title, '; ' order by rn), case when flutter_jobs > 0 then flutter_jobs || ' Flutter role(s)' when jobs_found > 0 then jobs_found || ' open role(s)' else 'No public job titles detected' end) as hiring_summary
-    from {SQL_FEATURES} f left join (select *, row_number() over (partition by company_id order by conf_pct desc, lower(title), pos) as rn from {SQL_JOBS} where company_id % 2 = 0) j on j.company_id = f.company_id and rn <= 3 group by f.company_id, flutter_jobs, jobs_found""",
+    from {SQL_FEATURES} f left join (select *, row_number() over (partition by company_id order by conf_pct desc, lower(title), pos) as rn from {SQL_JOBS}) j on j.company_id = f.company_id and rn <= 3 group by f.company_id, flutter_jobs, jobs_found""",
 )
 def h9(spark, sf_dir):
     reports = company_features(spark, sf_dir).select("company_id", "jobs_found", "flutter_jobs", F.lit(0).alias("mobile_jobs"))
-    jobs = _jobs(spark, sf_dir).filter("company_id % 2 = 0")
+    jobs = _jobs(spark, sf_dir)
     return H.hiring_summary(reports, jobs).select("company_id", "hiring_summary")
 
 
@@ -244,14 +250,17 @@ def b5(spark, sf_dir):
 
 @query(
     "b5_rules_from_table",
-    f"select doc_id, {sql_best(TEXT_RULES[:2])} as label from (select doc_id, {sql_scores(TEXT_RULES[:2])} from documents)",
+    f"select doc_id, {sql_best(TEXT_RULES)} as label from (select doc_id, {sql_scores(TEXT_RULES)} from documents)",
 )
 def b5_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rules = table(spark, sf_dir, "region").selectExpr(
-        "inline(array(named_struct('rule_rank', r_regionkey, 'label', case r_regionkey when 0 then 'alpha' else 'beta' end, 'keyword_rank', 0, 'keyword', case r_regionkey when 0 then 'whst' else 'schtz' end, 'weight', 1),"
-        "named_struct('rule_rank', r_regionkey, 'label', case r_regionkey when 0 then 'alpha' else 'beta' end, 'keyword_rank', 1, 'keyword', case r_regionkey when 0 then 'ingea' else 'keit' end, 'weight', 1)))"
-    ).filter("rule_rank < 2")
+    row = lambda i, j, label, word, weight: (
+        f"named_struct('rule_rank', {i}, 'label', {_quote(label)}, 'keyword_rank', {j}, 'keyword', {_quote(word)}, 'weight', {weight})"
+    )
+    lists = [", ".join(row(i, j, r.label, w, r.weight) for j, w in enumerate(r.keywords)) for i, r in enumerate(TEXT_RULES)]
+    cases = " ".join(f"when {i} then array({rows})" for i, rows in enumerate(lists))
+    # each region holds one rule; the last ones a rule that no text meets
+    rules = table(spark, sf_dir, "region").selectExpr(f"inline(case cast(r_regionkey as int) {cases} else array({row(99, 0, 'none', chr(1), 1)}) end)")
     return docs.select("doc_id", K.best_label(F.lower("text"), K.load_rules(rules))["label"].alias("label"))
 
 
@@ -371,12 +380,11 @@ _PATTERNS = ((r"(?i)(thing|wh)", "P1"), (r"(?i)auxqu", "P2"), (r"(?i)keit", "P1"
 
 @query(
     "i6_tag_patterns",
-    """select doc_id, array_to_string(list_filter([case when regexp_matches(text, '(?i)(thing|wh)') or regexp_matches(text, '(?i)keit') then 'P1' end, case when regexp_matches(text, '(?i)auxqu') then 'P2' end, case when regexp_matches(text, '(?i)ción') then 'P3' end,
-    case when doc_id % 2 = 0 then 'Flutter hiring / mobile engineering demand' end, case when doc_id % 3 = 0 then 'Active engineering hiring' end], lambda x: x is not null), ',') as tags from documents
-    where not (regexp_matches(text, '(?i)keit') and regexp_matches(text, '(?i)auxqu') and not regexp_matches(text, '(?i)(thing|wh)'))""",
+    """select doc_id, array_to_string(list_filter([case when regexp_matches(text, '(?i)(thing|wh)') then 'P1' end, case when regexp_matches(text, '(?i)auxqu') then 'P2' end, case when regexp_matches(text, '(?i)keit') and not regexp_matches(text, '(?i)(thing|wh)') then 'P1' end, case when regexp_matches(text, '(?i)ción') then 'P3' end,
+    case when doc_id % 2 = 0 then 'Flutter hiring / mobile engineering demand' end, case when doc_id % 3 = 0 then 'Active engineering hiring' end], lambda x: x is not null), ',') as tags from documents""",
 )
 def i6(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("not (text rlike '(?i)keit' and text rlike '(?i)auxqu' and not text rlike '(?i)(thing|wh)')")
+    docs = table(spark, sf_dir, "documents")
     tags = K.tag_patterns(F.col("text"), _PATTERNS)
     hiring = B.intel_opportunities(F.lit(""), F.expr("cast(doc_id % 2 = 0 as int)"), F.expr("cast(doc_id % 3 = 0 as int)"))
     return docs.select("doc_id", F.array_join(F.concat(tags, hiring), ",").alias("tags"))

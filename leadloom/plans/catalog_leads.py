@@ -391,11 +391,11 @@ def l1(spark, sf_dir):
 
 @query(
     "l2_union_sources",
-    """select event_id, event_type as source, cast(case event_type when 'view' then 1 else 2 end as int) as source_rank from events where event_type in ('view', 'click')""",
+    """select event_id, event_type as source, cast(case event_type when 'view' then 1 when 'click' then 2 when 'signup' then 3 when 'purchase' then 4 else 5 end as int) as source_rank from events""",
 )
 def l2(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    parts = {name: events.filter(F.col("event_type") == name).select("event_id") for name in ("view", "click")}
+    parts = {name: events.filter(F.col("event_type") == name).select("event_id") for name in ("view", "click", "signup", "purchase", "error")}
     return L.union_sources(parts)
 
 

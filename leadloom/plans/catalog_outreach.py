@@ -183,11 +183,11 @@ _QUEUE_COLS = [
     "o_orderkey as queue_id", "'site' || cast(o_custkey % 200 as varchar(10)) || '.com' as company_id", "'c' || cast(o_custkey as varchar(10)) as contact_id", "'P' || cast(o_custkey % 300 as varchar(10)) || '@mail.io' as recipient_email",
     f"{_STATUS_SQL} as status", "o_orderdate as created_at", "cast(o_orderkey % 5 as int) as retry_count",
 ]
-SQL_QUEUE = f"(select {', '.join(_QUEUE_COLS)} from orders where o_orderstatus = 'P')"
+SQL_QUEUE = f"(select {', '.join(_QUEUE_COLS)} from orders)"
 
 
 def _queue(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").selectExpr(*_QUEUE_COLS)
+    return table(spark, sf_dir, "orders").selectExpr(*_QUEUE_COLS)
 
 
 @query(
@@ -256,11 +256,11 @@ def k3_counts(spark, sf_dir):
 
 @query(
     "k4_review_list",
-    f"""select queue_id, q.company_id, c.c_name as company_name, status from {SQL_QUEUE} q left join (select 'site' || c_custkey || '.com' as company_id, c_name from customer where c_custkey <= 150) c on c.company_id = q.company_id
+    f"""select queue_id, q.company_id, c.c_name as company_name, status from {SQL_QUEUE} q left join (select 'site' || c_custkey || '.com' as company_id, c_name from customer) c on c.company_id = q.company_id
     where status in {sql_in(rules.REVIEW_STATUSES)}""",
 )
 def k4(spark, sf_dir):
-    companies = table(spark, sf_dir, "customer").filter("c_custkey <= 150").selectExpr("'site' || cast(c_custkey as string) || '.com' as company_id", "c_name as company_name")
+    companies = table(spark, sf_dir, "customer").selectExpr("'site' || cast(c_custkey as string) || '.com' as company_id", "c_name as company_name")
     return K.review_list(_queue(spark, sf_dir), companies).select("queue_id", "company_id", "company_name", "status")
 
 

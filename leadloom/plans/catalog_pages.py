@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadloom.functions.html import READ_TAGS
 from leadloom.operators import pages as P
 from leadloom.plans.catalog_urls import SCHEME, sql_netloc
 from leadloom.plans.inputs import SQL_PAGES, marked_pages
@@ -21,7 +22,7 @@ def sql_unescape(c: str) -> str:
     return f"replace(replace(replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
-_TAGS = ("title", "a", "p", "h1", "li", "nav", "article", "footer", "div", "meta")
+_TAGS = sorted(READ_TAGS)
 
 
 @query(
@@ -31,8 +32,7 @@ _TAGS = ("title", "a", "p", "h1", "li", "nav", "article", "footer", "div", "meta
     + ") t(tag)) where n > 0",
 )
 def p1(spark, sf_dir):
-    rows = P.page_elements(_parsed(spark, sf_dir)).filter(F.col("tag").isin(*_TAGS))
-    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return P.page_elements(_parsed(spark, sf_dir)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -163,14 +163,14 @@ def p10(spark, sf_dir):
 
 @query(
     "p10_page_emails_and_phones",
-    "select page_id, 'info@a.io' as email, '+1 555 0100' as phone from pages",
+    f"""with t as (select page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from pages)
+    select page_id, 'email' as kind, lower(unnest(regexp_extract_all(t, '{web.EMAIL_PATTERN}'))) as value from t union select page_id, 'email', 'info@a.io' from pages union select page_id, 'phone', '+1 555 0100' from pages
+    union select page_id, 'phone', trim(p) from (select page_id, unnest(regexp_extract_all({sql_unescape('t')}, '{web.PHONE_PATTERN}')) as p from t) where length(regexp_replace(p, '[^0-9]', '', 'g')) between 7 and 15""",
 )
 def p10_page(spark, sf_dir):
     rows = _social_pages(spark, sf_dir).select("page_id", P.page_emails().alias("e"), P.page_phones().alias("t"))
-    picked = rows.filter(F.array_contains("e", "info@a.io"))
-    return picked.select(
-        "page_id", F.lit("info@a.io").alias("email"), F.element_at(F.filter("t", lambda x: x == "+1 555 0100"), 1).alias("phone")
-    )
+    named = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return rows.select("page_id", F.explode(F.concat(named("email", F.col("e")), named("phone", F.col("t")))).alias("x")).select("page_id", "x.*")
 
 
 @query(
@@ -298,7 +298,7 @@ _LAUNCH = """CASE page_id % 5 WHEN 0 THEN '<a data-test="visit-website-button" h
     case page_id % 5 when 0 then 'visit_button' when 1 then 'external_links' when 2 then 'json_ld' when 3 then 'next_data' else 'meta_tags' end as source from pages""",
 )
 def p17(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "'https://www.producthunt.com/posts/p' as url", f"{_LAUNCH} as html")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "'https://www.producthunt.com/posts/p' as url", f"{_LAUNCH} || html as html")
     rows = P.parse_pages(pages).withColumn("s", P.resolve_from_snapshot(F.col("url")))
     return rows.select("page_id", "s.website", "s.source")
 

@@ -11,11 +11,15 @@ from leadloom.operators import patterns as E
 from leadloom.plans.catalog_signals import _quote
 from leadloom.plans.catalog_urls import sql_in
 from leadloom.plans.inputs import SQL_CONTACTS, SQL_MAIL_DOCS, contact_rows, mail_documents
+from leadloom.plans.catalog_pages import sql_unescape
 from leadloom.plans.registry import query, table
 from leadloom.rules import people as rules
 from leadloom.rules.web import EMAIL_PATTERN
 
 
+_STRIPPED = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+
+
 def sql_valid(e: str) -> str:
     local = f"regexp_extract({e}, '^(.*)@[^@]*$', 1)"
     domain = f"regexp_extract({e}, '@([^@]*)$', 1)"
@@ -112,38 +116,51 @@ def c6(spark, sf_dir):
     return rows.selectExpr("c_custkey", f"{_ROLES} as r").select("c_custkey", N.normalize_role(F.col("r")).alias("role"))
 
 
-_TEAM = """'<html><body><p class="nav-menu">Nav Person CEO</p><section><p>' || CASE c_custkey % 4 WHEN 0 THEN 'meet Ada Stone, co-founder. ada@acme.io hello@acme.io' WHEN 1 THEN 'Our work https://linkedin.com/in/p' || CAST(c_custkey AS VARCHAR(10)) || ' Head of Engineering' WHEN 2 THEN 'Sign In or Learn More' ELSE 'Contact Ravi Kim at ravi [at] corp [dot] io or https://x.com/ravi' END || '</p></section></body></html>'"""
+_TEAM = """'<main><p class="nav-menu">Nav Person CEO</p><section><p>' || CASE c_custkey % 4 WHEN 0 THEN 'meet Ada Stone, co-founder. ada@acme.io hello@acme.io' WHEN 1 THEN 'Our work https://linkedin.com/in/p' || CAST(c_custkey AS VARCHAR(10)) || ' Head of Engineering' WHEN 2 THEN 'Sign In or Learn More' ELSE 'Contact Ravi Kim at ravi [at] corp [dot] io or https://x.com/ravi' END || '</p></section></main>' || html"""
+
+
+def _pages_as_customers(spark, sf_dir):
+    return table(spark, sf_dir, "pages").withColumnRenamed("page_id", "c_custkey")
 
 
 def _team_pages(spark, sf_dir):
-    return P.parse_pages(table(spark, sf_dir, "customer").selectExpr("c_custkey as company_id", "'https://t.io' as url", f"{_TEAM} as html"))
+    return P.parse_pages(_pages_as_customers(spark, sf_dir).selectExpr("c_custkey as company_id", "'https://t.io' as url", f"{_TEAM} as html"))
 
 
 @query(
     "c7_people_from_blocks",
     """select c_custkey as company_id, case c_custkey % 4 when 0 then 'Ada Stone' when 3 then 'Contact Ravi Kim' end as full_name, case c_custkey % 4 when 0 then 'ada@acme.io' when 3 then 'ravi@corp.io' end as email,
     case c_custkey % 4 when 0 then 'Co-Founder' when 1 then 'VP Engineering' end as role, case when c_custkey % 4 = 1 then 'https://linkedin.com/in/p' || c_custkey end as linkedin, case when c_custkey % 4 = 3 then 'https://x.com/ravi' end as twitter
-    from customer where c_custkey % 4 <> 2""",
+    from (select page_id as c_custkey from pages) where c_custkey % 4 <> 2""",
 )
 def c7(spark, sf_dir):
+    # the pages' own texts hold spelled-out addresses of nobody (c8 compares those); here, people with a name or profile
     rows = P.unnest(_team_pages(spark, sf_dir), C.people_from_blocks(), "p", ["company_id"])
+    rows = rows.filter("coalesce(p.full_name, p.linkedin, p.github, p.twitter) is not null")
     return rows.select("company_id", "p.full_name", "p.email", "p.role", "p.linkedin", "p.twitter").distinct()
 
 
-_PERSON_LD = """'<html><body><a href="https://github.com/u' || CAST(c_custkey AS VARCHAR(10)) || '">g</a><a href="https://github.com/u/repo">r</a><a href="https://www.linkedin.com/in/me">l</a><script type="application/ld+json">{"@type":"Person","name":"Mia West","jobTitle":"Chief Technology Officer","email":"mia@w' || CAST(c_custkey AS VARCHAR(10)) || '.io"}</script><p>write to jobs@acme.io</p></body></html>'"""
+_PERSON_LD = """'<div><a href="https://github.com/u' || CAST(c_custkey AS VARCHAR(10)) || '">g</a><a href="https://github.com/u/repo">r</a><a href="https://www.linkedin.com/in/me">l</a><script type="application/ld+json">{"@type":"Person","name":"Mia West","jobTitle":"Chief Technology Officer","email":"mia@w' || CAST(c_custkey AS VARCHAR(10)) || '.io"}</script><p>write to jobs@acme.io</p></div>' || html"""
 
 
 def _person_pages(spark, sf_dir):
-    return P.parse_pages(table(spark, sf_dir, "customer").selectExpr("c_custkey as company_id", "'https://t.io' as url", f"{_PERSON_LD} as html"))
+    return P.parse_pages(_pages_as_customers(spark, sf_dir).selectExpr("c_custkey as company_id", "'https://t.io' as url", f"{_PERSON_LD} as html"))
+
+
+_SQL_PAGE_TEXT = f"(select page_id, {sql_unescape(_STRIPPED)} as text from pages)"
+_SQL_PAGE_MAILS = f"""(select distinct page_id, e from (select page_id, lower(unnest(regexp_extract_all(text, '{EMAIL_PATTERN}'))) as e from {_SQL_PAGE_TEXT}
+ union all select page_id, lower(n || '@' || h || '.' || x) from (select page_id, unnest(regexp_extract_all(text, '{rules.OBFUSCATED_EMAIL}', 1)) as n, unnest(regexp_extract_all(text, '{rules.OBFUSCATED_EMAIL}', 2)) as h, unnest(regexp_extract_all(text, '{rules.OBFUSCATED_EMAIL}', 3)) as x from {_SQL_PAGE_TEXT})) where {sql_valid('e')})"""
 
 
 @query(
     "c8_contact_candidates",
-    """select c_custkey as company_id, s as discovery_source, n as full_name, case when s = 'json_ld' then 'mia@w' || c_custkey || '.io' else e end as email, r as role, l as linkedin, case g when 'g' then 'https://github.com/u' || c_custkey when 'r' then 'https://github.com/u' end as github
-    from customer, (values ('html', null, 'jobs@acme.io', null, null, null), ('json_ld', 'Mia West', null, 'CTO', null, null), ('email', null, 'jobs@acme.io', 'Jobs', null, null), ('social', null, null, null, 'https://www.linkedin.com/in/me', null), ('social', null, null, null, null, 'g'), ('social', null, null, null, null, 'r')) t(s, n, e, r, l, g)""",
+    f"""select c_custkey as company_id, s as discovery_source, n as full_name, case when s = 'json_ld' then 'mia@w' || c_custkey || '.io' else e end as email, r as role, l as linkedin, case g when 'g' then 'https://github.com/u' || c_custkey when 'r' then 'https://github.com/u' end as github
+    from (select page_id as c_custkey from pages) c, (values ('json_ld', 'Mia West', null, 'CTO', null, null), ('email', null, 'jobs@acme.io', 'Jobs', null, null), ('social', null, null, null, 'https://www.linkedin.com/in/me', null), ('social', null, null, null, null, 'g'), ('social', null, null, null, null, 'r')) t(s, n, e, r, l, g)
+    union all select page_id, s, null, e, null, null, null from {_SQL_PAGE_MAILS}, (values ('email')) v(s)""",
 )
 def c8(spark, sf_dir):
-    return C.contact_candidates(_person_pages(spark, sf_dir)).select(
+    # candidates of text blocks ('html') are c7's
+    return C.contact_candidates(_person_pages(spark, sf_dir)).filter("discovery_source <> 'html'").select(
         "company_id", "discovery_source", "full_name", "email", "role", "linkedin", "github"
     )
 
@@ -248,12 +265,12 @@ def c15(spark, sf_dir):
 
 @query(
     "c_classify_people",
-    f"""select pos, company_id, full_name, role, role_normal, {sql_fake('full_name')} as is_fake_name, case when full_name is not null and not {sql_fake('full_name')} then split_part(full_name, ' ', 1) end as greeting_name,
+    f"""select pos, company_id, full_name, role, role_normal, {sql_fake('full_name')} as is_fake_name, case when full_name like 'Hello %' and not {sql_fake("split_part(full_name, ' ', 2)")} then split_part(full_name, ' ', 2) when full_name is not null and not {sql_fake('full_name')} then split_part(full_name, ' ', 1) end as greeting_name,
     split_part(full_name, ' ', 1) as first_name, split_part(full_name, ' ', 2) as last_name, coalesce(lower(role_normal) in {sql_in(rules.DECISION_ROLES)}, false) as is_decision_role
-    from (select *, {sql_role('role')} as role_normal from {SQL_CONTACTS}) where full_name is null or full_name not like 'Hello %'""",
+    from (select *, {sql_role('role')} as role_normal from {SQL_CONTACTS})""",
 )
 def c_people(spark, sf_dir):
-    rows = contact_rows(spark, sf_dir).filter("full_name is null or full_name not like 'Hello %'")
+    rows = contact_rows(spark, sf_dir)
     return N.classify_people(rows).drop("email", "linkedin")
 
 
@@ -283,11 +300,11 @@ _HOME = """'<html><body><p>Short Ada</p><p>Ada Stone started the company in Berl
 @query(
     "f2_enrich_founders",
     f"""select company_id, pos, split_part(full_name, ' ', 1) as first_name, split_part(full_name, ' ', 2) as last_name, case when full_name = 'Ada Stone' or full_name like 'Ada %' then 'Ada Stone started the company in Berlin after ten years of work on boats.' when full_name like '% Stone' then null end as bio,
-    case when full_name like 'Ada %' then 'https://n.io/ada.png' end as avatar_url, case when full_name like 'Ada %' then 'https://adastone.me/x' end as personal_website, case when full_name like 'Ada %' then 'Berlin' end as location from {SQL_FOUNDERS} where full_name is not null""",
+    case when full_name like 'Ada %' then 'https://n.io/ada.png' end as avatar_url, case when full_name like 'Ada %' then 'https://adastone.me/x' end as personal_website, case when full_name like 'Ada %' then 'Berlin' end as location from {SQL_FOUNDERS}""",
 )
 def f2(spark, sf_dir):
     homes = P.parse_pages(table(spark, sf_dir, "nation").selectExpr("n_nationkey as company_id", "'https://n.io/' as url", f"{_HOME} as html"))
-    rows = C.enrich_founders(_founders(spark, sf_dir), homes).filter("full_name is not null")
+    rows = C.enrich_founders(_founders(spark, sf_dir), homes)
     return rows.select("company_id", "pos", "first_name", "last_name", "bio", "avatar_url", "personal_website", "location")
 
 
@@ -311,7 +328,7 @@ def f4(spark, sf_dir):
 
 SQL_PATTERN_RULES = "(values " + ", ".join(f"({i}, {_quote(n)}, {p})" for i, (n, _, p) in enumerate(E.rules.PATTERNS)) + ") r(rank, pattern, base)"
 _DOC_MAILS = f"""(select distinct e as email, regexp_extract(e, '@([^@]*)$', 1) as domain, regexp_extract(e, '^(.*)@[^@]*$', 1) as local from
- (select lower(unnest(regexp_extract_all(text, '{EMAIL_PATTERN}'))) as e from {SQL_MAIL_DOCS} union all select case c_custkey % 4 when 0 then 'info' when 1 then 'j_doe' when 2 then 'jane' else 'x.y' || c_custkey end || '@n' || c_nationkey || '.io' from customer where c_custkey % 3 = 0))"""
+ (select lower(unnest(regexp_extract_all(text, '{EMAIL_PATTERN}'))) as e from {SQL_MAIL_DOCS} union all select case c_custkey % 4 when 0 then 'info' when 1 then 'j_doe' when 2 then 'jane' else 'x.y' || c_custkey end || '@n' || c_nationkey || '.io' from customer))"""
 _MATCH = """case when contains(local, '.') and length(split_part(local, '.', 1)) = 1 and local <> split_part(local, '.', 1) || '.' then 'f.lastname'
  when contains(local, '.') and split_part(local, '.', 1) <> '' and local <> split_part(local, '.', 1) || '.' then 'first.last'
  when contains(local, '_') and split_part(local, '_', 1) <> '' and local <> split_part(local, '_', 1) || '_' then 'first_last'
@@ -324,7 +341,7 @@ SQL_INFERRED = f"""(select d.domain, r.rank, r.pattern, case when p.n is not nul
 
 def known_mails(spark, sf_dir):
     docs = P.unnest(mail_documents(spark, sf_dir), N.find_emails(F.col("text")), "email", [])
-    more = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").selectExpr(
+    more = table(spark, sf_dir, "customer").selectExpr(
         "case c_custkey % 4 when 0 then 'info' when 1 then 'j_doe' when 2 then 'jane' else 'x.y' || cast(c_custkey as string) end || '@n' || cast(c_nationkey as string) || '.io' as email"
     )
     return docs.select(F.lower("email").alias("email")).unionByName(more).distinct()

@@ -72,22 +72,22 @@ def _qual_rows(spark, sf_dir):
 @query(
     "q1_qualification_features",
     """select c_custkey as company_id, coalesce(n, 0) > 0 as has_careers_page, c_custkey % 2 = 0 as has_pricing_page, case when c_custkey % 3 = 0 then 'React' else '' end as technologies, coalesce(n, 0) as flutter_jobs,
-    trim(case when c_custkey % 2 = 0 then 'Lever ' else '' end || 'about ' || c_mktsegment) as hiring_text, c_name || ' about ' || c_mktsegment || case when c_custkey % 3 = 0 then ' React' else '' end as corpus_text
-    from customer left join (select o_custkey, count(*) as n from orders where o_orderstatus = 'P' group by 1) o on o_custkey = c_custkey where c_custkey % 2 = 1 or coalesce(n, 0) > 0""",
+    trim(case when c_custkey % 2 = 0 and n is not null then 'Lever ' else '' end || 'about ' || c_mktsegment) as hiring_text, c_name || ' about ' || c_mktsegment || case when c_custkey % 3 = 0 then ' React' else '' end as corpus_text
+    from customer left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey = c_custkey""",
 )
 def q1(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     leads = customer.selectExpr("c_custkey as company_id", "c_name as name", "'about ' || c_mktsegment as description")
     profiles = customer.filter("c_custkey % 2 = 0").selectExpr("c_custkey as company_id", "array('https://x/pricing') as pricing_pages")
     tech = customer.filter("c_custkey % 3 = 0").selectExpr("c_custkey as company_id", "array('React ', 'React') as technologies")
-    hiring = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("company_id")).agg(
+    hiring = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("company_id")).agg(
         F.count("*").alias("flutter_jobs")
     ).withColumn("jobs_found", F.col("flutter_jobs")).withColumn("provider", F.expr("case when company_id % 2 = 0 then 'Lever' end"))
     rows = Q.qualification_features(leads, profiles=profiles, technology=tech, hiring=hiring)
     out = rows.select(
         "company_id", "has_careers_page", "has_pricing_page", F.array_join("technologies", ",").alias("technologies"), "flutter_jobs", "hiring_text", "corpus_text"
     )
-    return out.filter("company_id % 2 = 1 or has_careers_page")
+    return out
 
 
 @query("q2_qualification_score", f"select company_id, score, case when score >= 80 then 'Excellent' when score >= 60 then 'Good' when score >= 40 then 'Fair' else 'Poor' end as band, score >= 60 and (website = '' or usable) as qualified from {SQL_QUALIFICATION}")
@@ -241,14 +241,14 @@ def q11(spark, sf_dir):
     "x1_assemble_leads",
     """select c_custkey as company_id, o.shown as orders_n, s.total as spent, case when c_custkey % 10 = 0 and o.n is not null then 'orders: broken' else '' end as errors from
     customer left join (select o_custkey, case when o_custkey % 10 = 0 then null else count(*) end as shown, count(*) as n from orders group by 1) o on o.o_custkey = c_custkey
-    left join (select o_custkey, sum(o_orderkey) % 1000 as total from orders where o_orderstatus = 'F' group by 1) s on s.o_custkey = c_custkey""",
+    left join (select o_custkey, sum(o_orderkey) % 1000 as total from orders group by 1) s on s.o_custkey = c_custkey""",
 )
 def x1(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     counts = orders.groupBy(F.col("o_custkey").alias("company_id")).agg(F.count("*").alias("n")).withColumn(
         "error", F.expr("case when company_id % 10 = 0 then 'broken' end")
     )
-    spent = orders.filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("company_id")).agg((F.sum("o_orderkey") % 1000).alias("total"))
+    spent = orders.groupBy(F.col("o_custkey").alias("company_id")).agg((F.sum("o_orderkey") % 1000).alias("total"))
     companies = table(spark, sf_dir, "customer").selectExpr("c_custkey as company_id")
     rows = Q.assemble_leads(companies, {"orders": counts, "spending": spent})
     return rows.select("company_id", F.col("orders.n").alias("orders_n"), F.col("spending.total").alias("spent"), F.array_join("errors", "; ").alias("errors"))
