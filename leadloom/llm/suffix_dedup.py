@@ -2,9 +2,11 @@
 refinement of text windows and removed.
 
 A window is a string of ``length`` (50) bytes. Its anchor is its q-gram of least hash, so equal windows have equal
-anchors, wherever they stand. Neighbouring windows with one anchor form a piece; pieces go to the shard of their
-anchor, and there, as in the chunk where they were cut, equal windows meet. Buckets of pieces start from the anchor's
-q-gram and are refined by the bytes beside it; what is left in common is sorted out exactly by bucket pointers.
+anchors, wherever they stand. Neighbouring windows with one anchor form a piece. Documents are dealt into blocks, once
+for all steps (the exchange is reused): first only the anchors' hashes meet, to tell each block which of its anchors
+occur in other documents; then pieces with such an anchor go to the shard of their anchor, and there, as in the chunk
+where they were cut, equal windows meet. Buckets of pieces start from the anchor's q-gram and are refined by the bytes
+beside it; what is left in common is sorted out exactly by bucket pointers.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import id_and_text
 
 Q = 16
-#: Bytes of text that are cut into pieces at once, and of pieces that one shard holds on average.
-CHUNK, SHARD = 3_000_000, 16_000_000
+#: Bytes of text that are cut into pieces at once, that a block holds, and for which there is a shard.
+CHUNK, BLOCK, SHARD = 3_000_000, 4_000_000, 16_000_000
 LAST = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -100,10 +102,19 @@ def cut(texts: list[tuple[bytes, int, int, int]], length: int) -> Pieces:
     return Pieces(buf, start, counts, anchor[start] - start, column(1), column(2), column(3) + start - (end - sizes)[owner])
 
 
-def shard_of(p: Pieces, shards: int) -> np.ndarray:
+def anchor_hash(p: Pieces) -> np.ndarray:
     a = p.off + p.anchor
     word = lambda at: np.ndarray((len(p.buf) - 7,), "<u8", p.buf, strides=(1,))[at]
-    return (_mix(word(a) * _M1 + _mix(word(a + 8))) % np.uint64(shards)).astype(np.int64)
+    return _mix(word(a) * _M1 + _mix(word(a + 8)))
+
+
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (hashes % np.uint64(shards)).astype(np.int64)
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """What is kept of a hash to ask for other anchors like it; a chance match only sends a piece in vain."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 # --- buckets ----------------------------------------------------------------------------------------------
@@ -247,64 +258,107 @@ def unpack(blobs: list[bytes], length: int) -> Pieces:
 
 def _flag_rows(p: Pieces, rows: np.ndarray, first: np.ndarray, n: np.ndarray, blocks: int) -> tuple[list[int], list[bytes]]:
     """Found windows as (document, text hash, place, number), packed by the block that their document belongs to."""
-    block = (p.text_hash[rows] % blocks).astype(np.int64)
+    block = ((p.text_hash[rows] ^ p.doc[rows]) % blocks).astype(np.int64)  # as in remove_repeats
     order = np.argsort(block, kind="stable")
     table = np.stack([p.doc[rows], p.text_hash[rows], p.place[rows] + first, n], axis=1)[order].astype("<i8")
     starts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else order
     return block[order][starts].tolist(), [zstandard.compress(t.tobytes(), 1) for t in np.split(table, starts[1:])] if len(order) else []
 
 
-_STEP = "kind int, bucket long, data binary"  # kind 0: windows found, bucket is a block; kind 1: pieces of a shard
+def _chunks(table: pa.Table, length: int) -> Iterator[Pieces]:
+    """Pieces of a block's documents, about CHUNK bytes at a time; long texts in parts that overlap."""
+    held, size = [], 0
+    columns = (table.column("doc_id").fill_null(LAST).to_pylist(), table.column("text_hash").to_pylist())
+    for text, doc, text_hash in zip(table.column("text").cast(pa.binary()), *columns):
+        raw = text.as_py()
+        for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
+            part = raw[at : at + CHUNK + length - 1]
+            held.append((part, doc, text_hash, at))
+            size += len(part)
+            if size >= CHUNK:
+                yield cut(held, length)
+                held, size = [], 0
+    if held:
+        yield cut(held, length)
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    kind, bucket, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(data, pa.binary())], names=["kind", "bucket", "data"])
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows) for each shard."""
+    order = np.argsort(shard, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(order) else order
+    for i, own in zip(starts, np.split(order, starts[1:]) if len(order) else []):
+        yield int(shard[order[i]]), own
 
 
-def _cut_chunks(length: int, shards: int):
-    def chunk(texts: list) -> Iterator[pa.RecordBatch]:
-        p = cut(texts, length)
-        if not len(p.off):
-            return
-        rows, first, n, flag = repeated(p, length)
-        found = _flag_rows(p, rows[flag], first[flag], n[flag], shards)
-        out = [(0, b, d) for b, d in zip(*found)]
-        alone = np.ones(len(p.off), bool)
-        alone[rows] = False
-        rest = p.take(rows[~flag], first[~flag], n[~flag])
-        plain = p.take(np.flatnonzero(alone))
-        p = Pieces(p.buf, *(np.concatenate([getattr(plain, k), getattr(rest, k)]) for k in ("off", "windows", "anchor", "doc", "text_hash", "place")))
-        shard = shard_of(p, shards)
-        order = np.argsort(shard, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(order) else order
-        for i, own in zip(starts, np.split(order, starts[1:]) if len(order) else []):
-            out.append((1, int(shard[order[i]]), pack(p, own, length)))
-        if out:
-            yield _batch(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            docs = b.column("doc_id").fill_null(LAST).to_pylist()
-            for text, doc, text_hash in zip(b.column("text").cast(pa.binary()), docs, b.column("text_hash").to_pylist()):
-                raw = text.as_py()
-                for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
-                    part = raw[at : at + CHUNK + length - 1]
-                    held.append((part, doc, text_hash, at))
-                    size += len(part)
-                    if size >= CHUNK:
-                        yield from chunk(held)
-                        held, size = [], 0
-        if held:
-            yield from chunk(held)
+def _sorted_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct 32-bit keys as differences, packed."""
+    return zstandard.compress(np.diff(keys, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def _read_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype=np.uint32)
+
+
+def _ask(length: int, shards: int):
+    """The anchors of a block: for each shard those in one document, and those in several."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for p in _chunks(table, length):
+            hashes.append(anchor_hash(p))
+            docs.append(p.doc)
+        h, d = np.concatenate(hashes), np.concatenate(docs)
+        order = np.argsort(h)
+        h, d = h[order], d[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
+        many = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts) if len(h) else np.zeros(0, bool)
+        h = h[starts]
+        rows = [(s, _sorted_keys(np.unique(short(h[own]))), _sorted_keys(np.unique(short(h[own[many[own]]])))) for s, own in _by_shard(shard_of(h, shards))]
+        shard, once, several = zip(*rows) if rows else ([], [], [])
+        return pa.table({"shard": pa.array(shard, pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()), "once": pa.array(once, pa.binary()), "several": pa.array(several, pa.binary())})
+
+    return run
+
+
+def _answer(key: tuple, table: pa.Table) -> pa.Table:
+    """Tells every block which of its anchors in this shard occur in several documents."""
+    mine = [_read_keys(x) for x in table.column("once").to_pylist()]
+    every, count = np.unique(np.concatenate(mine), return_counts=True)
+    several = [_read_keys(x) for x in table.column("several").to_pylist()]
+    shared = np.union1d(every[count > 1], np.concatenate(several))
+    found = [m[np.isin(m, shared, assume_unique=True)] for m in mine]
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "shared": pa.array([_sorted_keys(f) for f in found], pa.binary())})
+
+
+_STEP = "kind int, bucket long, data binary"  # kind 0: windows found, bucket is a block; kind 1: pieces of a shard
+
+
+def _cut_block(length: int, shards: int, blocks: int):
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = [(np.uint64(s) << np.uint64(32)) | _read_keys(x).astype(np.uint64) for s, x in zip(answers.column("shard").to_pylist(), answers.column("shared").to_pylist())]
+        shared = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        out: list[tuple[int, int, bytes]] = []
+        for p in _chunks(table, length) if len(shared) else ():
+            h = anchor_hash(p)
+            asked = (shard_of(h, shards).astype(np.uint64) << np.uint64(32)) | short(h).astype(np.uint64)
+            at = np.minimum(np.searchsorted(shared, asked), len(shared) - 1)
+            p = p.take(np.flatnonzero(shared[at] == asked))
+            rows, first, n, flag = repeated(p, length)
+            out += [(0, b, d) for b, d in zip(*_flag_rows(p, rows[flag], first[flag], n[flag], blocks))]
+            alone = np.ones(len(p.off), bool)
+            alone[rows] = False
+            rest, plain = p.take(rows[~flag], first[~flag], n[~flag]), p.take(np.flatnonzero(alone))
+            p = Pieces(p.buf, *(np.concatenate([getattr(plain, k), getattr(rest, k)]) for k in ("off", "windows", "anchor", "doc", "text_hash", "place")))
+            out += [(1, s, pack(p, own, length)) for s, own in _by_shard(shard_of(anchor_hash(p), shards))]
+        kind, bucket, data = zip(*out) if out else ([], [], [])
+        return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
 def _meet(length: int, blocks: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        kind, bucket, data = (table.column(c).to_pylist() for c in ("kind", "bucket", "data"))
+        kind, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         if kind[0] == 0:
             return table.select(["bucket", "data"])
         p = unpack(data, length)
@@ -325,31 +379,24 @@ def spans_of(place: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _remove(length: int, kept: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, found = None, [], {}
-        for b in batches:
-            out = []
-            for at, doc, text_hash, data, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "text_hash", "data")), b.column("text").cast(pa.binary())):
-                if at != block:
-                    block, parts, found = at, [], None
-                if data is not None:
-                    parts.append(np.frombuffer(zstandard.decompress(data), "<i8").reshape(-1, 4))
-                    continue
-                if found is None:  # a block's windows stand before its documents
-                    table = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-                    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-                    cuts = np.flatnonzero((table[1:, :2] != table[:-1, :2]).any(axis=1)) + 1
-                    found = {(int(t[0, 0]), int(t[0, 1])): t[:, 2:] for t in np.split(table, cuts) if len(t)}
-                    parts = []
-                raw = text.as_py()
-                mine = found.get((LAST if doc is None else doc, text_hash))
-                start, end = spans_of(mine[:, 0], mine[:, 1], length) if mine is not None else (np.zeros(0, np.int64),) * 2
-                rest = b"".join(raw[i:j] for i, j in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
-                out.append((doc, len(raw), len(raw) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), *([rest, [{"start": int(i), "end": int(j)} for i, j in zip(start, end)]] if kept else [])))
-            kinds = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] if kept else [])
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * kept
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+    def run(key: tuple, docs: pa.Table, windows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(zstandard.decompress(x), "<i8").reshape(-1, 4) for x in windows.column("data").to_pylist()]
+        table = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        cuts = np.flatnonzero((table[1:, :2] != table[:-1, :2]).any(axis=1)) + 1
+        found = {(int(t[0, 0]), int(t[0, 1])): t[:, 2:] for t in np.split(table, cuts) if len(t)}
+        out = []
+        for doc, text_hash, text in zip(docs.column("doc_id").to_pylist(), docs.column("text_hash").to_pylist(), docs.column("text").cast(pa.binary())):
+            raw = text.as_py()
+            mine = found.get((LAST if doc is None else doc, text_hash))
+            start, end = spans_of(mine[:, 0], mine[:, 1], length) if mine is not None else (np.zeros(0, np.int64),) * 2
+            rest = b"".join(raw[i:j] for i, j in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
+            row = (doc, len(raw), len(raw) - len(rest), len(start), hashlib.sha256(rest).hexdigest())
+            out.append((*row, rest, [{"start": int(i), "end": int(j)} for i, j in zip(start, end)]) if kept else row)
+        kinds = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] if kept else [])
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * kept
+        columns = zip(*out) if out else [[]] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -367,10 +414,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, kept: bool = True, id_col:
         raise ValueError(f"length must be {Q + 8} or more")
     slim = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-4 * size // SHARD))
-    met = slim.mapInArrow(_cut_chunks(length, shards), _STEP).groupBy("kind", "bucket").applyInArrow(_meet(length, shards), "bucket long, data binary")
-    found = met.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), F.lit(None).cast("string").alias("text"), "data")
-    own = slim.select(F.pmod("text_hash", F.lit(shards)).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text_hash", "text", F.lit(None).cast("binary").alias("data"))
-    both = found.unionByName(own).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    blocks, shards = max(8, -(-size // BLOCK)), max(64, -(-size // SHARD))
+    docs_of = slim.withColumn("block", F.pmod(F.col("text_hash").bitwiseXOR(F.coalesce("doc_id", F.lit(LAST))), F.lit(blocks)))
+    asked = docs_of.groupBy("block").applyInArrow(_ask(length, shards), "shard long, block long, once binary, several binary")
+    answers = asked.groupBy("shard").applyInArrow(_answer, "block long, shard long, shared binary")
+    pieces = docs_of.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut_block(length, shards, blocks), _STEP)
+    found = pieces.groupBy("kind", "bucket").applyInArrow(_meet(length, blocks), "bucket long, data binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * kept
-    return both.mapInArrow(_remove(length, kept), schema)
+    return docs_of.groupBy("block").cogroup(found.groupBy("bucket")).applyInArrow(_remove(length, kept), schema)
