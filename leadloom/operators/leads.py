@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import strip, text_or_empty
+from leadloom.functions.naming import geo_score
 from leadloom.functions.urls import DEFAULT_RULES, UrlRules, canonical_website, is_usable_website, website_identity
 from leadloom.operators.ordering import first_per_key, top_per_key
 
@@ -44,13 +45,23 @@ def union_sources(parts: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def validate_leads(leads: DataFrame, rules: UrlRules = DEFAULT_RULES) -> DataFrame:
-    """Named leads with a usable site, first one per site identity within each source."""
+def validate_leads(leads: DataFrame, rules: UrlRules = DEFAULT_RULES, keep_unusable: bool = False) -> DataFrame:
+    """Named leads with a usable site, first one per site identity within each source.
+
+    With ``keep_unusable`` leads on shared hosts stay, too; their identity is the whole address.
+    """
     rows = leads.withColumns({"name": strip(F.col("name")), "_site": strip(F.col("website"))})
-    usable = rows.filter((text_or_empty(F.col("name")) != "") & is_usable_website(F.col("_site"), rules))
-    keyed = usable.withColumn("identity", website_identity(F.col("_site"), rules)).filter(F.col("identity") != "")
+    usable = is_usable_website(F.col("_site"), rules)
+    identity, site = website_identity(F.col("_site"), rules), canonical_website(F.col("_site"), rules)
+    named = rows.filter(text_or_empty(F.col("name")) != "")
+    if keep_unusable:
+        identity = F.when(usable, identity).otherwise(F.lower(F.rtrim("_site", F.lit("/"))))
+        site = F.when(usable, site).otherwise(F.col("_site"))
+    else:
+        named = named.filter(usable)
+    keyed = named.withColumn("identity", identity).filter(F.col("identity") != "")
     kept = first_per_key(keyed, ["source", "identity"], ["pos"])
-    return kept.withColumn("website", canonical_website(F.col("_site"), rules)).drop("_site")
+    return kept.withColumn("website", site).drop("_site")
 
 
 def _identity(leads: DataFrame, rules: UrlRules) -> DataFrame:
@@ -174,16 +185,18 @@ def collect_leads(
     per_source: int | Mapping[str, int] | None = None,
     run_limit: int | None = None,
     rules: UrlRules = DEFAULT_RULES,
+    keep_unusable: bool = False,
 ) -> DataFrame:
-    """Daily collection: validate, merge, dedupe; top-n per source and per run only where asked.
+    """Daily collection: score again, validate, merge, dedupe; top-n per source and per run only where asked.
 
     Without a limit no window runs over a source, however large it is.
     """
     merged = union_sources(parts)
+    merged = with_score(merged, geo_score(F.col("website"), F.lit(""), F.concat_ws(" ", "description", "name")))
     if per_source is not None:
         ranked = limit_per_source(merged, per_source)
         merged = ranked.withColumn("pos", F.coalesce(F.col("source_pos").cast("bigint"), "pos"))
-    valid = validate_leads(merged, rules)
+    valid = validate_leads(merged, rules, keep_unusable)
     unique = dedupe_leads(valid, rules)
     return unique if run_limit is None else limit_run(unique, run_limit)
 

@@ -36,7 +36,7 @@ def _run(spark, sf_dir):
     )
     parts = {"a": leads.filter("pos % 2 = 0"), "b": leads.filter("pos % 2 = 1")}
     queue = table(spark, sf_dir, "customer").selectExpr("c_name as company_id", "'SENT' as status", "lower(c_name) || '@x.io' as recipient_email")
-    settings = daily.RunSettings(as_of="2025-07-15 00:00:00", per_source=100_000_000, run_limit=None)
+    settings = daily.RunSettings(as_of="2025-07-15 00:00:00")
     return daily.daily_run(parts, pages, queue, settings)
 
 

@@ -21,11 +21,13 @@ from leadloom.operators import profile as B
 from leadloom.operators import queue as K
 from leadloom.operators import reports as R
 from leadloom.operators import scoring as Q
+from leadloom.operators import store as D
 from leadloom.operators import technology as T
-from leadloom.operators.ordering import first_per_key
+from leadloom.operators.ordering import first_per_key, join_sparse
 from leadloom.rules import company as company_rules
 from leadloom.rules import web
 from leadloom.session import cut_lineage
+from leadloom.sources.normalize import normalize_product_launches
 from leadloom.sources.pages import scan_pages
 
 def site_report(pages: DataFrame) -> DataFrame:
@@ -60,6 +62,7 @@ class RunSettings:
     as_of: str
     per_source: int | None = None
     run_limit: int | None = None
+    most_pages: int | None = None
     min_lead_score: int = 60
     skip_known: bool = True
     sender_name: str = ""
@@ -85,7 +88,8 @@ def enrich(leads: DataFrame, snapshots: DataFrame, most_pages: int | None = None
     index = cut_lineage(P.page_index(snapshots))
     homes = _home_pages(leads, index, snapshots)
     signed = M.detect_mobile(T.detect_technologies(homes), "html")
-    viewport = signed.withColumn("has_viewport", F.contains(F.lower("html"), F.lit("viewport")))
+    failed = F.when(F.col("html").isNull(), F.lit("HTML download failed"))
+    viewport = signed.withColumns({"has_viewport": F.contains(F.lower("html"), F.lit("viewport")), "scan_error": failed})
     home = cut_lineage(
         P.page_regions(P.page_profiles(P.parse_pages(viewport.drop("mobile_signs"))))
     )
@@ -113,21 +117,41 @@ def enrich(leads: DataFrame, snapshots: DataFrame, most_pages: int | None = None
 
     contacts = cut_lineage(C.split_contacts(C.merge_contacts(C.contact_candidates(pages_for("contact")))))
     jobs_raw = H.dedupe_page_jobs(H.extract_jobs(pages_for("hiring"), keys=("company_id", "page_rank")), ("company_id", "page_rank"))
-    jobs = cut_lineage(
+    openings = cut_lineage(
         H.dedupe_jobs(
             jobs_raw.withColumn("pos", F.col("page_rank").cast("bigint") * F.lit(10**9) + F.col("kind") * F.lit(10**7) + F.col("pos"))
         )
     )
+    hiring_links = cut_lineage(
+        pages_for("hiring").select("company_id", "page_rank", F.posexplode(P.page_links(F.col("url"))).alias("link_pos", "link"))
+    )
+    boards = H.ats_board_rows(hiring_links.select("company_id", "link").distinct(), openings)
+    jobs = cut_lineage(openings.unionByName(boards.withColumn("pos", F.lit(10**15)), allowMissingColumns=True))
     careers = home.select("company_id", (F.size("career_pages") > 0).alias("has_careers_page"))
-    hiring = H.hiring_report(jobs, careers)
+    seen = hiring_links.select(
+        "company_id", H.ats_provider(F.col("link")).alias("provider"), (F.col("page_rank").cast("bigint") * F.lit(10**9) + F.col("link_pos")).alias("pos")
+    )
+    sightings = seen.unionByName(openings.select("company_id", "provider", "pos")).filter("provider is not null")
+    hiring = H.hiring_report(jobs, careers, sightings)
     profiles = B.company_profiles(home)
     texts = B.intel_pages(pages_for("intel")).select("company_id", "page_rank", "intel_text")
-    corpus = cut_lineage(B.intel_corpus(texts))
+    tech = F.array_join(F.transform("technologies", lambda t: t["name"]), " ")
+    heads = home.select("company_id", F.concat_ws(" ", "title", "description", tech).alias("text"))
+    listed = jobs.groupBy("company_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct((-F.col("percent")).alias("a"), F.lower("title").alias("b"), "pos", F.concat_ws(" ", "title", F.array_join("matched_keywords", " ")).alias("t")))
+        ).alias("_jobs")
+    )
+    named = home.select("company_id", tech.alias("_tech")).join(listed, "company_id", "left").join(hiring.select("company_id", "provider"), "company_id", "left")
+    tails = named.select("company_id", F.concat_ws(" ", "_tech", F.array_join(F.transform("_jobs", lambda j: j["t"]), " "), "provider").alias("text"))
+    corpus = cut_lineage(B.intel_corpus(texts, heads, tails))
     keywords = B.top_keywords(corpus, "company_id", "corpus")
     first_keyword = keywords.filter("keyword_rank = 1").select("company_id", F.col("token").alias("first_keyword"))
     labelled = B.company_labels(corpus).join(first_keyword, "company_id", "left").join(
         hiring.select("company_id", "jobs_found", "engineering_jobs", "flutter_jobs"), "company_id", "left"
-    ).join(home.select("company_id", (F.size("pricing_pages") > 0).alias("has_pricing_page")), "company_id", "left")
+    ).join(
+        home.select("company_id", (F.size("pricing_pages") > 0).alias("has_pricing_page"), (F.size("json_ld") > 0).alias("has_structured")), "company_id", "left"
+    )
     filled = Q.with_defaults(labelled, {"jobs_found": "0", "engineering_jobs": "0", "flutter_jobs": "0", "has_pricing_page": "false"})
     intelligence = B.label_overrides(filled)
     intelligence = intelligence.withColumns(
@@ -138,8 +162,18 @@ def enrich(leads: DataFrame, snapshots: DataFrame, most_pages: int | None = None
             "opportunities": B.intel_opportunities(F.col("corpus"), F.col("flutter_jobs"), F.col("engineering_jobs")),
             "team_size": B.team_size(F.col("corpus"), F.col("jobs_found"), F.col("engineering_jobs")),
             "maturity": B.maturity(F.col("stage"), F.col("funding")),
+            "confidence": B.intel_confidence(
+                F.col("model"), F.col("customer"), F.col("pricing"), F.col("industry"), F.col("has_pricing_page"),
+                F.col("pages_scanned"), F.col("has_structured"), F.col("jobs_found"),
+            ),
         }
     )
+    page_errors = home.select("company_id", "url", F.coalesce("scan_error", "parse_error").alias("e")).unionByName(
+        more.select("company_id", "url", F.col("parse_error").alias("e"))
+    )
+    errors = page_errors.filter("e is not null").groupBy("company_id").agg(
+        F.array_sort(F.collect_set(F.concat_ws(": ", "url", "e"))).alias("errors")
+    )
     ranked = contacts.withColumn("pos", F.col("first_pos"))
     founders = C.score_founders(C.enrich_founders(C.select_founders(ranked), home, C.contact_lists(contacts), keywords))
     return {
@@ -153,6 +187,7 @@ def enrich(leads: DataFrame, snapshots: DataFrame, most_pages: int | None = None
         "hiring": hiring,
         "profiles": profiles,
         "intelligence": intelligence,
+        "errors": errors,
     }
 
 
@@ -208,11 +243,19 @@ def score(leads: DataFrame, reports: Mapping[str, DataFrame], as_of: str) -> Dat
     )
 
 
-def outreach(scored: DataFrame, reports: Mapping[str, DataFrame], settings: RunSettings, queue: DataFrame, mail_verdicts: DataFrame | None = None) -> DataFrame:
-    """Message texts, recipient and gate outcome per company."""
+def outreach(
+    scored: DataFrame, reports: Mapping[str, DataFrame], settings: RunSettings, queue: DataFrame,
+    mail_verdicts: DataFrame | None = None, mailbox_verdicts: DataFrame | None = None, answers: DataFrame | None = None,
+) -> DataFrame:
+    """Message texts, recipient and gate outcome per company.
+
+    Verdicts are looked up by mail domain (domain, mx_ok) and by address (email, mailbox_ok); ``answers`` are model
+    texts (company_id, raw), used where they pass the checks.
+    """
     c = F.col
     mode = O.outreach_mode(c("flutter_jobs"), c("mobile_jobs"), c("jobs_found"), (c("engineering_jobs") > 0) | c("has_engineering_careers_page"), c("has_mobile_app"))
-    staged = scored.withColumns({"outreach_mode": mode, "has_errors": F.lit(False), "has_contacts": F.coalesce(c("contact_count") > 0, F.lit(False))})
+    failing = scored.join(reports["errors"], "company_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
+    staged = failing.withColumns({"outreach_mode": mode, "has_errors": F.size("errors") > 0, "has_contacts": F.coalesce(c("contact_count") > 0, F.lit(False))})
     best = C.best_contact(reports["contacts"]).withColumn("contact_name", C.normalize_person_name(c("full_name")))
     plain = reports["contact_lists"].filter("kind = 'email'").select("company_id", c("value").alias("email"))
     recipients = O.pick_recipient(staged.select("company_id", "outreach_mode"), reports["contacts"], best, plain)
@@ -237,46 +280,108 @@ def outreach(scored: DataFrame, reports: Mapping[str, DataFrame], settings: RunS
         "product_description", F.coalesce(blank_to_null(c("short_description")), blank_to_null(c("description")), c("company_summary"))
     )
     mails = O.fallback_emails(texts)
+    if answers is not None:
+        mails = O.check_generated(answers.join(mails.select("company_id", "company_name"), "company_id"), mails)
     known = K.known_companies(mails.select("company_id", "website"), queue, "company_id", settings.skip_known).withColumn("known_company", F.lit(True))
     gate_in = K.known_recipients(mails.join(known, "company_id", "left"), queue).withColumn("has_opportunity", c("outreach_mode") != "none")
     if mail_verdicts is not None:
         domain = F.lower(F.regexp_extract(text_or_empty(c("recipient_email")), "@([^@]*)$", 1))
         gate_in = gate_in.withColumn("domain", domain).join(mail_verdicts.select("domain", "mx_ok"), "domain", "left")
+    if mailbox_verdicts is not None:
+        checked = mailbox_verdicts.groupBy(F.lower("email").alias("_mail_key")).agg(F.bool_and("mailbox_ok").alias("mailbox_ok"))
+        gate_in = join_sparse(gate_in.withColumn("_mail_key", F.lower(F.trim("recipient_email"))), checked, ["_mail_key"]).drop("_mail_key")
     return K.queue_gate(gate_in)
 
 
+STORE_SCHEMAS = {
+    "companies": "company_id string, name string, website string, source string, description string, tags array<string>",
+    "contacts": "id string, company_id string, email string, full_name string, role string, linkedin string",
+    "founders": "id string, company_id string, email string, full_name string, role string, linkedin string",
+    "jobs": "company_id string, job_key string, title string, url string, provider string",
+}
+PEOPLE_LADDER = (("company_id", "email"), ("company_id", "linkedin"), ("company_id", "full_name"))
+
+
+def persist(outcomes: DataFrame, reports: Mapping[str, DataFrame], store: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The stored tables after a run, and ``actions`` (table, company_id, action), one row per written row.
+
+    Companies and openings are upserted by key, people by the first rung of a ladder that finds them; tags keep what
+    was there. Nothing is written here: the caller saves the tables.
+    """
+    spark = outcomes.sparkSession
+    old = {n: (store or {}).get(n, spark.createDataFrame([], schema)) for n, schema in STORE_SCHEMAS.items()}
+    tech = F.transform(F.coalesce("technologies", F.array().cast("array<string>")), lambda t: t)
+    before = old["companies"].select("company_id", F.col("tags").alias("_tags"))
+    batch = outcomes.join(before, "company_id", "left").select(
+        "company_id", "name", "website", "source", "description", D.merge_tags(F.col("_tags"), F.col("industry"), tech).alias("tags")
+    )
+    companies = D.upsert(old["companies"], batch, ["company_id"], ["website"])
+    openings = reports["jobs"].withColumn("job_key", H.job_key(F.col("url"), F.col("title")))
+    jobs = D.upsert(old["jobs"], openings.select("company_id", "job_key", "title", "url", "provider", "percent", "pos"), ["company_id", "job_key"], [F.desc("percent"), "pos"])
+    after = {"companies": companies.drop("action"), "jobs": jobs.drop("action")}
+    actions = companies.select(F.lit("companies").alias("table"), "company_id", "action").unionByName(
+        jobs.select(F.lit("jobs").alias("table"), "company_id", "action")
+    ).filter("action <> 'kept'")
+    people = {
+        "contacts": reports["contacts"].withColumn("pos", F.col("first_pos")),
+        "founders": reports["founders"],
+    }
+    for name, rows in people.items():
+        named = rows.select("company_id", "email", "full_name", "role", "linkedin", "pos").withColumn(
+            "full_name", D.contact_name(F.col("full_name"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("email"))
+        )
+        resolved = cut_lineage(D.upsert_ladder(old[name], named, PEOPLE_LADDER, "full_name"))
+        after[name] = D.apply_ladder(old[name], resolved)
+        actions = actions.unionByName(resolved.select(F.lit(name).alias("table"), "company_id", "action"))
+    return {**{f"stored_{n}": t for n, t in after.items()}, "actions": actions}
+
+
+def launch_leads(items: DataFrame, snapshots: DataFrame, as_of: str) -> DataFrame:
+    """Launch items as leads; redirects are answered by the snapshots of their launch pages (column redirect)."""
+    return normalize_product_launches(items, P.resolve_redirects(P.parse_pages(snapshots)), as_of)
+
+
 def daily_run(
-    parts: Mapping[str, DataFrame], snapshots: DataFrame, queue: DataFrame, settings: RunSettings, mail_verdicts: DataFrame | None = None
-) -> dict[str, DataFrame]:
-    """Collect, enrich, score, write texts and gate: every table of one run, nothing is delivered.
+    parts: Mapping[str, DataFrame], snapshots: DataFrame, queue: DataFrame, settings: RunSettings,
+    mail_verdicts: DataFrame | None = None, mailbox_verdicts: DataFrame | None = None, answers: DataFrame | None = None,
+    store: Mapping[str, DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """Collect, enrich, score, write texts, gate and persist: every table of one run, nothing is delivered.
 
-    Unusable sites take the short way: scored, warned, not enriched.
+    Unusable sites take the short way: scored, warned, not enriched. The statistics count what happened: written
+    companies, messages with a body, page errors.
     """
-    merged = L.collect_leads(parts, settings.per_source, settings.run_limit)
+    merged = L.collect_leads(parts, settings.per_source, settings.run_limit, keep_unusable=True)
     keyed = merged.withColumn("company_id", company_key(F.col("identity")))
-    leads = cut_lineage(K.without_known_companies(keyed, queue, "company_id", settings.skip_known))
-    sized = scan_pages(snapshots)
-    reports = enrich(leads, sized)
-    scored = cut_lineage(score(leads.drop("score"), reports, settings.as_of))
-    outcomes = cut_lineage(outreach(scored, reports, settings, queue, mail_verdicts))
-    flat = outcomes.select(
-        "company_id", "source", F.lit(True).alias("persisted"), "qualified", F.lit(True).alias("emails_generated"),
-        (F.col("outcome") == "queued").alias("queued"), F.lit(True).alias("success"),
-        F.when(F.col("outcome") == "queued", F.lit(None).cast("string")).otherwise(F.col("outcome")).alias("skip_reason"),
+    leads = cut_lineage(L.enrichment_gate(K.without_known_companies(keyed, queue, "company_id", settings.skip_known)))
+    reports = enrich(leads.filter("enrich"), scan_pages(snapshots), settings.most_pages)
+    scored = cut_lineage(score(leads.drop("score", "enrich"), reports, settings.as_of))
+    outcomes = cut_lineage(outreach(scored, reports, settings, queue, mail_verdicts, mailbox_verdicts, answers))
+    stored = persist(outcomes, reports, store)
+    written = stored["actions"].filter("table = 'companies'").select("company_id", F.lit(True).alias("persisted"))
+    flat = outcomes.join(written, "company_id", "left").select(
+        "company_id", "source", F.coalesce("persisted", F.lit(False)).alias("persisted"), "qualified",
+        (text_or_empty(F.col("email_body")) != "").alias("emails_generated"), (F.col("outcome") == "queued").alias("queued"),
+        (F.size("errors") == 0).alias("success"),
+        F.when(F.col("outcome") != "queued", F.col("outcome")).alias("skip_reason"),
     )
     return {
         **reports,
+        **stored,
         "leads": leads,
         "scored": scored,
         "outcomes": outcomes,
         "queue_rows": K.append_rows(outcomes.filter(F.col("outcome") == "queued"), settings.sender_name),
         "statistics": R.run_statistics(flat),
+        "persist_statistics": R.persist_statistics(stored["actions"]),
     }
 
 
 def validation_run(seeds: DataFrame, snapshots: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """Check run over seeds: flat rows, summary and report text, no queue."""
-    rows = seeds.withColumns({"identity": website_identity(F.col("website")), "source_rank": F.lit(1), "pos": F.xxhash64("website")})
+    """Check run over seeds: flat rows, summary and report text, no queue. Of seeds with one site the first by ``pos`` counts
+    (without one: in the order of the input)."""
+    placed = seeds if "pos" in seeds.columns else seeds.withColumn("pos", F.monotonically_increasing_id())
+    rows = placed.withColumns({"identity": website_identity(F.col("website")), "source_rank": F.lit(1)})
     unique = L.dedupe_leads(rows)
     leads = cut_lineage(unique.withColumn("company_id", company_key(F.col("identity"))))
     reports = enrich(leads, scan_pages(snapshots))

@@ -25,10 +25,15 @@ def test_three_sites(spark):
     )
     parts = {s: leads.filter(leads.source == s).drop("source") for s in ("rss", "hn")}
     queue = spark.createDataFrame([("known.io", "SENT", "x@known.io")], "company_id string, status string, recipient_email string")
-    run = daily.daily_run(parts, snapshots, queue, daily.RunSettings(as_of="2025-07-15 00:00:00", sender_name="Mia"))
+    verdicts = spark.createDataFrame([("Jane.Stone@acme.io", True)], "email string, mailbox_ok boolean")
+    store = {"companies": spark.createDataFrame([("old", "Old", "old.io", "rss", None, ["x"])], daily.STORE_SCHEMAS["companies"])}
+    settings = daily.RunSettings(as_of="2025-07-15 00:00:00", sender_name="Mia")
+    run = daily.daily_run(parts, snapshots, queue, settings, mailbox_verdicts=verdicts, store=store)
 
     got = {r["website"]: r for r in run["outcomes"].collect()}
-    assert set(got) == {"acme.io", "quiet.io"}
+    assert set(got) == {"acme.io", "quiet.io", "https://blog.x.io"}
+    blog = got["https://blog.x.io"]  # unusable: scored and warned, not enriched
+    assert len(blog["warnings"]) >= 1 and blog["outcome"] == "no_recipient" and blog["lead_score"] is not None
     acme, quiet = got["acme.io"], got["quiet.io"]
     assert acme["name"] == "Acme" and acme["outcome"] == "queued" and acme["recipient_email"] == "jane.stone@acme.io"
     assert acme["outreach_mode"] == "hiring" and acme["lead_score"] == 100 and acme["priority"] == "Critical"
@@ -37,6 +42,12 @@ def test_three_sites(spark):
     row = run["queue_rows"].first()
     assert row["status"] == "PENDING" and row["body"].startswith("Hi Jane,") and row["body"].endswith("Best regards,\nMia")
     stats = run["statistics"].first()
-    assert (stats["processed"], stats["queued"], stats["skipped_no_opportunity"]) == (2, 1, 1)
+    assert (stats["processed"], stats["queued"], stats["skipped_no_opportunity"], stats["skipped_no_recipient"], stats["persisted"], stats["failed"]) == (3, 1, 1, 1, 3, 0)
+    saved = {r["table"]: r for r in run["persist_statistics"].collect()}
+    assert saved["companies"]["created"] == 3 and saved["contacts"]["created"] >= 1 and saved["jobs"]["created"] >= 1
+    companies = {r["website"]: r for r in run["stored_companies"].collect()}
+    assert set(companies) == {"old.io", *got} and "tech:Stripe" in companies["acme.io"]["tags"]
+    corpus = run["intelligence"].filter("corpus like '%senior flutter engineer%'").first()
+    assert "greenhouse" in corpus["corpus"] and corpus["confidence"] > 15
     founder = run["founders"].first()
     assert (founder["full_name"], founder["role"]) == ("Jane Stone", "Founder")
