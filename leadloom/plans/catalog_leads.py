@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadloom.functions import naming
@@ -10,6 +12,7 @@ from leadloom.plans.catalog_urls import CANONICAL, IDENTITY, USABLE, sql_host
 from leadloom.plans.inputs import SQL_URLS, url_rows
 from leadloom.plans.registry import query, table
 from leadloom.rules import web
+from leadloom.session import ensure_checkpoint_dir
 from leadloom.sources import feeds, normalize, pages as page_sources, store
 
 AS_OF = "2025-01-01 00:00:00"
@@ -37,12 +40,33 @@ SQL_FIRST = """(select * from (select *, row_number() over (partition by k order
     "select s_name as name, 'https://s' || CAST(s_suppkey AS VARCHAR(10)) || '.io' as website, case when s_suppkey % 2 = 0 then 'list' else 'sample_data' end as source from supplier",
 )
 def s1(spark, sf_dir):
-    """The seed document shape, parsed with the seed schema (file reading is covered by unit tests)."""
-    doc = table(spark, sf_dir, "supplier").selectExpr(
-        """to_json(array(named_struct('name', s_name, 'website', 'https://s' || cast(s_suppkey as string) || '.io',
-        'source', case when s_suppkey % 2 = 0 then 'list' end))) as payload"""
+    """Seed files written from the table and read by the seed reader."""
+    folder = f"{ensure_checkpoint_dir(spark)}/seeds-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "supplier").selectExpr(
+        "s_name as name", "'https://s' || cast(s_suppkey as string) || '.io' as website", "case when s_suppkey % 2 = 0 then 'list' end as source"
     )
-    return feeds.parse_seeds(doc).select("name", "website", "source")
+    rows.write.json(folder)
+    return feeds.read_seeds(spark, folder, lines=True).select("name", "website", "source")
+
+
+@query(
+    "z1_register_source",
+    "select s_name as name, 's' || s_suppkey || '.io' as website, 'suppliers' as source, cast(s_suppkey as bigint) as pos from supplier",
+)
+def z1(spark, sf_dir):
+    """A source registered at run time, read out of its landing folder and validated like any other."""
+    folder = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "supplier").selectExpr("s_name as name", "'https://www.S' || cast(s_suppkey as string) || '.io/' as website", "s_suppkey as pos").write.json(folder)
+
+    @normalize.register_source(" Suppliers ")
+    def read(spark, path, as_of):
+        return spark.read.schema("name string, website string, pos long").json(path).withColumns({"source": F.lit("suppliers"), "discovered_at": F.lit(as_of)})
+
+    try:
+        leads = normalize.source_leads(spark, "suppliers", folder, "2025-07-15 00:00:00")
+    finally:
+        normalize.SOURCES.pop("suppliers")
+    return L.validate_leads(leads).select("name", "website", "source", "pos")
 
 
 PRODUCT_ITEM = """named_struct('node', named_struct('id', cast($k as string), 'name', case when $k % 7 = 0 then null else 'Product ' || cast($k as string) end,

@@ -64,9 +64,7 @@ def _lead_texts(spark, sf_dir):
     return O.personalize(table(spark, sf_dir, "customer").selectExpr(*_LEAD))
 
 
-@query(
-    "o3_personalize",
-    """select c_custkey as company_id, 'I came across ' || c_name || ' — ' || case when c_custkey % 3 = 0 then 'we help ' || lower(c_mktsegment) || ' teams ship' else 'building ' || case when c_custkey % 5 = 0 then 'API' else 'SaaS platform' end || ' for growing teams' end || '.' as opening,
+_SQL_O3 = """select c_custkey as company_id, 'I came across ' || c_name || ' — ' || case when c_custkey % 3 = 0 then 'we help ' || lower(c_mktsegment) || ' teams ship' else 'building ' || case when c_custkey % 5 = 0 then 'API' else 'SaaS platform' end || ' for growing teams' end || '.' as opening,
     case when c_custkey % 3 = 0 then c_name || ' already appears to offer a mobile presence on ' || case when c_custkey % 2 = 0 then 'Google Play and the App Store' else 'the App Store' end || ', so a complementary Flutter engagement may be less urgent.'
       else 'I couldn''t find a mobile app for ' || c_name || ', so I was curious whether mobile is already on your roadmap or still later.' end as mobile_line,
     'Internal stack signals (do not recite in email): ' || case c_custkey % 3 when 0 then 'React' when 1 then 'React and Vue' else 'A, B, and C' end || '.' as technology_line,
@@ -75,8 +73,10 @@ def _lead_texts(spark, sf_dir):
     case c_custkey % 3 when 1 then case when c_custkey % 2 = 0 then 'Would Ada be open to a quick note on how I fit the mobile role at ' || c_name || '?' else 'Open to a short intro about the mobile / Flutter opening at ' || c_name || '?' end when 2 then case when c_custkey % 2 = 0 then 'Would Ada be open to a 15-min chat about a scoped Flutter build for ' || c_name || '?' else 'Worth a quick chat about a Flutter MVP for ' || c_name || '?' end
       else case when c_custkey % 2 = 0 then 'Curious if mobile is on the roadmap — open to a short reply either way?' when c_custkey % 11 = 0 then 'Worth a quick chat about a Flutter mobile MVP, or is that off the table for now?' else 'Is mobile something you''re considering for ' || c_name || ', or is it later?' end end as cta,
     cast(greatest(0, 35 + case when c_acctbal > 0 then 15 else 0 end + 5 * (c_custkey % 3 + 1) + case when c_custkey % 7 > 0 then 15 else 0 end + 15 + case when c_custkey % 3 < 2 then 5 else 0 end - case when c_custkey % 3 = 0 then 10 else 0 end
-      - 5 * (case when c_custkey % 7 = 0 then 1 else 0 end + case when c_custkey % 3 = 2 then 1 else 0 end + case when c_custkey % 3 = 0 then 1 else 0 end)) as int) as text_percent from customer""",
-)
+      - 5 * (case when c_custkey % 7 = 0 then 1 else 0 end + case when c_custkey % 3 = 2 then 1 else 0 end + case when c_custkey % 3 = 0 then 1 else 0 end)) as int) as text_percent from customer"""
+
+
+@query("o3_personalize", _SQL_O3)
 def o3(spark, sf_dir):
     return _lead_texts(spark, sf_dir).select(
         "company_id", "opening", "mobile_line", "technology_line", "qualification_line", "company_summary", "cta", "text_percent"
@@ -87,12 +87,24 @@ _WITH_APP = "['{c} mobile — next step?', 'noticed {c}''s app', '{c} beyond the
 _NO_APP = "['{c} on mobile?', '{c} outside the browser?', 'pocket version of {c}?', 'noticed {c} — mobile yet?', 'native app for {c}?', '{c} on iPhone yet?', '{h} — mobile?', '{c}: {h} on phone?', 'saw {h} — app yet?']"
 
 
-@query("o4_fallback_email")
+@query(
+    "o4_fallback_email",
+    f"""select company_id, case when company_id % 2 = 0 then 'Hi Ada,' else opening end as email_opening, cta as email_cta,
+    case when company_id % 2 = 0 then opening || chr(10) || chr(10) else '' end || mobile_line || chr(10) || chr(10) as body_start, true as subject_fits from ({_SQL_O3})""",
+)
 def o4(spark, sf_dir):
     texts = _lead_texts(spark, sf_dir).withColumns(
         {"product_description": F.concat("company_name", F.lit(" is a "), F.lower("cta")), "contact_first_name": F.coalesce("contact_name", F.lit(""))}
     )
-    return O.fallback_emails(texts).select("company_id", "email_subject", "email_opening", "email_body", "email_cta")
+    # The choice of the subject hangs on crc32, which has no SQL twin here; it names the company or its hook in at most nine words.
+    mails = O.fallback_emails(texts)
+    start = F.concat_ws("\n\n", F.when(F.col("company_id") % 2 == 0, F.col("opening")), F.col("mobile_line"), F.lit(""))
+    fits = (F.size(F.split("email_subject", " ")) <= 9) & (
+        F.contains("email_subject", F.col("company_name")) | F.contains("email_subject", O.product_keyword(F.col("product_description"), F.col("company_name")))
+    )
+    return mails.select(
+        "company_id", "email_opening", "email_cta", F.when(F.startswith("email_body", start), start).alias("body_start"), fits.alias("subject_fits")
+    )
 
 
 @query(
@@ -576,16 +588,17 @@ def r5(spark, sf_dir):
 
 @query(
     "r6_stage_percentiles",
-    "select event_type as stage, count(*) as runs, count(*) filter (event_id % 10 = 0) as failures from events group by 1",
+    "select event_type as stage, count(*) as runs, count(*) filter (event_id % 10 = 0) as failures, quantile_disc(value, 0.5) as p50_ms, quantile_disc(value, 0.95) as p95_ms from events group by 1",
 )
 def r6(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr("event_type as stage", "value as duration_ms", "case when event_id % 10 = 0 then 'x' end as error")
-    return R.stage_percentiles(rows).select("stage", "runs", "failures")
+    return R.stage_percentiles(rows)
 
 
 @query(
     "r6_stage_timings",
-    """select user_id as company_id, cast(count(*) as int) as stages, count(*) filter (event_id % 10 = 0) = 0 as success, round(sum(value), 4) as total_ms from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as rn from events) where rn = 1 group by 1""",
+    """select user_id as company_id, cast(count(*) as int) as stages, count(*) filter (event_id % 10 = 0) = 0 as success, round(sum(value), 4) as total_ms, string_agg(event_type || '=' || round(value, 3)::varchar, ';' order by event_type) as durations,
+    coalesce(string_agg(event_type || ': x', ';' order by event_type) filter (event_id % 10 = 0), '') as errors from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as rn from events) where rn = 1 group by 1""",
 )
 def r6_map(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr(
@@ -593,7 +606,10 @@ def r6_map(spark, sf_dir):
         "case when event_id % 10 = 0 then 'x' else '' end as error",
     )
     out = R.stage_timings(rows)
-    return out.select("company_id", F.size("durations").alias("stages"), "success", F.round("total_ms", 4).alias("total_ms"))
+    shown = F.array_join(F.transform(F.map_entries("durations"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 3).cast("string"))), ";")
+    return out.select(
+        "company_id", F.size("durations").alias("stages"), "success", F.round("total_ms", 4).alias("total_ms"), shown.alias("durations"), F.array_join("errors", ";").alias("errors")
+    )
 
 
 def _validation(spark, sf_dir):
