@@ -102,8 +102,8 @@ def ordered_distinct_by(arr: Column, key: Callable[[Column], Column]) -> Column:
 
     def heads(rows: Column) -> Column:
         first = F.filter(rows, lambda r, i: (i == 0) | ~r["k"].eqNullSafe(F.get(rows, i - 1)["k"]))
-        back = F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+        back = F.sort_array(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
         return F.transform(back, lambda r: r["x"])
 
     placed = F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    return let(F.array_sort(placed), heads)
+    return let(F.sort_array(placed), heads)

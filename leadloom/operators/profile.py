@@ -351,9 +351,9 @@ def top_keywords(docs: DataFrame, key: str, text: str, limit: int = 20, stop: Se
     def counted(x: Column) -> Column:
         ends = F.concat(F.slice(x["first"], 2, F.size(x["t"])), F.array(F.size(x["t"])))
         runs = F.zip_with(x["first"], ends, lambda i, j: F.struct((i - j).cast("bigint").alias("less"), F.get(x["t"], i).alias("token")))
-        return F.slice(F.array_sort(F.filter(runs, lambda r: ~is_in(r["token"], stop))), 1, limit)
+        return F.slice(F.sort_array(F.filter(runs, lambda r: ~is_in(r["token"], stop))), 1, limit)
 
-    ranked = let(let(F.array_sort(tokens), heads), counted)
+    ranked = let(let(F.sort_array(tokens), heads), counted)
     rows = unnest(docs, ranked, "k", [key], "_pos")
     return rows.select(key, "k.token", (-F.col("k.less")).alias("n"), (F.col("_pos") + 1).alias("keyword_rank"))
 
