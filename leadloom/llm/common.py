@@ -74,8 +74,9 @@ def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     """
     mark = free_name(docs, "_text_hash")
     hashed = docs.withColumn(mark, F.xxhash64(whole_text(text_col)))
-    names = kept.select(F.col("keep_id").alias("_keep_id"), F.col("keep_hash").alias("_keep_hash")).distinct()
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col(mark) == F.col("_keep_hash"))
+    own, other = free_name(docs, "_keep_id"), free_name(docs, "_keep_hash")
+    names = kept.select(F.col("keep_id").alias(own), F.col("keep_hash").alias(other)).distinct()
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other))
     return hashed.join(names, on, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
 
 

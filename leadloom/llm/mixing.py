@@ -197,17 +197,17 @@ class Mix:
 
     def repeat(self, docs: DataFrame) -> DataFrame:
         """docs with each row as often as the mix takes it; the rule needs a row's own columns only, no join of texts."""
-        names = {n: free_name(docs, f"_mix_{n}") for n in ("pattern", "size", "dice", "copy")}
+        names = {n: free_name(docs, f"_mix_{n}") for n in ("pattern", "size", "dice", "copy", "key", "rule")}
         own, text_hash = F.col(self.id_col).cast("long"), F.xxhash64(whole_text(self.text_col))
         marked = docs.withColumns({
             names["pattern"]: F.to_json(self.members),
             names["size"]: n_words(self.text_col),
             names["dice"]: F.xxhash64(own, text_hash, F.lit(self.seed)),
         })
-        plan = self._plan().select("_pattern", F.struct("full", "rules").alias("_rule"))
-        joined = marked.join(plan, F.col(names["pattern"]) == F.col("_pattern"))
-        chosen = self._chosen(names["size"], names["dice"], "_rule.rules")
-        copies = F.col("_rule.full") + chosen.cast("int")
+        plan = self._plan().select(F.col("_pattern").alias(names["key"]), F.struct("full", "rules").alias(names["rule"]))
+        joined = marked.join(plan, F.col(names["pattern"]) == F.col(names["key"]))
+        chosen = self._chosen(names["size"], names["dice"], f"{names['rule']}.rules")
+        copies = F.col(f"{names['rule']}.full") + chosen.cast("int")
         picked = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias(names["copy"]))
         return picked.drop(names["copy"])
 

@@ -25,8 +25,8 @@ def tables(spark):
     rows += [(100, None, None, None, None), (101, "", "en", "s1", 0), (None, prose(3), "fr", None, 2), (102, "   \n\t ", "en", "s1", 3)]
     rows += [(103, prose(3), "en", "s2", 4), (103, prose(3), "en", "s2", 4), (104, prose(3), "en", "s2", 4), (104, prose(99), "en", "s0", 4)]
     rows += [(105, long_text, "en", "s3", 5), (106, long_text + " tail", "en", "s3", 5), (107, "word", "en", "s0", 1), (108, "é日本 ü", "de", "s0", 1)]
-    wide = COLUMNS + ", fp long, `row` string, kept string, Text_hash string, _mix_size int, u string, bucket string"
-    clash = [(*r, 7, "r", "k", "h", 1, "u", "b") for r in rows]
+    wide = COLUMNS + ", fp long, `row` string, kept string, Text_hash string, _mix_size int, u string, bucket string, `full` int, _pattern string, _keep_id long, _rule string"
+    clash = [(*r, 7, "r", "k", "h", 1, "u", "b", 9, "p", 3, "r") for r in rows]
     return {
         "rows": rows,
         "docs": spark.createDataFrame(rows, COLUMNS).repartition(3).cache(),
