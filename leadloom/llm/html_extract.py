@@ -31,6 +31,8 @@ MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner
  signin signup skip social sponsor sponsored subscribe subscription toolbar widget widgets masthead topbar sitemap copyright""".split())
 #: The same, but an article's own header carries its title.
 OUTER_MARKS = frozenset(["header", "site-header"])
+#: Beginnings of run-together names such as commentlist or sidebarleft.
+MARK_STARTS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "sidebar", "sponsor", "subscri")
 COMMENT_MARKS = frozenset("comment comments reply replies respond disqus ad ads advert advertisement sponsored promo related".split())
 #: Open elements that the start of a block ends: a paragraph always, and what cannot hold the new one.
 ENDS = {"p": frozenset(["p"]), "li": frozenset(["p", "li"]), "dd": frozenset(["p", "dd", "dt"]), "dt": frozenset(["p", "dd", "dt"]),
@@ -89,9 +91,10 @@ def _beside(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
     named = _tokens(values.get("class", "")) | _tokens(values.get("id", ""))
+    begins = any(n.startswith(MARK_STARTS) for n in named)
     if tag == "article":
-        return bool(named & COMMENT_MARKS)
-    return bool(named & MARKS) or (not inside and bool(named & OUTER_MARKS))
+        return begins or bool(named & COMMENT_MARKS)
+    return begins or bool(named & MARKS) or (not inside and bool(named & OUTER_MARKS))
 
 
 def blocks(page: str) -> list[Block]:

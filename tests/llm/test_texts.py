@@ -323,6 +323,15 @@ def test_main_text_of_a_page():
     assert html_extract.main_text(PAGE) == "\n\n".join(["The <Title>", "This is the first of the paragraphs and it is long enough to be one that we can decide on.", "Short & sweet.", "Bold and nested text next line", "one item", "another item", "The end."])
 
 
+def test_page_without_article():
+    good = "<p>This is a paragraph of the text and it has all of the words that one would need.</p>"
+    page = f"""<body><div id="topbar"><a href=1>One</a> <a href=2>Two</a></div><div class="page"><h1>A title</h1>{good}<p>Short.</p>{good}
+    <ol class="commentlist"><li>And this is what I, a reader, have to say about the text of this page here.</li></ol></div>
+    <div class="sidebarLeft"><p>The things that are in here are not of the text and so on and so on.</p></div><p>Copyright 2020 us</p>"""
+    text = "This is a paragraph of the text and it has all of the words that one would need."
+    assert html_extract.main_text(page) == "\n\n".join(["A title", text, "Short.", text])
+
+
 def test_ambiguous_blocks_inherit():
     good = "this is a block of the text that is long and has all of the words in it"
     def block(text, linked=0, scope=0):
