@@ -47,3 +47,25 @@ def test_scan_reads_needed_columns_only(spark):
     assert re.search(r"ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>", text)
     text = plan(catalog.QUERIES["s9_scan_store"](spark, SF))
     assert re.search(r"PushedFilters: \[IsNotNull\(o_orderkey", text) and "o_custkey" not in text
+
+
+@pytest.mark.parametrize("job", ["site_report", "candidate_pages"])
+def test_bodies_are_read_once_after_the_choice(spark, job):
+    from leadloom.operators import pages as P
+    from leadloom.plans import daily
+
+    snapshots = spark.read.parquet(f"{SF}/pages.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the tables here are small, those of a cluster are not
+    try:
+        if job == "site_report":
+            text = plan(daily.site_report(snapshots))
+        else:
+            sized = snapshots.selectExpr("page_id", "url", "html", "100 as n_bytes")
+            companies = snapshots.selectExpr("page_id as company_id", "url as base_url")
+            text = plan(P.candidate_pages(companies, sized, ("/a", "/b")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    schemas = [line for line in text.splitlines() if "ReadSchema" in line]
+    assert sum("html" in line for line in schemas) == 1 and len(schemas) >= 2, schemas
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
