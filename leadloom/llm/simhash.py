@@ -1,4 +1,7 @@
-"""SimHash near-dedup: Golay codeword indices of fingerprint segments are the join keys, candidates are verified."""
+"""SimHash near-dedup: Golay codeword indices of fingerprint segments are the join keys, candidates are verified.
+
+Near copies by shingle similarity, which 64-bit fingerprints cannot find, meet in bands of minima (``near_dedup``).
+"""
 
 from __future__ import annotations
 
@@ -254,9 +257,132 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+# --- near copies by shingle similarity ----------------------------------------------------------------------
+
+#: Near copies share at least SHARE[0] of SHARE[1] parts of their distinct five-word shingles (Jaccard 0.8).
+WIDTH, SHARE = 5, (4, 5)
+#: Minima of one band and bands: a pair at Jaccard 0.8 shares no band with probability (1 - 0.8^4)^24 = 3.2e-6.
+BAND, BANDS = 4, 24
+#: Texts that one task compares at once with those of another such block.
+TEXT_BLOCK = 500
+
+_MIX = np.random.default_rng(42).integers(0, 2**63, 2 * WIDTH + BAND * BANDS + BAND + BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE, _FACTOR = _MIX[:WIDTH], _MIX[2 * WIDTH : 2 * WIDTH + BAND * BANDS]
+_IN_BAND, _OF_BAND = _MIX[-BAND - BANDS : -BANDS], _MIX[-BANDS:]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Distinct 64-bit hashes of the five-word shingles, sorted; fewer words are one shingle, no words one of their own."""
+    digest = xxhash.xxh64_intdigest
+    words = text.lower().split()
+    hashes = np.fromiter(map(digest, words), np.uint64, len(words))
+    n = max(1, len(words) - WIDTH + 1)
+    out = np.full(n, min(len(words), WIDTH), np.uint64)
+    for i in range(min(len(words), WIDTH)):
+        out += hashes[i : i + n] * _PLACE[i]
+    return np.unique(_mixed(out))
+
+
+def band_keys(shingle_hashes: np.ndarray) -> np.ndarray:
+    """One key for each band of minima."""
+    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingle_hashes), 512):
+        least = np.minimum(least, (shingle_hashes[i : i + 512, None] * _FACTOR).min(axis=0))
+    bands = (_mixed(least).reshape(BANDS, BAND) * _IN_BAND).sum(axis=1, dtype=np.uint64)
+    return _mixed(bands + _OF_BAND)
+
+
+def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles with so many shared ones reach the similarity, in whole numbers."""
+    return shared * SHARE[1] >= (a + b - shared) * SHARE[0]
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [band_keys(shingle_set(t)).view(np.int64) for t in as_bytes(b, "text")]
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), lists], names=["doc_id", "node", "keys"])
+
+
+def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        good = []
+        for x, y in zip(as_bytes(b, "text_u"), as_bytes(b, "text_v")):
+            x, y = shingle_set(x), shingle_set(y)
+            good.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+        yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+
+def similar_links(nodes: np.ndarray, roots: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between texts of one block that join groups (roots) not yet joined; all pairs of groups are compared."""
+    sets = [shingle_set(t) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(roots, return_inverse=True)[1]
+    u, v = [], []
+    for i in range(len(sets)):
+        if (label == label[i]).all():
+            continue
+        mark = np.zeros(len(distinct), np.int64)
+        mark[flat[starts[i] : starts[i] + sizes[i]]] = 1
+        hits = np.flatnonzero(similar(np.add.reduceat(mark[flat], starts), sizes, sizes[i]) & (label != label[i]))
+        for j in hits:
+            if label[j] != label[i]:
+                u.append(nodes[i])
+                v.append(nodes[j])
+                label[label == label[j]] = label[i]
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _block_links(part: pa.Table) -> pa.Table:
+    u, v = similar_links(part.column("node").to_numpy(), part.column("root").to_numpy(), part.column("text").cast(pa.binary()).to_pylist())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = TEXT_BLOCK) -> DataFrame:
+    """One row per document: doc_id, text_hash, root; documents of one root are connected by pairs whose five-word
+    shingles have Jaccard similarity 0.8 or more.
+
+    Bands of minima give buckets. First each bucket's texts are compared with its smallest text, so pairs follow the
+    number of documents. Where that leaves a bucket in several groups, all its groups are compared with one another
+    inside tasks, buckets over ``block`` texts as pairs of blocks. Every comparison counts the shingles themselves.
+    """
+    hashed = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("text"))
+    slim = stored(hashed.mapInArrow(_bands, "doc_id long, node long, keys array<long>"), "bands")
+    rows = slim.dropDuplicates(["node"]).select("node", F.explode("keys").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    rows = stored(rows.join(shared, "bucket"), "shared-bands")
+    pairs = stored(rows.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "band-pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = stored(hashed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "band-texts")
+    met = pairs.join(texts.toDF("v", "text_v"), "v").join(texts.toDF("u", "text_u"), "u")
+    links = stored(met.select("u", "v", "text_u", "text_v").mapInArrow(_similar_pairs, "u long, v long"), "similar-pairs")
+    roots = connected_components(links)
+    placed = rows.where("n > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed, "band-groups")
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    left = placed.groupBy("bucket", "n").agg(members, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    left = left.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    dealt = placed.join(left, "bucket").select(F.explode(parts).alias("part"), "node", "root").join(texts, "node")
+    more = stored(dealt.groupBy("part").applyInArrow(_block_links, "u long, v long"), "block-links")
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
+    groups = slim.select("doc_id", F.col("node").alias("text_hash"))
+    return groups.join(roots, groups["text_hash"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stay: of each connected group the one with the smallest doc_id (nulls last,
-    ties by text)."""
-    groups = simhash_groups(docs, id_col, text_col)
+    """The rows of docs, all columns, that stay: of each connected group of near copies (similar_groups) the one with
+    the smallest doc_id (nulls last, ties by text)."""
+    groups = similar_groups(docs, id_col, text_col)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     return kept_rows(docs, first.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")), id_col, text_col)

@@ -7,6 +7,7 @@ import xxhash
 
 from leadloom.llm import exact_dedup, simhash, suffix_dedup
 from leadloom.llm.common import connected_components, local_stars
+from tests.llm.conftest import prose
 
 
 def text_of(r):
@@ -187,3 +188,56 @@ def test_window_buckets_equal_exactly_for_equal_windows():
     seen = {}
     assert all(seen.setdefault(raw[s : s + 50], b) == b for s, b in zip(starts.tolist(), bucket.tolist()))
     assert len(set(seen.values())) == len(seen)
+
+
+# --- near copies ---
+
+
+def brute_jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(text, places):
+    words = text.split()
+    for p in places:
+        words[p] = f"edit{p}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("low,high,places", [(0.8, 0.83, [20, 60]), (0.88, 0.92, [50]), (0.94, 0.98, [0, 99]), (0.7, 0.7999, [20, 50, 99])])
+def test_near_dedup_finds_planted_copies_by_similarity(spark, low, high, places):
+    rows = []
+    for i in range(150):
+        text = prose(5000 + i, 100)
+        copy = edited(text, places)
+        assert low <= brute_jaccard(text, copy) <= high
+        rows += [(i, text), (1000 + i, copy)]
+    kept = sorted(r[0] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(r[0] for r in rows if r[0] < 1000 or low < 0.8)
+
+
+@pytest.mark.parametrize("block", [simhash.TEXT_BLOCK, 3])
+def test_similar_groups_against_brute_force(spark, block):
+    r = np.random.default_rng(6)
+    rows = [(0, ""), (1, " \n"), (2, "two words"), (3, "Two  words"), (4, "two more")]
+    for g in range(12):
+        base = prose(7000 + g, 120)
+        rows += [(100 * (g + 1) + k, edited(base, r.choice(120, k % 5, replace=False))) for k in range(14)]
+    label = {i: i for i, _ in rows}
+    for x in range(len(rows)):
+        for y in range(x):
+            if brute_jaccard(rows[x][1], rows[y][1]) >= 0.8 and label[rows[x][0]] != label[rows[y][0]]:
+                a, b = sorted((label[rows[x][0]], label[rows[y][0]]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    groups = defaultdict(list)
+    for g in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect():
+        groups[g.root].append(g.doc_id)
+    want = defaultdict(list)
+    for i, v in label.items():
+        want[v].append(i)
+    assert len(want) > 20 and max(map(len, want.values())) > 3
+    assert sorted(sorted(x) for x in groups.values()) == sorted(sorted(x) for x in want.values())
