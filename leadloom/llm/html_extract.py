@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -210,6 +210,21 @@ def stop_density(text: str) -> float:
     return sum(w in STOPS for w in words) / len(words) if words else 0.0
 
 
+def _first_pass(b: Block, rules: Rules) -> bool | None:
+    linked = b.linked / len(b.text)
+    if b.beside:
+        return False
+    if b.heading and linked > rules.most_linked:
+        return None
+    if linked > (rules.most_linked_inside if b.scope else rules.most_linked):
+        return False
+    if not b.scope and len(b.text) < 200 and ("©" in b.text or b.text.lower().startswith("copyright")):
+        return False
+    if len(b.text) >= rules.long_enough and stop_density(b.text) >= rules.stop_density:
+        return True
+    return None
+
+
 def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
     """Whether each block belongs to the main text.
 
@@ -217,18 +232,15 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
     nearest decided neighbours within its own article or main element (outside of these: on the page); when the two
     sides differ, the nearer one counts, and the good one at equal distance. Where nothing is decided, blocks inside
     an article are good; on a page with neither an article nor a good block, long ones without links are.
+
+    A heading takes the label of the decided block after it, whatever its links. Articles and main elements that hold
+    less text than the good blocks outside them are teasers: then they count for nothing and the rules alone decide.
     """
-    first: list[bool | None] = []
-    for b in found:
-        linked = b.linked / len(b.text)
-        if b.beside or linked > (rules.most_linked_inside if b.scope else rules.most_linked):
-            first.append(False)
-        elif not b.scope and len(b.text) < 200 and ("©" in b.text or b.text.lower().startswith("copyright")):
-            first.append(False)
-        elif len(b.text) >= rules.long_enough and stop_density(b.text) >= rules.stop_density:
-            first.append(True)
-        else:
-            first.append(None)
+    held = sum(len(b.text) for b in found if b.scope and not b.beside)
+    outside = sum(len(b.text) for b in found if not b.scope and _first_pass(b, rules))
+    if held and outside > held:
+        found = [replace(b, scope=0) for b in found]
+    first = [_first_pass(b, rules) for b in found]
     articles = any(b.scope and not b.beside for b in found)
     before: list[tuple[int, bool] | None] = [None] * len(found)
     after: list[tuple[int, bool] | None] = [None] * len(found)
@@ -244,7 +256,11 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
         label = first[i]
         if label is None:
             near = sorted((abs(i - n[0]), not n[1]) for n in (before[i], after[i]) if n)
-            if near:
+            if b.heading and after[i]:
+                label = after[i][1]
+            elif b.heading and b.linked / len(b.text) > rules.most_linked:
+                label = False
+            elif near:
                 label = not near[0][1]
             else:
                 label = bool(b.scope) or not articles

@@ -332,6 +332,18 @@ def test_page_without_article():
     assert html_extract.main_text(page) == "\n\n".join(["A title", text, "Short.", text])
 
 
+def test_text_outside_a_teaser_article_and_linked_headings():
+    good = ["This is a paragraph of the text and it has all of the words that one would need.", "And here is another one of the text that is as long as it should be for the rules."]
+    body = "".join(f"<p>{g}</p>" for g in good)
+    teaser = '<article class="card"><h3><a href="/x">Other story</a></h3><p>Teaser.</p><p><a href="/x">Read on</a></p></article>'
+    title = '<h1><a href="/t">The linked title</a></h1>'
+    for page in (f'<body><div id="content">{title}{body}</div>{teaser}</body>', f"<body>{teaser}<div id='content'>{title}{body}</div></body>"):
+        text = html_extract.main_text(page).split("\n\n")
+        assert [x for x in text if x in ("The linked title", *good)] == ["The linked title", *good] and "Read on" not in text
+    article = f"<body><article>{title}{body}{body}</article><div><p>{good[0]}</p></div></body>"
+    assert html_extract.main_text(article) == "\n\n".join(["The linked title", *good, *good])
+
+
 def test_ambiguous_blocks_inherit():
     good = "this is a block of the text that is long and has all of the words in it"
     def block(text, linked=0, scope=0):
