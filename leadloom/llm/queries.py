@@ -12,9 +12,11 @@ from leadloom.llm.exact_dedup import exact_groups
 from leadloom.llm.html_extract import extract_pages
 from leadloom.llm.language import identify, train_languages
 from leadloom.llm.license_scan import scan_licenses
+from leadloom.llm.manifest import audited
 from leadloom.llm.mixing import mix_documents
 from leadloom.llm.quality import crc_mod, score_quality, train_quality
 from leadloom.llm.simhash import simhash_groups
+from leadloom.llm.spelling import spelling_variants
 from leadloom.llm.suffix_dedup import remove_repeats
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +79,16 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op12_spelling_variants(spark, sf_dir):
+    found = spelling_variants(_table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return audited(docs, text=F.when(crc_mod("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -88,6 +100,8 @@ QUERIES = {
     "op8_compression_bands": op8_compression_bands,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
