@@ -15,7 +15,6 @@ from leadloom.llm.common import free_name, small_batches, stored
 FAN = 3
 #: Levels that one block covers: FAN ** LEVELS members, whose records one task holds at a time.
 LEVELS = 6
-BLOCK = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -70,32 +69,36 @@ def contract(members: list[str], levels: int) -> tuple[str, list[tuple[str, list
     return members[0], records
 
 
-def _contract_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract_blocks(levels: int):
     """Rows sorted by (tree, block, rank): one row for each block. Holds one block at a time."""
-    now, members, out = None, [], []
-
-    def close() -> None:
-        if now:
-            (tree, block), size = now
-            root, records = contract(members, min(height(size), LEVELS))
-            out.append((tree, block, size, root, [{"digest": d, "children": c} for d, c in records]))
-
-    def emit() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("digest", pa.string()), ("children", pa.list_(pa.string()))]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["tree", "block", "size", "root", "records"])
-
-    for b in batches:
-        for tree, block, size, leaf in zip(*(b.column(c).to_pylist() for c in ("tree", "block", "size", "digest"))):
-            if now is None or now[0] != (tree, block):
-                close()
-                now, members = ((tree, block), size), []
-            members.append(leaf)
-            if len(out) >= 64:
-                yield emit()
-                out.clear()
-    close()
-    if out:
-        yield emit()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, out = None, [], []
+
+        def close() -> None:
+            if now:
+                (tree, block), size = now
+                root, records = contract(members, min(height(size), levels))
+                out.append((tree, block, size, root, [{"digest": d, "children": c} for d, c in records]))
+
+        def emit() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("digest", pa.string()), ("children", pa.list_(pa.string()))]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["tree", "block", "size", "root", "records"])
+
+        for b in batches:
+            for tree, block, size, leaf in zip(*(b.column(c).to_pylist() for c in ("tree", "block", "size", "digest"))):
+                if now is None or now[0] != (tree, block):
+                    close()
+                    now, members = ((tree, block), size), []
+                members.append(leaf)
+                if len(out) >= 64:
+                    yield emit()
+                    out.clear()
+        close()
+        if out:
+            yield emit()
+
+    return run
 
 
 def _in_blocks(rows: DataFrame, *order: str) -> DataFrame:
@@ -110,28 +113,29 @@ class Forest:
 
     steps: list[tuple[DataFrame, DataFrame]]
     roots: DataFrame
+    levels: int
 
     @classmethod
-    def over(cls, members: DataFrame, name: str) -> Forest:
+    def over(cls, members: DataFrame, name: str, levels: int = LEVELS) -> Forest:
         """members: tree, rank, size, digest (more columns stay with the first step's members)."""
-        steps, roots = [], []
-        members = members.withColumn("block", F.expr(f"rank div {BLOCK}"))
+        steps, roots, most = [], [], FAN**levels
+        members = members.withColumn("block", F.expr(f"rank div {most}"))
         while True:
             slim = _in_blocks(members.select("tree", "block", "rank", "size", "digest"), "rank")
             records = "array<struct<digest: string, children: array<string>>>"
-            blocks = stored(slim.mapInArrow(_contract_blocks, f"tree string, block long, size long, root string, records {records}"), name)
+            blocks = stored(slim.mapInArrow(_contract_blocks(levels), f"tree string, block long, size long, root string, records {records}"), name)
             steps.append((members, blocks))
-            done = blocks.where(F.col("size") <= BLOCK).select("tree", "root")
+            done = blocks.where(F.col("size") <= most).select("tree", "root")
             roots.append(done)
-            rest = blocks.where(F.col("size") > BLOCK)
+            rest = blocks.where(F.col("size") > most)
             if not rest.take(1):
                 break
-            members = rest.select("tree", F.col("block").alias("rank"), F.ceil(F.col("size") / BLOCK).cast("long").alias("size"), F.col("root").alias("digest"))
-            members = members.withColumn("block", F.expr(f"rank div {BLOCK}"))
+            members = rest.select("tree", F.col("block").alias("rank"), F.ceil(F.col("size") / most).cast("long").alias("size"), F.col("root").alias("digest"))
+            members = members.withColumn("block", F.expr(f"rank div {most}"))
         found = roots[0]
         for r in roots[1:]:
             found = found.unionByName(r)
-        return cls(steps, found)
+        return cls(steps, found, levels)
 
     def records(self) -> DataFrame:
         """The store: (digest, children) of every node, each digest once."""
@@ -151,7 +155,7 @@ class Forest:
         down = above.select("tree", F.lit(0).cast("long").alias("rank"), "digits", "siblings")
         for k in reversed(range(len(self.steps))):
             members, blocks = self.steps[k]
-            tops = blocks.where(F.col("size") <= BLOCK).select(F.col("tree").alias("_tree"), F.lit(0).cast("long").alias("_rank"))
+            tops = blocks.where(F.col("size") <= FAN**self.levels).select(F.col("tree").alias("_tree"), F.lit(0).cast("long").alias("_rank"))
             top = above.join(tops, F.col("tree") == F.col("_tree")).select("tree", F.col("_rank").alias("rank"), "digits", "siblings")
             down = top if k == len(self.steps) - 1 else down.select("tree", "rank", "digits", "siblings").unionByName(top)
             over = down.select(F.col("tree").alias("_tree"), F.col("rank").alias("_rank"), "digits", "siblings")
@@ -160,7 +164,7 @@ class Forest:
             names = extra if last else ()
             rows = members.select("tree", "block", "rank", "size", "digest", *names)
             both = _in_blocks(heads.unionByName(rows, allowMissingColumns=True).withColumn("_head", F.col("rank").isNotNull()), "_head", "rank")
-            down = small_batches(both).mapInArrow(_descend(finish if last else None, names), schema if last else "tree string, rank long, digits array<int>, siblings array<string>")
+            down = small_batches(both).mapInArrow(_descend(self.levels, finish if last else None, names), schema if last else "tree string, rank long, digits array<int>, siblings array<string>")
         return down
 
 
@@ -174,7 +178,7 @@ def descent(root: str, place: int, levels: int, records: dict[str, list[str]]) -
     return now, path[::-1]
 
 
-def _descend(finish: Callable | None, extra: tuple[str, ...]):
+def _descend(levels: int, finish: Callable | None, extra: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, records, above = None, {}, ([], [])
         for b in batches:
@@ -185,7 +189,7 @@ def _descend(finish: Callable | None, extra: tuple[str, ...]):
                     root, above = head, (digits, siblings)
                     records = {r["digest"]: r["children"] for r in held}
                     continue
-                at, path = descent(root, rank % BLOCK, min(height(size), LEVELS), records)
+                at, path = descent(root, rank % FAN**levels, min(height(size), levels), records)
                 if at != own:
                     raise ValueError(f"the store leads to {at}, not to {own}")
                 found.append((tree, rank, [d for d, _ in path] + above[0], ["".join(s) for _, s in path] + above[1], own, *rest))
@@ -213,7 +217,7 @@ class Manifest:
     and all tables lie in the shared folder; only the root reaches the driver. A null field counts as ``-`` in its leaf.
     """
 
-    def __init__(self, docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", fields: tuple[str, ...] = FIELDS, **more: Column):
+    def __init__(self, docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", fields: tuple[str, ...] = FIELDS, levels: int = LEVELS, **more: Column):
         """more: columns, by name, that stay with the leaves."""
         own = free_name(docs, "_row")
         rows = docs.withColumn(own, F.monotonically_increasing_id()).select(
@@ -225,9 +229,9 @@ class Manifest:
         )
         self.extra = ("doc_id", *more)
         leaves = ranked(stored(rows, "leaves"), "tree", ["doc_id", "digest", "_row"], "ranges").drop("_row")
-        self.sources = Forest.over(stored(leaves, "ranked"), "blocks")
+        self.sources = Forest.over(stored(leaves, "ranked"), "blocks", levels)
         subroots = self.sources.roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
-        self.top = Forest.over(stored(ranked(stored(subroots, "subroots"), "tree", ["name"], "ranges"), "ranked"), "blocks")
+        self.top = Forest.over(stored(ranked(stored(subroots, "subroots"), "tree", ["name"], "ranges"), "ranked"), "blocks", levels)
         found = self.top.roots.collect()
         self.root: str | None = found[0]["root"] if found else None
 
@@ -258,14 +262,14 @@ class Manifest:
         return self.sources.paths(self._above(), finish, "tree string, doc_id long, leaf string, proof_sha256 string, folded_root string", ("doc_id", "found"))
 
 
-def audited(docs: DataFrame, **columns: Column) -> DataFrame:
+def audited(docs: DataFrame, levels: int = LEVELS, **columns: Column) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row of docs.
 
     columns replaces fields of docs (by name) in the rows that are checked against the manifest of docs: each row's
     leaf is made anew from them and folded with the siblings that the manifest's store gives. A row is verified if
     that leads to the root. Repeated rows have a leaf each; an empty table gives an empty result.
     """
-    manifest = Manifest(docs, found=leaf_of([columns.get(f, F.col(f)) for f in FIELDS]))
+    manifest = Manifest(docs, levels=levels, found=leaf_of([columns.get(f, F.col(f)) for f in FIELDS]))
     subroots = manifest.sources.roots.select(F.col("tree").alias("_tree"), F.col("root").alias("subroot"))
     rows = manifest.audit().join(subroots, F.col("tree") == F.col("_tree"))
     root = F.lit(manifest.root).cast("string")

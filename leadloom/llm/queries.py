@@ -114,8 +114,8 @@ QUERIES = {
 }
 
 #: crc32 of the UTF-8 bytes of a text, as SQL: the table of one byte's steps, then a step for each byte.
-_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(hex(encode({0}))) // 2), i -> ('0x' || hex(encode({0}))[2 * i + 1:2 * i + 2])::bigint)),
- (c, b) -> xor((select steps from crc)[1 + (xor(c, b) & 255)], c >> 8))"""
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(hex(encode({0}))) // 2), lambda i: ('0x' || hex(encode({0}))[2 * i + 1:2 * i + 2])::bigint)),
+ lambda c, b: xor(steps[1 + (xor(c, b) & 255)], c >> 8))"""
 _CRC_TABLE = """bits(byte, k, v) as (select range, 0, range::bigint from range(256) union all
   select byte, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
  crc as (select list(v order by byte) as steps from bits where k = 8)"""
@@ -128,7 +128,7 @@ ORACLES = {
  runs as (select coalesce(doc_id::varchar, '') as doc, unnest(regexp_extract_all(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run from documents),
  counted as (select doc, run, count(*) as n from runs group by all),
- hashed as (select run, n, xor({_CRC.format("doc || ':' || run")}, 4294967295) as h from counted),
+ hashed as (select run, n, xor({_CRC.format("doc || ':' || run")}, 4294967295) as h from counted, crc),
  words as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(n)::bigint as n
   from hashed group by 1 having length(word) >= 6 and sum(n) >= 5),
  shorter as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as v from (select word, n, unnest(range(length(word))) as i from words)),
@@ -142,7 +142,7 @@ ORACLES = {
  join (select r.word, r.root from roots r join forms f on r.root = f.word where f.form is null) r on r.word = f.word""",
     "op13_merkle_manifest": f"""with recursive {_CRC_TABLE},
  docs as (select doc_id, source, coalesce('1' || source, '0') as tree, lang, n_chars, text,
-  case when xor({_CRC.format("coalesce(doc_id::varchar, '')")}, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as other from documents),
+  case when xor({_CRC.format("coalesce(doc_id::varchar, '')")}, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as other from documents, crc),
  heads as (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head from docs),
  leaves as (select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
