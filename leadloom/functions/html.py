@@ -9,11 +9,12 @@ import json
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from itertools import accumulate
 
 import pyarrow as pa
 
+from leadloom.functions.markup import tokens
+
 # Element kinds that later jobs read.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -25,6 +26,12 @@ READ_TAGS = frozenset(
 REGION_WORDS = ("hero", "banner", "faq", "accordion")
 BLOCK_TAGS = frozenset("section article div li footer p header tr".split())
 URL_KEY_WORDS = ("website", "url", "href", "link")
+# Blocks that later jobs read as one text: rows of openings, people, founders' lines.
+BOXES = {
+    "jobs": frozenset("li article div tr".split()),
+    "people": frozenset("section article div li footer p header".split()),
+    "bios": frozenset("p div li article section".split()),
+}
 
 # Texts are ranges over the page's pieces, so nested elements never repeat a text.
 ELEMENT_TYPE = pa.struct(
@@ -38,10 +45,23 @@ ELEMENT_TYPE = pa.struct(
         ("chars", pa.int32()),  # length of the text
         ("leaf", pa.bool_()),  # no block inside
         ("link", pa.int32()),  # place in the elements of the first anchor with a target inside
-        ("around_first", pa.int32()),  # an anchor's surroundings
-        ("around_pieces", pa.int32()),
+        ("around", pa.int32()),  # an anchor's surroundings: place in link_boxes
+    ]
+)
+# Text that stands in a block itself, between the blocks inside it. The last three: length of the nearest enclosing box
+# of that kind, 0 where it holds no block and so is read whole, null without one.
+RUN_TYPE = pa.struct(
+    [
+        ("owner", pa.int32()),  # place in the elements, null where that element is not among them
+        ("pos", pa.int32()),
+        ("first_piece", pa.int32()),
+        ("pieces", pa.int32()),
+        ("chars", pa.int32()),
+        ("link", pa.int32()),
+        *[(kind, pa.int32()) for kind in BOXES],
     ]
 )
+RANGE_TYPE = pa.struct([("first_piece", pa.int32()), ("pieces", pa.int32())])
 OBJECT_TYPE = pa.struct(
     [
         ("script", pa.int32()),  # place in json_ld_texts
@@ -56,6 +76,8 @@ CANDIDATE_TYPE = pa.struct([("origin", pa.string()), ("script", pa.int32()), ("v
 PARSED_COLUMNS = [
     ("elements", pa.list_(ELEMENT_TYPE)),
     ("page_pieces", pa.list_(pa.string())),
+    ("text_runs", pa.list_(RUN_TYPE)),
+    ("link_boxes", pa.list_(RANGE_TYPE)),
     ("json_ld", pa.list_(OBJECT_TYPE)),
     ("json_ld_texts", pa.list_(pa.string())),
     ("json_ld_scripts", pa.list_(pa.string())),
@@ -64,7 +86,8 @@ PARSED_COLUMNS = [
 ]
 
 PARSED_DDL = """elements array<struct<pos:int,last:int,tag:string,attrs:map<string,string>,first_piece:int,pieces:int,chars:int,leaf:boolean,
- link:int,around_first:int,around_pieces:int>>, page_pieces array<string>, json_ld array<struct<script:int,top:boolean,kinds:array<string>,first:int,chars:int>>,
+ link:int,around:int>>, page_pieces array<string>, text_runs array<struct<owner:int,pos:int,first_piece:int,pieces:int,chars:int,link:int,jobs:int,people:int,bios:int>>,
+ link_boxes array<struct<first_piece:int,pieces:int>>, json_ld array<struct<script:int,top:boolean,kinds:array<string>,first:int,chars:int>>,
  json_ld_texts array<string>, json_ld_scripts array<string>, url_candidates array<struct<origin:string,script:int,value:string>>, parse_error string"""
 
 
@@ -82,27 +105,32 @@ class _Node:
         self.leaf = True
 
 
-class _Outline(HTMLParser):
+class _Outline:
     """Element outline with the range of text pieces below each element."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.nodes: list[_Node] = []
         self.open: list[_Node] = []
         self.strings: list[str] = []
         self.scripts: list[tuple[dict[str, str], str]] = []
+        self.runs: list[list[int | None]] = []  # owner, first piece, end, anchor
         self._script: list[str] | None = None
         self._silent = 0
         self._open_tags: Counter[str] = Counter()
-
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """Marked sections of any name end at the next bracket; the base class knows a few names and fails on others."""
-        return self.rawdata.find(">", i) + 1 or -1
-
-    def unknown_decl(self, data: str) -> None:
-        pass
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._blocks: list[_Node] = []
+        self._links: list[_Node] = []
+        self._new_run = True
+
+    def read(self, html: str) -> None:
+        for kind, value, *rest in tokens(html):
+            if kind == "start":
+                self.handle_starttag(value, *rest)
+            elif kind == "end":
+                self.handle_endtag(value)
+            else:
+                self.handle_data(value)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], closed: bool) -> None:
         parent = self.open[-1].pos if self.open else -1
         node = _Node(len(self.nodes), tag, {k: v or "" for k, v in attrs}, parent, len(self.strings))
         self.nodes.append(node)
@@ -110,13 +138,15 @@ class _Outline(HTMLParser):
             return
         self.open.append(node)
         self._open_tags[tag] += 1
+        if tag in BLOCK_TAGS:
+            self._blocks.append(node)
+            self._new_run = True
+        elif tag == "a" and "href" in node.attrs:
+            self._links.append(node)
         if tag in SILENT_TAGS:
             self._silent += 1
             self._script = [] if tag == "script" else self._script
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
+        if closed:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
@@ -132,13 +162,27 @@ class _Outline(HTMLParser):
                 self._script.append(data)
             return
         piece = data.strip()
-        if piece:
-            self.strings.append(piece)
+        if not piece:
+            return
+        if self._blocks:
+            if self._new_run:
+                self.runs.append([self._blocks[-1].pos, len(self.strings), 0, None])
+                self._new_run = False
+            run = self.runs[-1]
+            run[2] = len(self.strings) + 1
+            if run[3] is None and self._links:
+                run[3] = self._links[-1].pos
+        self.strings.append(piece)
 
     def _shut(self, node: _Node) -> None:
         node.last = len(self.nodes) - 1
         node.end_string = len(self.strings)
         self._open_tags[node.tag] -= 1
+        if node.tag in BLOCK_TAGS:
+            self._blocks.pop()
+            self._new_run = True
+        elif self._links and self._links[-1] is node:
+            self._links.pop()
         if node.parent >= 0 and (node.tag in BLOCK_TAGS or not node.leaf):
             self.nodes[node.parent].leaf = False
         if node.tag in SILENT_TAGS:
@@ -175,7 +219,7 @@ def _written(value: object, script: int, out: list[dict]) -> str:
             text = item
         elif isinstance(item, dict):
             kind = item.get("@type")
-            kinds = [kind] if isinstance(kind, str) else [str(k)[:200] for k in kind] if isinstance(kind, list) else []
+            kinds = [kind] if isinstance(kind, str) else [str(k) for k in kind] if isinstance(kind, list) else []
             row = {"script": script, "top": top, "kinds": kinds, "first": size, "chars": 0}
             out.append(row)
             todo.append(("end", row, False))
@@ -223,39 +267,44 @@ class _Found:
         self.value = value
 
 
-def _surroundings(outline: _Outline) -> dict[int, tuple[int, int]]:
-    """Range of pieces around each anchor: its parent's text, up to the neighbouring anchors in the same parent."""
-    siblings: dict[int, list[_Node]] = {}
+def _text_runs(outline: _Outline, lengths: list[int], places: dict[int, int]) -> list[dict]:
+    nearest: dict[str, list[int]] = {kind: [] for kind in BOXES}
     for node in outline.nodes:
-        if node.tag == "a" and node.parent >= 0:
-            siblings.setdefault(node.parent, []).append(node)
-    found = {}
-    for parent, anchors in siblings.items():
-        box = outline.nodes[parent]
-        for n, node in enumerate(anchors):
-            first = anchors[n - 1].end_string if n else box.first_string
-            end = anchors[n + 1].first_string if n + 1 < len(anchors) else box.end_string
-            found[node.pos] = (first, max(end - first, 0))
-    return found
+        for kind, tags in BOXES.items():
+            nearest[kind].append(node.pos if node.tag in tags else nearest[kind][node.parent] if node.parent >= 0 else -1)
+
+    def size(first: int, end: int) -> int:
+        return max(lengths[end] - lengths[first] - 1, 0)
+
+    def box(kind: str, owner: int) -> int | None:
+        at = nearest[kind][owner]
+        if at < 0:
+            return None
+        node = outline.nodes[at]
+        return 0 if node.leaf else size(node.first_string, node.end_string)
+
+    return [
+        {
+            "owner": places.get(owner), "pos": owner, "first_piece": first, "pieces": end - first, "chars": size(first, end),
+            "link": places.get(link), **{kind: box(kind, owner) for kind in BOXES},
+        }
+        for owner, first, end, link in outline.runs
+    ]
 
 
 def parse_page(html: str | None) -> dict[str, object]:
-    """Elements, text pieces, JSON-LD and address candidates of a page; what stopped the parser is in ``parse_error``."""
+    """Elements, text pieces, JSON-LD and address candidates of a page; what could not be read is in ``parse_error``."""
     outline = _Outline()
     error = None
-    try:
-        outline.feed(html or "")
-        outline.close()
-    except (AssertionError, ValueError, IndexError) as exc:  # the parser's own faults; what was read stays
-        error = f"{type(exc).__name__}: {exc}"
+    outline.read(html or "")
     outline.finish()
     lengths = [0, *accumulate(len(s) + 1 for s in outline.strings)]
-    around = _surroundings(outline)
     read = [n for n in outline.nodes if n.tag in READ_TAGS or _is_region(n)]
     targets = [(n.pos, i) for i, n in enumerate(read) if n.tag == "a" and "href" in n.attrs]
+    boxes: dict[int, int] = {}  # parents of anchors, each once however many anchors it has
     elements = []
     for node in read:
-        first, pieces = around.get(node.pos, (None, None))
+        around = boxes.setdefault(node.parent, len(boxes)) if node.tag == "a" and node.parent >= 0 else None
         at = bisect_right(targets, (node.pos, len(read)))
         link = targets[at][1] if at < len(targets) and targets[at][0] <= node.last else None
         elements.append(
@@ -269,10 +318,10 @@ def parse_page(html: str | None) -> dict[str, object]:
                 "chars": max(lengths[node.end_string] - lengths[node.first_string] - 1, 0),
                 "leaf": node.leaf,
                 "link": link,
-                "around_first": first,
-                "around_pieces": pieces,
+                "around": around,
             }
         )
+    parents = [outline.nodes[p] for p in boxes]
     objects: list[dict] = []
     texts: list[str] = []
     scripts: list[str] = []
@@ -295,6 +344,8 @@ def parse_page(html: str | None) -> dict[str, object]:
     return {
         "elements": elements,
         "page_pieces": outline.strings,
+        "text_runs": _text_runs(outline, lengths, {n.pos: i for i, n in enumerate(read)}),
+        "link_boxes": [{"first_piece": p.first_string, "pieces": p.end_string - p.first_string} for p in parents],
         "json_ld": objects,
         "json_ld_texts": texts,
         "json_ld_scripts": scripts,

@@ -421,15 +421,16 @@ def single_social(socials: DataFrame) -> DataFrame:
     )
 
 
-def founder_page_facts(first: Column, full_name: Column, base: Column) -> Column:
-    """struct(bio, avatar_url, personal_website, location) read from one parsed page for one name."""
+def founder_page_facts(first: Column, full_name: Column, base: Column, least_bio: int = 40) -> Column:
+    """struct(bio, avatar_url, personal_website, location) read from one parsed page for one name.
+
+    The bio is the first block of ``least_bio`` characters or more, in page order, that names the person.
+    """
     name_first, name_full = F.lower(first), F.lower(full_name)
-    blocks = elements(
-        lambda e: e["tag"].isin("p", "div", "li", "article", "section") & (e["chars"] >= 40) & ((e["chars"] <= 600) | e["leaf"])
-    )
+    texts = F.transform(F.array_sort(F.transform(text_blocks("bios"), lambda b: F.struct(b["pos"], b["text"]))), lambda b: b["text"])
     bio = F.get(
         F.filter(
-            F.transform(blocks, lambda e: element_text(e)),
+            F.filter(texts, lambda t: F.length(t) >= least_bio),
             lambda t: F.contains(F.lower(t), name_first)
             & (
                 F.contains(F.lower(t), name_full)
@@ -493,10 +494,10 @@ def enrich_founders(
         named = named.join(single_social(socials), "company_id", "left").withColumns(
             {k: F.coalesce(k, f"only_{k}") for k in ("linkedin", "github", "twitter")}
         ).drop("only_linkedin", "only_github", "only_twitter")
-    joined = named.join(homepages.select("company_id", F.col("url").alias("_url"), "elements", "page_pieces"), "company_id", "left")
+    joined = named.join(homepages.select("company_id", F.col("url").alias("_url"), "elements", "page_pieces", "text_runs"), "company_id", "left")
     facts = joined.withColumn(
         "_facts", founder_page_facts(F.col("first_name"), F.col("full_name"), F.col("_url"))
-    ).drop("elements", "page_pieces", "_url")
+    ).drop("elements", "page_pieces", "text_runs", "_url")
     out = facts.select(*[c for c in facts.columns if c != "_facts"], "_facts.*")
     if keywords is not None:
         pattern = r"(?i)\b(" + "|".join(rules.FOUNDER_PLACES) + r")\b"

@@ -110,12 +110,28 @@ def job_attributes(jobs: DataFrame, text: Column, keywords: Column) -> DataFrame
     )
 
 
-def _candidate(kind: int, **fields: Column) -> Column:
-    names = ("pos", "title", "href", "text", "around", "stated_url", "stated_type", "stated_place")
+def _facts(text: Column) -> Column:
+    """What the text around a link says of the opening."""
+    return F.struct(
+        location(text).alias("location"),
+        work_mode(text).alias("remote"),
+        employment_type(text).alias("employment_type"),
+        seniority(text).alias("seniority"),
+        match_keywords(text).alias("keywords"),
+    )
+
+
+_FACTS = "struct<location:string,remote:boolean,employment_type:string,seniority:string,keywords:array<string>>"
+
+
+def _candidate(kind: int, near: Column | None = None, direct: Column | None = None, **fields: Column) -> Column:
+    names = ("pos", "title", "href", "text", "stated_url", "stated_type", "stated_place")
     columns = [F.lit(kind).alias("kind")]
     for name in names:
         value = fields.get(name, F.lit(None).cast("string"))
         columns.append(value.cast("int" if name == "pos" else "string").alias(name))
+    columns.append((F.lit(None) if near is None else near).cast(_FACTS).alias("near"))
+    columns.append((F.lit(None) if direct is None else direct).cast("array<string>").alias("direct"))
     return F.struct(*columns)
 
 
@@ -123,18 +139,56 @@ def _json(body: Column, *paths: str) -> Column:
     return F.coalesce(*[blank_to_null(F.get_json_object(body, p)) for p in paths])
 
 
-def job_candidates() -> Column:
+def _links(least_title: int, most_title: int | None) -> Column:
+    """Anchors that lead to an opening, with what the text around them says.
+
+    That text is the whole text of the anchor's parent; it is read once for each parent, however many anchors share it.
+    """
+    sizes = (lambda n: n >= least_title) if most_title is None else (lambda n: n.between(least_title, most_title))
+    anchors = elements(lambda e: (e["tag"] == "a") & (text_or_empty(attr(e, "href")) != "") & sizes(e["chars"]))
+    shaped = F.transform(
+        anchors,
+        lambda e: let(
+            F.struct(strip(element_text(e)).alias("title"), strip(attr(e, "href")).alias("href")),
+            lambda x: F.struct(
+                e["pos"].alias("pos"), x["title"].alias("title"), x["href"].alias("href"), e["around"].alias("around"),
+                match_keywords(F.concat_ws(" ", x["title"], x["href"])).alias("direct"),
+            ),
+        ),
+    )
+
+    def wanted(x: Column) -> Column:
+        hinted = contains_any(F.lower(x["href"]), rules.JOB_LINK_HINTS)
+        title = F.lower(x["title"])
+        return (
+            (hinted | contains_any(title, rules.JOB_LINK_HINTS) | (F.size(match_keywords(x["title"])) > 0))
+            & ((F.size(x["direct"]) > 0) | hinted)
+            & ~title.isin(*rules.NAV_LABELS)
+        )
+
+    def with_facts(links: Column) -> Column:
+        places = F.array_distinct(F.array_compact(F.transform(links, lambda x: x["around"])))
+        facts = F.map_from_entries(F.transform(places, lambda p: F.struct(p, _facts(text_around(p)))))
+        return let(
+            facts,
+            lambda near: F.transform(
+                links,
+                lambda x: _candidate(
+                    0, F.coalesce(F.try_element_at(near, x["around"]), _facts(x["title"])), x["direct"],
+                    pos=x["pos"], title=x["title"], href=x["href"], text=x["title"],
+                ),
+            ),
+        )
+
+    return let(F.filter(shaped, wanted), with_facts)
+
+
+def job_candidates(least_title: int = 4, most_title: int | None = None) -> Column:
     """Anchors, JobPosting objects and job-like text blocks of one parsed page, in reading order.
 
     One array, so the parsed page is read once for all three kinds.
     """
-    anchors = elements(
-        lambda e: (e["tag"] == "a") & (text_or_empty(attr(e, "href")) != "") & e["chars"].between(4, 160)
-    )
-    linked = F.transform(
-        anchors,
-        lambda e: _candidate(0, pos=e["pos"], title=strip(element_text(e)), href=strip(attr(e, "href")), around=text_around(e)),
-    )
+    linked = _links(least_title, most_title)
     postings = F.filter(
         F.col("json_ld"), lambda o: F.exists(o["kinds"], lambda k: F.lower(k).rlike("jobposting|^job$"))
     )
@@ -158,36 +212,31 @@ def job_candidates() -> Column:
     return F.concat(linked, structured, blocks)
 
 
-def extract_jobs(parsed: DataFrame, base_col: str = "url", provider_col: str | None = None, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Openings of each page: title, url, provider, percent, keywords and attributes, one row per opening."""
+def extract_jobs(
+    parsed: DataFrame, base_col: str = "url", provider_col: str | None = None, keys: Sequence[str] = ("page_id",),
+    least_title: int = 4, most_title: int | None = None, most_block_title: int | None = None,
+) -> DataFrame:
+    """Openings of each page: title, url, provider, percent, keywords and attributes, one row per opening.
+
+    Titles of links shorter than ``least_title`` (or, where asked, longer than ``most_title``) are passed over; a block
+    whose first part is shorter (or longer than ``most_block_title``) is named by its first keyword.
+    """
     default = F.col(provider_col) if provider_col else F.lit(None).cast("string")
     kept = [*keys, F.col(base_col).alias("source_page"), default.alias("page_provider")]
-    rows = unnest(parsed, job_candidates(), "c", kept).select(*keys, "source_page", "page_provider", "c.*")
+    candidates = job_candidates(least_title, most_title)
+    rows = unnest(parsed, candidates, "c", kept).select(*keys, "source_page", "page_provider", "c.*")
     title, href = text_or_empty(F.col("title")), text_or_empty(F.col("href"))
     is_link, is_posting, is_block = F.col("kind") == 0, F.col("kind") == 1, F.col("kind") == 2
-    hinted = contains_any(F.lower(href), rules.JOB_LINK_HINTS)
-    blob = F.when(is_link, F.concat_ws(" ", title, text_or_empty(F.col("around")))).otherwise(F.col("text"))
-    stage = rows.withColumns(
-        {
-            "_blob": blob,
-            "_direct": match_keywords(F.when(is_link, F.concat_ws(" ", title, href)).otherwise(F.col("text"))),
-            "_in_title": F.size(match_keywords(title)) > 0,
-            "_hinted": hinted,
-            "_title_hint": contains_any(F.lower(title), rules.JOB_LINK_HINTS),
-        }
-    )
-    hits = F.size("_direct") > 0
-    wanted_link = (
-        (F.col("_hinted") | F.col("_title_hint") | F.col("_in_title"))
-        & (hits | F.col("_hinted"))
-        & ~F.lower(title).isin(*rules.NAV_LABELS)
-    )
-    wanted = F.when(is_link, wanted_link).when(is_posting, title != "").otherwise(hits)
+    stage = rows.withColumn("_direct", F.coalesce("direct", match_keywords(F.col("text"))))
+    wanted = is_link | F.when(is_posting, title != "").otherwise(F.size("_direct") > 0)
     # The test becomes a generated column, so it is not repeated below the projection.
     kept_rows = unnest(stage, F.filter(F.array(wanted), lambda ok: ok), "_ok").drop("_ok")
-    keywords = F.when(is_link & (F.size("_direct") == 0), match_keywords(F.col("_blob"))).otherwise(F.col("_direct"))
+    keywords = F.when(is_link & (F.size("_direct") == 0), F.col("near.keywords")).otherwise(F.col("_direct"))
     short = strip(F.regexp_extract(F.col("text"), r"^([^·|\-]*)", 1))
-    block_title = F.when(F.length(short).between(4, 120), short).otherwise(title_case(F.get("_direct", F.lit(0))))
+    fits = F.length(short) >= least_title
+    if most_block_title is not None:
+        fits &= F.length(short) <= most_block_title
+    block_title = F.when(fits, short).otherwise(title_case(F.get("_direct", F.lit(0))))
     resolved = normalize_job_url(resolve_url(F.col("href"), F.col("source_page")), F.col("source_page"))
     url = F.when(
         is_posting, normalize_job_url(F.coalesce("stated_url", "source_page"), F.col("source_page"))
@@ -201,13 +250,15 @@ def extract_jobs(parsed: DataFrame, base_col: str = "url", provider_col: str | N
         F.when(is_block, block_title).otherwise(title).alias("title"),
         url.alias("url"),
         (~is_block | (href != "")).alias("has_url"),
-        F.col("_blob").alias("blob"),
+        "text",
+        "near",
         keywords.alias("matched_keywords"),
         "stated_type",
         "stated_place",
     )
     provided = shaped.withColumn("provider", F.coalesce(ats_provider(F.col("url")), F.col("page_provider")))
-    full = job_attributes(provided, F.col("blob"), F.col("matched_keywords"))
+    full = job_attributes(provided, F.col("text"), F.col("matched_keywords"))
+    near = lambda name: F.when(F.col("near").isNotNull(), F.col(f"near.{name}")).otherwise(F.col(name))
     return full.select(
         *keys,
         "kind",
@@ -219,10 +270,10 @@ def extract_jobs(parsed: DataFrame, base_col: str = "url", provider_col: str | N
         job_confidence(F.col("matched_keywords"), F.col("has_url"), F.col("provider")).alias("percent"),
         "matched_keywords",
         "department",
-        F.coalesce("stated_place", "location").alias("location"),
-        "remote",
-        F.coalesce("stated_type", "employment_type").alias("employment_type"),
-        "seniority",
+        F.coalesce("stated_place", "location", "near.location").alias("location"),
+        near("remote").alias("remote"),
+        F.coalesce(F.col("stated_type"), near("employment_type")).alias("employment_type"),
+        near("seniority").alias("seniority"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as html_stage
+from leadloom.functions import markup as markup_stage
 from leadloom.functions.people import find_emails
 from leadloom.functions.text import blank_to_null, contains_any, first_case, host_matches, squash, strip, text_or_empty
 from leadloom.functions.urls import (
@@ -30,6 +31,7 @@ from leadloom.operators.rows import unnest, with_checked
 from leadloom.rules import web
 
 cloudpickle.register_pickle_by_value(html_stage)
+cloudpickle.register_pickle_by_value(markup_stage)
 
 STRINGS = "array<string>"
 
@@ -52,12 +54,17 @@ def parse_pages(pages: DataFrame, keep_html: bool = False) -> DataFrame:
 
 def element_text(e: Column) -> Column:
     """Whole text of an element, a range of ``page_pieces`` (which must be in the row); null for a null element."""
-    return F.array_join(F.slice(F.col("page_pieces"), e["first_piece"] + 1, e["pieces"]), " ")
+    return text_of_range(e)
 
 
-def text_around(e: Column) -> Column:
-    """Text around an anchor: its parent's, up to the neighbouring anchors."""
-    return F.array_join(F.slice(F.col("page_pieces"), e["around_first"] + 1, e["around_pieces"]), " ")
+def text_of_range(r: Column) -> Column:
+    """Text of anything with first_piece and pieces; ``page_pieces`` must be in the row."""
+    return F.array_join(F.slice(F.col("page_pieces"), r["first_piece"] + 1, r["pieces"]), " ")
+
+
+def text_around(place: Column) -> Column:
+    """Whole text of an anchor's parent, by the anchor's ``around``."""
+    return text_of_range(F.get(F.col("link_boxes"), place))
 
 
 def inner_href(e: Column) -> Column:
@@ -306,29 +313,39 @@ def json_ld_items(parsed: DataFrame, kind_pattern: str | None = None, keys: Sequ
     return rows.filter(F.exists("kinds", lambda k: F.lower(k).rlike(kind_pattern)))
 
 
-# Block tags read for people and for jobs, and class/id words of page chrome.
-PEOPLE_BLOCKS = ("section", "article", "div", "li", "footer", "p", "header")
-JOB_BLOCKS = ("li", "article", "div", "tr")
+# class/id words of page chrome, and the length up to which a block with blocks inside is one card.
 CHROME_WORDS = ("nav", "menu", "cookie", "footer-links", "breadcrumb")
+CARD_CHARS = {"people": 500, "jobs": 280, "bios": 600}
 
 
-def text_blocks(kind: str = "people") -> Column:
-    """Text blocks of a page (pos, last, tag, attrs, text, link): people blocks without page chrome, or job blocks.
+def text_blocks(kind: str = "people", card_chars: int | None = None) -> Column:
+    """Text blocks of a page (pos, last, tag, attrs, text, link): "people" without page chrome, "jobs" or "bios".
 
-    A block with other blocks inside counts while it is short (500 characters for people, 280 for jobs), as a card
-    does; a block without any counts at every length, so no text is lost and none is read more than a few times.
+    A block without others inside counts at every length, and one with others inside while it is as short as a card.
+    A longer one is given in parts: its inner blocks, and each stretch of text that stands in it beside them (also in
+    inner elements that are no blocks of this kind), so every piece of text inside a block is in one, whatever the
+    lengths.
     """
-    tags, limit = (PEOPLE_BLOCKS, 500) if kind == "people" else (JOB_BLOCKS, 280)
+    tags, limit = sorted(html_stage.BOXES[kind]), CARD_CHARS[kind] if card_chars is None else card_chars
+    fields = ("pos", "last", "tag", "attrs", "link")
+
+    def chrome(e: Column) -> Column:
+        return contains_any(F.lower(F.concat_ws(" ", attr(e, "class"), attr(e, "id"))), CHROME_WORDS)
 
     def keep(e: Column) -> Column:
         wanted = e["tag"].isin(*tags) & (e["chars"] > 0) & ((e["chars"] <= limit) | e["leaf"])
-        if kind != "people":
-            return wanted
-        marks = F.lower(F.concat_ws(" ", attr(e, "class"), attr(e, "id")))
-        return wanted & ~contains_any(marks, CHROME_WORDS)
-
-    fields = ("pos", "last", "tag", "attrs", "link")
-    return F.transform(elements(keep), lambda e: F.struct(*[e[f].alias(f) for f in fields], element_text(e).alias("text")))
+        return wanted & ~chrome(e) if kind == "people" else wanted
+
+    def run(r: Column) -> Column:
+        owner = F.get(F.col("elements"), r["owner"])
+        named = F.struct(r["pos"].alias("pos"), r["pos"].alias("last"), owner["tag"].alias("tag"), owner["attrs"].alias("attrs"), r["link"].alias("link"))
+        return F.struct(*[named[f].alias(f) for f in fields], text_of_range(r).alias("text"))
+
+    whole = F.transform(elements(keep), lambda e: F.struct(*[e[f].alias(f) for f in fields], element_text(e).alias("text")))
+    parts = F.transform(F.filter("text_runs", lambda r: r[kind] > limit), run)
+    if kind == "people":
+        parts = F.filter(parts, lambda e: ~chrome(e))
+    return F.concat(whole, parts)
 
 
 def url_key(c: Column) -> Column:

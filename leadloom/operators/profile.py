@@ -49,8 +49,8 @@ def company_name(title: Column) -> Column:
     return F.try_element_at(F.array_compact(named), F.lit(1))
 
 
-def tagline(description: Column) -> Column:
-    """First description or lead paragraph of 8 to 160 characters."""
+def tagline(description: Column, least: int = 8, most: int = 160) -> Column:
+    """First description or lead paragraph of ``least`` to ``most`` characters."""
     h1 = F.try_element_at(tagged("h1"), F.lit(1))
     after = first_text(elements(lambda e: e["tag"].isin("p", "h2") & (e["pos"] > h1["pos"])))
     candidates = [
@@ -60,7 +60,7 @@ def tagline(description: Column) -> Column:
         meta("name", "description"),
         after,
     ]
-    return _first_that(candidates, lambda v: F.length(v).between(8, 160))
+    return _first_that(candidates, lambda v: F.length(v).between(least, most))
 
 
 def primary_cta() -> Column:

@@ -8,7 +8,8 @@ from leadloom.operators import hiring as H
 from leadloom.operators import keywords as K
 from leadloom.operators import pages as P
 from leadloom.operators import profile as B
-from leadloom.plans.catalog_pages import ld_pages, sql_links, sql_unescape
+from leadloom.plans.catalog_leads import sql_display
+from leadloom.plans.catalog_pages import ld_pages, sql_links, sql_pieces, sql_unescape
 from leadloom.plans.catalog_signals import _quote
 from leadloom.plans.inputs import SQL_FEATURES, SQL_JOBS, SQL_PAGES, company_features, job_rows, marked_pages
 from leadloom.plans.registry import query, table
@@ -184,14 +185,20 @@ def _headed(spark, sf_dir):
     return P.parse_pages(table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{_HEADED} as html"))
 
 
+# The first paragraph; one left open holds all that follow.
+_SQL_LEAD = f"trim(regexp_replace({sql_pieces("case when contains(p, '</p>') then string_split(p, '</p>')[1] else tail end")}, '\\s+', ' ', 'g'))"
+
+
 @query(
     "b1_profile_fields",
-    f"""select page_id, case page_id % 4 when 0 then 'Acme' when 1 then 'Beta' when 3 then 'Gamma' end as company_name,
-    case page_id % 4 when 0 then 'Short but fine' when 3 then 'A subtitle that fits' end as tagline from pages where page_id % 4 in (0, 3)""",
+    f"""with heads as (select page_id, nullif(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), '') as title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as a from pages),
+    leads as (select page_id, title, string_split(a, '<p>')[2] as p, array_to_string(string_split(a, '<p>')[2:], '<p>') as tail from heads),
+    texts as (select page_id, title, {_SQL_LEAD} as lead from leads)
+    select page_id, case page_id % 4 when 0 then 'Acme' when 1 then 'Beta' when 2 then {sql_display('title')} when 3 then 'Gamma' end as company_name,
+    case page_id % 4 when 0 then 'Short but fine' when 3 then 'A subtitle that fits' else case when length(lead) between 8 and 160 then lead end end as tagline from texts""",
 )
 def b1(spark, sf_dir):
-    rows = _headed(spark, sf_dir).filter("page_id % 4 in (0, 3)")
-    return rows.select(
+    return _headed(spark, sf_dir).select(
         "page_id", B.company_name(P.page_title()).alias("company_name"), B.tagline(P.page_description()).alias("tagline")
     )
 

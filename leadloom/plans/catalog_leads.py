@@ -353,7 +353,7 @@ _DISPLAY = """CASE doc_id % 6 WHEN 0 THEN 'Brand: ' || text WHEN 1 THEN 'Brand
  WHEN 4 THEN text ELSE ' - ' || source END"""
 
 
-def _sql_display(c: str) -> str:
+def sql_display(c: str) -> str:
     out = "case"
     for sep in web.TAGLINE_SEPARATORS:
         has, left, right = _sql_cut(c, sep)
@@ -363,7 +363,7 @@ def _sql_display(c: str) -> str:
 
 @query(
     "n8_clean_display_name",
-    f"select doc_id, {_sql_display('t')} as name from (select doc_id, trim(regexp_replace({_DISPLAY}, '\\s+', ' ', 'g')) as t from documents)",
+    f"select doc_id, {sql_display('t')} as name from (select doc_id, trim(regexp_replace({_DISPLAY}, '\\s+', ' ', 'g')) as t from documents)",
 )
 def n8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_DISPLAY} as raw")

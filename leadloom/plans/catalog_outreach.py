@@ -10,7 +10,7 @@ from leadloom.operators import outreach as O
 from leadloom.operators import queue as K
 from leadloom.operators import reports as R
 from leadloom.operators import store as D
-from leadloom.plans.catalog_people import _WITH_GROUPS, merged_contacts, sql_valid
+from leadloom.plans.catalog_people import BEST_CONTACT, _WITH_GROUPS, merged_contacts, sql_valid
 from leadloom.plans.catalog_signals import _quote
 from leadloom.plans.catalog_urls import CANONICAL, sql_in
 from leadloom.plans.inputs import SQL_CONTACTS, SQL_FEATURES, SQL_URLS, company_features, contact_rows, url_rows
@@ -37,9 +37,10 @@ _ALL_GENERIC = tuple(dict.fromkeys(people.SKIP_MAILBOXES + people.HIRING_MAILBOX
 @query(
     "o2_pick_recipient",
     _WITH_GROUPS + f""", cand as (select company_id, 'contact' as kind, -contact_score as a, first_pos as b, full_name, email from classed where email is not null
+      union all select company_id, 'best', 0, 0, full_name, email from ({BEST_CONTACT}) where email is not null and company_id % 3 > 0
       union all select company_id, 'plain', 0, 0, null, lower(email) from clean where email is not null and pos % 2 = 0),
     judged as (select *, company_id % 2 = 0 and {_BOX} in {sql_in(people.HIRING_MAILBOXES)} as box from cand where {sql_valid('lower(email)')} and ((company_id % 2 = 0 and {_BOX} in {sql_in(people.HIRING_MAILBOXES)}) or {_BOX} not in {sql_in(_ALL_GENERIC)})),
-    stepped as (select *, case when box and kind = 'plain' then 1 when box then 2 when kind = 'contact' then 4 else 5 end as step from judged)
+    stepped as (select *, case when box and kind = 'plain' then 1 when box and kind = 'contact' then 2 when kind = 'best' then 3 when kind = 'contact' then 4 else 5 end as step from judged)
     select company_id, recipient_name, recipient_email from (select company_id, case when step = 1 then 'Hiring team' else coalesce(split_part(full_name, ' ', 1), 'there') end as recipient_name, email as recipient_email,
       row_number() over (partition by company_id order by step, a, case when kind = 'contact' then b end, length(email), email) as rn from stepped) where rn = 1""",
 )
@@ -47,7 +48,8 @@ def o2(spark, sf_dir):
     contacts = merged_contacts(spark, sf_dir)
     companies = table(spark, sf_dir, "nation").selectExpr("n_nationkey as company_id", "case when n_nationkey % 2 = 0 then 'hiring' else 'freelance' end as outreach_mode")
     plain = C.normalize_candidates(contact_rows(spark, sf_dir)).filter("email is not null and pos % 2 = 0").selectExpr("company_id", "lower(email) as email")
-    return O.pick_recipient(companies, contacts, contacts.limit(0), plain)
+    best = C.best_contact(contacts).filter("company_id % 3 > 0")  # every third company has not chosen one
+    return O.pick_recipient(companies, contacts, best, plain)
 
 
 _LEAD = [
@@ -182,7 +184,7 @@ def o8(spark, sf_dir):
 @query(
     "o8_contacts_summary",
     _WITH_GROUPS + """select company_id, coalesce(string_agg(line, '; ' order by rn), 'No contacts discovered') as contacts_summary from (select company_id, rn, case when full_name is not null then split_part(full_name, ' ', 1) || case when role is not null then ' (' || role || ')' else '' end || case when email is not null then ' <' || email || '>' else '' end end as line from
-    (select *, row_number() over (partition by company_id order by contact_score desc, contact_priority, first_pos) as rn from classed) where rn <= 5) group by company_id""",
+    (select *, row_number() over (partition by company_id order by contact_score desc, contact_priority, first_pos) as rn from classed)) group by company_id""",
 )
 def o8_contacts(spark, sf_dir):
     return O.contacts_summary(merged_contacts(spark, sf_dir))

@@ -239,16 +239,26 @@ def p14(spark, sf_dir):
     )
 
 
+def sql_pieces(c: str) -> str:
+    split = f"list_transform(regexp_split_to_array({c}, '<[^>]*>'), lambda x: regexp_replace({sql_unescape('x')}, '^\\s+|\\s+$', '', 'g'))"
+    return f"array_to_string(list_filter({split}, lambda x: x <> ''), ' ')"
+
+
 @query(
     "p15_text_blocks",
     f"""with found as (select page_id, 'li' as tag, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) as t from pages
-     union all select page_id, 'div', unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) from pages)
-    select page_id, tag, trim({sql_unescape('t')}) as block, count(*) as n from found where trim(t) <> '' group by 1, 2, 3""",
+     union all select page_id, 'div', unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) from pages),
+    articles as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as a from pages),
+    sized as (select *, {sql_pieces('a')} as whole from articles),
+    parts as (select page_id, unnest(string_split(a, '<p>')) as part, unnest(range(length(string_split(a, '<p>')))) as i from sized where length(whole) > 280 and contains(a, '<p>')),
+    blocks as (select page_id, tag, trim({sql_unescape('t')}) as block from found
+     union all select page_id, 'article', whole from sized where length(whole) <= 280 or not contains(a, '<p>')
+     union all select page_id, case when i = 0 then 'article' else 'p' end, {sql_pieces("string_split(part, '</p>')[1]")} from parts)
+    select page_id, tag, block, count(*) as n from blocks where block <> '' group by 1, 2, 3""",
 )
 def p15(spark, sf_dir):
     rows = _parsed(spark, sf_dir).select("page_id", F.explode(P.text_blocks("jobs")).alias("b"))
-    # the pages' articles are boxes of many blocks, read block by block: paragraphs are people blocks only
-    return rows.groupBy("page_id", "b.tag", F.col("b.text").alias("block")).agg(F.count("*").alias("n")).filter("tag <> 'article'")
+    return rows.groupBy("page_id", "b.tag", F.col("b.text").alias("block")).agg(F.count("*").alias("n"))
 
 
 _KEY = "lower(rtrim(url, '/'))"

@@ -11,7 +11,7 @@ from leadloom.operators import patterns as E
 from leadloom.plans.catalog_signals import _quote
 from leadloom.plans.catalog_urls import sql_in
 from leadloom.plans.inputs import SQL_CONTACTS, SQL_MAIL_DOCS, contact_rows, mail_documents
-from leadloom.plans.catalog_pages import sql_unescape
+from leadloom.plans.catalog_pages import sql_pieces, sql_unescape
 from leadloom.plans.registry import query, table
 from leadloom.rules import people as rules
 from leadloom.rules.web import EMAIL_PATTERN
@@ -127,16 +127,29 @@ def _team_pages(spark, sf_dir):
     return P.parse_pages(_pages_as_customers(spark, sf_dir).selectExpr("c_custkey as company_id", "'https://t.io' as url", f"{_TEAM} as html"))
 
 
+# Blocks of the pages' articles: each paragraph's own text; an open paragraph holds all that follow and counts as a
+# card while it has 500 characters, and so does the article. Menus, adverts and footers hold no address.
+_SQL_BLOCKS = f"""(with parts as (select page_id, unnest(string_split(a, '<p>')) as part, unnest(range(length(string_split(a, '<p>')))) as i
+   from (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as a from pages)),
+ tails as (select page_id, i, part, string_agg(part, '<p>') over (partition by page_id order by i rows between current row and unbounded following) as tail from parts)
+ select page_id, t from (select page_id, {sql_pieces("string_split(part, '</p>')[1]")} as t from tails where i > 0
+   union all select page_id, {sql_pieces("tail")} from tails where length({sql_pieces("tail")}) <= 500 and (i = 0 or not contains(part, '</p>'))) where regexp_matches(t, '(?i)@|\\[at\\]|\\(at\\)| at '))"""
+_SQL_BLOCK_ROLE = "case " + " ".join(f"when contains(lower(t), {_quote(a)}) then {_quote(v)}" for a, v in sorted(rules.ROLE_ALIASES.items(), key=lambda x: -len(x[0]))) + " ".join(
+    f" when contains(lower(t), {_quote(r.lower())}) then {_quote(r)}" for r in rules.SUPPORTED_ROLES) + " end"
+_SQL_BLOCK_PEOPLE = f"""(select page_id, {_SQL_BLOCK_ROLE} as role, coalesce(min(e) filter (not regexp_extract(e, '^([^@]*)', 1) in {sql_in(rules.SHARED_MAILBOXES)}), min(e)) as e
+ from (select page_id, t, lower(unnest(regexp_extract_all(t, '{EMAIL_PATTERN}'))) as e from {_SQL_BLOCKS}
+  union all select page_id, t, lower(n || '@' || h || '.' || x) from (select page_id, t, unnest(regexp_extract_all(t, '{rules.OBFUSCATED_EMAIL}', 1)) as n,
+   unnest(regexp_extract_all(t, '{rules.OBFUSCATED_EMAIL}', 2)) as h, unnest(regexp_extract_all(t, '{rules.OBFUSCATED_EMAIL}', 3)) as x from {_SQL_BLOCKS})) where {sql_valid('e')} group by page_id, t)"""
+
+
 @query(
     "c7_people_from_blocks",
-    """select c_custkey as company_id, case c_custkey % 4 when 0 then 'Ada Stone' when 3 then 'Contact Ravi Kim' end as full_name, case c_custkey % 4 when 0 then 'ada@acme.io' when 3 then 'ravi@corp.io' end as email,
+    f"""select c_custkey as company_id, case c_custkey % 4 when 0 then 'Ada Stone' when 3 then 'Contact Ravi Kim' end as full_name, case c_custkey % 4 when 0 then 'ada@acme.io' when 3 then 'ravi@corp.io' end as email,
     case c_custkey % 4 when 0 then 'Co-Founder' when 1 then 'VP Engineering' end as role, case when c_custkey % 4 = 1 then 'https://linkedin.com/in/p' || c_custkey end as linkedin, case when c_custkey % 4 = 3 then 'https://x.com/ravi' end as twitter
-    from (select page_id as c_custkey from pages) where c_custkey % 4 <> 2""",
+    from (select page_id as c_custkey from pages) where c_custkey % 4 <> 2 union select page_id, null, e, role, null, null from {_SQL_BLOCK_PEOPLE}""",
 )
 def c7(spark, sf_dir):
-    # the pages' own texts hold spelled-out addresses of nobody (c8 compares those); here, people with a name or profile
     rows = P.unnest(_team_pages(spark, sf_dir), C.people_from_blocks(), "p", ["company_id"])
-    rows = rows.filter("coalesce(p.full_name, p.linkedin, p.github, p.twitter) is not null")
     return rows.select("company_id", "p.full_name", "p.email", "p.role", "p.linkedin", "p.twitter").distinct()
 
 
@@ -156,13 +169,14 @@ _SQL_PAGE_MAILS = f"""(select distinct page_id, e from (select page_id, lower(un
     "c8_contact_candidates",
     f"""select c_custkey as company_id, s as discovery_source, n as full_name, case when s = 'json_ld' then 'mia@w' || c_custkey || '.io' else e end as email, r as role, l as linkedin, case g when 'g' then 'https://github.com/u' || c_custkey when 'r' then 'https://github.com/u' end as github
     from (select page_id as c_custkey from pages) c, (values ('json_ld', 'Mia West', null, 'CTO', null, null), ('email', null, 'jobs@acme.io', 'Jobs', null, null), ('social', null, null, null, 'https://www.linkedin.com/in/me', null), ('social', null, null, null, null, 'g'), ('social', null, null, null, null, 'r')) t(s, n, e, r, l, g)
-    union all select page_id, s, null, e, null, null, null from {_SQL_PAGE_MAILS}, (values ('email')) v(s)""",
+    union select page_id, 'email', null, e, null, null, null from {_SQL_PAGE_MAILS}
+    union select page_id, 'html', null, 'jobs@acme.io', null, null, null from pages
+    union select page_id, 'html', null, e, role, null, null from {_SQL_BLOCK_PEOPLE}""",
 )
 def c8(spark, sf_dir):
-    # candidates of text blocks ('html') are c7's
-    return C.contact_candidates(_person_pages(spark, sf_dir)).filter("discovery_source <> 'html'").select(
+    return C.contact_candidates(_person_pages(spark, sf_dir)).select(
         "company_id", "discovery_source", "full_name", "email", "role", "linkedin", "github"
-    )
+    ).distinct()
 
 
 def sql_rank(role: str, email: str, linkedin: str, name: str) -> tuple[str, str]:
@@ -227,10 +241,10 @@ def c11(spark, sf_dir):
     return merged_contacts(spark, sf_dir).select("company_id", "first_pos", "contact_class")
 
 
-_BEST = """select * from (select *, row_number() over (partition by company_id order by case contact_class when 'decision' then 1 when 'other' then 2 else 3 end, contact_score desc, contact_priority, first_pos) as rn from classed) where rn = 1"""
+BEST_CONTACT = """select * from (select *, row_number() over (partition by company_id order by case contact_class when 'decision' then 1 when 'other' then 2 else 3 end, contact_score desc, contact_priority, first_pos) as rn from classed) where rn = 1"""
 
 
-@query("c12_best_contact", _WITH_GROUPS + f"select company_id, first_pos, full_name, email, role from ({_BEST})")
+@query("c12_best_contact", _WITH_GROUPS + f"select company_id, first_pos, full_name, email, role from ({BEST_CONTACT})")
 def c12(spark, sf_dir):
     return C.best_contact(merged_contacts(spark, sf_dir)).select("company_id", "first_pos", "full_name", "email", "role")
 
@@ -239,7 +253,7 @@ def c12(spark, sf_dir):
     "c13_contact_report",
     _WITH_GROUPS + f"""select a.company_id, contact_count, decision_makers_found, generic_contacts_found, email_count, linkedin_count, b.full_name as best_full_name, b.contact_score as best_contact_score from
     (select company_id, count(*) as contact_count, count(*) filter (contact_class = 'decision' and coalesce(full_name, email, linkedin) is not null) as decision_makers_found, count(*) filter (contact_class = 'generic') as generic_contacts_found, count(distinct lower(email)) as email_count, count(distinct linkedin) as linkedin_count from classed group by 1) a
-    left join ({_BEST}) b on b.company_id = a.company_id""",
+    left join ({BEST_CONTACT}) b on b.company_id = a.company_id""",
 )
 def c13(spark, sf_dir):
     return C.contact_report(merged_contacts(spark, sf_dir)).drop("best_email", "best_role")

@@ -107,7 +107,7 @@ def enrich(leads: DataFrame, snapshots: DataFrame, most_pages: int | None = None
         F.map_from_entries(F.collect_list(F.struct("use", "page_rank"))).alias("uses")
     )
     more = cut_lineage(P.parse_pages(P.with_bodies(merged, snapshots)))
-    base = ["company_id", "url", "elements", "page_text", "page_pieces", "json_ld", "json_ld_texts", "json_ld_scripts"]
+    base = ["company_id", "url", "elements", "page_text", "page_pieces", "text_runs", "link_boxes", "json_ld", "json_ld_texts", "json_ld_scripts"]
 
     def pages_for(use: str) -> DataFrame:
         rank = F.try_element_at("uses", F.lit(use))
