@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.markup import Attributes, tokens
 from leadloom.llm.common import small_batches
 
 #: Elements that begin and end blocks; all others run inside a block.
@@ -24,16 +24,25 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 #: Elements that hold no article text, and those that do so only outside an article.
 ASIDE = frozenset("nav footer aside form button select dialog menu svg canvas object audio video math map datalist head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words in class or id that name something beside the article.
+#: Class and id names of parts beside the article.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments cookie cookies
- consent disqus footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager
- pagination paywall popup promo promoted promotion related recommended recommendations reply replies respond search share sharing sidebar
- signin signup skip social sponsor sponsored subscribe subscription toolbar widget widgets masthead topbar sitemap copyright""".split())
-#: The same, but an article's own header carries its title.
-OUTER_MARKS = frozenset(["header", "site-header"])
+ consent disqus footer gdpr login menu menubar nav navbar navigation newsletter notice notices notification pager
+ pagination paywall popup promo promoted promotion reply replies respond sidebar
+ signin signup sponsor sponsored subscribe subscription toolbar masthead topbar sitemap copyright""".split())
+#: Names that long prose inside an article outweighs.
+WEAK_MARKS = frozenset("modal overlay recommended recommendations related search share sharing skip social widget widgets".split())
+#: Only outside an article: its own header carries its title.
+OUTER_MARKS = frozenset(["header"])
+#: Last words of a name that say nothing of the part: the word before them is its head ("related-posts", "ad-box").
+HOLDERS = frozenset("""area articles bar block bottom box button buttons container content group holder inner item items left link links list
+ main module outer panel posts right row section slot stories text title top unit wrap wrapper zone""".split())
+#: First words of names that tell of a state of the page ("has-sidebar").
+STATES = frozenset("has is js no with without".split())
 #: Beginnings of run-together names such as commentlist or sidebarleft.
 MARK_STARTS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "sidebar", "sponsor", "subscri")
 COMMENT_MARKS = frozenset("comment comments reply replies respond disqus ad ads advert advertisement sponsored promo related".split())
+#: How surely an element stands beside the article.
+PLAIN, WEAK, SURE = 0, 1, 2
 #: Open elements that the start of a block ends: a paragraph always, and what cannot hold the new one.
 ENDS = {"p": frozenset(["p"]), "li": frozenset(["p", "li"]), "dd": frozenset(["p", "dd", "dt"]), "dt": frozenset(["p", "dd", "dt"]),
         "option": frozenset(["option"]), "td": frozenset(["p", "td", "th"]), "th": frozenset(["p", "td", "th"]), "tr": frozenset(["p", "td", "th", "tr"])}
@@ -46,8 +55,6 @@ STOP_WORDS = {
 }
 STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,65 +63,71 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     linked: int  # characters of the text inside links
-    beside: bool  # inside an element that is no article text
+    beside: int  # PLAIN, WEAK or SURE: how surely the element around it holds no article text
     scope: int  # number of the article or main element around it, 0 without
     heading: bool
 
 
 @dataclass(frozen=True)
 class Rules:
-    """First pass: a block is bad beside the article or with too many links; good if long and rich in stop words."""
+    """First pass: a block is bad beside the article or, outside one, with too many links; good if long and rich in
+    stop words."""
 
     most_linked: float = 0.4
-    most_linked_inside: float = 0.9
     long_enough: int = 70
     stop_density: float = 0.12
 
 
-def _tokens(value: str) -> set[str]:
-    return {p.lower() for p in _PARTS.findall(value)}
+def head_word(name: str) -> str:
+    """The word that names the part: the last that is no mere holder; empty for names of states."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if not parts or (len(parts) > 1 and parts[0] in STATES):
+        return ""
+    return next((p for p in reversed(parts) if p not in HOLDERS), "")
 
 
-def _beside(tag: str, attributes: str, inside: bool) -> bool:
+def _beside(tag: str, attributes: Attributes, inside: bool) -> int:
     if tag in ASIDE or (tag == "header" and not inside):
-        return True
+        return SURE
     if not attributes:
-        return False
-    values = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-    bare = {x.lower() for x in _ATTRIBUTE.sub(" ", attributes).split()}
-    if "hidden" in bare or "hidden" in values or values.get("aria-hidden") == "true":
-        return True
+        return PLAIN
+    values = {k: v or "" for k, v in attributes}
+    if "hidden" in values or values.get("aria-hidden") == "true":
+        return SURE
     if "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
+        return SURE
     if values.get("role", "").lower() in ROLES:
-        return True
+        return SURE
     if tag in ("html", "body", "main"):
-        return False
-    named = _tokens(values.get("class", "")) | _tokens(values.get("id", ""))
-    begins = any(n.startswith(MARK_STARTS) for n in named)
+        return PLAIN
+    heads = {head_word(n) for k in ("class", "id") for n in values.get(k, "").split()}
+    begins = any(h.startswith(MARK_STARTS) for h in heads)
     if tag == "article":
-        return begins or bool(named & COMMENT_MARKS)
-    return begins or bool(named & MARKS) or (not inside and bool(named & OUTER_MARKS))
+        return SURE if begins or heads & COMMENT_MARKS else PLAIN
+    if begins or heads & MARKS or (not inside and heads & OUTER_MARKS):
+        return SURE
+    return WEAK if heads & WEAK_MARKS else PLAIN
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. One pass over tags; whatever is no tag is text, so no page can fail."""
+    """The blocks of a page in order. One pass over tags; whatever is no tag is text, so no page can fail.
+
+    Every step pops or pushes once, so a page costs its length however its tags are nested or left open.
+    """
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, beside, scope, open links
-    open_tags: dict[str, int] = {}
+    stack: list[tuple[str, int, str, int, int]] = []  # tag, beside, tag that brought it, scope, open links
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag
     places: list[int] = []  # of the block elements in the stack
     scopes = breaks = 0
-
-    def state() -> tuple[bool, int, int]:
-        return stack[-1][1:] if stack else (False, 0, 0)
+    nothing = ("", PLAIN, "", 0, 0)
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
-            linked = sum(len(" ".join(entities.unescape(x).split())) for x in links)
-            beside, scope, _ = state()
+            linked = sum(len(" ".join(x.split())) for x in links)
+            _, beside, _, scope, _ = stack[-1] if stack else nothing
             out.append(Block(text, min(linked, len(text)), beside, scope, bool(places) and stack[places[-1]][0] in HEADINGS))
         parts.clear()
         links.clear()
@@ -122,7 +135,7 @@ def blocks(page: str) -> list[Block]:
     def close(tag: str) -> None:
         while stack:
             top = stack.pop()[0]
-            open_tags[top] -= 1
+            open_at[top].pop()
             if top in BLOCKS:
                 places.pop()
             if top == tag:
@@ -130,77 +143,49 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal breaks
-        if text:
-            parts.append(text)
-            if state()[2]:
-                links.append(text)
-            if not text.isspace():
-                breaks = 0
-
-    at = 0
-    while True:
-        start = page.find("<", at)
-        if start < 0:
-            add(page[at:])
-            break
-        if page.startswith("<!--", start):
-            add(page[at:start])
-            end = page.find("-->", start + 4)
-            at = end + 3 if end >= 0 else len(page)
-            continue
-        if page.startswith(("<!", "<?"), start):
-            add(page[at:start])
-            end = page.find(">", start)
-            at = end + 1 if end >= 0 else len(page)
-            continue
-        m = _TAG.match(page, start)
-        if not m:
-            if re.match(r"</?[a-zA-Z]", page[start : start + 3]):  # a tag with an open quote, or cut off
-                add(page[at:start])
-                end = page.find(">", start)
-                at = end + 1 if end >= 0 else len(page)
-            else:
-                add(page[at : start + 1])
-                at = start + 1
-            continue
-        add(page[at:start])
-        at = m.end()
-        tag = m[2].lower()
-        if m[1]:
-            if not open_tags.get(tag):
+        parts.append(text)
+        if stack and stack[-1][4]:
+            links.append(text)
+        if not text.isspace():
+            breaks = 0
+
+    for kind, value, *rest in tokens(page, RAW):
+        if kind == "text":
+            add(value)
+        elif kind == "end":
+            at = open_at.get(value)
+            if not at:
+                continue
+            if value in BLOCKS:
+                flush()
+                close(value)
+            elif at[-1] > (places[-1] if places else -1):
+                close(value)  # an end tag of a running element does not end blocks
+        elif kind == "start" and value not in RAW:
+            tag, (attributes, closed) = value, rest
+            if tag == "br":
+                breaks += 1
+                add(" ") if breaks < 2 else flush()
                 continue
             if tag in BLOCKS:
                 flush()
-                close(tag)
-            elif any(t[0] == tag for t in stack[places[-1] + 1 if places else 0 :]):
-                close(tag)  # an end tag of a running element does not end blocks
-            continue
-        if tag in RAW:
-            close_at = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            at = page.find(">", close_at.start()) + 1 if close_at else len(page)
-            at = at or len(page)
-            continue
-        if tag == "br":
-            breaks += 1
-            add(" ") if breaks < 2 else flush()
-            continue
-        if tag in BLOCKS:
-            flush()
-            while places and stack[places[-1]][0] in ENDS.get(tag, ENDS["p"]):
-                close(stack[places[-1]][0])
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            continue
-        beside, scope, in_link = state()
-        if tag in ("article", "main") and not _beside(tag, m[3], True):
-            if beside and {t[0] for t in stack if t[1]} <= {"nav", "header", "form", *(t[0] for t in stack if not t[1])}:
-                beside = False  # left open before, or around the whole page
-            scopes += 1
-            scope = scope or scopes
-        own = beside or _beside(tag, m[3], bool(scope))
-        if tag in BLOCKS:
-            places.append(len(stack))
-        stack.append((tag, own, scope, in_link + (tag == "a")))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+                while places and stack[places[-1]][0] in ENDS.get(tag, ENDS["p"]):
+                    close(stack[places[-1]][0])
+            if tag in VOID or (closed and tag not in BLOCKS):
+                continue
+            _, beside, cause, scope, in_link = stack[-1] if stack else nothing
+            if tag in ("article", "main") and not _beside(tag, attributes, True):
+                if cause in ("nav", "header", "form"):
+                    beside, cause = PLAIN, ""  # left open before, or around the whole page
+                scopes += 1
+                scope = scope or scopes
+            own = _beside(tag, attributes, bool(scope))
+            if own > beside:
+                beside, cause = own, tag
+            if tag in BLOCKS:
+                places.append(len(stack))
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, beside, cause, scope, in_link + (tag == "a")))
     flush()
     return out
 
@@ -210,38 +195,58 @@ def stop_density(text: str) -> float:
     return sum(w in STOPS for w in words) / len(words) if words else 0.0
 
 
-def _first_pass(b: Block, rules: Rules) -> bool | None:
+def first_pass(b: Block, rules: Rules, leading: bool) -> bool | None:
+    """Bad, good or undecided (None). leading: the page's article holds its main text.
+
+    A surely marked block is bad. Long prose with many stop words and few links is good; outside a leading article that
+    evidence and the place cancel out. Blocks of an article are never bad for their links (lists of references).
+    """
     linked = b.linked / len(b.text)
+    prose = len(b.text) >= rules.long_enough and linked <= rules.most_linked and stop_density(b.text) >= rules.stop_density
     if b.beside:
+        return b.beside == WEAK and bool(b.scope) and prose
+    if b.scope:
+        return True if prose else None
+    if linked > rules.most_linked and not b.heading:
         return False
-    if b.heading and linked > rules.most_linked:
-        return None
-    if linked > (rules.most_linked_inside if b.scope else rules.most_linked):
+    if len(b.text) < 200 and ("©" in b.text or b.text.lower().startswith("copyright")):
         return False
-    if not b.scope and len(b.text) < 200 and ("©" in b.text or b.text.lower().startswith("copyright")):
+    return True if prose and not leading else None
+
+
+def inherited(found: list[Block], first: list[bool | None], i: int, before, after, leading: bool, rules: Rules) -> bool:
+    """Label of the undecided block i from its nearest decided neighbours, (place, label) or None each."""
+    b = found[i]
+    if b.heading and after:
+        return after[1]
+    if b.heading and not b.scope and b.linked / len(b.text) > rules.most_linked:
         return False
-    if len(b.text) >= rules.long_enough and stop_density(b.text) >= rules.stop_density:
-        return True
-    return None
+    near = sorted((abs(i - n[0]), not n[1]) for n in (before, after) if n)
+    return not near[0][1] if near else bool(b.scope) or not leading
 
 
-def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
+def classify(found: list[Block], rules: Rules = Rules(), second: bool = True) -> list[bool]:
     """Whether each block belongs to the main text.
 
-    First pass: bad (False), good (True) or ambiguous (None). Second pass: an ambiguous block takes the label of its
-    nearest decided neighbours within its own article or main element (outside of these: on the page); when the two
-    sides differ, the nearer one counts, and the good one at equal distance. Where nothing is decided, blocks inside
-    an article are good; on a page with neither an article nor a good block, long ones without links are.
+    First pass: bad (False), good (True) or undecided. Second pass: an undecided block takes the label of its nearest
+    decided neighbours in its own article or main element (outside of these: on the page); when the two sides differ,
+    the nearer one counts, and the good one at equal distance; a heading takes the label of the decided block after
+    it. Marked parts of an article do not hand their label on. Where nothing is decided, blocks of an article are
+    good, and outside they are if no article leads; on a page with neither an article nor a good block, only long
+    ones without links are. ``second=False`` leaves undecided blocks out.
 
-    A heading takes the label of the decided block after it, whatever its links. Articles and main elements that hold
-    less text than the good blocks outside them are teasers: then they count for nothing and the rules alone decide.
+    Articles and main elements that hold less text than the good blocks outside them are teasers: then they count for
+    nothing. The stop words are those of English, German, French and Spanish; a page in another language has no good
+    block in the first pass and so follows its article, or the rule for pages without one.
     """
     held = sum(len(b.text) for b in found if b.scope and not b.beside)
-    outside = sum(len(b.text) for b in found if not b.scope and _first_pass(b, rules))
+    outside = sum(len(b.text) for b in found if not b.scope and first_pass(b, rules, False))
     if held and outside > held:
         found = [replace(b, scope=0) for b in found]
-    first = [_first_pass(b, rules) for b in found]
-    articles = any(b.scope and not b.beside for b in found)
+    leading = any(b.scope and not b.beside for b in found)
+    first = [first_pass(b, rules, leading) for b in found]
+    if not second:
+        return [bool(f) for f in first]
     before: list[tuple[int, bool] | None] = [None] * len(found)
     after: list[tuple[int, bool] | None] = [None] * len(found)
     for order, nearest in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
@@ -249,25 +254,10 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[bool]:
         for i in order:
             b = found[i]
             nearest[i] = last.get(b.scope)
-            if first[i] is not None and not (b.scope and b.beside):
+            if first[i] is not None and (first[i] or not (b.scope and b.beside)):
                 last[b.scope] = (i, first[i])
-    out = []
-    for i, b in enumerate(found):
-        label = first[i]
-        if label is None:
-            near = sorted((abs(i - n[0]), not n[1]) for n in (before[i], after[i]) if n)
-            if b.heading and after[i]:
-                label = after[i][1]
-            elif b.heading and b.linked / len(b.text) > rules.most_linked:
-                label = False
-            elif near:
-                label = not near[0][1]
-            else:
-                label = bool(b.scope) or not articles
-            if b.scope and not label and not b.linked:
-                label = True  # inside an article only links and marked parts are bad
-        out.append(label and not (articles and not b.scope))
-    if not any(out) and not articles:
+    out = [inherited(found, first, i, before[i], after[i], leading, rules) if f is None else f for i, f in enumerate(first)]
+    if not leading and not any(out):
         out = [f is None and not b.linked and len(b.text) >= rules.long_enough for f, b in zip(first, found)]
     return out
 
