@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.bpe import encode_documents
-from leadloom.llm.compression import quality_rules
+from leadloom.llm.compression import fit_bands, quality_rules
 from leadloom.llm.exact_dedup import exact_groups
 from leadloom.llm.html_extract import extract_pages
 from leadloom.llm.language import identify, train_languages
@@ -65,7 +65,8 @@ def op7_html_extraction(spark, sf_dir):
 
 
 def op8_compression_bands(spark, sf_dir):
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_bands(docs))
 
 
 def op9_exact_dedup(spark, sf_dir):

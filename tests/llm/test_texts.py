@@ -239,11 +239,52 @@ def test_bands_reject_both_ends():
 
     compress = zstandard.ZstdCompressor(level=3, write_content_size=False).compress
     noise = np.random.default_rng(2).integers(0, 256, 20_000).astype(np.uint8).tobytes()
-    assert not compression.verdict(noise, compression.DEFAULT, compress)[2]
-    assert not compression.verdict(b"spam and eggs " * 400, compression.DEFAULT, compress)[2]
+    assert not compression.verdict(noise, compression.WIDE, compress)[2]
+    assert not compression.verdict(b"spam and eggs " * 400, compression.WIDE, compress)[2]
     mixed = prose(5, 1500).encode() + b"spam and eggs " * 900  # the whole ratio alone would not tell where
-    assert compression.verdict(mixed, compression.DEFAULT, compress)[1] > 0.25
-    assert compression.verdict(b"", compression.DEFAULT, compress) == (None, 0.0, True)
+    assert compression.verdict(mixed, compression.WIDE, compress)[1] > 0.25
+    assert compression.verdict(b"", compression.WIDE, compress) == (None, 0.0, True)
+
+
+def brute_verdict(text, bands):
+    """The bands written out for one text."""
+    import zstandard
+
+    size = lambda b: len(zstandard.ZstdCompressor(level=bands.level, write_content_size=False).compress(b))
+    if not text:
+        return True
+    inside = True
+    for least, low, high in bands.whole:
+        if len(text) >= least:
+            inside = low <= size(text) / len(text) <= high
+    chunks = [text[i : i + 4096] for i in range(0, len(text), 4096)] if len(text) > 4096 else []
+    if chunks and len(chunks[-1]) < 4096:
+        chunks = chunks[:-1] + [text[-4096:]] * (len(chunks[-1]) >= 1024)
+    low, high = [x[1:] for x in bands.chunks if len(text) >= x[0]][-1] if len(text) >= 4096 else (0, 9)
+    return inside and sum(not low <= size(c) / 4096 <= high for c in chunks) <= 0.25 * len(chunks)
+
+
+def test_fitted_bands_on_the_given_tables(spark):
+    """Low-quality rows that the base rules pass fail by the bands alone, good ones stay."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    bands = compression.fit_bands(docs)
+    assert bands == compression.fit_bands(docs.repartition(7)) and bands != compression.WIDE
+    rows = compression.quality_rules(docs, bands).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    lost = {q: np.mean([not r["kept"] for r in rows if r["quality"] == q and not r["base_failed"]]) for q in (0, 1)}
+    assert lost[0] > 0.4 and lost[1] < 0.02
+    assert all(r["kept"] == (not r["base_failed"] and brute_verdict((r["text"] or "").encode(), bands)) for r in rows)
+
+
+def test_fit_of_odd_tables_and_copies(spark, tables):
+    assert compression.fit_bands(tables["empty"]) == compression.WIDE
+    assert compression.fit_bands(tables["wide"], rows=5).level == compression.WIDE.level
+    rows = [(i, prose(i, 300), "en", "s", 1) for i in range(120)]
+    copies = [(1000 + i, prose(7, 300) + f" end{i}", "en", "s", 1) for i in range(60)]  # a third: near copies of one text
+    docs = spark.createDataFrame(rows, tables["docs"].schema)
+    whole = lambda b: {x[0]: x[1:] for x in b.whole}[1024]
+    alone, both = whole(compression.fit_bands(docs)), whole(compression.fit_bands(docs.union(spark.createDataFrame(copies, docs.schema))))
+    assert np.allclose(alone, both, atol=0.02)
 
 
 # --- language ---
