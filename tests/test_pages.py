@@ -145,6 +145,10 @@ def test_large_pages_take_linear_time_and_size():
         lambda n: "<div class='hero'>z" * n,
         lambda n: '<script type="application/ld+json">' + '{"@type":"T","b":' * min(n, 800) + "1" + "}" * min(n, 800) + "</script>",
         lambda n: "<p>" * n + "</b>" * n,
+        lambda n: '<a "x ' * n,
+        lambda n: "<!-- " * n,
+        lambda n: '<a b=">" ' * n,
+        lambda n: "<!-- " * n + ">" + "<i>x</i>" * n,
     ]
     for shape in shapes:
         cost(shape(500))
@@ -164,3 +168,61 @@ def test_elements_do_not_depend_on_partitioning(spark):
     one = sorted(P.page_elements(P.parse_pages(df.coalesce(1))).select("page_id", "pos", "tag", "first_piece", "pieces").collect(), key=str)
     many = sorted(P.page_elements(P.parse_pages(df.repartition(7))).select("page_id", "pos", "tag", "first_piece", "pieces").collect(), key=str)
     assert one == many
+
+
+def texts(page, html, kind, **kw):
+    return page(html).select(F.transform(P.text_blocks(kind, **kw), lambda b: F.struct(b["tag"], b["text"])).alias("t")).first()["t"]
+
+
+def test_every_stretch_of_text_in_a_block_is_in_a_text_block(page):
+    for kind, limit in (("jobs", 280), ("people", 500), ("bios", 600)):
+        for size in (limit, limit + 1):
+            lead = "Flutter engineer " + "x" * (size - 28)
+            html = f"<div>{lead} <span>tail</span><ul><li>inner</li></ul></div>"
+            assert len(f"{lead} tail inner") == size
+            found = [tuple(t) for t in texts(page, html, kind)]
+            whole = ("div", f"{lead} tail inner")
+            assert (whole in found) == (size == limit) and ("li", "inner") in found
+            assert (("div", f"{lead} tail") in found) == (size > limit)
+
+
+def test_long_paragraphs_of_a_row_are_job_blocks(page):
+    for size in (200, 281, 900):
+        text = "We look for a Flutter engineer. " + "x" * (size - 32)
+        rows = jobs(page, f"<ul><li><p>{text}</p><footer>Apply to Ada</footer></li></ul>")
+        assert any("flutter" in r["matched_keywords"] for r in rows), size
+    before, after = "Senior Flutter engineer " + "y" * 280, "React developer, remote"
+    found = [t["text"] for t in texts(page, f"<div>{before}<div>inner</div>{after}<a href='/x'>Apply</a></div>", "jobs")]
+    assert found == ["inner", before, f"{after} Apply"]
+    assert [t["text"] for t in texts(page, "<div>aa<div>b</div></div>", "jobs", card_chars=3)] == ["b", "aa"]
+
+
+def test_links_read_all_of_their_parent(page):
+    html = "<ul><li><a href='/jobs/1'>Backend Engineer</a> <a href='/jobs/1/apply'>Apply</a> Berlin, remote, Flutter</li></ul>"
+    row = next(r for r in jobs(page, html) if r["title"] == "Backend Engineer")
+    assert row["remote"] is True and row["location"] == "Berlin"
+    title = "Flutter Engineer " + "and more " * 20
+    rows = jobs(page, f"<p><a href='/jobs/2'>{title}</a></p>")
+    assert [r["title"] for r in rows] == [title.strip()]
+    parsed = page("<div>" + "<a href='/a'>y</a>" * 2000 + "</div>").first()
+    assert len(parsed["link_boxes"]) == 1  # once for all its links
+
+
+def test_bios_of_any_length(page):
+    for size in (600, 601, 2000):
+        bio = "Jane Founder builds tools. " + "z" * (size - 33)
+        parsed = page(f"<div>{bio}<p>other</p></div>")
+        fact = parsed.select(C.founder_page_facts(F.lit("Jane"), F.lit("Jane Founder"), F.col("url")).alias("f")).first()["f"]
+        assert fact["bio"] == (f"{bio} other" if size <= 600 else bio)
+
+
+def test_tokens_of_broken_markup():
+    from leadloom.functions.markup import tokens
+
+    assert list(tokens('a < b<p class=x id="y>z" hidden>t &amp; u</p ><!-- c --><br/>')) == [
+        ("text", "a < b"), ("start", "p", [("class", "x"), ("id", "y>z"), ("hidden", None)], False), ("text", "t & u"), ("end", "p"), ("start", "br", [], True)]
+    assert list(tokens("<script>if (a<b) '</p>'</script>x")) == [("start", "script", [], False), ("raw", "if (a<b) '</p>'"), ("end", "script"), ("text", "x")]
+    assert list(tokens("<!-- a <b>c</b>")) == [("broken", "<!-- a <b>"), ("text", "c"), ("end", "b")]
+    assert list(tokens("x<a href='y")) == [("text", "x"), ("broken", "<a href='y")]
+    assert list(tokens("<a href=x/>y")) == [("start", "a", [("href", "x/")], False), ("text", "y")]
+    assert "".join(t[1] for t in tokens("&#" + "9" * 9000 + ";")) == "&#" + "9" * 9000 + ";"
