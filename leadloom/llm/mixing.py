@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,21 +88,30 @@ class Mix:
     """A mix of docs: ``sources`` (with sizes, targets, words given) and a rule that each document can apply alone.
 
     source_col is a string (one source, null is a source of its own) or an array of strings (a document may belong
-    to several). Weights repeat over the sources in order of code points, null last. Only one row for each
-    membership pattern and its sums reach the driver, however many documents there are. Empty tables give an empty
-    mix; documents without words are taken as often as their neighbours in the seeded order but add no words.
+    to several). Weights repeat over the sources in order of code points, null last. Empty tables give an empty mix;
+    documents without words are taken as often as their neighbours in the seeded order but add no words. Documents of
+    equal size and dice (repeated rows) share their fate.
+
+    One row for each membership pattern, with its sums, reaches the driver and is broadcast back, however many
+    documents there are: at most ``most_patterns`` (some hundred bytes each), above that the mix is refused. Sources of
+    higher cardinality are grouped first: ``group`` maps each source to what is mixed, e.g. a URL's host to its domain.
     """
 
     def __init__(self, docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
-                 weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, rounds: int = 4):
+                 weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, rounds: int = 4,
+                 most_patterns: int = 50_000, group: Callable[[Column], Column] | None = None):
         self.source_col, self.text_col, self.id_col, self.most, self.seed = source_col, text_col, id_col, most, seed
         self.spark: SparkSession = docs.sparkSession
         kind = docs.schema[source_col].dataType
         members = F.col(source_col) if isinstance(kind, T.ArrayType) else F.array(F.col(source_col).cast("string"))
+        if group:
+            members = F.transform(members, lambda m: group(m).cast("string"))
         self.members = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
         slim = self._slim(docs).select("pattern", "members", "size", "dice", "_id")
         self.slim = stored(slim, "mixing")
-        rows = self.slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).collect()
+        rows = self.slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(most_patterns + 1).collect()
+        if len(rows) > most_patterns:
+            raise ValueError(f"more than {most_patterns} membership patterns; group the sources or raise most_patterns")
         self.patterns = {r["pattern"]: (tuple(r["members"]), r["size"]) for r in rows}
         sums: dict = {}
         for members, size in self.patterns.values():
@@ -143,8 +153,9 @@ class Mix:
         )
 
     def _plan(self) -> DataFrame:
+        """A row for each pattern: bounded, so documents meet it where they lie and are not shuffled by source."""
         rows = [(p, self.full[p], self.rules[p], self.gap[p]) for p in self.patterns]
-        return self.spark.createDataFrame(rows, "_pattern string, full int, rules array<struct<least:long,most:long,last:long>>, gap long")
+        return F.broadcast(self.spark.createDataFrame(rows, "_pattern string, full int, rules array<struct<least:long,most:long,last:long>>, gap long"))
 
     @staticmethod
     def _chosen(size: str, dice: str, rules: str = "rules") -> Column:
@@ -163,7 +174,7 @@ class Mix:
         sums = sums.withColumn("upto", F.expr("sum(size) over (partition by pattern order by bucket)"))
         closing = sums.where("upto > gap").groupBy("pattern").agg(F.min(F.struct("bucket", F.expr("upto - size as base"))).alias("b"))
         closing = closing.select(F.col("pattern").alias("p"), F.col("b.bucket").alias("last"), F.col("b.base").alias("base"))
-        inside = rest.join(closing, (F.col("pattern") == F.col("p")) & (F.col("bucket") == F.col("last")))
+        inside = rest.join(F.broadcast(closing), (F.col("pattern") == F.col("p")) & (F.col("bucket") == F.col("last")))
         inside = inside.withColumn("upto", F.expr("base + sum(size) over (partition by pattern order by dice)"))
         cuts = inside.where("upto > gap").groupBy("pattern").agg(F.min("dice").alias("cut"))
         found = rest.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
@@ -196,7 +207,7 @@ class Mix:
         return joined.select(F.col("_id").alias("doc_id"), "size", "members", (copies * F.col("size")).alias("taken"))
 
     def repeat(self, docs: DataFrame) -> DataFrame:
-        """docs with each row as often as the mix takes it; the rule needs a row's own columns only, no join of texts."""
+        """docs with each row as often as the mix takes it; the rule needs a row's own columns and the plan: texts stay put."""
         names = {n: free_name(docs, f"_mix_{n}") for n in ("pattern", "size", "dice", "copy", "key", "rule")}
         own, text_hash = F.col(self.id_col).cast("long"), F.xxhash64(whole_text(self.text_col))
         marked = docs.withColumns({
@@ -205,7 +216,7 @@ class Mix:
             names["dice"]: F.xxhash64(own, text_hash, F.lit(self.seed)),
         })
         plan = self._plan().select(F.col("_pattern").alias(names["key"]), F.struct("full", "rules").alias(names["rule"]))
-        joined = marked.join(plan, F.col(names["pattern"]) == F.col(names["key"]))
+        joined = marked.join(F.broadcast(plan), F.col(names["pattern"]) == F.col(names["key"]))
         chosen = self._chosen(names["size"], names["dice"], f"{names['rule']}.rules")
         copies = F.col(f"{names['rule']}.full") + chosen.cast("int")
         picked = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias(names["copy"]))
@@ -218,5 +229,5 @@ def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     rows = [(s, v["size"], float(v["target"])) for s, v in mix.sources.items()]
     sources = mix.spark.createDataFrame(rows, "source string, source_size long, target double")
     taken = mix.documents().withColumn("_source", F.element_at("members", 1))
-    joined = taken.join(sources, F.col("_source").eqNullSafe(F.col("source")), "left")
+    joined = taken.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source")), "left")
     return joined.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -1,11 +1,14 @@
 import hashlib
+import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leadloom.llm import bpe, compression, html_extract, language, license_scan, mixing, quality
@@ -123,6 +126,77 @@ def test_mix_of_overlapping_sources(spark, tables):
     assert sum(r.taken for r in taken.values()) == pytest.approx(sum(sum(g.values()) for g in mix.given.values()), abs=150)
 
 
+def brute_flow(patterns, quotas, most):
+    """(largest flow, least cost of it) over all whole-word routings."""
+    arcs = [(g, s) for g in patterns for s in g]
+    best = (0, 0)
+    for given_words in itertools.product(*(range(min(most * patterns[g], quotas[s]) + 1) for g, s in arcs)):
+        used, filled = Counter(), Counter()
+        for (g, s), n in zip(arcs, given_words):
+            used[g] += n
+            filled[s] += n
+        if all(used[g] <= most * patterns[g] for g in used) and all(filled[s] <= quotas[s] for s in filled):
+            cost = sum(sum(k // patterns[g] for k in range(used[g])) for g in used if patterns[g])
+            best = max(best, (sum(given_words), -cost))
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=3, max_size=3), st.lists(st.integers(0, 5), min_size=2, max_size=2), st.integers(1, 3))
+def test_flow_against_brute_force(sizes, goals, most):
+    patterns, quotas = dict(zip([("a",), ("a", "b"), ("b",)], sizes)), dict(zip("ab", goals))
+    routed = mixing.route(patterns, quotas, most)
+    used = {g: sum(w.values()) for g, w in routed.items()}
+    cost = sum(sum(k // patterns[g] for k in range(n)) for g, n in used.items() if patterns[g])
+    assert (sum(used.values()), -cost) == brute_flow(patterns, quotas, most)
+
+
+def brute_mix(mix):
+    """Copies of each row, pattern by pattern and document by document."""
+    rows = [r.asDict() for r in mix.slim.collect()]
+    out = Counter()
+    for p in {r["pattern"] for r in rows}:
+        own = sorted((r for r in rows if r["pattern"] == p), key=lambda r: r["dice"])
+        size, words = sum(r["size"] for r in own), sum(mix.given[p].values())
+        full = min(words // size, mix.most) if size else 1
+        gap, chosen = words - full * size, set()
+        for _ in range(4):
+            fits = [r for r in own if r["dice"] not in chosen and 0 < r["size"] <= gap]
+            upto = 0
+            for r in fits:
+                if upto + r["size"] > gap:
+                    break
+                upto += r["size"]
+                chosen.add(r["dice"])
+            gap -= upto
+            if not fits:
+                break
+        near = min(((r["size"], r["dice"]) for r in own if r["dice"] not in chosen and gap < r["size"] < 2 * gap), default=None)
+        if near:
+            chosen |= {r["dice"] for r in own if r["size"] == near[0] and r["dice"] == near[1]}
+        for r in own:
+            out[(r["_id"], (full + (r["dice"] in chosen)) * r["size"])] += 1
+    return out
+
+
+def test_mix_against_brute_force(spark, tables):
+    rows = [(i, prose(i, 5 + i * 7 % 40), "en", f"s{min(i % 7, 3)}", 1) for i in range(200)] + [(900 + i, "one two three", "en", "ties", 1) for i in range(9)]
+    for docs in (spark.createDataFrame(rows, tables["docs"].schema), tables["docs"].where("doc_id is not null").dropDuplicates(["doc_id", "text"])):
+        mix = mixing.Mix(docs)
+        assert Counter((r.doc_id, r.taken) for r in mix.documents().collect()) == brute_mix(mix)
+
+
+def test_mix_leaves_texts_where_they_are_and_bounds_its_patterns(spark, tables):
+    docs = spark.createDataFrame(tables["rows"], tables["docs"].schema)
+    plan = mixing.Mix(docs).repeat(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError, match="group the sources"):
+        mixing.Mix(docs, most_patterns=2)
+    grouped = mixing.Mix(docs, most_patterns=2, group=lambda c: F.when(c.isNotNull(), F.lit("all")))
+    assert set(grouped.sources) == {"all", None}
+    assert sum(r["size"] for r in grouped.documents().collect()) == sum(len(text_of(r).split()) for r in tables["rows"])
+
+
 # --- quality ---
 
 
