@@ -129,8 +129,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's group; roots themselves are left out.
 
     edges has two long columns. Large-star and small-star steps alternate until nothing changes; each round is
-    a table in the shared folder. A step joins grouped minima (one row per node), so a hot node is split by
-    the join and is never gathered.
+    a table in the shared folder. A step joins links with the minima of their nodes, one row per node; these are
+    read back from a table, so both sides of the join are dealt out for it and Spark can split a hot node.
     """
     a, b = edges.columns[:2]
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
@@ -142,9 +142,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = links.union(links.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.where("u <> v").distinct(), "links")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.expr("explode(array(struct(u as u, m as v), struct(v as u, m as v)))").alias("e"))
         links = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "links")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import kept_rows, stored, whole_text
 
-SHARD_BITS = 10
+#: Fingerprints of one range on average; there are 2 ** 10 ranges at least.
+RANGE, LEAST_BITS = 1 << 20, 10
 
 
 class CountingQuotientFilter:
@@ -107,35 +108,44 @@ def _merged(a, b=None):
     return values[first], np.add.reduceat(counts, first) if len(values) else counts
 
 
-def _partition_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b.column(0).to_numpy().view(np.uint64) for b in batches]
-    if not held or not sum(map(len, held)):
-        return
-    values, counts = np.unique(np.concatenate(held), return_counts=True)
-    shard = (values >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
-    mask = np.uint64((1 << (64 - SHARD_BITS)) - 1)
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    ends = np.append(starts[1:], len(shard))
-    blobs = [CountingQuotientFilter.build(64 - SHARD_BITS, values[i:j] & mask, counts[i:j]).to_bytes() for i, j in zip(starts, ends)]
-    yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), pa.array(blobs, pa.binary())], names=["shard", "filter"])
+def _partition_filters(shard_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0).to_numpy().view(np.uint64) for b in batches]
+        if not held or not sum(map(len, held)):
+            return
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        shard = (values >> np.uint64(64 - shard_bits)).astype(np.int32)
+        mask = np.uint64((1 << (64 - shard_bits)) - 1)
+        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        ends = np.append(starts[1:], len(shard))
+        blobs = [CountingQuotientFilter.build(64 - shard_bits, values[i:j] & mask, counts[i:j]).to_bytes() for i, j in zip(starts, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), pa.array(blobs, pa.binary())], names=["shard", "filter"])
 
+    return run
 
-def _merge_shard(key: tuple, table: pa.Table) -> pa.Table:
-    whole = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x) for x in table.column("filter").to_pylist()])
-    values, counts = whole.items()
-    again = counts > 1
-    values = values[again] | (np.uint64(key[0].as_py()) << np.uint64(64 - SHARD_BITS))
-    return pa.table({"fp": pa.array(values.view(np.int64)), "n": pa.array(counts[again])})
 
+def _merge_shard(shard_bits: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        whole = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x) for x in table.column("filter").to_pylist()])
+        values, counts = whole.items()
+        again = counts > 1
+        values = values[again] | (np.uint64(key[0].as_py()) << np.uint64(64 - shard_bits))
+        return pa.table({"fp": pa.array(values.view(np.int64)), "n": pa.array(counts[again])})
 
-def repeated_fingerprints(keys: DataFrame) -> DataFrame:
+    return run
+
+
+def repeated_fingerprints(keys: DataFrame, shard_bits: int | None = None) -> DataFrame:
     """(fp, n) of the fingerprints that occur more than once in column fp.
 
     Every task builds filters of its own rows, one for each range of fingerprints; ranges meet in one group each.
-    A hot fingerprint is one counter per task by then. A range holds the distinct fingerprints divided by 1,024.
+    A hot fingerprint is one counter per task by then. There are as many ranges (2 ** shard_bits) as the rows ask for,
+    so a range holds about RANGE fingerprints however large the corpus.
     """
-    filters = keys.select("fp").mapInArrow(_partition_filters, "shard int, filter binary")
-    return filters.groupBy("shard").applyInArrow(_merge_shard, "fp long, n long")
+    if shard_bits is None:
+        shard_bits = min(28, max(LEAST_BITS, (keys.count() // RANGE).bit_length()))
+    filters = keys.select("fp").mapInArrow(_partition_filters(shard_bits), "shard int, filter binary")
+    return filters.groupBy("shard").applyInArrow(_merge_shard(shard_bits), "fp long, n long")
 
 
 def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,6 +173,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = routed.groupBy("fp", "n_bytes", "sha").agg(
         F.count("*").alias("size"), F.max(F.struct("doc_id", "row")).alias("top")
     )
+    groups = stored(groups, "text-groups")  # read back, so that Spark can split a hot group's rows in the join
     joined = keys.join(groups, ["fp", "n_bytes", "sha"], "left")
     return joined.select(
         "doc_id",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import id_and_text
+from leadloom.llm.common import id_and_text, stored
 from leadloom.llm.quality import crc_mod
 
 ORDER = 4
@@ -175,6 +175,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
+def nth_smallest(dice: DataFrame, n: int, bits: int = 14) -> DataFrame:
+    """lang, cut: the n-th smallest dice of each language, or its largest where it has fewer.
+
+    Rows are counted by the first bits of their dice, so only the rows of one such bucket are ranked for a language.
+    """
+    bucket = F.shiftright("dice", 64 - bits)
+    counted = dice.groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("held"), F.max("dice").alias("last"))
+    upto = counted.withColumn("upto", F.expr("sum(held) over (partition by lang order by bucket)"))
+    closing = upto.groupBy("lang").agg(
+        F.min(F.when(F.col("upto") >= n, F.struct("bucket", (F.col("upto") - F.col("held")).alias("base")))).alias("b"), F.max("last").alias("last")
+    )
+    closing = closing.select(F.col("lang").alias("_lang"), "b.bucket", "b.base", "last")
+    rows = dice.join(closing, (F.col("lang") == F.col("_lang")) & (bucket == F.col("bucket")))
+    ranked = rows.withColumn("place", F.expr("base + row_number() over (partition by lang order by dice)")).where(F.col("place") == n)
+    found = ranked.select(F.col("lang").alias("_found"), "dice")
+    return closing.join(found, F.col("_lang") == F.col("_found"), "left").select(F.col("_lang").alias("lang"), F.coalesce("dice", "last").alias("cut"))
+
+
 def train_languages(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Model from at most ``per_language`` documents of each language (the bound), the first by hash of id and text.
 
@@ -184,9 +202,7 @@ def train_languages(docs: DataFrame, per_language: int = 1500, id_col: str = "do
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where("lang is not null and text is not null").where(crc_mod("doc_id", 3) != 1)
     dice = known.select("lang", F.xxhash64("doc_id", "text").alias("dice"))
-    cut = dice.withColumn("n", F.expr("row_number() over (partition by lang order by dice)")).where(F.col("n") <= per_language)
-    cut = cut.groupBy("lang").agg(F.max("dice").alias("cut"))
-    cuts = {r["lang"]: r["cut"] for r in cut.collect()}
+    cuts = {r["lang"]: r["cut"] for r in nth_smallest(stored(dice, "dice"), per_language).collect()}
     if not cuts:
         return LanguageModel({})
     within = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])

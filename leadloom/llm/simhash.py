@@ -251,7 +251,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "fingerprint-groups")
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    groups = placed.join(lows, "root").select("fp", "component_id", "root")
+    groups = stored(placed.join(lows, "root").select("fp", "component_id", "root"), "fingerprint-roots")
     return slim.join(groups, "fp", "left").select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
