@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark.sql.types import IntegerType, MapType, NullType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from leadloom.functions.markup import tokens
 
@@ -379,3 +381,26 @@ def parse_batches(batches: Iterator[pa.RecordBatch], rows: int = 64, size: int =
                 arrays.append(pa.array([r[name] for r in parsed], type=kind))
                 names.append(name)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+class PageElements:
+    """Table function: the elements of one page, a row each; a page that could not be read whole says so in every row
+    (in a row of its own if it has no element)."""
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument) -> AnalyzeResult:
+        if html.isTable or not isinstance(html.dataType, (StringType, NullType)):
+            raise ValueError("page_elements takes one string, the html of a page")
+        text, number = StringType(), IntegerType()
+        kinds = (("pos", number), ("last", number), ("tag", text), ("attrs", MapType(text, text)), ("text", text), ("link", text), ("parse_error", text))
+        return AnalyzeResult(schema=StructType([StructField(name, kind) for name, kind in kinds]))
+
+    def eval(self, html: str | None) -> Iterator[tuple]:
+        page = parse_page(html)
+        error, pieces, elements = page["parse_error"], page["page_pieces"], page["elements"]
+        for e in elements:
+            text = " ".join(pieces[e["first_piece"] : e["first_piece"] + e["pieces"]])
+            link = None if e["link"] is None else dict(elements[e["link"]]["attrs"]).get("href")
+            yield e["pos"], e["last"], e["tag"], dict(e["attrs"]), text, link, error
+        if error and not elements:
+            yield None, None, None, None, None, None, error

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as html_stage
@@ -52,6 +52,15 @@ def parse_pages(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     return parsed.withColumn("page_text", F.array_join("page_pieces", " "))
 
 
+def register_table_functions(spark: SparkSession, name: str = "page_elements") -> None:
+    """``LATERAL page_elements(html)`` in SQL: pos, last, tag, attrs, text, link and parse_error of every element.
+
+    Row-local like ``parse_pages``, in Arrow batches. Texts of nested elements repeat here; jobs over whole tables read
+    ``parse_pages``, whose texts are ranges.
+    """
+    spark.udtf.register(name, F.udtf(html_stage.PageElements, useArrow=True))
+
+
 def element_text(e: Column) -> Column:
     """Whole text of an element, a range of ``page_pieces`` (which must be in the row); null for a null element."""
     return text_of_range(e)

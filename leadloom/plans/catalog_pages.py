@@ -22,6 +22,11 @@ def sql_unescape(c: str) -> str:
     return f"replace(replace(replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
+def sql_pieces(c: str) -> str:
+    split = f"list_transform(regexp_split_to_array({c}, '<[^>]*>'), lambda x: regexp_replace({sql_unescape('x')}, '^\\s+|\\s+$', '', 'g'))"
+    return f"array_to_string(list_filter({split}, lambda x: x <> ''), ' ')"
+
+
 _TAGS = sorted(READ_TAGS)
 
 
@@ -35,6 +40,22 @@ def p1(spark, sf_dir):
     return P.page_elements(_parsed(spark, sf_dir)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+@query(
+    "z6_html_table_function",
+    f"""select page_id, tag, n, text from (select page_id, t.tag, cast(length(html) - length(regexp_replace(html, '<' || t.tag || '[ >]', repeat('x', length(t.tag) + 1), 'g')) as bigint) as n,
+     case when t.tag in ('h1', 'title', 'nav', 'footer', 'article') then {sql_pieces("regexp_extract(html, '(?s)<' || t.tag || '>(.*?)</' || t.tag || '>', 1)")} end as text from pages, (values """
+    + ", ".join(f"('{t}')" for t in _TAGS)
+    + ") t(tag)) where n > 0",
+)
+def z6(spark, sf_dir):
+    """The pages' elements by SQL; equal to the rows of ``page_elements`` and to the tags of the pages."""
+    P.register_table_functions(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("landed_pages")
+    rows = spark.sql("select p.page_id, e.tag, e.text from landed_pages p, lateral page_elements(p.html) e")
+    read = F.when(F.col("tag").isin("h1", "title", "nav", "footer", "article"), F.col("text"))
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max(read).alias("text"))
+
+
 @query(
     "p2_page_title",
     f"select page_id, trim({sql_unescape('regexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)')}) as title from pages",
@@ -239,11 +260,6 @@ def p14(spark, sf_dir):
     )
 
 
-def sql_pieces(c: str) -> str:
-    split = f"list_transform(regexp_split_to_array({c}, '<[^>]*>'), lambda x: regexp_replace({sql_unescape('x')}, '^\\s+|\\s+$', '', 'g'))"
-    return f"array_to_string(list_filter({split}, lambda x: x <> ''), ' ')"
-
-
 @query(
     "p15_text_blocks",
     f"""with found as (select page_id, 'li' as tag, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) as t from pages

@@ -226,3 +226,22 @@ def test_tokens_of_broken_markup():
     assert list(tokens("x<a href='y")) == [("text", "x"), ("broken", "<a href='y")]
     assert list(tokens("<a href=x/>y")) == [("start", "a", [("href", "x/")], False), ("text", "y")]
     assert "".join(t[1] for t in tokens("&#" + "9" * 9000 + ";")) == "&#" + "9" * 9000 + ";"
+
+
+def test_page_elements_in_sql(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    pages = [FULL, None, "", *ODD, "<script type='application/ld+json'>" + "[" * 100_000 + "]" * 100_000 + "</script><p>x</p>", "<i>no element</i><script type='application/ld+json'>" + "[" * 100_000 + "</script>"]
+    df = spark.createDataFrame([(i, "https://a.io/", h) for i, h in enumerate(pages)], "page_id int, url string, html string")
+    df.createOrReplaceTempView("odd_pages")
+    P.register_table_functions(spark)
+    rows = spark.sql("select p.page_id, e.* from odd_pages p, lateral page_elements(p.html) e").collect()
+    parsed = P.parse_pages(df)
+    want = parsed.select("page_id", F.explode("elements").alias("e"), "page_pieces", "elements").select("page_id", "e.pos", "e.last", "e.tag", P.element_text(F.col("e")).alias("text"), P.inner_href(F.col("e")).alias("link")).collect()
+    key = lambda r: (r["page_id"], r["pos"])
+    assert [tuple(r[c] for c in ("page_id", "pos", "last", "tag", "text", "link")) for r in sorted((r for r in rows if r["pos"] is not None), key=key)] == [tuple(r) for r in sorted(want, key=key)]
+    errors = {r["page_id"]: r["parse_error"] for r in rows if r["parse_error"]}
+    assert errors == {r["page_id"]: r["parse_error"] for r in parsed.where("parse_error is not null").collect()} and len(errors) >= 1
+    with pytest.raises(AnalysisException, match="takes one string"):
+        spark.sql("select * from page_elements(1)").collect()
