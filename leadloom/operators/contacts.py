@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions import groups as group_stage
 from leadloom.functions.people import (
     emails_from_text,
     is_decision_role,
@@ -28,6 +30,8 @@ from leadloom.operators.rows import unnest
 from leadloom.rules import people as rules
 from leadloom.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(group_stage)
+
 CONTACT_FIELDS = ("full_name", "email", "role", "linkedin", "github", "twitter", "source_page", "discovery_source")
 
 
@@ -242,40 +246,73 @@ def identity_keys(df: DataFrame) -> Column:
     )
 
 
-def connected_groups(pairs: DataFrame) -> DataFrame:
+#: Edges of a company that one task connects alone.
+EDGES = 1_000_000
+
+
+def _star_step(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step: every member moves to the smallest neighbour of its neighbours."""
+    both = edges.union(edges.select("company_id", "v", "u"))
+    low = cut_lineage(both.groupBy("company_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    large = both.filter("v > u").join(low, ["company_id", "u"]).select("company_id", F.col("v").alias("u"), F.col("m").alias("v"))
+    large = cut_lineage(large.filter("u <> v").distinct())
+    least = cut_lineage(large.groupBy("company_id", "u").agg(F.min("v").alias("m")))
+    moved = F.expr("explode(array(struct(u as u, m as v), struct(v as u, m as v)))")
+    small = large.join(least, ["company_id", "u"]).select("company_id", moved.alias("e"))
+    return cut_lineage(small.select("company_id", "e.u", "e.v").filter("u <> v").distinct())
+
+
+def _stars(edges: DataFrame, most: int) -> DataFrame:
+    """company_id, u, v: every member of a group but the smallest, with the smallest.
+
+    A company's edges are connected in one task if they are ``most`` or fewer, so most companies are done at once; larger
+    ones are dealt out in parts that are connected alone, and star steps follow until nothing changes.
+    """
+    kinds = edges.schema
+    ddl = f"company_id {kinds['company_id'].dataType.simpleString()}, u {kinds['u'].dataType.simpleString()}, v {kinds['u'].dataType.simpleString()}"
+
+    def contracted(rows: DataFrame, part: Column) -> DataFrame:
+        dealt = rows.select("company_id", part.alias("part"), "u", "v").repartition("company_id", "part").sortWithinPartitions("company_id", "part")
+        return cut_lineage(dealt.mapInArrow(group_stage.contract_edges, ddl))
+
+    sizes = edges.groupBy("company_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    large = cut_lineage(sizes.select("company_id", F.ceil(F.col("_n") / most).alias("_parts")))
+    if large.isEmpty():
+        return contracted(edges, F.lit(0).cast("long"))
+    done = contracted(edges.join(large, "company_id", "left_anti"), F.lit(0).cast("long"))
+    rest = contracted(edges.join(large, "company_id"), F.pmod(F.xxhash64("u"), F.col("_parts")))
+    state = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("company_id", "u", "v").cast("decimal(38,0)")).alias("h"))
+    before = None
+    while (now := rest.agg(state.alias("s")).first()["s"]) != before:
+        before, rest = now, _star_step(rest)
+    return done.unionByName(rest)
+
+
+def connected_groups(pairs: DataFrame, most: int = EDGES) -> DataFrame:
     """Smallest member per connected group. Input: company_id, pos, key; output: company_id, pos, group_pos.
 
-    Each round every key takes the smallest group of its rows and every row the smallest of its keys;
-    a pointer jump (a row takes the group of its group) halves the remaining distance. Keys and rows
-    are pre-aggregated before each shuffle, and the joins are plain key joins, so one key shared by
-    many rows is split by the adaptive skew join. Labels only ever get smaller, so the loop ends;
-    the driver only asks whether any row changed.
+    Union-find runs inside each task before the first exchange, so rows that share keys in one task travel as one; keys
+    that occur in several tasks then link those tasks' groups, and the links are contracted by company. Only companies
+    with more than ``most`` links left need star steps over exchanges.
     """
-    every = pairs.select("company_id", "pos", "key").distinct()
-    shared = every.groupBy("company_id", "key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    # Keys of one row connect nothing: only rows with a shared key enter the rounds.
-    edges = cut_lineage(every.join(shared, ["company_id", "key"], "left_semi"))
-    labels = edges.groupBy("company_id", "pos").agg(F.min("pos").alias("group_pos"))
-    alone = every.groupBy("company_id", "pos").agg(F.min("pos").alias("_own"))
-    while True:
-        of_key = (
-            edges.join(labels, ["company_id", "pos"]).groupBy("company_id", "key").agg(F.min("group_pos").alias("_k"))
-        )
-        nearest = edges.join(of_key, ["company_id", "key"]).groupBy("company_id", "pos").agg(F.min("_k").alias("_g"))
-        jump = nearest.select("company_id", F.col("pos").alias("_g"), F.col("_g").alias("_gg"))
-        moved = nearest.join(jump, ["company_id", "_g"], "left").select(
-            "company_id", "pos", F.least("_g", "_gg").alias("_new")
+    schema = pairs.schema
+    kind = {c: schema[c].dataType.simpleString() for c in ("company_id", "pos")}
+    local = cut_lineage(
+        pairs.select("company_id", "pos", F.col("key").cast("string").alias("key")).mapInArrow(
+            group_stage.contract_keys, f"company_id {kind['company_id']}, pos {kind['pos']}, root {kind['pos']}, key string"
         )
-        step = cut_lineage(
-            labels.join(moved, ["company_id", "pos"]).select(
-                "company_id", "pos", F.least("group_pos", "_new").alias("group_pos"),
-                (F.least("group_pos", "_new") < F.col("group_pos")).alias("_changed"),
-            )
-        )
-        labels = step.select("company_id", "pos", "group_pos")
-        if step.filter("_changed").isEmpty():
-            joined = alone.join(labels, ["company_id", "pos"], "left")
-            return joined.select("company_id", "pos", F.coalesce("group_pos", "_own").alias("group_pos"))
+    )
+    members = local.filter("key is null").groupBy("company_id", "pos").agg(F.collect_set("root").alias("_roots"))
+    members = cut_lineage(members.withColumn("root", F.array_min("_roots")))
+    keys = local.filter("key is not null").select("company_id", "root", "key")
+    low = keys.groupBy("company_id", "key").agg(F.min("root").alias("v"), F.max("root").alias("_top")).filter("v <> _top")
+    low = cut_lineage(low.drop("_top"))  # read back: both sides of the join are dealt out, a hot key can be split
+    by_key = keys.join(low, ["company_id", "key"]).select("company_id", F.col("root").alias("u"), "v")
+    by_row = members.filter("size(_roots) > 1").select("company_id", F.explode("_roots").alias("u"), F.col("root").alias("v"))
+    edges = by_key.unionByName(by_row).filter("u <> v").distinct()
+    stars = _stars(cut_lineage(edges), most)
+    joined = members.join(stars.withColumnRenamed("u", "root"), ["company_id", "root"], "left")
+    return joined.select("company_id", "pos", F.coalesce("v", "root").alias("group_pos"))
 
 
 def merge_contacts(candidates: DataFrame) -> DataFrame:

@@ -69,6 +69,23 @@ def z1(spark, sf_dir):
     return L.validate_leads(leads).select("name", "website", "source", "pos")
 
 
+@query(
+    "z1_feed_data_source",
+    """select 'Site ' || c_custkey as name, 'https://c' || c_custkey || '.io' as website, 'hackernews' as source, c_mktsegment as description,
+    c_nationkey::bigint * 10**9 + row_number() over (partition by c_nationkey order by c_custkey) - 1 as pos from customer""",
+)
+def z1_data_source(spark, sf_dir):
+    """Stories of every customer, landed as one payload for each nation and read back through the data source."""
+    folder = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    story = F.expr("struct(cast(c_custkey as string) as objectID, concat('Show HN: Site ', c_custkey, ' - ', c_mktsegment) as title, concat('https://c', c_custkey, '.io') as url)")
+    payloads = table(spark, sf_dir, "customer").groupBy(F.lit(0).alias("query_rank"), F.col("c_nationkey").alias("request_pos"), F.lit("a b").alias("label")).agg(
+        F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", story.alias("s")))), lambda x: x["s"]).alias("hits"))).alias("value")
+    )
+    payloads.repartition("request_pos").write.partitionBy("query_rank", "request_pos", "label").text(folder)
+    leads = normalize.payload_leads("hackernews", normalize.feed_rows(spark, "hackernews", folder), AS_OF)
+    return leads.select("name", "website", "source", "description", F.col("pos").cast("double").alias("pos"))
+
+
 PRODUCT_ITEM = """named_struct('node', named_struct('id', cast($k as string), 'name', case when $k % 7 = 0 then null else 'Product ' || cast($k as string) end,
  'tagline', 'Line ' || cast($k as string), 'slug', 'p', 'url', 'https://www.producthunt.com/posts/p' || cast($k as string),
  'website', case when $k % 3 = 0 then 'https://www.producthunt.com/r/R' || cast($k as string) || '?utm_source=a' else 'https://www.p' || cast($k as string) || '.io/?ref=x&b=1' end,

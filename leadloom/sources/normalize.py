@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from leadloom.functions.urls import (
 )
 from leadloom.operators.rows import with_checked
 from leadloom.schemas import LEAD
-from leadloom.sources import feeds
+from leadloom.sources import feed_source, feeds
+
+cloudpickle.register_pickle_by_value(feed_source)
 
 # Forums whose posts always count as local, and their floor score.
 LOCAL_FORUMS = ("indianstartups", "developersindia")
@@ -250,24 +253,53 @@ def source_leads(spark: SparkSession, name: str, path: str, as_of: Column | str,
     return SOURCES[name.strip().lower()](spark, path, as_of, **options)
 
 
-@register_source("producthunt")
-def _product_launches(spark: SparkSession, path: str, as_of: Column | str, resolved: DataFrame | None = None) -> DataFrame:
-    answers = resolved if resolved is not None else spark.createDataFrame([], "redirect string, website string")
-    return normalize_product_launches(feeds.flatten_product_launches(feeds.read_landing(spark, path)), answers, as_of)
+PayloadLeads = Callable[..., DataFrame]
+PAYLOADS: dict[str, PayloadLeads] = {}
+
+
+def register_payloads(name: str, flatten: Callable[[DataFrame], DataFrame], normalize: Callable[..., DataFrame]) -> None:
+    """A source by what its payloads hold: item rows out of payload rows, leads out of item rows.
 
+    It is then a registered source (``source_leads``) and a source of the data source "feed" (``feed_rows``).
+    """
+
+    def leads(raw: DataFrame, as_of: Column | str, **options: object) -> DataFrame:
+        return normalize(flatten(raw), as_of=as_of, **options)
+
+    PAYLOADS[name.strip().lower()] = leads
 
-def _register(name: str, flatten: Callable[[DataFrame], DataFrame], normalize: Callable[..., DataFrame]) -> None:
     @register_source(name)
-    def read(spark: SparkSession, path: str, as_of: Column | str) -> DataFrame:
-        return normalize(flatten(feeds.read_landing(spark, path)), as_of)
+    def read(spark: SparkSession, path: str, as_of: Column | str, **options: object) -> DataFrame:
+        return leads(feeds.read_landing(spark, path), as_of, **options)
+
+
+def payload_leads(name: str, raw: DataFrame, as_of: Column | str, **options: object) -> DataFrame:
+    """Leads of payload rows (payload, query_rank, request_pos, label) of a source."""
+    return PAYLOADS[name.strip().lower()](raw, as_of, **options)
+
+
+def feed_rows(spark: SparkSession, name: str, path: str, stream: bool = False, **options: object) -> DataFrame:
+    """Payload rows of a registered source through the data source "feed", as a table or as a stream."""
+    source = name.strip().lower()
+    if source not in PAYLOADS:
+        raise ValueError(f"{name} is not registered with register_payloads; known: {', '.join(PAYLOADS)}")
+    spark.dataSource.register(feed_source.FeedDataSource)
+    reader = (spark.readStream if stream else spark.read).format("feed").option("source", source)
+    return reader.options(**{k: str(v) for k, v in options.items()}).load(path)
+
+
+def _launch_leads(items: DataFrame, as_of: Column | str, resolved: DataFrame | None = None) -> DataFrame:
+    answers = resolved if resolved is not None else items.sparkSession.createDataFrame([], "redirect string, website string")
+    return normalize_product_launches(items, answers, as_of)
 
 
-_register("hackernews", feeds.flatten_stories, normalize_stories)
-_register("ycombinator", feeds.flatten_accelerator, normalize_accelerator)
-_register("github", feeds.flatten_repositories, normalize_repositories)
-_register("reddit", feeds.flatten_posts, normalize_posts)
-_register("rss", feeds.flatten_feeds, lambda items, as_of: normalize_feed_items(items, as_of, "rss"))
-_register("googlenews", feeds.flatten_feeds, lambda items, as_of: normalize_feed_items(items, as_of, "googlenews"))
+register_payloads("producthunt", feeds.flatten_product_launches, _launch_leads)
+register_payloads("hackernews", feeds.flatten_stories, normalize_stories)
+register_payloads("ycombinator", feeds.flatten_accelerator, normalize_accelerator)
+register_payloads("github", feeds.flatten_repositories, normalize_repositories)
+register_payloads("reddit", feeds.flatten_posts, normalize_posts)
+register_payloads("rss", feeds.flatten_feeds, lambda items, as_of: normalize_feed_items(items, as_of, "rss"))
+register_payloads("googlenews", feeds.flatten_feeds, lambda items, as_of: normalize_feed_items(items, as_of, "googlenews"))
 
 
 def placeholder_source(spark: SparkSession, path: str, as_of: Column | str) -> DataFrame:

@@ -104,3 +104,44 @@ def test_upsert_batches_apply_once(spark, tmp_path):
     assert {r["k"]: r["v"] for r in table.read().collect()} == {k: {1: "b", 40: "c"}.get(k, "a") for k in range(41)}
     new = {p.parent.parent.name for p in files() if p not in before}
     assert before.items() <= files().items() and 1 <= len(new) <= 2  # other buckets are not rewritten
+
+
+def test_feed_data_source(spark, tmp_path):
+    land(tmp_path, 1, 0, "g", json.dumps({"hits": [story(1, title="Show HN: Other"), story(2)]}))
+    land(tmp_path, 0, 0, "a%20b", json.dumps({"hits": [story(1)]}))
+    land(tmp_path, 0, 1, "__HIVE_DEFAULT_PARTITION__", "{broken", "g.json")
+    land(tmp_path, 0, 1, "x", "{}", "_SUCCESS")
+    rows = normalize.feed_rows(spark, " HackerNews ", str(tmp_path), partitionBytes=1)
+    assert rows.rdd.getNumPartitions() == 3  # a partition for each file
+    seen = sorted((r["source"], r["query_rank"], r["request_pos"], r["label"]) for r in rows.collect())
+    assert sorted(map(str, seen)) == sorted(map(str, [("hackernews", 0, 0, "a b"), ("hackernews", 0, 1, None), ("hackernews", 1, 0, "g")]))
+    own = sorted(map(str, feeds.read_landing(spark, str(tmp_path)).select("payload", "query_rank", "request_pos").collect()))
+    assert sorted(map(str, rows.select("payload", "query_rank", "request_pos").collect())) == own
+    leads = normalize.payload_leads("hackernews", rows, AS_OF).orderBy("pos").collect()
+    assert [r["name"] for r in leads] == ["N1", "N2"]
+    assert normalize.feed_rows(spark, "rss", f"file://{tmp_path}").count() == 3
+    assert normalize.feed_rows(spark, "rss", str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError, match="not registered"):
+        normalize.feed_rows(spark, "nowhere", str(tmp_path))
+    for name in normalize.PAYLOADS:
+        assert normalize.payload_leads(name, normalize.feed_rows(spark, name, str(tmp_path)), AS_OF).count() >= 0
+
+
+def test_feed_stream_resumes_from_its_offset(spark, tmp_path):
+    raw, store, ckpt = tmp_path / "raw", str(tmp_path / "store"), str(tmp_path / "ckpt")
+    read = []
+
+    def to_leads(batch):
+        read.append(sorted(r["file"].rsplit("/", 1)[-1] for r in batch.select("file").collect()))
+        return L.union_sources({"hackernews": normalize.payload_leads("hackernews", batch, AS_OF)})
+
+    def run():
+        W.stream_leads(normalize.feed_rows(spark, "hackernews", str(raw), stream=True), store, ckpt, to_leads).awaitTermination()
+        return sorted((r["identity"], r["name"]) for r in spark.read.parquet(store).collect())
+
+    land(raw, 0, 0, "i", json.dumps({"hits": [story(1), story(2)]}), "a.json")
+    assert run() == [("n1.com", "N1"), ("n2.com", "N2")]
+    land(raw, 0, 1, "i", json.dumps({"hits": [story(1, title="Show HN: Late"), story(3)]}), "b.json")
+    assert run() == [("n1.com", "N1"), ("n2.com", "N2"), ("n3.com", "N3")]
+    assert run() == [("n1.com", "N1"), ("n2.com", "N2"), ("n3.com", "N3")]
+    assert [f for f in read if f] == [["a.json"], ["b.json"]]

@@ -73,8 +73,24 @@ def test_connected_groups_match_brute_force(spark):
     rows += [(100 + i, ["hot"] if i % 3 == 0 else [f"r{rng.randrange(40)}", f"r{rng.randrange(40)}"]) for i in range(90)]
     pairs = [(1, pos, key) for pos, keys in rows for key in keys]
     df = spark.createDataFrame(pairs, "company_id int, pos long, key string").repartition(5)
-    got = {r["pos"]: r["group_pos"] for r in C.connected_groups(df).collect()}
-    assert got == brute_groups(rows)
+    for most in (C.EDGES, 3):  # every company in one task, and in parts with star steps after
+        got = {r["pos"]: r["group_pos"] for r in C.connected_groups(df, most).collect()}
+        assert got == brute_groups(rows)
+    assert C.connected_groups(df.limit(0)).count() == 0
+
+
+def test_contraction_inside_tasks(monkeypatch):
+    import pyarrow as pa
+
+    from leadloom.functions import groups
+
+    rows = [(1, i, f"k{j}") for i in range(30) for j in (i, i + 1)] + [(2, 5, "k1"), (2, 9, "x")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string()))], names=["company_id", "pos", "key"])
+    (out,) = groups.contract_keys(iter([batch]))
+    assert {(r["company_id"], r["pos"]): r["root"] for r in out.to_pylist() if r["key"] is None} == {**{(1, i): 0 for i in range(30)}, (2, 5): 5, (2, 9): 9}
+    monkeypatch.setattr(groups, "HELD", 10)
+    parts = list(groups.contract_keys(batch.slice(i, 4) for i in range(0, batch.num_rows, 4)))
+    assert len(parts) > 3 and {r["pos"] for p in parts for r in p.to_pylist() if r["key"] is None} == set(range(30))
 
 
 def test_merge_keeps_bridged_rows(spark):
