@@ -189,18 +189,12 @@ def search_companies(
 
 
 def paginate(rows: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
-    """One page of an ordered table."""
+    """One page of an ordered table by skipping rows; deep pages of large tables: ``directory.PageDirectory``."""
     if page < 1 or size < 1:
         raise ValueError("page and size must be at least 1")
     return rows.offset((page - 1) * size).limit(size)
 
 
-def paginate_after(rows: DataFrame, order: str, last: object | None, size: int = 20) -> DataFrame:
-    """Page after a known last value: deep pages cost the same as the first."""
-    tail = rows if last is None else rows.filter(F.col(order) > last)
-    return tail.orderBy(order).limit(size)
-
-
 def page_info(rows: DataFrame, size: int = 20) -> DataFrame:
     """total and total_pages as one row."""
     return rows.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadloom.functions.urls import is_usable_website
 from leadloom.operators import contacts as C
+from leadloom.operators import directory as G
 from leadloom.operators import outreach as O
 from leadloom.operators import queue as K
 from leadloom.operators import reports as R
@@ -17,6 +20,7 @@ from leadloom.plans.inputs import SQL_CONTACTS, SQL_FEATURES, SQL_URLS, company_
 from leadloom.plans.registry import query, table
 from leadloom.rules import outreach as rules
 from leadloom.rules import people
+from leadloom.session import ensure_checkpoint_dir
 
 
 @query(
@@ -204,6 +208,19 @@ def _queue(spark, sf_dir):
     return table(spark, sf_dir, "orders").selectExpr(*_QUEUE_COLS)
 
 
+@query(
+    "k7_edit_drafts",
+    f"""select queue_id, status, case when status = 'PENDING' and queue_id % 3 = 0 then 'New ' || queue_id else 'Old' end as subject,
+    case when status = 'PENDING' and queue_id % 2 = 0 then 'Body ' || queue_id else 'Text' end as body from {SQL_QUEUE}""",
+)
+def k7_edits(spark, sf_dir):
+    queue = _queue(spark, sf_dir).selectExpr("*", "'Old' as subject", "'Text' as body")
+    edits = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as queue_id", "case when o_orderkey % 3 = 0 then concat(' New ', o_orderkey) else ' ' end as subject", "case when o_orderkey % 2 = 0 then concat('Body ', o_orderkey) end as body"
+    )
+    return K.edit_drafts(queue, edits).select("queue_id", "status", "subject", "body")
+
+
 @query(
     "k0_append_rows",
     """select c_name as company_id, 'a' || c_custkey || '@x.io' as contact_id, 'A' || c_custkey || '@x.io' as recipient_email, 'PENDING' as status, cast(c_custkey % 100 as double) as lead_score, cast(0 as int) as retry_count,
@@ -465,6 +482,43 @@ def d7(spark, sf_dir):
     return D.paginate(D.search_companies(_companies(spark, sf_dir), sort="name"), 3, 30).select("company_id")
 
 
+_TIED = "case when c_custkey % 5 = 0 then null else c_mktsegment end"
+
+
+def _tied(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as company_id", f"{_TIED} as segment", "c_name as name")
+
+
+@query("d7_page_directory", f"select c_custkey as company_id, {_TIED} as segment from customer order by {_TIED} desc nulls last, c_custkey limit 40 offset 400")
+def d7_directory(spark, sf_dir):
+    """Page 11 of an order with many ties: one or two of 16 ranges are read."""
+    directory = G.PageDirectory(spark, f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}", [("segment", "desc")], "company_id")
+    directory.write(_tied(spark, sf_dir), 16)
+    return directory.page(11, 40).select("company_id", "segment")
+
+
+@query("d7_page_after", f"select c_custkey as company_id, {_TIED} as segment from customer order by {_TIED} nulls first, c_custkey limit 150 offset 300")
+def d7_after(spark, sf_dir):
+    """The third page, reached over the last rows of the two before; the null rows come first."""
+    rows, last = _tied(spark, sf_dir), None
+    for _ in range(2):
+        end = G.page_after(rows, [("segment", "asc")], "company_id", last, 150).collect()[-1]
+        last = (end["segment"], end["company_id"])
+    return G.page_after(rows, [("segment", "asc")], "company_id", last, 150).select("company_id", "segment")
+
+
+@query(
+    "d6_search_index",
+    "select c_custkey as company_id from customer where regexp_matches(c_name, '(?i)#0+1[0-9]*7$|urnit') or regexp_matches('s' || c_nationkey || '.io', '(?i)#0+1[0-9]*7$|urnit') or regexp_matches(c_mktsegment, '(?i)#0+1[0-9]*7$|urnit|er#0000012')"
+    " or regexp_matches(c_name, '(?i)er#0000012')",
+)
+def d6_index(spark, sf_dir):
+    index = G.SearchIndex(spark, f"{ensure_checkpoint_dir(spark)}/search-{uuid.uuid4().hex}")
+    index.write(_companies(spark, sf_dir))
+    both = index.search("#0+1[0-9]*7$|urnit").unionByName(index.search("er#0000012", literal=True))
+    return both.select("company_id").distinct()
+
+
 @query("d7_page_info", "select count(*) as total, cast(ceil(count(*) / 30) as bigint) as total_pages from customer")
 def d7_info(spark, sf_dir):
     return D.page_info(_companies(spark, sf_dir), 30)

@@ -1,6 +1,7 @@
 """Table jobs: dedupe, merge, gate, upsert, scores."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,45 @@ def test_paginate_limits(spark):
         D.paginate(spark.range(5), 0, 10)
     with pytest.raises(ValueError):
         D.paginate(spark.range(5), 1, 0)
+
+
+@pytest.mark.parametrize("way", ["asc", "desc"])
+def test_pages_lose_no_tie_and_no_null(spark, tmp_path, way):
+    from leadloom.operators import directory as G
+
+    rows = [(i, [None, "a", "b", "b"][i % 4], i % 3) for i in range(97)]
+    df = spark.createDataFrame(rows, "id int, k string, n int").repartition(5)
+    order = [("k", way), ("n", "desc")]
+    whole = [r["id"] for r in df.orderBy(*G.order_columns(order, "id")).collect()]
+    pages = G.PageDirectory(spark, str(tmp_path / "p"), order, "id")
+    pages.write(df, 6)
+    assert [r["id"] for k in range(1, 12) for r in pages.page(k, 10).collect()] == whole and pages.page(12, 10).count() == 0
+    seen, last = [], None
+    while page := G.page_after(df, order, "id", last, 10).collect():
+        seen += [r["id"] for r in page]
+        last = (page[-1]["k"], page[-1]["n"], page[-1]["id"])
+    assert seen == whole
+    plan = pages.page(6, 10)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[range#\d+ (IN \(\d+,\d+\)|= \d+)|PartitionFilters: \[isnotnull\(range#\d+\), \(range#\d+ = \d+\)", plan), plan
+    with pytest.raises(ValueError):
+        pages.page(0, 10)
+
+
+def test_search_index_equals_the_scan(spark, tmp_path):
+    from leadloom.operators import directory as G
+    from leadloom.operators import store as D
+
+    rows = [(i, f"Company {w} {i}", f"https://{w}{i}.io", "hn" if i % 2 else None, i) for i, w in enumerate(["acme", "Beta", "gamma", "delta", "müller", "ab"] * 30)]
+    df = spark.createDataFrame(rows, "company_id int, name string, website string, source string, created_at int")
+    index = G.SearchIndex(spark, str(tmp_path / "i"), buckets=16)
+    index.write(df)
+    for term in ("acme", "^https://beta1", "gam+a|DELTA 3", "7$", "", None, "(acme|beta) 1[0-9]", "a.me", "müller 4", "co(mp)any x", "zzz", "x{2,3}", "(?:gamma)?12", "[", "io$"):
+        for literal in (False, True):
+            if term == "[" and not literal:
+                continue
+            want = [r["company_id"] for r in D.search_companies(df, term, literal=literal).collect()]
+            assert [r["company_id"] for r in index.search(term, literal=literal).collect()] == want, term
+    assert G.trigrams_of("7$") is None and G.trigrams_of("ab|cde") is None and G.trigrams_of("abc|cdef") == [{"abc"}, {"cde", "def"}]
+    postings = index.candidates([{"acm", "cme"}])
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)", plan), plan  # two of 16 buckets
