@@ -1,4 +1,4 @@
-"""Keyword rule sets over a text column, evaluated inside the row (no join, no shuffle)."""
+"""Keyword rule sets over a text column: those in code inside the row (no join, no shuffle), those kept as tables by join."""
 
 from __future__ import annotations
 
@@ -21,18 +21,6 @@ def rules_of(table: Mapping[str, Sequence[str]]) -> tuple[KeywordRule, ...]:
     return tuple(KeywordRule(label, tuple(words)) for label, words in table.items())
 
 
-def load_rules(rules: DataFrame) -> tuple[KeywordRule, ...]:
-    """Rules kept as a table (rule_rank, label, keyword_rank, keyword, weight).
-
-    A rule table is configuration that people write; all of it becomes part of the plan.
-    """
-    rows = rules.orderBy("rule_rank", "keyword_rank").collect()
-    labels: dict[str, tuple[list[str], int]] = {}
-    for row in rows:
-        labels.setdefault(row["label"], ([], row["weight"]))[0].append(row["keyword"])
-    return tuple(KeywordRule(label, tuple(words), weight) for label, (words, weight) in labels.items())
-
-
 def rule_table(rules: Sequence[KeywordRule]) -> Column:
     """The rule set as one constant array of structs."""
     rows = []
@@ -83,6 +71,54 @@ def classify(df: DataFrame, corpus: str, rule_sets: Mapping[str, Sequence[Keywor
     return df.withColumns({name: best_label(F.col(corpus), rules) for name, rules in rule_sets.items()})
 
 
+GRAM = 3
+
+
+def grams_of(text: Column) -> Column:
+    """Distinct pieces of one to GRAM characters of a text, in one pass over its characters."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def longer(one: Column) -> Column:
+        rest = lambda k: F.slice(one, F.lit(k), F.greatest(F.size(one), F.lit(1)))
+        two = F.zip_with(one, rest(2), lambda a, b: F.concat(a, b))
+        three = F.zip_with(two, rest(3), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.array_compact(F.concat(one, two, three)))
+
+    return let(chars, longer)
+
+
+def anchored_rules(rules: DataFrame) -> DataFrame:
+    """Rules (rule_rank, label, keyword_rank, keyword, weight) with the piece of their keyword that the fewest keywords hold."""
+    kept = rules.filter(F.col("keyword") != "").select("rule_rank", "label", "keyword_rank", "keyword", "weight")
+    size = F.least(F.lit(GRAM), F.length("keyword"))
+    pieces = kept.select("keyword").distinct().select("keyword", F.explode(F.filter(grams_of(F.col("keyword")), lambda g: F.length(g) == size)).alias("anchor"))
+    common = pieces.groupBy("anchor").agg(F.count("*").alias("_n"))
+    rarest = pieces.join(common, "anchor").groupBy("keyword").agg(F.min(F.struct("_n", "anchor")).alias("_a"))
+    return kept.join(rarest.select("keyword", F.col("_a.anchor").alias("anchor")), "keyword")
+
+
+def classify_by_table(docs: DataFrame, text: str, rules: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, label, score, hits: the best rule of each text, as ``best_label`` chooses it, for a rule table of any size.
+
+    An inverted join: every keyword is looked up by one short piece of it among the distinct pieces of each text, and
+    only then tested in the text itself. Rules never reach the driver or the plan; a text meets the keywords whose piece
+    it holds. ``id_col`` has to be unique. Null texts and texts without a hit have null label, score and hits. Of rules
+    with one label the weights add up; equal scores keep the order of rule_rank.
+    """
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    pieces = texts.select("_id", F.explode(grams_of(F.col("_text"))).alias("anchor"))
+    rule = F.struct("rule_rank", "label", "keyword_rank", "keyword", "weight")
+    met = pieces.join(anchored_rules(rules), "anchor").groupBy("_id").agg(F.collect_list(rule).alias("_rules"))
+    tested = texts.join(met, "_id").select("_id", F.filter("_rules", lambda r: F.contains(F.col("_text"), r["keyword"])).alias("_hits"))
+    hits = tested.select("_id", F.explode("_hits").alias("r")).select("_id", "r.*")
+    scored = hits.groupBy("_id", "label").agg(
+        F.sum("weight").alias("score"), F.min("rule_rank").alias("rule_rank"), F.array_sort(F.collect_list(F.struct("keyword_rank", "keyword"))).alias("_words")
+    )
+    best = scored.groupBy("_id").agg(F.max_by(F.struct("label", "score", "_words"), F.struct("score", -F.col("rule_rank"))).alias("b"))
+    words = F.transform("b._words", lambda w: w["keyword"])
+    return docs.join(best.withColumnRenamed("_id", id_col), id_col, "left").select(id_col, "b.label", "b.score", words.alias("hits"))
+
+
 def tag_patterns(corpus: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     """Labels of the regular expressions found in the text, distinct, in table order."""
     return F.array_distinct(

@@ -268,7 +268,7 @@ def b5_table(spark, sf_dir):
     cases = " ".join(f"when {i} then array({rows})" for i, rows in enumerate(lists))
     # each region holds one rule; the last ones a rule that no text meets
     rules = table(spark, sf_dir, "region").selectExpr(f"inline(case cast(r_regionkey as int) {cases} else array({row(99, 0, 'none', chr(1), 1)}) end)")
-    return docs.select("doc_id", K.best_label(F.lower("text"), K.load_rules(rules))["label"].alias("label"))
+    return K.classify_by_table(docs.select("doc_id", F.lower("text").alias("text")), "text", rules).select("doc_id", "label")
 
 
 @query("b6_profile_corpus", f"select page_id, lower(url || ' ' || {_TITLE}) as corpus from pages")

@@ -273,3 +273,34 @@ def test_search_index_equals_the_scan(spark, tmp_path):
     postings = index.candidates([{"acm", "cme"}])
     plan = postings._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)", plan), plan  # two of 16 buckets
+
+
+def test_rules_by_join(spark):
+    from leadloom.operators import keywords as K
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 6)))
+    texts = [(i, "".join(word() for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(100, None), (101, "")]
+    rules = [(i, f"L{i % 40}", j, word(), 1 + i % 3) for i in range(80) for j in range(3)] + [(99, "empty", 0, "", 9)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    table = spark.createDataFrame(rules, "rule_rank int, label string, keyword_rank int, keyword string, weight int")
+    got = {r["doc_id"]: (r["label"], r["score"], sorted(r["hits"] or [])) for r in K.classify_by_table(docs, "text", table).collect()}
+    for i, text in texts:
+        score, first, hits = {}, {}, {}
+        for rank, label, _, keyword, weight in rules:
+            if keyword and text and keyword in text:
+                score[label] = score.get(label, 0) + weight
+                first[label] = min(first.get(label, rank), rank)
+                hits.setdefault(label, []).append(keyword)
+        best = max(score, key=lambda x: (score[x], -first[x]), default=None)
+        assert got[i] == (best, score.get(best), sorted(hits.get(best, [])))
+
+
+def test_a_hundred_thousand_rules_stay_out_of_the_plan(spark):
+    from leadloom.operators import keywords as K
+
+    rules = spark.range(100_000).selectExpr("cast(id as int) as rule_rank", "concat('L', id) as label", "0 as keyword_rank", "concat('kw', id, 'x') as keyword", "1 as weight")
+    docs = spark.createDataFrame([(1, "see kw77123x here"), (2, "kw5x and kw99999x"), (3, "none")], "doc_id int, text string")
+    found = K.classify_by_table(docs, "text", rules)
+    assert {r["doc_id"]: r["label"] for r in found.collect()} == {1: "L77123", 2: "L5", 3: None}
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
