@@ -104,6 +104,31 @@ def w3_stream(spark, sf_dir):
     return last.select("item_id", "s.*")
 
 
+@query("w3_event_time_stream", SQL_REPLAY)
+def w3_event_time(spark, sf_dir):
+    """The events in shuffled files, one file a batch: in event time the result is that of the batch job."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    landing, out, checkpoint = _folder(spark, "shuffled"), _folder(spark, "replay"), _folder(spark, "ckpt")
+    events = queue_events(spark, sf_dir).select("event_id", "ts", "item_id", "target")
+    for part in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(landing)
+    schema = "event_id long, ts timestamp, item_id long, target string"
+    W.use_rocksdb(spark)
+    try:
+        for heartbeat in (False, True):
+            if heartbeat:
+                end = events.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 90 days")).alias("ts"))
+                end.select("event_id", "ts", F.lit(-1).cast("long").alias("item_id"), F.lit(None).cast("string").alias("target")).coalesce(1).write.mode("append").parquet(landing)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+            W.run_to_table(W.replay_in_event_time(stream, delay_s=40 * 86_400, slot_s=7 * 86_400), out, checkpoint, "update")
+    finally:
+        spark.conf.set(key, before)
+    states = spark.read.parquet(out).where("not late")
+    last = states.groupBy("item_id").agg(F.max_by(F.struct("status", "accepted", "rejected", "retry_count"), F.col("accepted") + F.col("rejected")).alias("s"))
+    return last.select("item_id", "s.*")
+
+
 @query("w4_stream_upsert", "select user_id, arg_max(value, event_id) as value, arg_max(event_type, event_id) as event_type from events group by 1")
 def w4(spark, sf_dir):
     target = BucketedTable(spark, _folder(spark, "upsert"), ["user_id"])

@@ -90,6 +90,27 @@ def replay_stream(events: DataFrame, edges: Sequence[tuple[str, str]] = TRANSITI
     )
 
 
+def replay_in_event_time(
+    events: DataFrame, edges: Sequence[tuple[str, str]] = TRANSITIONS, start: str = "PENDING",
+    delay_s: int = 3600, late_s: int = 86_400, slot_s: int = 60,
+) -> DataFrame:
+    """State per item (item_id, event_id, ts, target) in event time: the rows of the batch twin whatever the batches.
+
+    An event is applied once the stream is ``delay_s`` seconds beyond its slot of ``slot_s`` seconds, so events out of
+    order within the delay fall into place. One that comes later, but within ``late_s`` more, is a row of the side output
+    (late is true); Spark drops and counts those behind that. Each release gives the item's state after it; the last one
+    is that with most events (accepted + rejected). What waits at the end of a stream is released by a row without
+    target and a later ts (a heartbeat). Needs ``use_rocksdb``.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{delay_s + late_s} seconds")
+    return timed.groupBy("item_id").transformWithStateInPandas(
+        statefulProcessor=state_module.EventTimeReplay(tuple(edges), start, slot_s * 1000, late_s * 1000),
+        outputStructType=state_module.EVENT_TIME_SCHEMA,
+        outputMode="Update",
+        timeMode="EventTime",
+    )
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State store needed by the stateful replay."""
     spark.conf.set(

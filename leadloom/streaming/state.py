@@ -77,3 +77,97 @@ class QueueReplay(StatefulProcessor):
                 "expired": [expired],
             }
         )
+
+
+ITEM_SCHEMA = "status string, accepted int, rejected long, retry_count int, released long"
+EVENT_TIME_SCHEMA = "item_id long, status string, accepted int, rejected long, retry_count int, late boolean, event_id long, ts timestamp, target string"
+_EVENT = np.dtype([("ts", "<i8"), ("event_id", "<i8"), ("target", "u1")])
+_UNKNOWN = 255
+
+
+class EventTimeReplay(StatefulProcessor):
+    """Moves an item along the allowed edges in the order of (ts, event_id), whichever batch an event comes in.
+
+    Events wait in slots of event time, 17 bytes each, until the watermark (and ``late_ms`` beyond it) has passed their
+    slot; a timer for each slot releases it. So an item's events are never held together: a task has one slot at a time,
+    and what waits is bounded by the watermark's delay. An event of a slot that is released already comes out as a late
+    row and changes nothing. Rows without a target only move the watermark.
+    """
+
+    def __init__(self, edges: tuple[tuple[str, str], ...], start: str, slot_ms: int, late_ms: int) -> None:
+        self.edges, self.start, self.slot_ms, self.late_ms = frozenset(edges), start, slot_ms, late_ms
+        self.targets = sorted({t for edge in edges for t in edge})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("item", ITEM_SCHEMA)
+        self.slots = handle.getMapState("slots", "slot long", "events binary")
+
+    def _now(self) -> tuple[str, int, int, int, int]:
+        return self.state.get() if self.state.exists() else (self.start, 0, 0, 0, -(1 << 62))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        codes = {t: i for i, t in enumerate(self.targets)}
+        released = self._now()[4]
+        for frame in rows:
+            frame = frame[frame["target"].notna()]
+            times = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            late = times < released
+            if late.any():
+                yield self._late(key, frame[late])
+            frame, times = frame[~late], times[~late]
+            events = np.zeros(len(frame), _EVENT)
+            events["ts"], events["event_id"] = times, frame["event_id"].to_numpy("int64")
+            events["target"] = [codes.get(t, _UNKNOWN) for t in frame["target"]]
+            slots = times // (self.slot_ms * 1000)
+            for slot in np.unique(slots).tolist():
+                new, old = events[slots == slot].tobytes(), b""
+                if self.slots.containsKey((slot,)):
+                    old = bytes(self.slots.getValue((slot,))[0])
+                else:
+                    self.handle.registerTimer((slot + 1) * self.slot_ms - self.late_ms)
+                self.slots.updateValue((slot,), (old + new,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bound = timerValues.getCurrentWatermarkInMs() + self.late_ms
+        ready = sorted(s for (s,) in self.slots.keys() if (s + 1) * self.slot_ms <= bound)
+        if not ready:
+            return
+        status, accepted, rejected, retries, _ = self._now()
+        for slot in ready:
+            events = np.frombuffer(bytes(self.slots.getValue((slot,))[0]), _EVENT)
+            for code in events["target"][np.lexsort((events["event_id"], events["ts"]))].tolist():
+                target = self.targets[code] if code != _UNKNOWN else ""
+                if (status, target) in self.edges:
+                    status = target
+                    accepted += 1
+                    retries += target == "FAILED"
+                else:
+                    rejected += 1
+            self.slots.removeKey((slot,))
+        self.state.update((status, int(accepted), int(rejected), int(retries), int((ready[-1] + 1) * self.slot_ms * 1000)))
+        yield self._rows(key, [status], [accepted], [rejected], [retries], False, [None], [pd.NaT], [None])
+
+    def close(self) -> None:
+        pass
+
+    def _late(self, key, frame: pd.DataFrame) -> pd.DataFrame:
+        none = [None] * len(frame)
+        return self._rows(key, none, none, none, none, True, frame["event_id"].tolist(), frame["ts"].tolist(), frame["target"].tolist())
+
+    @staticmethod
+    def _rows(key, status, accepted, rejected, retries, late, events, times, targets) -> pd.DataFrame:
+        n = len(status)
+        return pd.DataFrame(
+            {
+                "item_id": [key[0]] * n,
+                "status": pd.Series(status, dtype="object"),
+                "accepted": pd.Series(accepted, dtype="Int32"),
+                "rejected": pd.Series(rejected, dtype="Int64"),
+                "retry_count": pd.Series(retries, dtype="Int32"),
+                "late": [late] * n,
+                "event_id": pd.Series(events, dtype="Int64"),
+                "ts": pd.Series(pd.to_datetime(times)).astype("datetime64[us]"),
+                "target": pd.Series(targets, dtype="object"),
+            }
+        )

@@ -304,3 +304,39 @@ def test_a_hundred_thousand_rules_stay_out_of_the_plan(spark):
     found = K.classify_by_table(docs, "text", rules)
     assert {r["doc_id"]: r["label"] for r in found.collect()} == {1: "L77123", 2: "L5", 3: None}
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_event_time_replay_orders_over_batches_and_gives_late_rows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from leadloom.operators import queue as K
+    from leadloom.streaming import jobs as W
+
+    start = datetime(2025, 1, 1)
+    rng = random.Random(11)
+    names = ["APPROVED", "READY_TO_SEND", "SENT", "FAILED", "PENDING"]
+    events = [(n, start + timedelta(seconds=rng.randrange(7200)), 1 if n % 3 == 0 else n % 4, rng.choice(names)) for n in range(120)]
+    schema = "event_id long, ts timestamp, item_id long, target string"
+    batches = [events[i::4] for i in range(4)]  # out of order within two hours
+    batches.append([(-1, start + timedelta(hours=9), -1, None)])  # all above is released
+    late = (500, start + timedelta(seconds=30), 1, "APPROVED")
+    batches.append([late, (501, start + timedelta(hours=9, minutes=1), 7, "APPROVED")])
+    batches.append([(-1, start + timedelta(hours=20), -1, None)])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    W.use_rocksdb(spark)
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            W.run_to_table(W.replay_in_event_time(stream, delay_s=3 * 3600, late_s=86_400, slot_s=300), str(tmp_path / "out"), str(tmp_path / "ckpt"), "update")
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r["item_id"], r["event_id"], r["ts"], r["target"]) for r in out if r["late"]] == [(1, 500, late[1], "APPROVED")]
+    got = {}
+    for r in out:
+        if not r["late"] and r["accepted"] + r["rejected"] >= sum(got.get(r["item_id"], ("", 0, 0))[1:3]):
+            got[r["item_id"]] = (r["status"], r["accepted"], r["rejected"], r["retry_count"])
+    twin = K.replay_events(spark.createDataFrame([*events, batches[5][1]], schema)).collect()
+    assert got == {r["item_id"]: (r["status"], r["accepted"], r["rejected"], r["retry_count"]) for r in twin}
