@@ -118,6 +118,41 @@ def stage_percentiles(stages: DataFrame) -> DataFrame:
     )
 
 
+#: Size of the sketches: a merged percentile lies within about 0.7 % of the rows of the exact one (99 % of the time),
+#: however many sketches were merged; a sketch has a few KB.
+SKETCH_K = 500
+
+
+def timing_sketches(stages: DataFrame, day: Column | str) -> DataFrame:
+    """Per stage and day: runs, failures, total_ms and a sketch of the durations, to be stored and merged later.
+
+    Null durations count as runs and are in no sketch; a stage without durations has an empty one.
+    """
+    value = F.col("duration_ms").cast("double")
+    return stages.groupBy("stage", F.to_date(day).alias("day")).agg(
+        F.count("*").alias("runs"),
+        F.count_if(F.col("error").isNotNull()).alias("failures"),
+        F.sum(value).alias("total_ms"),
+        F.kll_sketch_agg_double(value, F.lit(SKETCH_K)).alias("sketch"),
+    )
+
+
+def store_timings(sketches: DataFrame, path: str) -> None:
+    """Days as partitions: a repeated run replaces its own days only."""
+    writer = sketches.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day").parquet(path)
+
+
+def merged_percentiles(sketches: DataFrame, keys: Sequence[str] = ("stage",), shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """Run count, failures, mean and percentiles over stored sketches: any days together, without their rows."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("runs").alias("runs"), F.sum("failures").alias("failures"), F.sum("total_ms").alias("_total"), F.kll_merge_agg_double("sketch").alias("_sketch")
+    )
+    held = F.kll_sketch_get_n_double("_sketch")
+    columns = {f"p{share * 100:g}_ms": F.when(held > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(share))) for share in shares}
+    return merged.withColumns({"mean_ms": F.when(held > 0, F.col("_total") / held), **columns}).drop("_total", "_sketch")
+
+
 def validation_rows(features: DataFrame) -> DataFrame:
     """Flat check row per company of a validation run."""
     c = F.col

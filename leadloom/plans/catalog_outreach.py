@@ -651,6 +651,26 @@ def r6(spark, sf_dir):
     return R.stage_percentiles(rows)
 
 
+@query(
+    "r6_merged_percentiles",
+    """select event_type as stage, count(*) as runs, count(*) filter (event_id % 10 = 0) as failures, round(avg(value), 6) as mean_ms, true as p50_near, true as p95_near,
+    count(distinct ts::date) as days from events group by 1""",
+)
+def r6_merged(spark, sf_dir):
+    """All days out of their stored sketches; a percentile counts as near if its rank is within 1 % of what it stands for."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_type as stage", "value as duration_ms", "case when event_id % 10 = 0 then 'x' end as error", "ts")
+    path = f"{ensure_checkpoint_dir(spark)}/timings-{uuid.uuid4().hex}"
+    for part in (0, 1):  # two runs, each with days of its own
+        R.store_timings(R.timing_sketches(rows.filter(F.day("ts") % 2 == part), "ts"), path)
+    sketches = spark.read.parquet(path)
+    merged = R.merged_percentiles(sketches).join(sketches.groupBy("stage").agg(F.count_distinct("day").alias("days")), "stage")
+    ranked = rows.join(F.broadcast(merged.select(F.col("stage").alias("_stage"), "p50_ms", "p95_ms")), F.col("stage") == F.col("_stage"))
+    share = lambda p: F.avg((F.col("duration_ms") <= F.col(p)).cast("int"))
+    near = ranked.groupBy("_stage").agg((F.abs(share("p50_ms") - 0.5) < 0.01).alias("p50_near"), (F.abs(share("p95_ms") - 0.95) < 0.01).alias("p95_near"))
+    found = merged.join(near, F.col("stage") == F.col("_stage"))
+    return found.select("stage", "runs", "failures", F.round("mean_ms", 6).alias("mean_ms"), "p50_near", "p95_near", "days")
+
+
 @query(
     "r6_stage_timings",
     """select user_id as company_id, cast(count(*) as int) as stages, count(*) filter (event_id % 10 = 0) = 0 as success, round(sum(value), 4) as total_ms, string_agg(event_type || '=' || round(value, 3)::varchar, ';' order by event_type) as durations,

@@ -340,3 +340,23 @@ def test_event_time_replay_orders_over_batches_and_gives_late_rows(spark, tmp_pa
             got[r["item_id"]] = (r["status"], r["accepted"], r["rejected"], r["retry_count"])
     twin = K.replay_events(spark.createDataFrame([*events, batches[5][1]], schema)).collect()
     assert got == {r["item_id"]: (r["status"], r["accepted"], r["rejected"], r["retry_count"]) for r in twin}
+
+
+def test_sketches_of_days_merge_within_their_error(spark, tmp_path):
+    from leadloom.operators import reports as R
+
+    rng = random.Random(5)
+    rows = [("s", rng.expovariate(1 / 50) if i % 9 else None, "x" if i % 7 == 0 else None, f"2025-01-{1 + i % 20:02d}") for i in range(8000)] + [("t", None, None, "2025-01-03")]
+    df = spark.createDataFrame(rows, "stage string, duration_ms double, error string, day string")
+    for _ in range(2):  # a repeated run replaces its days
+        R.store_timings(R.timing_sketches(df, "day"), str(tmp_path / "s"))
+    sketches = spark.read.parquet(str(tmp_path / "s"))
+    found = {r["stage"]: r for r in R.merged_percentiles(sketches, shares=(0.5, 0.95, 0.99)).collect()}
+    values = sorted(r[1] for r in rows if r[1] is not None)
+    s = found["s"]
+    assert s["runs"] == 8000 and s["failures"] == sum(r[2] is not None for r in rows)
+    assert s["mean_ms"] == pytest.approx(sum(values) / len(values))
+    for name, share in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)):
+        assert abs(sum(v <= s[name] for v in values) / len(values) - share) < 0.01
+    assert found["t"]["p50_ms"] is None and found["t"]["runs"] == 1
+    assert R.merged_percentiles(sketches.limit(0)).count() == 0
