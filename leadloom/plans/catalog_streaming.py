@@ -12,7 +12,7 @@ from leadloom.plans.catalog_outreach import SQL_EVENTS, queue_events
 from leadloom.plans.registry import query, table
 from leadloom.rules.outreach import KNOWN_STATUSES, TRANSITIONS
 from leadloom.session import ensure_checkpoint_dir
-from leadloom.sources.store import BucketedTable
+from leadloom.sources.store import BucketedTable, GrowingTable
 from leadloom.streaming import jobs as W
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -45,6 +45,49 @@ def w1(spark, sf_dir):
     return spark.read.parquet(store).select("identity", "pos")
 
 
+def _in_files(spark, sf_dir, parts: int):
+    """The events as a stream of several files, one a batch."""
+    landing = _folder(spark, "landed")
+    table(spark, sf_dir, "events").repartitionByRange(parts, "event_id").write.parquet(landing)
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+@query(
+    "w1_stream_leads_growing",
+    "select 'e' || (event_id * 7919 % 4001) || '.io' as identity, min(event_id) as pos from events where event_type <> 'error' group by 1",
+)
+def w1_growing(spark, sf_dir):
+    """Three batches into a store whose buckets split at 200 identities. Files are read in any order, so of an identity's
+    rows the first batch's stays; the query keeps those batches in the order of the events."""
+    def to_leads(batch):
+        return batch.filter("event_type <> 'error'").selectExpr(
+            "event_id as pos", "'n' as name", "'https://www.E' || cast(event_id * 7919 % 4001 as string) || '.io/' as website", "'events' as source", "1 as source_rank"
+        )
+
+    store, events = _folder(spark, "leads"), table(spark, sf_dir, "events")
+    write = W.lead_batch_writer(store, to_leads, max_rows=200)
+    third = events.selectExpr("max(event_id) div 3 + 1 as n").first()["n"]
+    for batch in range(3):
+        write(events.filter(F.expr(f"event_id div {third} = {batch}")), batch)
+    return GrowingTable(spark, store, ["identity"], 200, replace=False).read().select("identity", "pos")
+
+
+@query("w4_stream_upsert_growing", "select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by 1, 2")
+def w4_growing(spark, sf_dir):
+    target = GrowingTable(spark, _folder(spark, "upsert"), ["user_id", "event_type"], max_rows=100)
+    merged = [F.desc("event_id")]
+    source = _in_files(spark, sf_dir, 3).select("user_id", "event_type", "value", "event_id")
+
+    def write(batch, batch_id):  # a later batch may hold earlier events: only newer ones count
+        old = target.read(batch_id, target.with_bucket(batch.select("user_id", "event_type"), batch_id))
+        fresh = batch if old is None else batch.join(
+            old.select("user_id", "event_type", F.col("event_id").alias("_seen")), ["user_id", "event_type"], "left").filter("_seen is null or event_id > _seen").drop("_seen")
+        W.upsert_batch_writer(target, merged)(fresh, batch_id)
+
+    source.writeStream.foreachBatch(write).option("checkpointLocation", _folder(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    return target.read().select("user_id", "event_type", "event_id", "value")
+
+
 _DAY = "time_bucket(interval 1 day, ts, timestamp '2000-01-01 18:30:00')"
 
 

@@ -16,7 +16,7 @@ from leadloom.operators.queue import company_keys
 from leadloom.operators.rows import unnest
 from leadloom.operators.store import upsert
 from leadloom.rules.outreach import KNOWN_STATUSES, TRANSITIONS
-from leadloom.sources.store import BucketedTable
+from leadloom.sources.store import BucketedTable, GrowingTable
 from leadloom.streaming import state as state_module
 
 cloudpickle.register_pickle_by_value(state_module)
@@ -32,18 +32,22 @@ def read_landing_stream(spark: SparkSession, path: str, max_files: int = 1000) -
 
 
 def lead_batch_writer(
-    store_path: str, to_leads: Callable[[DataFrame], DataFrame], rules: UrlRules = DEFAULT_RULES
+    store_path: str, to_leads: Callable[[DataFrame], DataFrame], rules: UrlRules = DEFAULT_RULES, max_rows: int | None = None
 ) -> BatchFn:
     """Validated leads whose site identity no earlier batch has, in buckets of that identity.
 
     The store is the state, so nothing grows in memory; a batch reads the identities of its own buckets only, and a
-    repeated batch overwrites its own partitions.
+    repeated batch overwrites its own partitions. With ``max_rows`` the buckets split as the store grows
+    (``GrowingTable``), otherwise there are 64.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store = BucketedTable(batch.sparkSession, store_path, ["identity"], replace=False)
+        if max_rows is None:
+            store = BucketedTable(batch.sparkSession, store_path, ["identity"], replace=False)
+        else:
+            store = GrowingTable(batch.sparkSession, store_path, ["identity"], max_rows, replace=False)
         leads = validate_leads(to_leads(batch), rules)
-        first = store.with_bucket(first_per_key(leads, ["identity"], ["source_rank", "pos"])).persist()
+        first = store.with_bucket(first_per_key(leads, ["identity"], ["source_rank", "pos"]), batch_id).persist()
         try:
             known = store.read(batch_id, first)
             fresh = first if known is None else first.join(known.select("bucket", "identity"), ["bucket", "identity"], "left_anti")
@@ -54,9 +58,11 @@ def lead_batch_writer(
     return write
 
 
-def stream_leads(raw: DataFrame, store_path: str, checkpoint: str, to_leads: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def stream_leads(
+    raw: DataFrame, store_path: str, checkpoint: str, to_leads: Callable[[DataFrame], DataFrame], max_rows: int | None = None
+) -> StreamingQuery:
     return (
-        raw.writeStream.foreachBatch(lead_batch_writer(store_path, to_leads))
+        raw.writeStream.foreachBatch(lead_batch_writer(store_path, to_leads, max_rows=max_rows))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -119,12 +125,12 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
-def upsert_batch_writer(table: BucketedTable, order: Sequence[Column | str]) -> BatchFn:
+def upsert_batch_writer(table: BucketedTable | GrowingTable, order: Sequence[Column | str]) -> BatchFn:
     """Upsert every micro-batch into the buckets of its keys; other buckets are neither read nor written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         keys = [*table.keys, "bucket"]
-        new = table.with_bucket(first_per_key(batch, table.keys, order)).persist()
+        new = table.with_bucket(first_per_key(batch, table.keys, order), batch_id).persist()
         try:
             old = table.read(batch_id, new)
             table.write(new if old is None else upsert(old, new, keys, order).drop("action"), batch_id)
@@ -134,7 +140,7 @@ def upsert_batch_writer(table: BucketedTable, order: Sequence[Column | str]) ->
     return write
 
 
-def stream_upsert(source: DataFrame, table: BucketedTable, order: Sequence[Column | str], checkpoint: str) -> StreamingQuery:
+def stream_upsert(source: DataFrame, table: BucketedTable | GrowingTable, order: Sequence[Column | str], checkpoint: str) -> StreamingQuery:
     return (
         source.writeStream.foreachBatch(upsert_batch_writer(table, order))
         .option("checkpointLocation", checkpoint)

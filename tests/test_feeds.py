@@ -6,7 +6,7 @@ import pytest
 
 from leadloom.operators import leads as L
 from leadloom.sources import feeds, normalize
-from leadloom.sources.store import BucketedTable
+from leadloom.sources.store import BucketedTable, GrowingTable
 from leadloom.streaming import jobs as W
 
 AS_OF = "2025-07-15 00:00:00"
@@ -145,3 +145,45 @@ def test_feed_stream_resumes_from_its_offset(spark, tmp_path):
     assert run() == [("n1.com", "N1"), ("n2.com", "N2"), ("n3.com", "N3")]
     assert run() == [("n1.com", "N1"), ("n2.com", "N2"), ("n3.com", "N3")]
     assert [f for f in read if f] == [["a.json"], ["b.json"]]
+
+
+def test_growing_table_splits_its_buckets(spark, tmp_path):
+    table = GrowingTable(spark, str(tmp_path / "t"), ["k"], max_rows=40)
+    write = W.upsert_batch_writer(table, ["k"])
+    want = {k: "a" for k in range(3000)}
+    write(spark.createDataFrame(list(want.items()), "k int, v string"), 0)
+    layout = table.layout().collect()
+    assert sum(r["rows"] for r in layout) == 3000 and len(layout) >= 64 and sum(2.0 ** -r["depth"] for r in layout) == 1
+    batch = {k: "b" for k in (5, 1000, 2999, 7001)}
+    for _ in range(2):  # a repeated batch
+        write(spark.createDataFrame(list(batch.items()), "k int, v string"), 1)
+    want |= batch
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    touched = table.with_bucket(spark.createDataFrame([(k,) for k in batch], "k int"))
+    assert table.read(None, touched).count() < len(want) / 10  # of the table, a batch reads its own buckets
+    now = {r["bucket"]: r["versions"] for r in table.layout().collect()}
+    assert sum(v == [1] for v in now.values()) <= 4 + 4 and sum(v == [0] for v in now.values()) >= 50
+    before = {r["k"]: r["v"] for r in table.read(before=1).collect()}
+    assert before == {k: "a" for k in range(3000)}
+    write(spark.createDataFrame([(k, "c") for k in range(2000, 9000)], "k int, v string"), 2)
+    want |= {k: "c" for k in range(2000, 9000)}
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    assert max(r["rows"] for r in table.layout().collect()) <= 3 * 40
+    files = len(list((tmp_path / "t").rglob("*.parquet")))
+    table.vacuum(1)
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want and len(list((tmp_path / "t").rglob("*.parquet"))) < files
+
+
+def test_growing_table_merges_the_files_of_added_rows(spark, tmp_path):
+    table, seen = GrowingTable(spark, str(tmp_path / "t"), ["k"], max_rows=50, merge_after=3, replace=False), set()
+    assert table.read() is None
+    for batch in range(6):
+        rows = [(batch * 12 + i,) for i in range(12)]
+        df = table.with_bucket(spark.createDataFrame(rows, "k int"), batch)
+        table.write(df, batch)
+        seen |= {k for (k,) in rows}
+        assert {r["k"] for r in table.read().collect()} == seen
+        assert all(len(r["versions"]) < 3 for r in table.layout().collect())
+    table.write(table.with_bucket(spark.createDataFrame([], "k int"), 6), 6)
+    assert {r["k"] for r in table.read().collect()} == seen
+    assert len(table.layout().collect()) >= 2
