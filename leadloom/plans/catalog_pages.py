@@ -294,19 +294,14 @@ _KEY = "lower(rtrim(url, '/'))"
 )
 def p16(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    keyed = pages.withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1))
-    # links of a site: bounded here because the test sites are small
-    links = keyed.select("host", F.struct("page_id", "url").alias("l")).groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list("l")), lambda x: x["url"]).alias("links")
-    )
+    host = F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")
     lang = F.regexp_extract("url", "://[^/]*/([a-z]{2})/", 1)
     origin = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
-    companies = keyed.join(links, "host").select(
-        F.col("page_id").alias("company_id"),
-        F.col("url").alias("base_url"),
-        F.concat(F.array(F.col("url"), F.concat(origin, F.lit("/"), lang)), F.filter("links", lambda u: F.contains(F.lower(u), F.lit("/en/")))).alias("links"),
+    companies = pages.select(
+        F.col("page_id").alias("company_id"), F.col("url").alias("base_url"), host, F.array(F.col("url"), F.concat(origin, F.lit("/"), lang)).alias("links")
     )
-    return P.candidate_pages(companies, pages, ("/en/10", "/fr/825?page=2&ref=x"), 3, "links").select(
+    site_links = pages.select(host, F.col("page_id").alias("pos"), "url").filter(F.contains(F.lower("url"), F.lit("/en/")))
+    return P.candidate_pages(companies, pages, ("/en/10", "/fr/825?page=2&ref=x"), 3, "links", site_links=site_links).select(
         "company_id", "url", "page_rank"
     )
 

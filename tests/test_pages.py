@@ -245,3 +245,28 @@ def test_page_elements_in_sql(spark):
     assert errors == {r["page_id"]: r["parse_error"] for r in parsed.where("parse_error is not null").collect()} and len(errors) >= 1
     with pytest.raises(AnalysisException, match="takes one string"):
         spark.sql("select * from page_elements(1)").collect()
+
+
+def test_site_links_follow_companies_not_pairs(spark):
+    """Of a site's links each company meets the few that can rank; the rows are those of all links together."""
+    rows = [(i, f"https://s{i % 3}.io/{'en' if i % 2 else 'fr'}/{i // 4}", "x" * (50 if i % 5 else 9)) for i in range(240)] + [(900, None, "x" * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    site = F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")
+    companies = pages.select(F.col("page_id").alias("company_id"), F.col("url").alias("base_url"), site, F.array("url", F.lit("https://s1.io/en/7")).alias("links"))
+    links = pages.select(site, F.col("page_id").alias("pos"), "url").filter(F.contains("url", F.lit("/en/")))
+    for cap in (2, None):
+        got = P.candidate_pages(companies, pages, ("/fr/5", "/en/3"), cap, "links", site_links=links).collect()
+        usable = {}
+        for i, url, html in rows:
+            if url and len(html) >= 40:
+                usable.setdefault(url, i)
+        want = []
+        for i, base, _ in rows:
+            origin = base and base[: base.index("/", 8)]
+            wanted = base and [origin + "/fr/5", origin + "/en/3", base, "https://s1.io/en/7", *(u for _, u, _ in rows if u and u.startswith(origin) and "/en/" in u)]
+            found = [u for u in dict.fromkeys(wanted or []) if u != base and u in usable]
+            want += [(i, u, rank + 1) for rank, u in enumerate(found[:cap])]
+        assert sorted((r["company_id"], r["url"], r["page_rank"]) for r in got) == sorted(want)
+    own = companies.withColumn("_own", F.lit(4))
+    shared = P._shared_keys(own, links, P.page_index(pages).filter("n_bytes >= 40"), 2, ())
+    assert shared.groupBy("company_id").count().agg(F.max("count")).first()[0] <= 2 + 1 + 4
