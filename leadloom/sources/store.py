@@ -183,7 +183,7 @@ class GrowingTable:
             )
             added = plan.filter("not _whole").select("bucket", "depth", "prefix", F.concat("versions", now).alias("versions"), F.col("_total").alias("rows"))
             kept = layout.join(plan.select("bucket"), "bucket", "left_anti").select("bucket", "depth", "prefix", "versions", "rows")
-            kept.unionByName(fresh).unionByName(added).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/layout/batch_id={batch_id}")
+            kept.unionByName(fresh).unionByName(added).repartition("bucket").write.mode("overwrite").parquet(f"{self.path}/layout/batch_id={batch_id}")
         finally:
             plan.unpersist()
 

@@ -1,8 +1,10 @@
 """Landed files to leads, in batch and as a stream."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.operators import leads as L
 from leadloom.sources import feeds, normalize
@@ -187,3 +189,37 @@ def test_growing_table_merges_the_files_of_added_rows(spark, tmp_path):
     table.write(table.with_bucket(spark.createDataFrame([], "k int"), 6), 6)
     assert {r["k"] for r in table.read().collect()} == seen
     assert len(table.layout().collect()) >= 2
+
+
+def test_layout_is_written_by_several_tasks(spark, tmp_path):
+    """One task that drew all buckets through its joins held their sort buffers together."""
+    table, key = GrowingTable(spark, str(tmp_path / "t"), ["k"], max_rows=20), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        table.write(table.with_bucket(spark.range(2000).withColumnRenamed("id", "k")), 0)
+    finally:
+        spark.conf.unset(key)
+    assert len(list((tmp_path / "t" / "layout" / "batch_id=0").glob("*.parquet"))) > 1
+    assert sum(r["rows"] for r in table.layout().collect()) == 2000
+
+
+def test_feed_dates_of_all_forms(spark):
+    from leadloom.sources.normalize import feed_timestamp, iso_timestamp
+
+    texts = ["Tue, 01 Jul 2025 10:00:00 GMT", "Tue, 1 Jul 2025 15:30:00 +0530", "01 Jul 2025 15:30:00 -0800", "1 Jul 2025 15:30:00 PST", "1 Jul 2025 15:30:00 +05:30", "1 Jul 2025 15:30:00 Z",
+             "1 Jul 2025 15:30:00 GMT+0530", "1 Jul 2025 15:30:00", "2025-07-01T10:00:00Z", "2025-07-01 10:00:00", "2025-07-01", "2025-07-01 10:00:00 +0530", " Wed,  2 Jul 2025 01:02:03 UTC", "1 Jul 2025", "soon", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = F.regexp_replace("t", r"^\s*[A-Za-z]{3,9},\s*", "")
+    formats = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss")
+    plain = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats], iso_timestamp(F.col("t")))
+    for r in rows.select("t", feed_timestamp(F.col("t")).alias("got"), plain.alias("want")).collect():
+        assert r["got"] == r["want"], r
+    assert rows.filter(feed_timestamp(F.col("t")).isNotNull()).count() >= 9
+
+
+def test_feed_payloads_are_dealt_out_and_parsed_once(spark):
+    from leadloom.plans import catalog
+
+    text = catalog.QUERIES["n6_normalize_feed_items"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in text
+    assert len(re.findall(r"CASE WHEN (?:\(?NOT )?_is_atom#\d+\)? THEN from_xml", text)) == 2, text
