@@ -185,7 +185,9 @@ RSS_TEXT = """case when k % 3 = 0 then '<?xml version="1.0"?><feed xmlns="http:/
 
 
 def _feed_items(spark, sf_dir):
-    raw = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_mktsegment as seg").selectExpr(
+    # dealt out before the payloads are built and parsed: a small file of short rows would be one task
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_mktsegment as seg").repartition("k", "seg")
+    raw = rows.selectExpr(
         f"{RSS_TEXT} as payload", "0 as query_rank", "cast(k as int) as request_pos", "'https://feed.io/rss' as label"
     )
     return feeds.flatten_feeds(raw)

@@ -98,11 +98,11 @@ def flatten_posts(raw: DataFrame) -> DataFrame:
 def flatten_feeds(raw: DataFrame) -> DataFrame:
     """RSS items and Atom entries; markup in descriptions becomes blanks."""
     options = {"ignoreNamespace": "true"}
-    parsed = raw.withColumns(
+    is_atom = F.coalesce(F.col("payload").rlike(r"(?s)^(\s|<\?.*?\?>|<!--.*?-->)*<([A-Za-z0-9]+:)?feed[\s>]"), F.lit(False))
+    parsed = raw.withColumn("_is_atom", is_atom).withColumns(  # each payload is parsed once, as what it is
         {
-            "_is_atom": F.col("payload").rlike(r"(?s)^(\s|<\?.*?\?>|<!--.*?-->)*<([A-Za-z0-9]+:)?feed[\s>]"),
-            "_rss": F.from_xml("payload", schemas.RSS_FEED, options),
-            "_atom": F.from_xml("payload", schemas.ATOM_FEED, options),
+            "_rss": F.when(~F.col("_is_atom"), F.from_xml("payload", schemas.RSS_FEED, options)),
+            "_atom": F.when(F.col("_is_atom"), F.from_xml("payload", schemas.ATOM_FEED, options)),
         }
     )
     rss_items = F.expr(

@@ -45,12 +45,12 @@ def epoch_timestamp(c: Column) -> Column:
 def feed_timestamp(c: Column) -> Column:
     """RFC 822 date (named zone or offset), else ISO."""
     bare = F.regexp_replace(c, r"^\s*[A-Za-z]{3,9},\s*", "")
-    return F.coalesce(
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")),
-        iso_timestamp(c),
+    # a format that fails costs an exception: an offset in digits is no zone name, and without blanks none of them fits
+    named = F.when(~bare.rlike(r" [+-]\d{4}$"), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")))
+    dated = F.coalesce(
+        named, F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss"))
     )
+    return F.coalesce(F.when(F.contains(bare, F.lit(" ")), dated), iso_timestamp(c))
 
 
 def _position() -> Column:
