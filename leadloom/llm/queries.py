@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.bpe import encode_documents
-from leadloom.llm.compression import fit_bands, quality_rules
+from leadloom.llm.common import stored
+from leadloom.llm.compression import bands_of, judged, measure
 from leadloom.llm.exact_dedup import exact_groups
 from leadloom.llm.html_extract import extract_pages
 from leadloom.llm.language import identify, train_languages
@@ -65,8 +66,8 @@ def op7_html_extraction(spark, sf_dir):
 
 
 def op8_compression_bands(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return quality_rules(docs, fit_bands(docs))
+    measured = stored(measure(_table(spark, sf_dir, "documents")), "measured")
+    return judged(measured, bands_of(measured))
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -361,6 +361,25 @@ def test_fit_of_odd_tables_and_copies(spark, tables):
     assert np.allclose(alone, both, atol=0.02)
 
 
+def test_bands_come_from_all_rows(spark, tables):
+    """Every row that passes the base rules counts in the quartiles, copies once; no bound on the rows."""
+    rows = [(i, prose(i, 60 + i), "en", "s", 1) for i in range(400)] + [(900, prose(3, 2500), "en", "s", 1), (None, None, None, None, 1)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], tables["docs"].schema)
+    measured = compression.measure(docs)
+    bands, compress = compression.bands_of(measured), compression.compressor(3)
+    by_step = {}
+    for r in rows[:401]:
+        size = len(r[1].encode())
+        by_step.setdefault(1 << (size.bit_length() - 1), []).append(len(compress(r[1].encode())) / size)
+    assert sum(len(v) >= 40 for v in by_step.values()) >= 2
+    for step, low, high in bands.whole:
+        if len(by_step.get(step, ())) >= 40:
+            want = compression.drawn(np.quantile(by_step[step], [0.25, 0.5, 0.75]).tolist(), compression.WHOLE_SPREAD)
+            assert np.allclose((low, high), want, atol=3e-4)
+    assert compression.fit_bands(docs) == bands
+    assert sorted(map(str, compression.judged(measured, bands).collect())) == sorted(map(str, compression.quality_rules(docs, bands).collect()))
+
+
 # --- language ---
 
 
