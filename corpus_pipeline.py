@@ -4,9 +4,9 @@ Each stage takes all rows that the one before kept, written as Parquet and read
 columns of documents. The mix repeats a row as often as it takes it, so a doc_id can occur twice after it. The last
 returns the ids with their number, their digest and that of the decoded text.
 
-The near-dedup stage asks for five-word shingles at similarity 0.8 or more. Fingerprints of 64 bits with Golay keys, as
-op2 links them, miss most such pairs (README, with figures), so here candidates meet in bands of minima and each is
-verified by its exact shingle similarity.
+The near-dedup stage asks for five-word shingles at similarity 0.8 or more. Candidates meet by SimHash fingerprints of
+these shingles with Golay keys, as op2 links them; those miss most pairs near 0.8 (README, with figures), so the rest
+meet in bands of minima. Each candidate is verified by its exact shingle similarity.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """SimHash near-dedup: Golay codeword indices of fingerprint segments are the join keys, candidates are verified.
 
-Near copies by shingle similarity, which 64-bit fingerprints cannot find, meet in bands of minima (``near_dedup``).
+Near copies by shingle similarity (``near_dedup``) are pairs that meet by their fingerprints, and those beyond the three
+bits that 64-bit fingerprints reach, which meet in bands of minima; all are verified by their shingles.
 """
 
 from __future__ import annotations
@@ -346,11 +347,26 @@ def _block_links(part: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def fingerprint_pairs(texts: DataFrame, most: int = 3) -> DataFrame:
+    """Pairs (u, v) of texts (node, text) to verify: their SimHash fingerprints over five-word shingles are connected
+    at ``most`` or fewer differing bits. Texts of one fingerprint meet its smallest, fingerprints by ``fingerprint_links``."""
+    slim = texts.select(F.col("node").alias("doc_id"), F.col("node").alias("text_hash"), "text")
+    slim = slim.mapInArrow(_fingerprints(WIDTH), "doc_id long, text_hash long, fp long").select(F.col("doc_id").alias("node"), "fp")
+    slim = stored(slim.distinct(), "near-fingerprints")
+    lows = stored(slim.groupBy("fp").agg(F.min("node").alias("low")), "near-nodes")
+    same = slim.join(lows, "fp").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    links = fingerprint_links(lows, most).toDF("fp_u", "fp_v")
+    links = links.join(lows.toDF("fp_u", "u"), "fp_u").join(lows.toDF("fp_v", "v"), "fp_v").select("u", "v")
+    both = same.union(links).where("u <> v")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = TEXT_BLOCK) -> DataFrame:
     """One row per document: doc_id, text_hash, root; documents of one root are connected by pairs whose five-word
     shingles have Jaccard similarity 0.8 or more.
 
-    Bands of minima give buckets. First each bucket's texts are compared with its smallest text, so pairs follow the
+    Texts meet by SimHash (``fingerprint_pairs``). Most pairs near the bound differ in more bits than that, so bands of
+    minima give buckets as well. First each bucket's texts are compared with its smallest text, so pairs follow the
     number of documents. Where that leaves a bucket in several groups, all its groups are compared with one another
     inside tasks, buckets over ``block`` texts as pairs of blocks. Every comparison counts the shingles themselves.
     """
@@ -359,7 +375,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = slim.dropDuplicates(["node"]).select("node", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
     rows = stored(rows.join(shared, "bucket"), "shared-bands")
-    pairs = stored(rows.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "band-pairs")
+    pairs = rows.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    pairs = stored(pairs.union(fingerprint_pairs(hashed)).distinct(), "near-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = stored(hashed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "band-texts")
     met = pairs.join(texts.toDF("v", "text_v"), "v").join(texts.toDF("u", "text_u"), "u")

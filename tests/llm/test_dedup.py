@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from leadloom.llm import exact_dedup, simhash, suffix_dedup
@@ -241,3 +242,20 @@ def test_similar_groups_against_brute_force(spark, block):
         want[v].append(i)
     assert len(want) > 20 and max(map(len, want.values())) > 3
     assert sorted(sorted(x) for x in groups.values()) == sorted(sorted(x) for x in want.values())
+
+
+def test_near_dedup_goes_through_fingerprints(spark, monkeypatch):
+    """Texts at three or fewer bits are pairs of the SimHash step, and similar_groups verifies them."""
+    rows = [(i, prose(9000 + i, 600)) for i in range(30)]
+    rows += [(100 + i, edited(rows[i][1], [300])) for i in range(30)] + [(500, ""), (501, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    fps = [simhash.fingerprint(t.encode(), simhash.WIDTH) for _, t in rows]
+    got = {frozenset(r) for r in simhash.fingerprint_pairs(texts).collect()}
+    near = {frozenset((rows[i][0], rows[j][0])) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3}
+    assert near and got == near and frozenset((500, 501)) in got
+    seen = []
+    step = simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: seen.append(step(*a)) or seen[-1])
+    kept = sorted(r[0] for r in simhash.near_dedup(docs).collect())
+    assert kept == [*range(30), 500] and len(seen) == 1 and seen[0].distinct().count() == len(near)
