@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -136,7 +137,7 @@ _MEASURED = ", ".join(f"{n} long" for n in ("doc_id", *_NUMBERS)) + ", base_fail
 
 def measure(docs: DataFrame, bands: Bands = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, in one pass over whole texts: base numbers, base_failed, size in bytes, ratio of the whole
-    text (null: empty), ratios of its chunks; mark (smallest five-word hash) and the quartiles of the chunks' ratios, null where base_failed."""
+    text (null: empty), ratios of its chunks; mark (64-bit hash of the five words with the smallest crc32) and the quartiles of the chunks' ratios, null where base_failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress, digest = compressor(bands.level), xxhash.xxh64_intdigest
@@ -150,7 +151,7 @@ def measure(docs: DataFrame, bands: Bands = WIDE, id_col: str = "doc_id", text_c
                 if not failed:
                     middle = np.quantile(parts, [0.25, 0.5, 0.75]).tolist() if parts else None
                     words = t.split()
-                    mark = min(digest(b" ".join(words[i : i + 5])) for i in range(len(words) - 4)) - (1 << 63)
+                    mark = digest(min((b" ".join(words[i : i + 5]) for i in range(len(words) - 4)), key=zlib.crc32)) - (1 << 63)
                 rows.append((*numbers, failed, len(t), mark, ratio, parts, middle))
             columns = list(zip(*rows)) if rows else [[]] * len(_MEASURES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, _MEASURES.values()))], names=["doc_id", *_MEASURES])
@@ -161,7 +162,7 @@ def measure(docs: DataFrame, bands: Bands = WIDE, id_col: str = "doc_id", text_c
 def bands_of(measured: DataFrame, bands: Bands = WIDE) -> Bands:
     """Bands of a corpus out of all its measured rows (``measure``).
 
-    Every text that passes the base rules counts, of copies and near copies (same smallest five-word hash) one. The
+    Every text that passes the base rules counts, of copies and near copies (same mark) one. The
     quartiles of a length class come from counts of the ratios in steps of 1/GRID; a long text counts in the chunk
     ratios with its three quartiles. A few rows reach the driver; an empty table leaves the bands as they are.
     """
