@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import let, sql_string
+from leadloom.operators.rows import unnest
+from leadloom.session import cut_lineage
 
 @dataclass(frozen=True)
 class KeywordRule:
@@ -74,17 +76,10 @@ def classify(df: DataFrame, corpus: str, rule_sets: Mapping[str, Sequence[Keywor
 GRAM = 3
 
 
-def grams_of(text: Column) -> Column:
-    """Distinct pieces of one to GRAM characters of a text, in one pass over its characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-
-    def longer(one: Column) -> Column:
-        rest = lambda k: F.slice(one, F.lit(k), F.greatest(F.size(one), F.lit(1)))
-        two = F.zip_with(one, rest(2), lambda a, b: F.concat(a, b))
-        three = F.zip_with(two, rest(3), lambda a, b: F.concat(a, b))
-        return F.array_distinct(F.array_compact(F.concat(one, two, three)))
-
-    return let(chars, longer)
+def grams_of(text: Column, lengths: Sequence[int] = tuple(range(1, GRAM + 1))) -> Column:
+    """Distinct pieces of a text with the given numbers of characters, one compiled pass for each."""
+    pieces = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    return F.array_distinct(F.concat(*pieces))
 
 
 def anchored_rules(rules: DataFrame) -> DataFrame:
@@ -106,9 +101,12 @@ def classify_by_table(docs: DataFrame, text: str, rules: DataFrame, id_col: str
     with one label the weights add up; equal scores keep the order of rule_rank.
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    pieces = texts.select("_id", F.explode(grams_of(F.col("_text"))).alias("anchor"))
+    # written, so that Spark knows the rules' size: while they are small, pieces are not shuffled to meet them
+    anchored = cut_lineage(anchored_rules(rules))
+    lengths = sorted(r["n"] for r in anchored.select(F.length("anchor").alias("n")).distinct().collect())  # at most GRAM
+    pieces = unnest(texts, grams_of(F.col("_text"), lengths or [1]), "anchor", ["_id"])
     rule = F.struct("rule_rank", "label", "keyword_rank", "keyword", "weight")
-    met = pieces.join(anchored_rules(rules), "anchor").groupBy("_id").agg(F.collect_list(rule).alias("_rules"))
+    met = pieces.join(anchored, "anchor").groupBy("_id").agg(F.collect_list(rule).alias("_rules"))
     tested = texts.join(met, "_id").select("_id", F.filter("_rules", lambda r: F.contains(F.col("_text"), r["keyword"])).alias("_hits"))
     hits = tested.select("_id", F.explode("_hits").alias("r")).select("_id", "r.*")
     scored = hits.groupBy("_id", "label").agg(

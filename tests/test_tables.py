@@ -306,6 +306,20 @@ def test_a_hundred_thousand_rules_stay_out_of_the_plan(spark):
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
 
 
+def test_pieces_are_not_shuffled_to_meet_few_rules(spark):
+    """Only pieces as long as the rules' are made, and small rules come to them."""
+    from leadloom.operators import keywords as K
+
+    rules = spark.createDataFrame([(0, "a", 0, "kéw", 1), (1, "b", 0, "long word", 1), (2, "c", 0, "😀x1", 1)], "rule_rank int, label string, keyword_rank int, keyword string, weight int")
+    docs = spark.createDataFrame([(1, "a kéw\nhere"), (2, "a long word"), (3, "so 😀x1 😀"), (4, "none"), (5, None)], "doc_id int, text string")
+    found = K.classify_by_table(docs, "text", rules)
+    assert {r["doc_id"]: r["label"] for r in found.collect()} == {1: "a", 2: "b", 3: "c", 4: None, 5: None}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(anchor" not in text and ".{2}" not in text and ".{3}" in text
+    grams = docs.select(K.grams_of(F.col("text")).alias("g")).filter("doc_id = 4").first()["g"]
+    assert sorted(grams) == sorted({"n", "o", "e", "no", "on", "ne", "non", "one"})
+
+
 def test_event_time_replay_orders_over_batches_and_gives_late_rows(spark, tmp_path):
     from datetime import datetime, timedelta
 
