@@ -88,9 +88,10 @@ _UNKNOWN = 255
 class EventTimeReplay(StatefulProcessor):
     """Moves an item along the allowed edges in the order of (ts, event_id), whichever batch an event comes in.
 
-    Events wait in slots of event time, 17 bytes each, until the watermark (and ``late_ms`` beyond it) has passed their
-    slot; a timer for each slot releases it. So an item's events are never held together: a task has one slot at a time,
-    and what waits is bounded by the watermark's delay. An event of a slot that is released already comes out as a late
+    Events wait in a list, 17 bytes each, until the watermark (and ``late_ms`` beyond it) has passed their slot of event
+    time; a timer for the earliest slot releases what is due and sets the next. A batch appends to an item's list and
+    reads none of it, so it costs a few state calls an item however many slots it fills. Of an item only what waits is
+    held together, which the watermark's delay bounds. An event of a slot that is released already comes out as a late
     row and changes nothing. Rows without a target only move the watermark.
     """
 
@@ -101,51 +102,63 @@ class EventTimeReplay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("item", ITEM_SCHEMA)
-        self.slots = handle.getMapState("slots", "slot long", "events binary")
+        self.waiting = handle.getListState("waiting", "events binary")
 
     def _now(self) -> tuple[str, int, int, int, int]:
         return self.state.get() if self.state.exists() else (self.start, 0, 0, 0, -(1 << 62))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         codes = {t: i for i, t in enumerate(self.targets)}
-        released = self._now()[4]
+        released, new = None, []
         for frame in rows:
-            frame = frame[frame["target"].notna()]
+            here = frame["target"].notna().to_numpy()
+            if not here.any():
+                continue
+            released = self._now()[4] if released is None else released
             times = frame["ts"].to_numpy("datetime64[us]").astype("int64")
-            late = times < released
+            late = here & (times < released)
             if late.any():
                 yield self._late(key, frame[late])
-            frame, times = frame[~late], times[~late]
-            events = np.zeros(len(frame), _EVENT)
-            events["ts"], events["event_id"] = times, frame["event_id"].to_numpy("int64")
-            events["target"] = [codes.get(t, _UNKNOWN) for t in frame["target"]]
-            slots = times // (self.slot_ms * 1000)
-            for slot in np.unique(slots).tolist():
-                new, old = events[slots == slot].tobytes(), b""
-                if self.slots.containsKey((slot,)):
-                    old = bytes(self.slots.getValue((slot,))[0])
-                else:
-                    self.handle.registerTimer((slot + 1) * self.slot_ms - self.late_ms)
-                self.slots.updateValue((slot,), (old + new,))
+            kept = here & ~late
+            events = np.zeros(int(kept.sum()), _EVENT)
+            events["ts"], events["event_id"] = times[kept], frame["event_id"].to_numpy("int64")[kept]
+            events["target"] = [codes.get(t, _UNKNOWN) for t in frame["target"].to_numpy()[kept]]
+            if len(events):
+                new.append(events)
+        if new:
+            self.waiting.appendList([(events.tobytes(),) for events in new])
+            self._wake(min(int(events["ts"].min()) for events in new))
+
+    def _wake(self, ts: int) -> None:
+        self.handle.registerTimer((ts // (self.slot_ms * 1000) + 1) * self.slot_ms - self.late_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         bound = timerValues.getCurrentWatermarkInMs() + self.late_ms
-        ready = sorted(s for (s,) in self.slots.keys() if (s + 1) * self.slot_ms <= bound)
-        if not ready:
+        held = [np.frombuffer(bytes(e), _EVENT) for (e,) in self.waiting.get()]
+        if not held:
             return
+        events = np.concatenate(held)
+        slots = events["ts"] // (self.slot_ms * 1000)
+        due = (slots + 1) * self.slot_ms <= bound
+        if not due.any():
+            return
+        rest, last = events[~due], int(slots[due].max())
+        events = events[due]
         status, accepted, rejected, retries, _ = self._now()
-        for slot in ready:
-            events = np.frombuffer(bytes(self.slots.getValue((slot,))[0]), _EVENT)
-            for code in events["target"][np.lexsort((events["event_id"], events["ts"]))].tolist():
-                target = self.targets[code] if code != _UNKNOWN else ""
-                if (status, target) in self.edges:
-                    status = target
-                    accepted += 1
-                    retries += target == "FAILED"
-                else:
-                    rejected += 1
-            self.slots.removeKey((slot,))
-        self.state.update((status, int(accepted), int(rejected), int(retries), int((ready[-1] + 1) * self.slot_ms * 1000)))
+        for code in events["target"][np.lexsort((events["event_id"], events["ts"]))].tolist():
+            target = self.targets[code] if code != _UNKNOWN else ""
+            if (status, target) in self.edges:
+                status = target
+                accepted += 1
+                retries += target == "FAILED"
+            else:
+                rejected += 1
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
+            self._wake(int(rest["ts"].min()))
+        else:
+            self.waiting.clear()
+        self.state.update((status, int(accepted), int(rejected), int(retries), int((last + 1) * self.slot_ms * 1000)))
         yield self._rows(key, [status], [accepted], [rejected], [retries], False, [None], [pd.NaT], [None])
 
     def close(self) -> None:
